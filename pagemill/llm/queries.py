@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, packing, pieces, records, rules, urls
-from pagemill.llm.common import table
+from pagemill.llm import chat, packing, pieces, quality, records, rules, toxicity, urls
+from pagemill.llm.common import fold, table
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -15,6 +15,13 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 CONTROL_TALK = [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
 
 
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", mod=4, held_out=2)
+    out = quality.score(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_url_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
@@ -32,6 +39,14 @@ def op6_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("`doc.doc_id`").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", mod=5, held_out=0)
+    out = toxicity.score(docs, model, ["doc_id"])
+    doc_id = F.col("`doc.doc_id`")
+    return out.select(doc_id.alias("doc_id"), (fold(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string")
@@ -42,5 +57,5 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), BPE, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_digest, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op8_prefix_targets, op9_binary_records)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records)}
 ORACLES: dict[str, str] = {}
