@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, packing, pieces, quality, records, rules, toxicity, urls
+from pagemill.llm import chat, near_dup, packing, pieces, quality, records, rules, topk, toxicity, urls
 from pagemill.llm.common import fold, table
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,10 @@ def op2_url_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
 
 
+def op3_vector_approximation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BPE, end_id=2, length=1024)
 
@@ -57,5 +61,9 @@ def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), BPE, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records)}
+def op10_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op3_vector_approximation, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records, op10_bag_min_hash)}
 ORACLES: dict[str, str] = {}
