@@ -37,7 +37,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 PLAUSIBLE = 0.6
-GROUP, PARTNERS = 1024, 4
+GROUP, PARTNERS = 1024, 2
+#: Up to so many ids are broadcast to filter texts before their shuffle.
+MAX_BROADCAST_IDS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,6 +144,9 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts overlap enough. Texts are joined to the pairs' ends once."""
     ends = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionAll(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
+    asked = checkpoint(ends.select("doc_id").distinct())
+    if asked.count() <= MAX_BROADCAST_IDS:  # then only texts that are asked for are shuffled
+        texts = texts.join(F.broadcast(asked), "doc_id", "left_semi")
     # MERGE: AQE splits a text that very many pairs ask for.
     got = ends.hint("merge").join(texts, "doc_id").select("a", "b", (F.col("doc_id") == F.col("a")).alias("one"), "text")
     both = got.groupBy("a", "b").agg(F.max(F.when(F.col("one"), F.col("text"))).alias("text"), F.max(F.when(~F.col("one"), F.col("text"))).alias("other"))
@@ -209,18 +214,22 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _partners(t: pa.Table) -> pa.Table:
-    """Of each member, the PARTNERS members of other components whose signatures agree most, if plausible."""
+    """Of each member, the PARTNERS members of other components whose signatures agree most, if
+    plausible. Members of the largest component don't ask, they are asked by the others."""
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
     rep, component = (t.column(c).to_numpy() for c in ("rep", "component"))
     out: set[tuple[int, int]] = set()
     if len(rep) > 1 and (component != component[0]).any():
-        for i in range(0, len(rep), 64):
-            near = np.zeros((min(64, len(rep) - i), len(rep)), np.int32)
+        names, sizes = np.unique(component, return_counts=True)
+        asking = np.flatnonzero(component != names[np.argmax(sizes)])
+        for i in range(0, len(asking), 64):
+            own = asking[i : i + 64]
+            near = np.zeros((len(own), len(rep)), np.int32)
             for c in range(SIZE):
-                near += sig[i : i + 64, c, None] == sig[None, :, c]
-            near[component[i : i + 64, None] == component[None, :]] = -1
+                near += sig[own, c, None] == sig[None, :, c]
+            near[component[own, None] == component[None, :]] = -1
             best = np.argsort(-near, axis=1, kind="stable")[:, :PARTNERS]
-            for k, row in enumerate(best.tolist()):
-                out.update((min(rep[i + k], rep[j]), max(rep[i + k], rep[j])) for j in row if near[k, j] >= PLAUSIBLE * SIZE)
+            for k, row in zip(own.tolist(), best.tolist()):
+                out.update((min(rep[k], rep[j]), max(rep[k], rep[j])) for j in row if near[np.searchsorted(own, k), j] >= PLAUSIBLE * SIZE)
     a, b = zip(*sorted(out)) if out else ((), ())
     return pa.table({"a": pa.array([int(x) for x in a], pa.int64()), "b": pa.array([int(x) for x in b], pa.int64())})
