@@ -53,7 +53,7 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string")
+    more = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(row, ("long", "long", "string", "string"), turns.columns))) for row in CONTROL_TALK))))
     return chat.read_back(chat.expand(turns.unionByName(more)))
 
 
