@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import tokens
 from pagemill.llm.common import shared_dir, ship, size_bytes
 
-FILE_BYTES = 8 << 20
+FILE_BYTES = 4 << 20
 MASK = 0xA282EAD8
 
 
