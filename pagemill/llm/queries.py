@@ -66,4 +66,13 @@ def op10_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op3_vector_approximation, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records, op10_bag_min_hash)}
-ORACLES: dict[str, str] = {}
+_HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BEST = "(SELECT {} FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1)"
+_ESCAPED = r"replace(regexp_replace({}, '[\\#]', '\\\0', 'g'), '</', '<\/')"
+ORACLES: dict[str, str] = {
+    "op2_url_digest": "WITH r(h, p, v) AS (VALUES " + ", ".join(map(str, URL_RULES)) + f"), u AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages) SELECT page_id, host, path, {_BEST.format('h || p')} AS rule, coalesce({_BEST.format('v')}, 'allow') AS verdict FROM u",
+    "op3_vector_approximation": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM k WHERE rank <= 10",
+    "op8_prefix_targets": r"WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'), "
+    + f"t AS (SELECT *, sum(6 + length(replace({_ESCAPED.format('role')}, ':', '\\:')) + length({_ESCAPED.format('text')}) + 8) OVER (PARTITION BY conv_id ORDER BY turn) AS upto, turn = max(turn) OVER (PARTITION BY conv_id) AS last FROM c) "
+    + "SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(upto) FILTER (WHERE role = 'assistant' OR last) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id",
+}
