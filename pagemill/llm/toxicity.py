@@ -30,6 +30,8 @@ from pagemill.llm.labelled import Adam, sample, sigmoid
 TRAIN_DOCS, MAX_FEATURES = 8000, 4096
 #: Of a training document, at most so many tokens with features are kept, evenly spaced.
 TRAIN_EVENTS = 200
+#: Windows that the field is fitted to, evenly spaced among all, and as many of clean tokens.
+TRAIN_WINDOWS = 12_000
 MIN_DOCS, MIN_RATIO = 3, 9.0
 BEGINNINGS = (4, 5, 6)
 SPAN_AT = 0.5
@@ -278,6 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
                 w[near[k, j] + WINDOW // 2], m[near[k, j] + WINDOW // 2] = f[j], t
             windows.append(w)
             marks.append(m)
+    if len(windows) > TRAIN_WINDOWS:
+        some = np.linspace(0, len(windows) - 1, TRAIN_WINDOWS).round().astype(int).tolist()
+        windows, marks = [windows[i] for i in some], [marks[i] for i in some]
     plain = max(500, len(windows))  # windows of clean tokens
     model.fit_field(np.concatenate([np.array(windows, int).reshape(-1, WINDOW, kinds), np.full((plain, WINDOW, kinds), -1)]), np.concatenate([np.array(marks, int).reshape(-1, WINDOW), np.zeros((plain, WINDOW), int)]))
     text = np.repeat(np.arange(len(rows)), [len(p) for p in at])
