@@ -16,7 +16,7 @@ import numpy as np
 from pagemill.llm.common import span_hashes
 
 #: Distinct chunks that a table holds before it starts anew.
-CAPACITY = 1 << 20
+CAPACITY = 1 << 19
 
 
 class ChunkTable:
