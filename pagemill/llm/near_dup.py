@@ -76,7 +76,7 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, width: int = SHINGLE):
 
 def bag_min_hash(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
     """The earliest point of each of `size` components of n bags of (shingle, integer weight)."""
-    best = np.full(n * size, np.inf)
+    best = np.full(n * size, np.iinfo(np.int64).max)
     runs, low = [], 0  # low: where an interval begins; intervals are (0, 1], (1, 2], (2, 4], ...
     own = np.arange(len(of))
     while len(own):
@@ -89,12 +89,13 @@ def bag_min_hash(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     length = np.maximum(low, 1)
     base = mix(shingle[who] ^ mix(low.astype(np.uint64) + np.uint64(17)))
     text, room = of[who], weight[who] - low  # units of the interval that the weight covers
-    x, t, ahead = np.zeros(len(who)), 0, 1
+    x, t, ahead = np.zeros(len(who), np.int64), 0, 1
     bits = np.uint64(40)
     while len(text):
         r = mix(base[:, None] + np.arange(t + 1, t + ahead + 1, dtype=np.uint64) * _GOLDEN)
         u = (mix(r + _GOLDEN) >> np.uint64(11)).astype(np.float64) + 1
-        step = -np.log(u * 2.0**-53) / length[:, None]
+        # Whole numbers, whose sums don't depend on how many are drawn at once.
+        step = np.floor(-np.log(u * 2.0**-53) / length[:, None] * 2.0**40).astype(np.int64)
         points = x[:, None] + (np.cumsum(step, 1) if ahead > 1 else step)
         component = ((r & np.uint64(0xFFFFFFFF)) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
         # Halving the interval (its length is a power of two) log2(length) times by one bit each.
