@@ -12,8 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of links (a, b). Hubs are aggregated before
     the shuffle; the number of rounds grows with the logarithm of a component's size."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -21,9 +20,20 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
         edges = checkpoint(small.filter("a <> b").distinct())
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == mark or not now[0]:
-            break
-        mark = now
     out = edges.groupBy("a").agg(F.min("b").alias("b"))
     return out.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (a, b): only the links' components are solved."""
+    of = labels.select("node", "component")
+    ends = links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    joined = checkpoint(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+    moved = of.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionAll(joined.join(of.select("node"), "node", "left_anti"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node of edges (a, b), a > b, has one edge down, or edges up only."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down")).unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("down")))
+    return ends.groupBy("node").agg(F.sum("down").alias("n"), F.min("down").alias("up")).filter("n > 1 OR n = 1 AND up = 0").isEmpty()

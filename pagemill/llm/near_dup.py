@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import checkpoint, mix, ship, slices, span_hashes, text_arrays, word_spans
-from pagemill.llm.components import components
+from pagemill.llm.components import components, merged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -192,10 +192,9 @@ def classes(docs: DataFrame) -> DataFrame:
     shared = checkpoint(entries.join(heads.select("bucket", "n", F.col("lead.rep").alias("lead")), "bucket"))
     tested = checkpoint(_plausible(shared.filter("rep <> lead").select(*_ordered("rep", "lead")).distinct(), sigs))
     texts = docs.filter("doc_id is not null")
-    links = checkpoint(_verified(tested, texts))
+    labels = checkpoint(components(checkpoint(_verified(tested, texts))))
     round_ = 0
     while True:
-        labels = checkpoint(components(links))
         own = shared.filter("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
         mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
         own = own.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), F.ceil(F.col("n") / GROUP)))
@@ -206,7 +205,8 @@ def classes(docs: DataFrame) -> DataFrame:
         fresh = checkpoint(_verified(more, texts))
         if fresh.isEmpty():
             break
-        tested, links, round_ = tested.unionAll(more), links.unionAll(fresh), round_ + 1
+        labels = checkpoint(merged(labels, fresh))
+        tested, round_ = tested.unionAll(more), round_ + 1
     of = every.select("doc_id", "k0", "k1", "words").join(reps.select("k0", "k1", "rep"), ["k0", "k1"], "left")
     out = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_id = F.when(F.col("words") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
