@@ -77,3 +77,34 @@ def excerpt(text: Column, label: Column, around: int = 420) -> Column:
     start = F.greatest(at - around, F.lit(1))
     found = F.substring(text, start, at - start + F.length(fold(label)) + around)
     return F.when((at > 0) & (fold(label) != ""), found).otherwise(F.substring(text, 1, 2 * around))
+
+
+def without_prefix(text: Column, word: str) -> Column:
+    """Lower case, white space collapsed, and one leading `word` dropped with the separators after it."""
+    short = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), rf"(?i)^{word}[ \t:,-]*", "")
+    return F.lower(F.trim(F.regexp_replace(short, r"[\x09-\x0d\x20]+", " ")))
+
+
+def dedupe(values: Column) -> Column:
+    """The first of those values that fold alike, in their order; what folds to nothing goes. Quadratic
+    in the length of the list, so for short lists."""
+    keys = F.transform(values, fold)
+    return F.filter(values, lambda v, i: (fold(v) != "") & (F.array_position(keys, fold(v)) == i + 1))
+
+
+def first_object(text: Column) -> Column:
+    """The first balanced {...} of a text, braces within strings ignored; null if there is none."""
+    tail = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?s)(\{.*)", 1)
+    start = F.struct(*(F.lit(v).alias(n) for n, v in (("depth", 0), ("quoted", False), ("escaped", False), ("at", 0), ("end", 0))))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"]
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        closed = (s["end"] == 0) & ~s["quoted"] & (c == "}") & (depth == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"),
+            (s["at"] + 1).alias("at"), F.when(closed, s["at"] + 1).otherwise(s["end"]).alias("end"),
+        )
+
+    end = F.aggregate(F.split(tail, ""), start, step)["end"]
+    return F.when(end > 0, F.substring(tail, F.lit(1), end))

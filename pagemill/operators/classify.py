@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import keyword_hits
+from pagemill.functions.text import count_markers, fold, keyword_hits
 
 Vocabulary = dict[str, list[str]]
 
@@ -53,3 +53,18 @@ def target_candidates(text: Column, titles: Vocabulary, anchors: Vocabulary) ->
 
 def distinct_anchors(text: Column, anchors: Vocabulary) -> Column:
     return F.sort_array(F.array_distinct(keyword_hits(text, [w for words in anchors.values() for w in words])))
+
+
+def matched_rules(folded: Column, rules: dict[str, tuple[int | None, int, list[str]]]) -> Column:
+    """Names of the rules (window, least hits, markers) whose markers the first `window` characters
+    hold often enough, in their order."""
+    tests = [F.when(count_markers(folded, markers, window) >= least, F.lit(name)) for name, (window, least, markers) in rules.items()]
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def canonical(value: Column, names: dict[str, list[str]], default: str) -> Column:
+    """The name that has the folded value among its aliases, else default."""
+    out = F.lit(default)
+    for name, aliases in names.items():
+        out = F.when(fold(value).isin(name, *aliases), F.lit(name)).otherwise(out)
+    return out

@@ -49,3 +49,9 @@ def clamp_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, hei
 
 def candidate_rank(retrieval: Column, confidence: Column, scope: Column, signature: Column, anchor: Column, penalty: Column) -> Column:
     return F.greatest(0.50 * retrieval + 0.25 * confidence + 0.10 * scope + 0.12 * signature + 0.03 * anchor + penalty, F.lit(0.0))
+
+
+def least_hits(n: Column, income: bool) -> Column:
+    """How many of n signature lines a region must hold."""
+    share, floor = (0.22, 8) if income else (0.25, 7)
+    return F.when(n <= 15, F.greatest(F.floor(n * 0.35), F.lit(4))).otherwise(F.greatest(F.floor(n * share), F.lit(floor)))

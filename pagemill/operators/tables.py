@@ -38,3 +38,13 @@ def chunk_text(parts: dict[str, Column], kind: Column, values: dict[str, Column]
 def chunk_id(parts: list[Column], label: Column) -> Column:
     joined = F.concat_ws("_", *parts, F.substring(label, 1, 48))
     return F.replace(fold(joined), F.lit(" "), F.lit("_"))
+
+
+def normalized_row(columns: Column, values: Column, labels: list[str]) -> Column:
+    """label (the first non-empty value of a label column) and values of the other columns, in their
+    order, empty where missing; values is a map by column."""
+    is_label = lambda c: F.lower(c).isin(*labels)
+    value = lambda c: F.coalesce(F.try_element_at(values, c), F.lit(""))
+    filled = F.filter(F.transform(F.filter(columns, is_label), value), lambda v: F.trim(v) != "")
+    kept = F.filter(columns, lambda c: ~is_label(c))
+    return F.struct(F.coalesce(F.get(filled, F.lit(0)), F.lit("")).alias("label"), kept.alias("columns"), F.transform(kept, value).alias("values"))

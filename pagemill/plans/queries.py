@@ -449,3 +449,68 @@ def job_terminal_counts(spark, d):
 def complete_pairs_anti(spark, d):
     missing = read(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return read(spark, d, "orders").select("o_orderkey").join(missing, "o_orderkey", "left_anti")
+
+
+@query("SELECT c_custkey, lower(c_name) AS name FROM customer")
+def strip_prefix(spark, d):
+    return read(spark, d, "customer").select("c_custkey", T.without_prefix(F.concat(F.lit("  CUSTOMER : - "), "c_name"), "customer").alias("name"))
+
+
+@query(
+    "WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || upper(p_name) || ' x X', ' ') AS ws FROM part) "
+    "SELECT p_partkey, array_to_string(list_filter(ws, lambda w, i: w <> '' AND list_position(list_transform(ws, lambda x: lower(x)), lower(w)) = i), ' ') AS words FROM w"
+)
+def dedupe_ordered(spark, d):
+    words = F.split(F.concat("p_name", F.lit(" "), F.upper("p_name"), F.lit(" x X")), " ")
+    return read(spark, d, "part").select("p_partkey", F.array_join(T.dedupe(words), " ").alias("words"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{\"a\": ' || props || ', \"b\": \"}{\\\"\"}' END AS object FROM events")
+def first_json_object(spark, d):
+    body = F.concat(F.lit('```json\n{"a": '), "props", F.lit(', "b": "}{\\""}\n``` and } {'))
+    text = F.when(F.col("event_id") % 5 == 0, F.lit("{ open")).otherwise(body)
+    return read(spark, d, "events").select("event_id", T.first_object(text).alias("object"))
+
+
+_RULES = {"narrative": (2600, 2, ["the", "of", "que"]), "note": (3200, 3, ["tion", "ment", "keit", "der"]), "anywhere": (None, 1, ["ando"])}
+
+
+@query(
+    f"{FOLDED} SELECT doc_id, array_to_string(list_filter(["
+    + ", ".join("CASE WHEN " + " + ".join(f"CAST(contains({f'left(f, {w})' if w else 'f'}, '{m}') AS INT)" for m in ms) + f" >= {n} THEN '{k}' END" for k, (w, n, ms) in _RULES.items())
+    + "], lambda x: x IS NOT NULL), ',') AS rules FROM d"
+)
+def marker_rules(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("f"))
+    return docs.select("doc_id", F.array_join(classify.matched_rules(F.col("f"), _RULES), ",").alias("rules"))
+
+
+@query("SELECT o_orderkey, CASE lower(o_orderpriority) WHEN '1-urgent' THEN 'now' WHEN '2-high' THEN 'now' WHEN '5-low' THEN 'later' ELSE 'some day' END AS due FROM orders")
+def canonical_alias(spark, d):
+    due = classify.canonical(F.col("o_orderpriority"), {"now": ["1-urgent", "2-high"], "later": ["5-low"]}, "some day")
+    return read(spark, d, "orders").select("o_orderkey", due.alias("due"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_name END AS label, 'brand,none' AS columns, p_brand || ',' AS cells FROM part")
+def normalize_table(spark, d):
+    columns = F.array(*map(F.lit, ("Label", "brand", "Name", "none")))
+    values = F.map_from_arrays(F.array(*map(F.lit, ("Label", "Name", "brand"))), F.array(F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.lit(" ")), F.col("p_name"), F.col("p_brand")))
+    row = tables.normalized_row(columns, values, ["label", "name"]).alias("r")
+    return read(spark, d, "part").select("p_partkey", row).select("p_partkey", F.col("r.label").alias("label"), F.array_join("r.columns", ",").alias("columns"), F.array_join("r.values", ",").alias("cells"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size <= 15 THEN greatest(floor(p_size * 0.35), 4) ELSE greatest(floor(p_size * 0.25), 7) END AS BIGINT) AS n_balance, CAST(CASE WHEN p_size <= 15 THEN greatest(floor(p_size * 0.35), 4) ELSE greatest(floor(p_size * 0.22), 8) END AS BIGINT) AS n_income FROM part")
+def region_min_hits(spark, d):
+    n = F.col("p_size")
+    return read(spark, d, "part").select("p_partkey", geometry.least_hits(n, False).cast("long").alias("n_balance"), geometry.least_hits(n, True).cast("long").alias("n_income"))
+
+
+@query(
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(rank AS INT) AS rank FROM r "
+    "WHERE rank <= 2 OR CASE WHEN l_returnflag = 'R' THEN l_quantity / 50 >= 0.30 OR (l_quantity / 50 >= 0.18 AND l_discount * 10 >= 0.25) ELSE l_quantity / 50 >= 0.45 END"
+)
+def widen_candidates(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    ranked = retrieval.top_k(rows, ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 1 << 30)
+    wide = retrieval.widened(ranked, 2, F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_returnflag") == "R")
+    return wide.select("l_orderkey", "l_linenumber", "rank")
