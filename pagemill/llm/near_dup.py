@@ -12,12 +12,18 @@ earliest point. Generation stops where no component can still get an earlier one
    of its buckets (chosen by hash, so the leaders of its buckets differ); pairs whose signatures
    agree in PLAUSIBLE of the components or more are verified on the whole texts.
 3. Verified links make components. Where a bucket of three or more still holds several of these,
-   each member is compared by signature with those of other components, in blocks of at most GROUP
-   members (larger buckets are dealt by a hash that changes from round to round), and its best
-   untested partners are verified. Rounds go on until one merges nothing.
-
-A link of similarity 0.8 shares no band with probability 3e-6. Nothing is dropped, and the number of
-pairs grows with the number of members, not its square.
+   each member outside the bucket's largest is compared by signature with those of other components,
+   in blocks of at most GROUP members (larger buckets are dealt by a hash that changes from round to
+   round), and its best untested partners are verified. Rounds go on until one merges nothing or asks
+   for few pairs.
+4. What is left is done in full: in buckets that still hold several components, each block of CELL
+   members meets each block of CELL of those outside the largest, and all plausible pairs of
+   different components are verified where they meet, without a row for a pair. A pair belongs to
+   the first bucket that it shares.
+
+A link of similarity 0.8 shares no band with probability 3e-6, and agrees in less than PLAUSIBLE with
+5e-7. Nothing is dropped. Members of one component are never paired, so what grows with a bucket is
+the number of members times that of those outside its largest component.
 
 Texts without words (null, empty, blank) are each a class of their own. Rows that repeat a doc_id
 and its text share a class like any copies. A null doc_id has a null class.
@@ -38,6 +44,10 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 PLAUSIBLE = 0.6
 GROUP, PARTNERS = 1024, 2
+#: Rounds end when they ask for fewer pairs than this share of all members; the rest is done in full.
+FEW = 0.02
+#: Members of a block that is asked and of one that asks, with their texts.
+CELL = 512
 #: Up to so many ids are broadcast to filter texts before their shuffle.
 MAX_BROADCAST_IDS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -178,6 +188,85 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, rep, n, component of buckets with several components, and of each bucket its largest
+    one: top (c: members, component)."""
+    own = shared.filter("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", "top")
+    return own.join(top, "bucket")
+
+
+def _rest(shared: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of all plausible pairs of different components, one at least for each member and
+    component that it links to."""
+    own = _mixed(shared, labels).withColumn("asks", F.expr("component <> top.component"))
+    own = own.withColumn("parts", F.expr(f"ceil(n / {CELL})")).withColumn("teams", F.expr(f"ceil((n - top.c) / {CELL})"))
+    own = own.withColumn("part", F.expr("pmod(xxhash64(rep, bucket), parts)")).withColumn("team", F.expr("pmod(xxhash64(bucket, rep), teams)"))
+    cell = "named_struct('part', {}, 'team', {}, 'asks', {}, 'asked', {})"
+    asked = f"transform(sequence(0L, teams - 1), t -> {cell.format('part', 't', 'false', 'true')})"
+    asking = f"transform(sequence(0L, parts - 1), p -> {cell.format('p', 'team', 'true', 'false')})"
+    cells = f"CASE WHEN parts = 1 THEN array({cell.format('0L', '0L', 'asks', 'true')}) WHEN asks THEN concat({asked}, {asking}) ELSE {asked} END"
+    own = own.join(reps.select("rep", "bands", "sig"), "rep").select("bucket", "rep", "component", "bands", "sig", F.expr(f"inline({cells})"))
+    met = checkpoint(own.groupBy("bucket", "part", "team").applyInArrow(_meet, "bucket long, part long, team long, rep long, component long, partners array<long>"))
+    asked_ids = checkpoint(met.select("rep").distinct())
+    some = asked_ids.withColumnRenamed("rep", "doc_id")
+    texts = texts.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_IDS else some, "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "rep")
+    return met.hint("merge").join(texts, "rep").groupBy("bucket", "part", "team").applyInArrow(_verify_cell, "a long, b long").distinct()
+
+
+def _meet(t: pa.Table) -> pa.Table:
+    """The members of a cell that have plausible pairs; partners: of an asker, those it asks."""
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    rep, component, asks, asked = (t.column(c).to_numpy() for c in ("rep", "component", "asks", "asked"))
+    asking, other = np.flatnonzero(asks), np.flatnonzero(asked)
+    bucket = t.column("bucket")[0].as_py()
+    theirs, their_bands = np.ascontiguousarray(sig[other].T), bands[other]
+    out: dict[int, list[int]] = {}
+    for i in asking.tolist():
+        near = np.zeros(len(other), np.uint8)
+        for c in range(SIZE):
+            near += theirs[c] == sig[i, c]
+        fine = np.flatnonzero((near >= PLAUSIBLE * SIZE) & (component[other] != component[i]))
+        if len(fine):
+            first = (their_bands[fine] == bands[i]).argmax(1)
+            fine = fine[bands[i, first] == bucket]
+            # Two askers of one cell would ask each other.
+            fine = fine[~asks[other[fine]] | (rep[other[fine]] > rep[i])]
+        if len(fine):
+            out[i] = rep[other[fine]].tolist()  # also where an empty list stands since i was asked
+            for j in other[fine].tolist():
+                out.setdefault(j, [])
+    own = sorted(out)
+    return pa.table({**{c: t.column(c).take(pa.array(own, pa.int64())) for c in ("bucket", "part", "team", "rep", "component")}, "partners": pa.array([out[i] for i in own], pa.list_(pa.int64()))})
+
+
+def _verify_cell(t: pa.Table) -> pa.Table:
+    """Of each asker, one partner of each component that it overlaps with enough."""
+    rep, component = t.column("rep").to_numpy(), t.column("component").to_numpy()
+    of, s, w, _, _ = shingles(*text_arrays(t.column("text")))
+    at = np.searchsorted(of, np.arange(len(rep) + 1))
+    total = np.bincount(of, w, minlength=len(rep))
+    place = {x: k for k, x in enumerate(rep.tolist())}
+    a, b = [], []
+    for i, partners in enumerate(t.column("partners").to_pylist()):
+        found: set[int] = set()
+        own, weight = s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]
+        for j in (place[x] for x in partners or ()):
+            if int(component[j]) in found:
+                continue
+            theirs = s[at[j] : at[j + 1]]
+            k = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.minimum(weight[k], w[at[j] : at[j + 1]])[own[k] == theirs].sum()
+            if both / max(total[i] + total[j] - both, 1) >= SIMILARITY:
+                found.add(int(component[j]))
+                a.append(int(rep[i]))
+                b.append(int(rep[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: the least doc_id of the document's class; a row for each row of docs."""
     spark = docs.sparkSession
@@ -193,20 +282,21 @@ def classes(docs: DataFrame) -> DataFrame:
     tested = checkpoint(_plausible(shared.filter("rep <> lead").select(*_ordered("rep", "lead")).distinct(), sigs))
     texts = docs.filter("doc_id is not null")
     labels = checkpoint(components(checkpoint(_verified(tested, texts))))
-    round_ = 0
+    round_, members = 0, reps.count()
     while True:
-        own = shared.filter("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        own = own.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), F.ceil(F.col("n") / GROUP)))
-        more = own.join(sigs, "rep").groupBy("bucket", "part").applyInArrow(_partners, "a long, b long").distinct()
+        own = _mixed(shared, labels).withColumn("part", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), F.ceil(F.col("n") / GROUP)))
+        more = own.select("bucket", "part", "rep", "component").join(sigs, "rep").groupBy("bucket", "part").applyInArrow(_partners, "a long, b long").distinct()
         more = checkpoint(more.join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
+        if more.count() <= members * FEW:
             break
         fresh = checkpoint(_verified(more, texts))
         if fresh.isEmpty():
             break
         labels = checkpoint(merged(labels, fresh))
         tested, round_ = tested.unionAll(more), round_ + 1
+    rest = checkpoint(_rest(shared, labels, reps, texts))
+    if not rest.isEmpty():
+        labels = checkpoint(merged(labels, rest))
     of = every.select("doc_id", "k0", "k1", "words").join(reps.select("k0", "k1", "rep"), ["k0", "k1"], "left")
     out = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     class_id = F.when(F.col("words") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

@@ -61,6 +61,30 @@ def test_near_duplicates(spark):
     assert sorted((x.doc_id or -1, x.class_id or -1) for x in again) == [(-1, -1), (1, 1), (1, 1), (2, 1)]
 
 
+@pytest.mark.parametrize("cell", [4, 512])
+def test_remaining_pairs_are_verified_in_full(spark, monkeypatch, cell):
+    """From single members on, the full step finds the components of brute force, also as a grid."""
+    monkeypatch.setattr(near_dup, "CELL", cell)
+    rng, texts = np.random.default_rng(3), []
+    for family in range(3):
+        base = [f"w{x}" for x in rng.integers(0, 500, 200)]
+        for _ in range(14):
+            own = list(base)
+            for k in rng.integers(0, 200, rng.integers(1, 4)):
+                own[k] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reps = near_dup.signed(docs).withColumnRenamed("doc_id", "rep")
+    entries = reps.selectExpr("rep", "explode(bands) AS bucket")
+    shared = entries.join(entries.groupBy("bucket").count().filter("count > 1").selectExpr("bucket", "greatest(count, 3) AS n"), "bucket")
+    found = near_dup._rest(shared, spark.createDataFrame([], "node long, component long"), reps, docs)
+    i, j = np.triu_indices(len(texts), 1)
+    fine = near_dup.overlap(pa.array([texts[k] for k in i]), pa.array([texts[k] for k in j])) >= 0.8
+    want = set(zip(i[fine].tolist(), j[fine].tolist()))
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in found.collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     errors = []
