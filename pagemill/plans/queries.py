@@ -213,8 +213,9 @@ _BLEND = (
 
 def _blended(spark, d) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "source", (F.size(T.keyword_hits(F.col("text"), KEYWORDS)) / F.lit(float(len(KEYWORDS)))).alias("lex"))
-    both = docs.join(_cosines(spark, d).select(F.col("vec_id").alias("doc_id"), "c"), "doc_id")
-    scaled = retrieval.minmax(both, ["source"], "c")
+    both = docs.join(_cosines(spark, d).select(F.col("vec_id").alias("doc_id"), "c"), "doc_id", "left")
+    # Bounds are those of the documents with a vector; one without a vector keeps a score of 0.
+    scaled = retrieval.minmax(both, ["source"], "c").fillna(0.0, ["c"])
     return scaled.select("doc_id", "source", F.round(0.6 * F.col("lex") + 0.4 * F.col("c"), 6).alias("score"), "lex")
 
 
