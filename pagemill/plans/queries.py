@@ -76,7 +76,7 @@ def tokenize(spark, d):
 
 @query(f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold_sql('left(text, 60)')}, '[^a-z0-9]+', '_', 'g'), '_'), ''), 'document') AS slug FROM documents")
 def slugify(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.slugify(F.substring("text", 1, 60)).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query(f"{FOLDED} SELECT doc_id, l AS loose FROM d")
