@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import loose
 
+#: Least length of a name that counts where it stands within another.
+INSIDE = 8
+
 
 def aliases(name: Column) -> Column:
     """The name, its parts in parentheses, and the initials of its words of over two characters."""
@@ -22,19 +25,32 @@ def match_score(a: Column, b: Column) -> Column:
     x, y = loose(a), loose(b)
     wx, wy = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
     share = F.size(F.array_intersect(wx, wy)) / F.greatest(F.least(F.size(wx), F.size(wy)), F.lit(1))
-    inside = lambda p, q: (F.length(p) >= 8) & F.contains(q, p)
+    inside = lambda p, q: (F.length(p) >= INSIDE) & F.contains(q, p)
     return F.when((x == "") | (y == ""), 0).when(x == y, 100).when(F.arrays_overlap(aliases(a), aliases(b)), 95).when(inside(x, y), 80).when(inside(y, x), 70).when(share >= 0.8, 75).when(share >= 0.6, 60).otherwise(0)
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, least: int = 60) -> DataFrame:
-    """The best right row of each left row. Only pairs that share a word are scored; a pair without
-    a common word can't reach `least` but by containment, which shares words too."""
-    a = left.select(F.col(left_key), F.col(left_name), F.explode(F.array_distinct(F.split(loose(F.col(left_name)), " "))).alias("_w"))
-    b = right.select(F.col(right_key), F.col(right_name), F.explode(F.array_distinct(F.split(loose(F.col(right_name)), " "))).alias("_w"))
-    pairs = a.join(b, "_w").select(left_key, left_name, right_key, right_name).distinct()
-    scored = pairs.withColumn("score", match_score(F.col(left_name), F.col(right_name))).filter(F.col("score") >= least)
+    """The best right row of each left row, the least key on ties. Pairs meet by every way to score:
+    equal names and shared aliases (where the least right key of a name or an alias is enough), shared
+    words, and the first INSIDE characters of a name among those of the other."""
+    a = left.select(left_key, left_name, loose(F.col(left_name)).alias("_x")).filter("_x <> ''")
+    b = right.select(right_key, right_name, loose(F.col(right_name)).alias("_y")).filter("_y <> ''")
+    tagged = lambda tag, keys: F.transform(keys, lambda k: F.concat(F.lit(tag), k))
+    words = lambda c: tagged("w", F.array_distinct(F.split(c, " ")))
+    long_ = lambda c, keys: F.when(F.length(c) >= INSIDE, keys).otherwise(F.array().cast("array<string>"))
+    head = lambda tag, c: tagged(tag, long_(c, F.array(F.substring(c, 1, INSIDE))))
+    grams = lambda tag, c: tagged(tag, long_(c, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - INSIDE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(INSIDE))))))
+    x, y = F.col("_x"), F.col("_y")
+    asked = a.select(left_key, left_name, F.explode(F.concat(words(x), head("l", x), grams("r", x))).alias("_k"))
+    met = b.select(right_key, right_name, F.explode(F.concat(words(y), grams("l", y), head("r", y))).alias("_k"))
+    pairs = asked.join(met, "_k").select(left_key, left_name, right_key, right_name).distinct()
+    scored = pairs.select(left_key, right_key, match_score(F.col(left_name), F.col(right_name)).alias("score"))
+    equal = a.join(b.groupBy("_y").agg(F.min(right_key).alias(right_key)), x == y).select(left_key, right_key, F.lit(100).alias("score"))
+    known = b.select(right_key, F.explode(aliases(F.col(right_name))).alias("_k")).groupBy("_k").agg(F.min(right_key).alias(right_key))
+    shared = a.select(left_key, F.explode(aliases(F.col(left_name))).alias("_k")).join(known, "_k").select(left_key, right_key, F.lit(95).alias("score"))
     best = F.max_by(F.struct("score", right_key), F.struct("score", -F.col(right_key))).alias("b")
-    return scored.groupBy(left_key).agg(best).select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.score").alias("score"))
+    found = scored.unionAll(equal).unionAll(shared).filter(F.col("score") >= least).groupBy(left_key).agg(best)
+    return found.select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.score").alias("score"))
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:

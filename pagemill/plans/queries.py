@@ -372,7 +372,7 @@ def excerpt_around(spark, d):
     "SELECT c_custkey, s_suppkey, CAST(score AS INT) AS score FROM z WHERE score >= 75 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) = 1"
 )
 def issuer_match(spark, d):
-    return linking.best_match(read(spark, d, "customer"), read(spark, d, "supplier"), "c_custkey", "c_name", "s_suppkey", "s_name", 75)
+    return linking.best_match(read(spark, d, "customer"), read(spark, d, "supplier"), "c_custkey", "c_name", "s_suppkey", "s_name", 60)
 
 
 @query(
