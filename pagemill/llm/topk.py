@@ -9,7 +9,8 @@ results a query over its rows, and these are merged by query.
 Component x counts as floor(scale * x). Vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as filled up with zeros. A query's own row is that of its id:
 rows that repeat it are no candidates, and the row with the least vector stands for the query.
-Components of 2 ** 26 or more (scaled) are refused, since scores might overflow.
+Rows and queries with components of LIMIT or more (scaled) are scored exactly without an
+approximation. Only what doesn't fit a long is refused: a scaled component, or a score of the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pagemill.llm.common import checkpoint, ship
 
 QUERY_BLOCK, ROW_BLOCK = 4096, 8192
 CELL_BITS = 7
-LIMIT = 1 << 26
+LIMIT = 1 << 22
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vector: Column, scale: float) -> Column:
@@ -40,9 +42,43 @@ def matrix(column: pa.Array) -> np.ndarray:
     width = int(sizes.max(initial=1))
     out = np.zeros((len(sizes), max(width, 1)), np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = flat
-    if np.abs(out).max(initial=0) >= LIMIT:
-        raise ValueError("a component is too large for exact scores")
-    return out
+    return _fitting(out)
+
+
+def _fitting(x: np.ndarray) -> np.ndarray:
+    """x, if no component stands at an end of long, where floor() puts what doesn't fit."""
+    if x.max(initial=0) == MOST or x.min(initial=0) == LEAST:
+        raise ValueError("a component is too large for a long")
+    return x
+
+
+def large(x: np.ndarray) -> np.ndarray:
+    """Which rows have a component that is too large for an approximation."""
+    return np.abs(x).max(1, initial=0) >= LIMIT
+
+
+def exact_scores(rows: np.ndarray, q: np.ndarray) -> list[int]:
+    """Scores of rows, in Python's integers where a long might not hold them."""
+    most = len(q) * int(np.abs(rows).max(initial=0)) * int(np.abs(q).max(initial=0))
+    if most <= MOST:
+        return (rows @ q).tolist()
+    return (rows.astype(object) @ q.astype(object)).tolist()
+
+
+def search_all(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, best: list) -> None:
+    """Adds rows to the best of each query: by approximation, or exactly where a component is large."""
+    big, asks_big = large(x), large(queries)
+    some = np.flatnonzero(~asks_big)
+    if len(some) and not big.all():
+        own = [best[i] for i in some.tolist()]
+        search(Approximation(x[~big]), ids[~big], queries[some], query_ids[some], k, own)
+        for i, found in zip(some.tolist(), own):
+            best[i] = found
+    for i in range(len(queries)):
+        there = np.flatnonzero((big | asks_big[i]) & (ids != query_ids[i]))
+        if len(there):
+            more = zip((-s for s in exact_scores(x[there], queries[i])), ids[there].tolist())
+            best[i] = sorted([*best[i], *more])[:k]
 
 
 class Approximation:
@@ -110,8 +146,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
 
         def run(batches, shared=shared):
             query_ids, queries = shared.value
-            if np.abs(queries).max(initial=0) >= LIMIT:
-                raise ValueError("a component is too large for exact scores")
+            _fitting(queries)
             best: list = [[] for _ in query_ids]
             for batch in batches:
                 for at in range(0, batch.num_rows, ROW_BLOCK):
@@ -119,7 +154,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                     x, q = matrix(part.column("v")), queries
                     wide = max(x.shape[1], q.shape[1])
                     x, q = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
-                    search(Approximation(x), part.column("vec_id").to_numpy(), q, query_ids, k, best)
+                    search_all(x, part.column("vec_id").to_numpy(), q, query_ids, k, best)
             found = [(q, i, -s) for q, rows in zip(query_ids.tolist(), best) for s, i in rows]
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
