@@ -40,14 +40,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset
-    (tests on one machine), a temporary folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary
+    folder of this machine, if driver and executors are one process; else an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
@@ -60,6 +62,42 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark can write to."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of checkpoints that nothing will read again."""
+    for df in frames:
+        found = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if found.isDefined():
+            remove(df.sparkSession, found.get())
+
+
+#: A key counts as frequent if it holds over one row in so many.
+FREQUENT = 1000
+
+
+def frequent_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined to keyed, which has one row for each key and in n how many rows have it. Keys with
+    over total / FREQUENT rows, of which there are fewer than FREQUENT, are broadcast, so no task
+    gets a frequent key's rows; the others are shuffled."""
+    often = F.col(n) > max(total // FREQUENT, 1)
+    value = [c for c in keyed.columns if c not in on]
+    hot = F.broadcast(keyed.filter(often).withColumn("_often", F.lit(True)))
+    met = rows.join(hot.select(*on, "_often", *value), on, "left")
+    columns = [*on, *(c for c in rows.columns if c not in on)]
+    cold = met.filter("_often is null").select(*columns).join(keyed.filter(~often), on, how)
+    return met.filter("_often").select(*columns, *value).unionByName(cold.select(*columns, *value))
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def size_bytes(df: DataFrame, column: str = "text") -> int:
     """Catalyst's estimate, for a scan the size of its files; no job runs. Where Catalyst knows
     nothing (rows of an RDD), half of the bytes counted in one column."""
@@ -110,25 +148,65 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _odd(seed: int, n: int) -> np.ndarray:
-    return mix(np.arange(seed * 100_003 + 1, seed * 100_003 + n + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-_POWERS = {seed: _odd(seed, 4096) for seed in (1, 2)}
-
-
-def span_hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each byte span buf[start : start + len]; spans hold a byte at least."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    firsts = np.cumsum(lens) - lens
-    at = np.arange(int(lens.sum())) - np.repeat(firsts, lens)
-    part = buf[at + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)
-    if lens.max() > 4096:
-        part *= np.uint64(2) * (at >> 12).astype(np.uint64) + np.uint64(1)
-        at &= 4095
-    part *= _POWERS[seed][at]
-    return mix(np.add.reduceat(part, firsts) ^ (lens.astype(np.uint64) << np.uint64(48)))
+#: Spans of up to so many bytes are hashed by chained 8-byte reads, longer ones by blocks.
+_CHAIN, _BLOCK = 64, 4096
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = mix(np.arange(1, 3, dtype=np.uint64))
+_POWERS = mix(np.arange(1, _BLOCK + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def _long_hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each block of _BLOCK bytes is a sum of bytes times odd numbers; these sums are mixed with the
+    block's number, for each seed on its own, before they are added."""
+    blocks = -(-lens // _BLOCK)
+    of = np.repeat(np.arange(len(lens)), blocks)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    begin = starts[of] + number * _BLOCK
+    size = np.minimum(lens[of] - number * _BLOCK, _BLOCK)
+    firsts = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(firsts, size)
+    part = buf[at + np.repeat(begin, size)].astype(np.uint64) + np.uint64(1)
+    odd = _POWERS[at]
+    out = []
+    for seed, turn in zip(_SEEDS, (0, 17)):
+        own = np.add.reduceat(part * (odd if not turn else mix(odd) | np.uint64(1)), firsts)
+        own = mix(own ^ mix(seed + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        out.append(mix(np.add.reduceat(own, np.cumsum(blocks) - blocks) ^ mix(lens.astype(np.uint64) + seed)))
+    return out[0], out[1]
+
+
+def span_hashes_2(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, seeds: int = 2) -> list[np.ndarray]:
+    """64-bit hashes of each byte span buf[start : start + len] by one or two seeds that share nothing
+    but the reading. A hash depends on the span's bytes alone. Spans hold a byte at least."""
+    n = len(starts)
+    if not n:
+        return [np.zeros(0, np.uint64)] * seeds
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    at8 = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    width = lens.astype(np.uint64)
+    out = [mix(width + s) for s in _SEEDS[:seeds]]
+    long = lens > _CHAIN
+    left = None if not long.any() else np.flatnonzero(~long)
+    done = 0
+    while left is None or len(left):
+        s, rest = (starts, lens) if left is None else (starts[left], lens[left])
+        read = at8[s + done] & _MASKS[np.minimum(rest - done, 8)]
+        for k, h in enumerate(out):
+            if left is None:
+                out[k] = mix(h ^ read)
+            else:
+                h[left] = mix(h[left] ^ read)
+        done += 8
+        left = np.flatnonzero(lens > done) if left is None else left[rest > done]
+    if long.any():
+        for h, own in zip(out, _long_hashes(buf, starts[long], lens[long])):
+            h[long] = own
+    return out
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    return span_hashes_2(buf, starts, lens, 1)[0]
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import mix, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import quoted, mix, ship, slices, span_hashes, text_arrays, word_spans
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -85,7 +85,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def with_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns in keep and the counts of measure()."""
     ship(docs.sparkSession)
-    kept = docs.select(*keep).schema
+    kept = docs.select(*map(quoted, keep)).schema
     names = [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
@@ -94,7 +94,7 @@ def with_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(got[c], pa.int64()) for c in _COUNTS)], [*names, *_COUNTS])
 
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept)), *(f"{c} long" for c in _COUNTS)])
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*(quoted(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
     out = rows.mapInArrow(run, schema)
     return out.select(*(F.col(n).alias(f"doc.{c}") for c, n in zip(keep, names)), *_COUNTS)
 

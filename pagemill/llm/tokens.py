@@ -17,6 +17,7 @@ from pagemill.llm.common import IS_SPACE, slices, text_arrays
 #: Bytes of joined chunks that the BPE library gets as one text.
 JOIN_BYTES = 1 << 16
 
+IS_SPACE_BYTE = IS_SPACE.tolist()
 _SAFE_ASCII = np.zeros(256, bool)
 _SAFE_ASCII[0x21:0x7F] = True
 
@@ -39,13 +40,14 @@ def _bpe_cuts(buf: np.ndarray) -> np.ndarray:
 
 @lru_cache(4)
 def bpe(path: str) -> ChunkTable:
-    """The table of a byte-level BPE file of the tokenizers library; special tokens' strings in a
-    text are ordinary text. One for each Python worker."""
+    """The table of a byte-level BPE file of the tokenizers library, as it is: special tokens' strings
+    in a text give their ids. Whole texts are its chunks if such a string may reach over a cut. One
+    for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    apart = all(not (a.lstrip or a.rstrip or a.single_word or any(c.isspace() for c in a.content)) for a in t.get_added_tokens_decoder().values())
     width = np.zeros(t.get_vocab_size() + 1, np.int64)
     for token, i in t.get_vocab().items():
         width[i] = len(token)
@@ -53,38 +55,46 @@ def bpe(path: str) -> ChunkTable:
     def alone(texts: list[bytes]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in t.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
 
-    def segment(chunks: list[bytes], opening: np.ndarray) -> list[np.ndarray]:
+    def segment(chunks: list[bytes], opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that begin with white space and end safely are joined, and the ids dealt out
         again by the bytes that they stand for; the rest is encoded one by one."""
-        ends = np.array([IS_SPACE[c[0]] and 0x21 <= c[-1] < 0x7F for c in chunks], bool)
-        out: list = [None] * len(chunks)
-        odd = np.flatnonzero(~ends).tolist()
-        for i, ids in zip(odd, alone([chunks[i] for i in odd]) if odd else []):
-            out[i] = ids
-        group: list[int] = []
-        size = 0
-        groups = []
-        for i in np.flatnonzero(ends).tolist():
-            group.append(i)
-            size += len(chunks[i])
-            if size >= JOIN_BYTES:
-                groups.append(group)
-                group, size = [], 0
-        groups += [group] * bool(group)
-        for g in groups:
-            ids = alone([b"".join(chunks[i] for i in g)])[0]
-            upto = np.cumsum(width[ids])
-            want = np.cumsum([len(chunks[i]) for i in g])
+        lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        joined = np.fromiter((IS_SPACE_BYTE[c[0]] and 0x21 <= c[-1] < 0x7F for c in chunks), bool, len(chunks))
+        out, n, order = [], np.zeros(len(chunks), np.int64), []
+
+        def one_by_one(own: list[int]) -> None:
+            found = alone([chunks[i] for i in own])
+            n[own] = [len(x) for x in found]
+            out.extend(found)
+            order.append(own)
+
+        if not joined.all():
+            one_by_one(np.flatnonzero(~joined).tolist())
+        those = np.flatnonzero(joined)
+        group = np.cumsum(lens[those]) // JOIN_BYTES
+        for own in np.split(those, np.flatnonzero(np.diff(group)) + 1):
+            if not len(own):
+                continue
+            ids = alone([b"".join([chunks[i] for i in own.tolist()])])[0]
+            upto, want = np.cumsum(width[ids]), np.cumsum(lens[own])
             at = np.searchsorted(upto, want)
             if upto[-1] != want[-1] or (upto[at] != want).any():
-                for i, x in zip(g, alone([chunks[i] for i in g])):
-                    out[i] = x
+                one_by_one(own.tolist())
                 continue
-            for i, x in zip(g, np.split(ids, at[:-1] + 1)):
-                out[i] = x
-        return out
+            n[own] = np.diff(at, prepend=-1)
+            out.append(ids)
+            order.append(own)
+        return _in_order(out, n, np.concatenate(order))
+
+    return ChunkTable(_bpe_cuts if apart else _never, segment)
 
-    return ChunkTable(_bpe_cuts, segment)
+
+def _in_order(out: list[np.ndarray], n: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that lie chunk by chunk in another order, in the order of the chunks; n: ids of each."""
+    ids = np.concatenate([np.zeros(0, np.uint32), *out])
+    at = np.empty(len(n), np.int64)
+    at[order] = np.cumsum(n[order]) - n[order]
+    return ids[np.arange(len(ids)) + np.repeat(at - (np.cumsum(n) - n), n)], n
 
 
 def _piece_cuts(buf: np.ndarray) -> np.ndarray:
@@ -129,17 +139,20 @@ def pieces(path: str) -> ChunkTable:
     def encode(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in sp.encode(texts, num_threads=1)] if texts else []
 
+    def flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
     if not pieces_stay_apart(path):
-        return ChunkTable(_never, lambda chunks, opening: encode([c.decode() for c in chunks]))
+        return ChunkTable(_never, lambda chunks, opening: flat(encode([c.decode() for c in chunks])))
     lead = len(sp.encode("a"))
 
-    def segment(chunks: list[bytes], opening: np.ndarray) -> list[np.ndarray]:
+    def segment(chunks: list[bytes], opening: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The dummy prefix of a chunk encoded alone stands for its own first space; one of spaces
         only follows a letter, whose ids are cut off again."""
         texts = [c.decode() for c in chunks]
         blank = [not o and not t.strip(" ▁") for t, o in zip(texts, opening.tolist())]
         ids = encode([t if o else "a" + t if b else t[1:] for t, o, b in zip(texts, opening.tolist(), blank)])
-        return [x[lead:] if b else x for x, b in zip(ids, blank)]
+        return flat([x[lead:] if b else x for x, b in zip(ids, blank)])
 
     return ChunkTable(_piece_cuts, segment)
 

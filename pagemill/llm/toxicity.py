@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import quoted, ship, slices, span_hashes, text_arrays, word_spans
 from pagemill.llm.labelled import Adam, sample, sigmoid
 
 TRAIN_DOCS, MAX_FEATURES = 8000, 4096
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: ToxicSpans, keep: list[str], keep_spans: bool
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES numbers twice
     names = [f"k{i}" for i in range(len(keep))]
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema)), "score double"]) + ", spans array<struct<start:int,end:int>>" * keep_spans
+    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*map(quoted, keep)).schema)), "score double"]) + ", spans array<struct<start:int,end:int>>" * keep_spans
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -307,5 +307,5 @@ def score(docs: DataFrame, model: ToxicSpans, keep: list[str], keep_spans: bool
             out = [*(part.column(c) for c in names), pa.array(s, pa.float64())] + [pa.array(spans, span_type)] * keep_spans
             yield pa.RecordBatch.from_arrays(out, [*names, "score"] + ["spans"] * keep_spans)
 
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
+    rows = docs.select(*(quoted(c).alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema).select(*(F.col(n).alias(f"doc.{c}") for c, n in zip(keep, names)), "score", *["spans"] * keep_spans)

@@ -37,7 +37,6 @@ def bpe(t):
     from tokenizers import Tokenizer
 
     k = Tokenizer.from_file(BPE)
-    k.encode_special_tokens = True
     return k.encode(t or "", add_special_tokens=False).ids
 
 
@@ -54,13 +53,59 @@ def test_pieces(docs):
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def shifted():
+    """Two long spans whose bytes differ 4096 places apart in ways that once cancelled out."""
+    one = bytearray(b"m" * 6000)
+    two = bytearray(one)
+    two[10] += 3
+    two[10 + 4096] -= 1
+    return bytes(one).decode(), bytes(two).decode()
+
+
+def test_long_spans_differ(spark):
+    from pagemill.llm import tokens
+    from pagemill.llm.common import span_hashes_2, text_arrays
+    import pyarrow as pa
+    import sentencepiece
+
+    a, b = shifted()
+    for table, plain in ((tokens.bpe(BPE), bpe), (tokens.pieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES).encode)):
+        ids, at = table.encode(*text_arrays(pa.array([a, b])))
+        assert [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:])] == [plain(a), plain(b)]
+    assert rules.measure(*text_arrays(pa.array([f"{a}\n{b}"])))["n_dup_lines"].tolist() == [0]
+    r = np.random.default_rng(0)
+    spans = [bytes(r.integers(0, 4, int(n), dtype=np.uint8)) for n in [*r.integers(1, 200, 3000), *r.integers(4000, 13000, 60)]]
+    buf = np.frombuffer(b"".join(spans), np.uint8)
+    lens = np.array([len(x) for x in spans])
+    starts = np.cumsum(lens) - lens
+    for h in span_hashes_2(buf, starts, lens):
+        assert len(set(h.tolist())) == len(set(spans))
+        each = [span_hashes_2(np.frombuffer(x, np.uint8), np.zeros(1, int), np.array([len(x)])) for x in spans[-70:]]
+        assert any(h[-70:].tolist() == [int(e[k][0]) for e in each] for k in range(2))
+
+
+def test_chunks_that_share_a_key():
+    from pagemill.llm import chunk_table, tokens
+    from pagemill.llm.common import text_arrays
+    import pyarrow as pa
+
+    real = chunk_table.span_hashes_2
+    chunk_table.span_hashes_2 = lambda *x: [real(*x)[0] % np.uint64(5), real(*x)[1]]
+    try:
+        t = chunk_table.ChunkTable(tokens._bpe_cuts, lambda chunks, opening: (np.frombuffer(b"".join(chunks), np.uint8).astype(np.uint32), np.array([len(c) for c in chunks])))
+        own = [f"w{j} v{j * j} z" for j in range(40)]
+        assert bytes(t.encode(*text_arrays(pa.array(own)))[0].tolist()).decode() == "".join(own)
+    finally:
+        chunk_table.span_hashes_2 = real
+
+
 def test_chunk_table_starts_anew():
     from pagemill.llm import tokens
     from pagemill.llm.chunk_table import ChunkTable
     from pagemill.llm.common import text_arrays
     import pyarrow as pa
 
-    t = ChunkTable(tokens._bpe_cuts, lambda chunks, opening: [np.frombuffer(c, np.uint8).astype(np.uint32) for c in chunks], capacity=50)
+    t = ChunkTable(tokens._bpe_cuts, lambda chunks, opening: (np.frombuffer(b"".join(chunks), np.uint8).astype(np.uint32), np.array([len(c) for c in chunks])), capacity=50)
     for k in range(6):
         own = [f"w{k * 20 + j} w{j} z" for j in range(20)]
         ids, at = t.encode(*text_arrays(pa.array(own)))
