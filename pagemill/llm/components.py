@@ -2,16 +2,63 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint
+from pagemill.llm.common import checkpoint, ship
+
+#: Links that a task contracts to a forest at a time.
+TASK_LINKS = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of links (a, b) but the least of its component, and that least node."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(names))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        on = root[x] != root[y]
+        x, y = x[on], y[on]
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, with the same components. Each task makes forests of TASK_LINKS links at a
+    time, and there are as few tasks as that allows."""
+    links = checkpoint(links)
+    ship(links.sparkSession)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in range(2)])
+            n += batch.num_rows
+            if n >= TASK_LINKS:
+                yield _batch(held)
+                held, n = [], 0
+        if n:
+            yield _batch(held)
+
+    return links.select("a", "b").coalesce(max(1, -(-links.count() // TASK_LINKS))).mapInArrow(run, "a long, b long")
+
+
+def _batch(held: list) -> pa.RecordBatch:
+    a, b = forest(*(np.concatenate(x) for x in zip(*held)))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of links (a, b). Hubs are aggregated before
-    the shuffle; the number of rounds grows with the logarithm of a component's size."""
-    edges = checkpoint(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    """node, component (its least node) of every node of links (a, b). Links are contracted by tasks
+    before the first round; hubs are aggregated before the shuffle; the number of rounds grows with
+    the logarithm of a component's size."""
+    edges = checkpoint(contracted(links.filter("a <> b")))
     while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -7,49 +7,49 @@ of points; a point belongs to a component and to a unit of its interval, which i
 the interval; points above the shingle's weight are discarded, and each component keeps its
 earliest point. Generation stops where no component can still get an earlier one.
 
-1. Texts with equal words become one class member each, whatever their number.
-2. BANDS bands of ROWS components deal members into buckets. Every member meets one leader of each
-   of its buckets (chosen by hash, so the leaders of its buckets differ); pairs whose signatures
-   agree in PLAUSIBLE of the components or more are verified on the whole texts.
-3. Verified links make components. Where a bucket of three or more still holds several of these,
-   each member outside the bucket's largest is compared by signature with those of other components,
-   in blocks of at most GROUP members (larger buckets are dealt by a hash that changes from round to
-   round), and its best untested partners are verified. Rounds go on until one merges nothing or asks
-   for few pairs.
-4. What is left is done in full: in buckets that still hold several components, each block of CELL
-   members meets each block of CELL of those outside the largest, and all plausible pairs of
-   different components are verified where they meet, without a row for a pair. A pair belongs to
-   the first bucket that it shares.
+1. Texts with equal words become one member, whatever their number.
+2. BANDS bands of ROWS components deal members into buckets. Each bucket has a leader, chosen by
+   hash, so that the leaders of a member's buckets differ. Of the leaders whose signatures agree with
+   a member's in PLAUSIBLE of the components or more, the LEADERS likeliest are verified on the whole
+   texts, and verified links make components.
+3. What is left is done in full. Buckets that hold several components are gathered by the largest
+   component in each, so that the many buckets of one large cluster become one group, in which a
+   member stands once. In a group, each block of members meets each block of askers, which are those
+   outside that component, and all plausible pairs of different components are verified where they
+   meet, without a row for a pair. Blocks hold about CELL members and CELL_WORDS words.
 
 A link of similarity 0.8 shares no band with probability 3e-6, and agrees in less than PLAUSIBLE with
-5e-7. Nothing is dropped. Members of one component are never paired, so what grows with a bucket is
-the number of members times that of those outside its largest component.
-
-Texts without words (null, empty, blank) are each a class of their own. Rows that repeat a doc_id
-and its text share a class like any copies. A null doc_id has a null class.
+5e-7. Nothing else is dropped. What grows with a cluster is the number of members times that of those
+which step 2 didn't link to it. A bucket's or text's share of all rows doesn't decide the size of a
+task: frequent keys are joined apart (common.frequent_join).
+
+A document is a distinct pair of doc_id and text: a doc_id that stands on several texts is as many
+documents, each in the class of its own text. Words are equal if 64-bit hashes are, texts if two are,
+and the overlap is that of 64-bit hashes of shingles. Texts without words (null, empty, blank) are
+each a class of their own. Rows that repeat a doc_id and its text share a class like any copies. A
+null doc_id has a null class. An empty table has no classes; columns beside doc_id and text are not
+read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, mix, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import checkpoint, discard, frequent_join, mix, ship, slices, span_hashes, text_arrays, word_spans
 from pagemill.llm.components import components, merged
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 PLAUSIBLE = 0.6
-GROUP, PARTNERS = 1024, 2
-#: Rounds end when they ask for fewer pairs than this share of all members; the rest is done in full.
-FEW = 0.02
-#: Members of a block that is asked and of one that asks, with their texts.
-CELL = 512
-#: Up to so many ids are broadcast to filter texts before their shuffle.
-MAX_BROADCAST_IDS = 1 << 20
+LEADERS = 3
+#: Members and words of a block, as far as single texts allow.
+CELL, CELL_WORDS = 512, 1 << 20
+#: Up to so many texts' keys are broadcast to filter texts before their shuffle.
+MAX_BROADCAST_KEYS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,20 +121,26 @@ def bag_min_hash(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k0, k1 (hashes of the text's words), words, bands (array of long), sig (binary)."""
+    """doc_id, t (hash of the text as it is), k0, k1 (hashes of the text's words), words, sig (binary,
+    two bytes a component) of rows of doc_id and text."""
 
     def run(batches):
         for part in slices(batches):
-            buf, offsets = text_arrays(part.column("text"))
-            of, s, w, words, keys = shingles(buf, offsets)
-            points = mix(bag_min_hash(of, s, w, part.num_rows).view(np.uint64))
-            band = points.reshape(-1, BANDS, ROWS) * (np.arange(ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-            band = mix(band.sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLDEN).view(np.int64)
-            sig = (points >> np.uint64(48)).astype("<u2")
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(band) * BANDS + 1, BANDS), pa.int32()), pa.array(band.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(keys[:, c].view(np.int64)) for c in range(2)), pa.array(words, pa.int64()), bands, pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "k0", "k1", "words", "bands", "sig"])
+            of, s, w, words, keys = shingles(*text_arrays(part.column("text")))
+            sig = (mix(bag_min_hash(of, s, w, part.num_rows).view(np.uint64)) >> np.uint64(48)).astype("<u2")
+            sigs = pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer(np.arange(0, 2 * SIZE * len(sig) + 1, 2 * SIZE, np.int32)), pa.py_buffer(sig.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t"), *(pa.array(keys[:, c].view(np.int64)) for c in range(2)), pa.array(words, pa.int64()), sigs], ["doc_id", "t", "k0", "k1", "words", "sig"])
+
+    return docs.withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, k0 long, k1 long, words long, sig binary")
+
+
+def signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIZE)
 
-    return docs.mapInArrow(run, "doc_id long, k0 long, k1 long, words long, bands array<long>, sig binary")
+
+def buckets(sig: Column) -> Column:
+    """The buckets of a signature, one for each band."""
+    return F.array(*(F.xxhash64(F.lit(i), F.substring(sig, 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BANDS)))
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -152,175 +158,170 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(total - both, 1)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts overlap enough. Texts are joined to the pairs' ends once."""
-    ends = pairs.select(F.col("a").alias("doc_id"), "a", "b").unionAll(pairs.select(F.col("b").alias("doc_id"), "a", "b"))
-    asked = checkpoint(ends.select("doc_id").distinct())
-    if asked.count() <= MAX_BROADCAST_IDS:  # then only texts that are asked for are shuffled
-        texts = texts.join(F.broadcast(asked), "doc_id", "left_semi")
-    # MERGE: AQE splits a text that very many pairs ask for.
-    got = ends.hint("merge").join(texts, "doc_id").select("a", "b", (F.col("doc_id") == F.col("a")).alias("one"), "text")
-    both = got.groupBy("a", "b").agg(F.max(F.when(F.col("one"), F.col("text"))).alias("text"), F.max(F.when(~F.col("one"), F.col("text"))).alias("other"))
-
-    def run(batches):
-        for part in slices(batches):
-            fine = overlap(part.column("text"), part.column("other")) >= SIMILARITY
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(fine)), part.column("b").filter(pa.array(fine))], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _plausible(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in PLAUSIBLE of their components at least."""
+def _asked_leaders(shared: DataFrame, sigs: DataFrame) -> DataFrame:
+    """node, lead: of each member the LEADERS leaders of its buckets that are likeliest to be alike."""
 
     def run(batches):
         for part in batches:
-            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, SIZE) for c in ("sa", "sb"))
-            fine = pa.array((a == b).mean(1) >= PLAUSIBLE)
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(fine), part.column("b").filter(fine)], ["a", "b"])
-
-    left = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def _mixed(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, rep, n, component of buckets with several components, and of each bucket its largest
-    one: top (c: members, component)."""
-    own = shared.filter("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select("bucket", "top")
-    return own.join(top, "bucket")
-
-
-def _rest(shared: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) of all plausible pairs of different components, one at least for each member and
-    component that it links to."""
-    own = _mixed(shared, labels).withColumn("asks", F.expr("component <> top.component"))
-    own = own.withColumn("parts", F.expr(f"ceil(n / {CELL})")).withColumn("teams", F.expr(f"ceil((n - top.c) / {CELL})"))
-    own = own.withColumn("part", F.expr("pmod(xxhash64(rep, bucket), parts)")).withColumn("team", F.expr("pmod(xxhash64(bucket, rep), teams)"))
+            agree = (signatures(part.column("sig")) == signatures(part.column("lead_sig"))).mean(1)
+            fine = pa.array(agree >= PLAUSIBLE)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).filter(fine) for c in ("node", "lead")), pa.array(agree).filter(fine)], ["node", "lead", "agree"])
+
+    pairs = shared.filter("node <> lead").select("node", "lead").distinct()
+    own = sigs.select("node", "sig")
+    pairs = pairs.join(own, "node").join(own.toDF("lead", "lead_sig"), "lead")
+    likely = pairs.mapInArrow(run, "node long, lead long, agree double")
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "lead"))  # at most BANDS rows
+    return likely.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select("node", "lead")
+
+
+def _dealt(members: DataFrame, total: int) -> DataFrame:
+    """grp, part, team, node, component, asks, asked, words, from members (grp, node, component, asks,
+    words; a row for each grp and node): a row for each cell that a member stands in."""
+    sizes = members.groupBy("grp").agg(
+        F.count("*").alias("n"),
+        F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("words") / CELL_WORDS)).alias("parts"),
+        F.greatest(F.ceil(F.count_if("asks") / CELL), F.ceil(F.sum(F.when(F.col("asks"), F.col("words"))) / CELL_WORDS)).alias("teams"),
+    )
+    own = frequent_join(members, sizes, ["grp"], "n", total, "inner")
+    own = own.withColumn("p", F.expr("pmod(xxhash64(node, grp), parts)")).withColumn("t", F.expr("pmod(xxhash64(grp, node), teams)"))
     cell = "named_struct('part', {}, 'team', {}, 'asks', {}, 'asked', {})"
-    asked = f"transform(sequence(0L, teams - 1), t -> {cell.format('part', 't', 'false', 'true')})"
-    asking = f"transform(sequence(0L, parts - 1), p -> {cell.format('p', 'team', 'true', 'false')})"
-    cells = f"CASE WHEN parts = 1 THEN array({cell.format('0L', '0L', 'asks', 'true')}) WHEN asks THEN concat({asked}, {asking}) ELSE {asked} END"
-    own = own.join(reps.select("rep", "bands", "sig"), "rep").select("bucket", "rep", "component", "bands", "sig", F.expr(f"inline({cells})"))
-    met = checkpoint(own.groupBy("bucket", "part", "team").applyInArrow(_meet, "bucket long, part long, team long, rep long, component long, partners array<long>"))
-    asked_ids = checkpoint(met.select("rep").distinct())
-    some = asked_ids.withColumnRenamed("rep", "doc_id")
-    texts = texts.join(F.broadcast(some) if some.count() <= MAX_BROADCAST_IDS else some, "doc_id", "left_semi")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text")).withColumnRenamed("doc_id", "rep")
-    return met.hint("merge").join(texts, "rep").groupBy("bucket", "part", "team").applyInArrow(_verify_cell, "a long, b long").distinct()
+    asked = f"transform(sequence(0L, teams - 1), i -> {cell.format('p', 'i', 'asks AND i = t', 'true')})"
+    asking = f"transform(filter(sequence(0L, parts - 1), i -> i <> p), i -> {cell.format('i', 't', 'true', 'false')})"
+    return own.select("grp", "node", "component", "words", F.expr(f"inline(CASE WHEN asks THEN concat({asked}, {asking}) ELSE {asked} END)"))
 
 
 def _meet(t: pa.Table) -> pa.Table:
     """The members of a cell that have plausible pairs; partners: of an asker, those it asks."""
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    rep, component, asks, asked = (t.column(c).to_numpy() for c in ("rep", "component", "asks", "asked"))
+    sig, (node, component, words) = signatures(t.column("sig")), (t.column(c).to_numpy() for c in ("node", "component", "words"))
+    asks, asked = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked"))
     asking, other = np.flatnonzero(asks), np.flatnonzero(asked)
-    bucket = t.column("bucket")[0].as_py()
-    theirs, their_bands = np.ascontiguousarray(sig[other].T), bands[other]
+    size = np.maximum(words - SHINGLE + 1, 1)  # shingles of each text
+    theirs = np.ascontiguousarray(sig[other].T)
     out: dict[int, list[int]] = {}
-    for i in asking.tolist():
-        near = np.zeros(len(other), np.uint8)
+    for first in range(0, len(asking), 64):
+        own = asking[first : first + 64]
+        near = np.zeros((len(own), len(other)), np.uint8)
         for c in range(SIZE):
-            near += theirs[c] == sig[i, c]
-        fine = np.flatnonzero((near >= PLAUSIBLE * SIZE) & (component[other] != component[i]))
-        if len(fine):
-            first = (their_bands[fine] == bands[i]).argmax(1)
-            fine = fine[bands[i, first] == bucket]
-            # Two askers of one cell would ask each other.
-            fine = fine[~asks[other[fine]] | (rep[other[fine]] > rep[i])]
-        if len(fine):
-            out[i] = rep[other[fine]].tolist()  # also where an empty list stands since i was asked
-            for j in other[fine].tolist():
-                out.setdefault(j, [])
+            near += theirs[c] == sig[own, c, None]
+        fine = (near >= PLAUSIBLE * SIZE) & (component[other] != component[own, None])
+        # Texts of too different sizes can't overlap enough.
+        fine &= np.minimum(size[other], size[own, None]) >= SIMILARITY * np.maximum(size[other], size[own, None])
+        # Two askers of one cell would ask each other.
+        fine &= ~asks[other] | (node[other] > node[own, None])
+        for i, row in zip(own.tolist(), fine):
+            there = other[row]
+            if len(there):
+                out[i] = node[there].tolist()  # also where an empty list stands since i was asked
+                for j in there.tolist():
+                    out.setdefault(j, [])
     own = sorted(out)
-    return pa.table({**{c: t.column(c).take(pa.array(own, pa.int64())) for c in ("bucket", "part", "team", "rep", "component")}, "partners": pa.array([out[i] for i in own], pa.list_(pa.int64()))})
+    return pa.table({**{c: t.column(c).take(pa.array(own, pa.int64())) for c in _CELL_COLUMNS}, "partners": pa.array([out[i] for i in own], pa.list_(pa.int64()))})
+
+
+_CELL_COLUMNS = ("grp", "part", "team", "node", "component")
 
 
-def _verify_cell(t: pa.Table) -> pa.Table:
-    """Of each asker, one partner of each component that it overlaps with enough."""
-    rep, component = t.column("rep").to_numpy(), t.column("component").to_numpy()
+def _verify(t: pa.Table) -> pa.Table:
+    """Of each asker of a cell, one partner of each component that it overlaps with enough."""
+    _, at = np.unique(t.column("node").to_numpy(), return_index=True)  # a text may stand on several rows
+    t = t.take(pa.array(at))
+    node, component = t.column("node").to_numpy(), t.column("component").to_numpy()
     of, s, w, _, _ = shingles(*text_arrays(t.column("text")))
-    at = np.searchsorted(of, np.arange(len(rep) + 1))
-    total = np.bincount(of, w, minlength=len(rep))
-    place = {x: k for k, x in enumerate(rep.tolist())}
+    at = np.searchsorted(of, np.arange(len(node) + 1))
+    total = np.bincount(of, w, minlength=len(node))
+    names, s = np.unique(s, return_inverse=True)
+    weight = np.zeros(len(names), w.dtype)
     a, b = [], []
     for i, partners in enumerate(t.column("partners").to_pylist()):
-        found: set[int] = set()
-        own, weight = s[at[i] : at[i + 1]], w[at[i] : at[i + 1]]
-        for j in (place[x] for x in partners or ()):
-            if int(component[j]) in found:
-                continue
-            theirs = s[at[j] : at[j + 1]]
-            k = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
-            both = np.minimum(weight[k], w[at[j] : at[j + 1]])[own[k] == theirs].sum()
-            if both / max(total[i] + total[j] - both, 1) >= SIMILARITY:
-                found.add(int(component[j]))
-                a.append(int(rep[i]))
-                b.append(int(rep[j]))
+        if not partners:
+            continue
+        mine = slice(at[i], at[i + 1])
+        weight[s[mine]] = w[mine]
+        j = np.searchsorted(node, np.array(partners))
+        span = at[j + 1] - at[j]
+        firsts = np.cumsum(span) - span
+        rows = np.arange(int(span.sum())) + np.repeat(at[j] - firsts, span)
+        both = np.add.reduceat(np.minimum(weight[s[rows]], w[rows]), firsts)
+        weight[s[mine]] = 0
+        found = j[both >= SIMILARITY * (total[i] + total[j] - both)]
+        for k in found[np.unique(component[found], return_index=True)[1]].tolist():
+            a.append(int(node[i]))
+            b.append(int(node[k]))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id: the least doc_id of the document's class; a row for each row of docs."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = checkpoint(signed(docs.filter("doc_id is not null")))
-    reps = every.filter("words > 0").groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("r"))
-    reps = checkpoint(reps.select("k0", "k1", F.col("r.doc_id").alias("rep"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")))
-    sigs = reps.select("rep", "sig")
-    entries = reps.select("rep", F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "rep").alias("h"), "rep")).alias("lead")).filter("n > 1")
-    shared = checkpoint(entries.join(heads.select("bucket", "n", F.col("lead.rep").alias("lead")), "bucket"))
-    tested = checkpoint(_plausible(shared.filter("rep <> lead").select(*_ordered("rep", "lead")).distinct(), sigs))
-    texts = docs.filter("doc_id is not null")
-    labels = checkpoint(components(checkpoint(_verified(tested, texts))))
-    round_, members = 0, reps.count()
-    while True:
-        own = _mixed(shared, labels).withColumn("part", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), F.ceil(F.col("n") / GROUP)))
-        more = own.select("bucket", "part", "rep", "component").join(sigs, "rep").groupBy("bucket", "part").applyInArrow(_partners, "a long, b long").distinct()
-        more = checkpoint(more.join(tested, ["a", "b"], "left_anti"))
-        if more.count() <= members * FEW:
-            break
-        fresh = checkpoint(_verified(more, texts))
-        if fresh.isEmpty():
-            break
-        labels = checkpoint(merged(labels, fresh))
-        tested, round_ = tested.unionAll(more), round_ + 1
-    rest = checkpoint(_rest(shared, labels, reps, texts))
+def _links(met: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links (a, b) of cells with partners; texts are joined to the members that stand in
+    one. Each text is found by its doc_id and hash among all rows."""
+    keys = checkpoint(met.select("node").distinct().join(reps.select("node", "doc_id", "t"), "node"))
+    few = keys.count() <= MAX_BROADCAST_KEYS
+    texts = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(keys) if few else keys, ["doc_id", "t"]).select("node", "text")
+    # MERGE: AQE splits a text that stands in very many cells.
+    return met.hint("merge").join(texts, "node").groupBy("grp", "part", "team").applyInArrow(_verify, "a long, b long").distinct()
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, t (hash of the text), class_id, kept (whether no document of the class has a lesser
+    doc_id, or the same one and a lesser t): a row for each row of docs whose doc_id isn't null."""
+    ship(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    every = checkpoint(signed(docs).withColumn("row", F.monotonically_increasing_id()))
+    least = every.filter("words > 0").groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "t", "row", "words", "sig")).alias("r"), F.count("*").alias("rows"))
+    reps = checkpoint(least.select(F.col("r.row").alias("node"), "k0", "k1", "r.doc_id", "r.t", "r.words", "r.sig", "rows"))
+    members = reps.count()
+    entries = reps.select("node", "words", F.explode(buckets(F.col("sig"))).alias("bucket"))
+    lead = F.min(F.col("node").bitwiseXOR(F.xxhash64("bucket")))  # another order of the members in each bucket
+    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("lead")).filter("n > 1").select("bucket", "n", F.col("lead").bitwiseXOR(F.xxhash64("bucket")).alias("lead"))
+    shared = checkpoint(frequent_join(entries, heads, ["bucket"], "n", members, "inner"))
+    # First links: a group for each leader, who is asked by the others.
+    asked = checkpoint(_asked_leaders(shared, reps))
+    first = asked.join(reps.select("node", "words"), "node").select(F.col("lead").alias("grp"), "node", F.col("node").alias("component"), F.lit(True).alias("asks"), "words")
+    sizes = first.groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("words") / CELL_WORDS)).alias("parts"))
+    askers = frequent_join(first, sizes, ["grp"], "n", members, "inner")
+    askers = askers.select("grp", F.expr("pmod(xxhash64(node, grp), parts)").alias("part"), F.lit(0).cast("long").alias("team"), "node", "component", F.array("grp").alias("partners"))
+    leads = sizes.select("grp", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).cast("long").alias("team"), F.col("grp").alias("node"), F.col("grp").alias("component"), F.expr("cast(array() as array<long>)").alias("partners"))
+    links = checkpoint(_links(checkpoint(askers.unionByName(leads)), reps, docs))
+    labels = checkpoint(components(links))
+    discard(asked)
+    # All others: buckets with several components, gathered by the largest of each.
+    own = shared.join(labels, "node", "left")
+    own = own.select("bucket", "node", "words", "n", F.coalesce("component", "node").alias("component"))
+    kinds = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    top = kinds.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("n")).filter("kinds > 1").select("bucket", "n", F.col("top.component").alias("grp"))
+    mixed = frequent_join(own.drop("n"), top, ["bucket"], "n", members, "inner")
+    mixed = checkpoint(mixed.groupBy("grp", "node").agg(F.first("component").alias("component"), F.first("words").alias("words")).withColumn("asks", F.expr("component <> grp")))
+    cells = _dealt(mixed, members).join(reps.select("node", "sig"), "node")
+    met = checkpoint(cells.groupBy("grp", "part", "team").applyInArrow(_meet, "grp long, part long, team long, node long, component long, partners array<long>"))
+    discard(shared, mixed)
+    rest = checkpoint(_links(met, reps, docs))
     if not rest.isEmpty():
         labels = checkpoint(merged(labels, rest))
-    of = every.select("doc_id", "k0", "k1", "words").join(reps.select("k0", "k1", "rep"), ["k0", "k1"], "left")
-    out = of.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    class_id = F.when(F.col("words") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", class_id.alias("class_id"))
-    return out.unionAll(docs.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
-
-
-def _partners(t: pa.Table) -> pa.Table:
-    """Of each member, the PARTNERS members of other components whose signatures agree most, if
-    plausible. Members of the largest component don't ask, they are asked by the others."""
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, SIZE)
-    rep, component = (t.column(c).to_numpy() for c in ("rep", "component"))
-    out: set[tuple[int, int]] = set()
-    if len(rep) > 1 and (component != component[0]).any():
-        names, sizes = np.unique(component, return_counts=True)
-        asking = np.flatnonzero(component != names[np.argmax(sizes)])
-        for i in range(0, len(asking), 64):
-            own = asking[i : i + 64]
-            near = np.zeros((len(own), len(rep)), np.int32)
-            for c in range(SIZE):
-                near += sig[own, c, None] == sig[None, :, c]
-            near[component[own, None] == component[None, :]] = -1
-            best = np.argsort(-near, axis=1, kind="stable")[:, :PARTNERS]
-            for k, row in zip(own.tolist(), best.tolist()):
-                out.update((min(rep[k], rep[j]), max(rep[k], rep[j])) for j in row if near[np.searchsorted(own, k), j] >= PLAUSIBLE * SIZE)
-    a, b = zip(*sorted(out)) if out else ((), ())
-    return pa.table({"a": pa.array([int(x) for x in a], pa.int64()), "b": pa.array([int(x) for x in b], pa.int64())})
+    # A class's least document, and with it every row.
+    of = reps.select("node", "k0", "k1", "rows", F.struct("doc_id", "t").alias("doc")).join(labels, "node", "left")
+    of = checkpoint(of.select("k0", "k1", "rows", "doc", F.coalesce("component", "node").alias("component")))
+    least = of.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    texts = frequent_join(of, least, ["component"], "n", members, "inner").select("k0", "k1", "rows", "least")
+    rows = every.filter("words > 0").select("k0", "k1", "doc_id", "t")
+    rows = frequent_join(rows, texts, ["k0", "k1"], "rows", members, "inner").select("doc_id", "t", F.col("least.doc_id").alias("class_id"), (F.struct("doc_id", "t") == F.col("least")).alias("kept"))
+    return rows.unionAll(every.filter("words = 0").select("doc_id", "t", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id: the least doc_id of the document's class; a row for each row of docs."""
+    none = docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
+    return labelled(docs).select("doc_id", "class_id").unionAll(none)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The least document of each class, by doc_id and then by the text's hash; of rows that repeat a
+    doc_id and its text one stays. Rows with a null doc_id all stay."""
+    found = labelled(docs).groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    found = checkpoint(found.filter("NOT kept OR n > 1"))
+    few = found.count() <= MAX_BROADCAST_KEYS
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    rows = rows.join(F.broadcast(found) if few else found, ["doc_id", "t"], "left")
+    once = rows.filter("kept is null")
+    if not found.filter("kept").isEmpty():
+        once = once.unionByName(rows.filter("kept").dropDuplicates(["doc_id", "t"]))
+    return once.select("doc.*")

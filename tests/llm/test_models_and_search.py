@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import near_dup, quality, queries, topk, toxicity
-from pagemill.llm.common import text_arrays
+from pagemill.llm import components, near_dup, quality, queries, topk, toxicity
+from pagemill.llm.common import frequent_join, text_arrays
 from tests.compare import connect, differences
 
 DIR = "/root/testdata/sf0.001"
@@ -74,10 +74,11 @@ def test_remaining_pairs_are_verified_in_full(spark, monkeypatch, cell):
                 own[k] = f"x{rng.integers(0, 10**6)}"
             texts.append(" ".join(own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    reps = near_dup.signed(docs).withColumnRenamed("doc_id", "rep")
-    entries = reps.selectExpr("rep", "explode(bands) AS bucket")
-    shared = entries.join(entries.groupBy("bucket").count().filter("count > 1").selectExpr("bucket", "greatest(count, 3) AS n"), "bucket")
-    found = near_dup._rest(shared, spark.createDataFrame([], "node long, component long"), reps, docs)
+    reps = near_dup.signed(docs).withColumn("node", F.col("doc_id")).cache()
+    members = reps.select(F.lit(0).cast("long").alias("grp"), "node", F.col("node").alias("component"), F.expr("node <> 0").alias("asks"), "words")
+    cells = near_dup._dealt(members, len(texts)).join(reps.select("node", "sig"), "node")
+    met = cells.groupBy("grp", "part", "team").applyInArrow(near_dup._meet, "grp long, part long, team long, node long, component long, partners array<long>")
+    found = near_dup._links(met, reps, docs)
     i, j = np.triu_indices(len(texts), 1)
     fine = near_dup.overlap(pa.array([texts[k] for k in i]), pa.array([texts[k] for k in j])) >= 0.8
     want = set(zip(i[fine].tolist(), j[fine].tolist()))
@@ -85,6 +86,39 @@ def test_remaining_pairs_are_verified_in_full(spark, monkeypatch, cell):
     assert len(want) > 100 and got == want
 
 
+def test_ids_on_several_texts(spark):
+    """Texts are held apart where they share a doc_id, and no text is lost."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(0, a, 1), (1, a, 2), (1, b, 3), (2, c, 4), (3, b, 5), (3, c, 6), (3, c, 7), (None, a, 8), (None, a, 9), (4, "", 10), (4, None, 11), (4, "", 12), (5, " ", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int").repartition(3)
+    got = sorted((x.doc_id, x.class_id) for x in near_dup.classes(docs).filter("doc_id is not null").collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 2), (3, 1), (3, 2), (3, 2), (4, 4), (4, 4), (4, 4), (5, 5)]
+    kept = near_dup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter({(0, a): 1, (1, b): 1, (2, c): 1, (None, a): 2, (4, ""): 1, (4, None): 1, (5, " "): 1})
+    assert near_dup.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_frequent_keys_are_joined_apart(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")).filter("k <> 7")
+    want = sorted(tuple(r) for r in rows.join(keyed, "k", "left").collect() if r.k != 7)
+    for how in ("left", "inner"):
+        got = frequent_join(rows, keyed, ["k"], "n", 5000, how).collect()
+        assert sorted(tuple(r) for r in got if r.k != 7) == want and len(got) == len(want) + (how == "left")
+
+
+def test_forest():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 300, 200), r.integers(0, 300, 200)
+    up = {int(x): int(x) for x in np.concatenate([a, b])}
+    for _ in range(300):
+        for x, y in zip(a.tolist(), b.tolist()):
+            up[x] = up[y] = min(up[x], up[y])
+    node, root = components.forest(a, b)
+    assert dict(zip(node.tolist(), root.tolist())) == {k: v for k, v in up.items() if k != v}
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(1)
     errors = []
