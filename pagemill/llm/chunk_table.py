@@ -16,7 +16,7 @@ import numpy as np
 from pagemill.llm.common import span_hashes_2
 
 #: Distinct chunks that a table holds before it lets go of those met once.
-CAPACITY = 3 << 18
+CAPACITY = 1 << 19
 
 
 class ChunkTable:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -88,7 +90,7 @@ def frequent_join(rows: DataFrame, keyed: DataFrame, on: list[str], n: str, tota
     value = [c for c in keyed.columns if c not in on]
     hot = F.broadcast(keyed.filter(often).withColumn("_often", F.lit(True)))
     met = rows.join(hot.select(*on, "_often", *value), on, "left")
-    columns = [*on, *(c for c in rows.columns if c not in on)]
+    columns = [quoted(c) for c in (*on, *(c for c in rows.columns if c not in on))]
     cold = met.filter("_often is null").select(*columns).join(keyed.filter(~often), on, how)
     return met.filter("_often").select(*columns, *value).unionByName(cold.select(*columns, *value))
 
@@ -98,15 +100,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def size_bytes(df: DataFrame, column: str = "text") -> int:
-    """Catalyst's estimate, for a scan the size of its files; no job runs. Where Catalyst knows
-    nothing (rows of an RDD), half of the bytes counted in one column."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < 1 << 60:
-        return known
-    return (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 2
-
-
 def fold(doc_id: Column, mod: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
@@ -127,8 +120,31 @@ def text_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+#: Functions that empty the caches of a Python worker, which serves tasks of many kinds.
+_CACHES: list[Callable[[], None]] = []
+
+
+def cached(f):
+    """f with its results kept in the Python worker, until a task comes that has no use for them."""
+    kept = lru_cache(4)(f)
+    _CACHES.append(kept.cache_clear)
+    return kept
+
+
+def release() -> None:
+    """Gives memory that isn't used back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", keep_caches: bool = False) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches of about SLICE_BYTES of text each."""
+    if not keep_caches:
+        for clear in _CACHES:
+            clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -138,6 +154,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE_BYTES, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -10,11 +10,15 @@ put back for two pieces that fit the widened gap more tightly, where there are s
 
 A document longer than a sequence is cut into pieces of the full length, of which the first is the
 shorter rest, if any. A null text is an empty one: one piece with the end id alone. Rows that
-repeat a doc_id are packed as often as they occur.
+repeat a doc_id are packed as often as they occur, and null doc_ids like any others. Pieces of equal
+length are taken in the order of doc_id and piece. An empty table gives no pieces; columns beside
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +38,20 @@ def cut(docs: DataFrame, path: str, end_id: int, length: int) -> DataFrame:
     def run(batches):
         table = tokens.bpe(path)
         for part, ids, at in tokens.token_slices(batches, table):
-            rows: list[tuple] = []
-            for doc, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                own = np.append(ids[a:b], np.uint32(end_id))
-                bounds = list(range(len(own) % length or length, len(own) + 1, length))
-                for k, (s, e) in enumerate(zip([0, *bounds], bounds)):
-                    rows.append((doc, k, s, e - s, tokens.crc32(own[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            n = np.diff(at) + 1  # with the end id
+            first = np.cumsum(n) - n
+            flat = np.full(int(n.sum()), end_id, "<u4")
+            flat[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n - 1)] = ids
+            pieces = -(-n // length)
+            of = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            short = n - (pieces - 1) * length  # the first piece's length
+            start = np.where(piece > 0, short[of] + (piece - 1) * length, 0)
+            size = np.where(piece > 0, length, short[of])
+            data, begin = memoryview(flat).cast("B"), 4 * (first[of] + start)
+            crc = [zlib.crc32(data[s:e]) for s, e in zip(begin.tolist(), (begin + 4 * size).tolist())]
+            doc = part.column("doc_id").take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -6,13 +6,12 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 from pagemill.llm.chunk_table import ChunkTable
-from pagemill.llm.common import IS_SPACE, slices, text_arrays
+from pagemill.llm.common import IS_SPACE, cached, slices, text_arrays
 
 #: Bytes of joined chunks that the BPE library gets as one text.
 JOIN_BYTES = 1 << 16
@@ -38,7 +37,7 @@ def _bpe_cuts(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(4)
+@cached
 def bpe(path: str) -> ChunkTable:
     """The table of a byte-level BPE file of the tokenizers library, as it is: special tokens' strings
     in a text give their ids. Whole texts are its chunks if such a string may reach over a cut. One
@@ -110,7 +109,7 @@ def _never(buf: np.ndarray) -> np.ndarray:
     return np.zeros(len(buf), bool)
 
 
-@lru_cache(4)
+@cached
 def piece_processor(path: str):
     import sentencepiece
 
@@ -131,7 +130,7 @@ def pieces_stay_apart(path: str) -> bool:
     return plain and usual and not any("▁" in p.piece.lstrip("▁") or p.type == 4 for p in m.pieces)
 
 
-@lru_cache(4)
+@cached
 def pieces(path: str) -> ChunkTable:
     """The table of a SentencePiece model; whole texts are its chunks if pieces may cross markers."""
     sp = piece_processor(path)
@@ -159,7 +158,7 @@ def pieces(path: str) -> ChunkTable:
 
 def token_slices(batches: Iterator[pa.RecordBatch], tables) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice of rows with the ids of its texts and their offsets."""
-    for part in slices(batches):
+    for part in slices(batches, keep_caches=True):
         buf, offsets = text_arrays(part.column("text"))
         yield part, *tables.encode(buf, offsets)
 
