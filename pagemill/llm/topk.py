@@ -3,12 +3,15 @@
 Vectors of integers are scanned in blocks. Each block keeps an approximation of a few bits for each
 component; a matrix product over the cells gives bounds on every score. Exact vectors are read only
 in the order of their bounds, the best first, and only while a bound reaches the k-th exact score.
-Queries travel in blocks of QUERY_BLOCK (so what is broadcast has a fixed size), every task keeps k
-results a query over its rows, and these are merged by query.
+Queries travel in blocks of QUERY_BLOCK (so what is broadcast, and what the driver holds, has a fixed
+size); a block takes one scan of the rows, its k best a query and task are written to the shared folder
+and its broadcast is dropped before the next one. All are merged by query.
 
 Component x counts as floor(scale * x). Vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as filled up with zeros. A query's own row is that of its id:
 rows that repeat it are no candidates, and the row with the least vector stands for the query.
+Equal scores stand in the order of vec_id; an empty table, or one without queries, has no results;
+columns beside vec_id and embedding are not read.
 Rows and queries with components of LIMIT or more (scaled) are scored exactly without an
 approximation. Only what doesn't fit a long is refused: a scaled component, or a score of the result.
 """
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.common import checkpoint, ship
 
-QUERY_BLOCK, ROW_BLOCK = 4096, 8192
+QUERY_BLOCK, ROW_BLOCK = 1 << 14, 8192
 CELL_BITS = 7
 LIMIT = 1 << 22
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -54,7 +57,7 @@ def _fitting(x: np.ndarray) -> np.ndarray:
 
 def large(x: np.ndarray) -> np.ndarray:
     """Which rows have a component that is too large for an approximation."""
-    return np.abs(x).max(1, initial=0) >= LIMIT
+    return (x >= LIMIT).any(1) | (x <= -LIMIT).any(1)
 
 
 def exact_scores(rows: np.ndarray, q: np.ndarray) -> list[int]:
@@ -155,10 +158,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
                     wide = max(x.shape[1], q.shape[1])
                     x, q = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
                     search_all(x, part.column("vec_id").to_numpy(), q, query_ids, k, best)
-            found = [(q, i, -s) for q, rows in zip(query_ids.tolist(), best) for s, i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-        parts.append(rows.mapInArrow(run, schema))
+            out = [(q, i, -s) for q, rows in zip(query_ids.tolist(), best) for s, i in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+
+        found = rows.mapInArrow(run, schema)
+        if blocks > 1:
+            found = checkpoint(found)
+            shared.unpersist()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every = parts[0]
