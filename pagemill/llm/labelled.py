@@ -10,13 +10,16 @@ from pagemill.llm.common import fold
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, limit: int) -> DataFrame:
-    """text and y of at most `limit` labelled documents outside the held-out fold: those with the
-    least hashes of their ids. Each text counts once; rows without a label don't count."""
+    """doc_id, text and y of at most `limit` labelled documents outside the held-out fold: those with
+    the least hashes of their ids. A doc_id counts once, with the least of its texts, and so does a
+    text, with the least of its doc_ids. Rows without a label or doc_id don't count."""
     own = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), mod) != held_out))
     own = own.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     own = own.orderBy(F.xxhash64("label_id"), "label_id").limit(limit)  # at most `limit` small rows: bounded, so broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(own), rows["doc_id"] == own["label_id"]).select("doc_id", "text", "y")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(own), rows["doc_id"] == own["label_id"]).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    least = F.min(F.struct("doc_id", "text", "y")).alias("r")
+    return rows.groupBy(F.xxhash64("text").alias("same")).agg(least).select("r.doc_id", "r.text", "r.y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

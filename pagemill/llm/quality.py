@@ -1,13 +1,15 @@
 """Quality scores by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE_WORDS words. Every passage of the whole text is encoded
-as a vector of counts over its bytes, words and word shapes. A hidden layer represents it; gated
+as a vector of FEATURES surface statistics: counts over its bytes, repeated words and word shapes,
+none of which names a word. A hidden layer represents it; gated
 attention weighs the passages of a bag; the weighted sum gives the score. All weights are learned
-together from labels of documents, by Adam on at most TRAIN_DOCS labelled documents, of each at most
-TRAIN_PASSAGES evenly spaced passages (bounds of the fit only: scoring reads every passage).
+together from labels of documents, by Adam on all passages of at most TRAIN_DOCS labelled documents
+(a bound of the fit only), in minibatches of about BATCH_PASSAGES passages.
 
 A null or empty text is a bag with one passage without words, and is scored like any other. If the
-labels have one value or none, every score is their smoothed mean.
+labels have one value or none, every score is their smoothed mean. Repeated rows get equal scores and
+count once in the fit; an empty table has no scores; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from pagemill.llm.common import mix, ship, slices, span_hashes, text_arrays, wor
 from pagemill.llm.labelled import Adam, sample, sigmoid
 
 PASSAGE_WORDS = 64
-TRAIN_DOCS, TRAIN_PASSAGES = 3000, 48
-HIDDEN, ATTENTION, EPOCHS = 16, 8, 250
+TRAIN_DOCS = 3000
+#: STEPS of Adam, or EPOCHS rounds over all minibatches if that is more.
+BATCH_PASSAGES, STEPS, EPOCHS = 1 << 16, 250, 8
+HIDDEN, ATTENTION = 16, 8
 _SHAPES = 32
 
 #: Byte classes: lower, upper, digit, symbol, exclaiming, stop, bar, other ASCII, beyond ASCII.
@@ -114,25 +118,40 @@ class GatedAttention:
         _, _, _, a, z, _ = self._forward(np.clip((x - self.mean) / self.std, -8, 8), of, n)
         return sigmoid(z @ self.p["c"] + self.p["d"]), a
 
-    def fit(self, x: np.ndarray, of: np.ndarray, y: np.ndarray) -> GatedAttention:
+    def gradient(self, x: np.ndarray, of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of bags, by each weight; x is standardised."""
+        n, p = len(y), self.p
+        h, t, g, a, z, firsts = self._forward(x, of, n)
+        dl = (sigmoid(z @ p["c"] + p["d"]) - y) / n
+        dz = dl[:, None] * p["c"]
+        da = (h * dz[of]).sum(1)
+        de = a * (da - np.add.reduceat(a * da, firsts)[of])
+        dh = a[:, None] * dz[of]
+        dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
+        dh += dt @ p["v"].T + dg @ p["u"].T
+        dx = dh * (1 - h * h)
+        return {"w": x.T @ dx, "b": dx.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dl, "d": np.array([dl.sum()])}
+
+    def fit(self, bags: list[np.ndarray], y: np.ndarray) -> GatedAttention:
+        """bags: of each document its passages' vectors."""
         if not len(y) or y.min() == y.max():
             self.constant = float((y.sum() + 0.5) / (len(y) + 1))
             return self
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-3
-        x, n, p = np.clip((x - self.mean) / self.std, -8, 8), len(y), self.p
+        n = sum(map(len, bags))
+        self.mean = sum(x.sum(0, dtype=np.float64) for x in bags) / n
+        self.std = np.sqrt(sum(((x - self.mean) ** 2).sum(0) for x in bags) / n) + 1e-3
+        p = self.p
         p["d"][0] = np.log(y.mean() / (1 - y.mean()))
         adam = Adam(p, 0.02)
-        for _ in range(EPOCHS):
-            h, t, g, a, z, firsts = self._forward(x, of, n)
-            dl = (sigmoid(z @ p["c"] + p["d"]) - y) / n
-            dz = dl[:, None] * p["c"]
-            da = (h * dz[of]).sum(1)
-            de = a * (da - np.add.reduceat(a * da, firsts)[of])
-            dh = a[:, None] * dz[of]
-            dt, dg = de[:, None] * p["a"] * g * (1 - t * t), de[:, None] * p["a"] * t * g * (1 - g)
-            dh += dt @ p["v"].T + dg @ p["u"].T
-            dx = dh * (1 - h * h)
-            grads = {"w": x.T @ dx, "b": dx.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dl, "d": np.array([dl.sum()])}
+        order = np.random.default_rng(1).permutation(len(bags))
+        group = np.cumsum([len(bags[i]) for i in order]) // BATCH_PASSAGES
+        batches = np.split(order, np.flatnonzero(np.diff(group)) + 1)
+        for step in range(max(STEPS, EPOCHS * len(batches))):
+            if step == 0 or len(batches) > 1:
+                own = batches[step % len(batches)]
+                x = np.clip((np.concatenate([bags[i] for i in own]) - self.mean) / self.std, -8, 8)
+                of = np.repeat(np.arange(len(own)), [len(bags[i]) for i in own])
+            grads = self.gradient(x, of, y[own])
             adam.step({k: v + 1e-4 * p[k] * (k not in "bd") for k, v in grads.items()})
         return self
 
@@ -144,17 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4
     def run(batches):
         for part in slices(batches):
             x, of = encode(*text_arrays(part.column("text")))
-            rows = []
-            for i in range(part.num_rows):
-                own = np.arange(*np.searchsorted(of, [i, i + 1]))
-                rows.append(x[own[np.unique(np.linspace(0, len(own) - 1, TRAIN_PASSAGES).round().astype(int))]].tobytes())
+            at = np.searchsorted(of, np.arange(part.num_rows + 1)).tolist()
+            rows = [x[i:j].tobytes() for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = sample(docs, labels, label, mod, held_out, train_docs).mapInArrow(run, "doc_id long, y int, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    each = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
-    x = np.concatenate([np.zeros((0, FEATURES), np.float32), *each]).astype(np.float64)
-    return GatedAttention().fit(x, np.repeat(np.arange(len(each)), [len(e) for e in each]), np.array([r["y"] for r in rows], float))
+    rows = sample(docs, labels, label, mod, held_out, train_docs).mapInArrow(run, "doc_id long, y int, x binary").collect()  # train_docs rows at most
+    rows.sort(key=lambda r: r["doc_id"])
+    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in rows]
+    return GatedAttention().fit(bags, np.array([r["y"] for r in rows], float))
 
 
 def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
