@@ -1,11 +1,12 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Tokens are runs of letters. Features of a token are its word and its beginnings of 4, 5 and 6 bytes,
-in lower case. From at most TRAIN_DOCS labelled documents outside the held-out fold (each text
-counted once) the features are kept that stand in toxic documents far more often than in others, by
-the log-likelihood ratio of their document counts; at most MAX_FEATURES. Tokens with such a feature
-are labelled toxic in toxic documents, all other tokens as clean, and the field with the states
-clean and toxic is fitted to windows of these labelled tokens.
+in lower case. From at most TRAIN_DOCS labelled documents outside the held-out fold (a bound of the
+fit only; each doc_id and each text counts once) all features are kept that stand in MIN_DOCS toxic
+documents or more, and there far more often than in others: by the log-likelihood ratio of their
+document counts, MIN_RATIO or more. Tokens with such a feature are labelled toxic in toxic documents,
+all other tokens as clean, and the field with the states clean and toxic is fitted to the windows of
+WINDOW tokens around each token with a feature, equal ones counted together, and to clean windows.
 
 Scoring runs forward and backward over every token of the whole text. Tokens without a kept feature
 all share one emission, so a run of them is a power of one 2 x 2 matrix, which is taken in closed
@@ -14,28 +15,27 @@ document are aggregated to two numbers whose logistic regression is the score; o
 with a marginal of SPAN_AT or more are reported, neighbours joined.
 
 A null or empty text has no tokens and is scored as a text without toxic tokens. If the labels have
-one value or none, every score is their smoothed mean and no span is reported.
+one value or none, every score is their smoothed mean and no span is reported. Repeated rows get equal
+scores; an empty table has none; columns are carried under names of their own, so none can clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import quoted, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import checkpoint, discard, quoted, ship, slices, span_hashes, text_arrays, word_spans
 from pagemill.llm.labelled import Adam, sample, sigmoid
 
-TRAIN_DOCS, MAX_FEATURES = 8000, 4096
-#: Of a training document, at most so many tokens with features are kept, evenly spaced.
-TRAIN_EVENTS = 200
-#: Windows that the field is fitted to, evenly spaced among all, and as many of clean tokens.
-TRAIN_WINDOWS = 12_000
+TRAIN_DOCS = 8000
 MIN_DOCS, MIN_RATIO = 3, 9.0
 BEGINNINGS = (4, 5, 6)
 SPAN_AT = 0.5
-WINDOW, EPOCHS = 5, 150
+#: STEPS of Adam on minibatches of BATCH_WINDOWS distinct windows, or EPOCHS rounds over all of them if
+#: that is more.
+WINDOW, BATCH_WINDOWS, STEPS, EPOCHS = 5, 1 << 14, 150, 3
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -89,30 +89,44 @@ class ToxicSpans:
     def emission(self, found: np.ndarray) -> np.ndarray:
         return self.bias + np.where(found >= 0, self.weight[found], 0).sum(-1)
 
-    def fit_field(self, found: np.ndarray, y: np.ndarray) -> None:
-        """found: features of windows of tokens (window, token, kind); y: the tokens' labels."""
+    def gradient(self, p: dict[str, np.ndarray], found: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the windows' mean negative log likelihood. found: features (window, token, kind); y: the
+        tokens' labels; weight: of each window."""
         n, length = y.shape
+        known = found >= 0
+        em = np.zeros((n, length, 2))
+        em[:, :, 1] = p["b"] + np.where(known, p["w"][found], 0).sum(-1)
+        f = [em[:, 0]]
+        for t in range(1, length):
+            f.append(_logsum(f[-1][:, :, None] + p["e"], 1) + em[:, t])
+        z = _logsum(f[-1], 1)
+        b = np.zeros((n, 2))
+        d1, de = np.zeros((n, length)), np.zeros((2, 2))
+        for t in range(length - 1, -1, -1):
+            d1[:, t] = (np.exp(f[t][:, 1] + b[:, 1] - z) - y[:, t]) * weight
+            if t:
+                on = em[:, t] + b
+                both = np.exp(f[t - 1][:, :, None] + p["e"] + on[:, None, :] - z[:, None, None])
+                de += (both * weight[:, None, None]).sum(0)
+                np.subtract.at(de, (y[:, t - 1], y[:, t]), weight)
+                b = _logsum(p["e"][None] + on[:, None, :], 2)
+        dw = np.bincount(found[known], np.broadcast_to(d1[:, :, None], found.shape)[known], minlength=len(p["w"]))
+        total = weight.sum()
+        return {"w": dw / total, "b": np.array([d1.sum() / total]), "e": de / total}
+
+    def fit_field(self, found: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Windows as in gradient(), and as many clean ones."""
         p = {"w": np.zeros(len(self.keys)), "b": np.array([-2.0]), "e": np.zeros((2, 2))}
-        adam, known = Adam(p, 0.1), found >= 0
-        for _ in range(EPOCHS):
-            em = np.zeros((n, length, 2))
-            em[:, :, 1] = p["b"] + np.where(known, p["w"][found], 0).sum(-1)
-            f = [em[:, 0]]
-            for t in range(1, length):
-                f.append(_logsum(f[-1][:, :, None] + p["e"], 1) + em[:, t])
-            z = _logsum(f[-1], 1)
-            b = np.zeros((n, 2))
-            d1, de = np.zeros((n, length)), np.zeros((2, 2))
-            for t in range(length - 1, -1, -1):
-                d1[:, t] = np.exp(f[t][:, 1] + b[:, 1] - z) - y[:, t]
-                if t:
-                    on = em[:, t] + b
-                    both = np.exp(f[t - 1][:, :, None] + p["e"] + on[:, None, :] - z[:, None, None])
-                    de += both.sum(0)
-                    np.subtract.at(de, (y[:, t - 1], y[:, t]), 1)
-                    b = _logsum(p["e"][None] + on[:, None, :], 2)
-            dw = np.bincount(found[known], np.broadcast_to(d1[:, :, None], found.shape)[known], minlength=len(self.keys))
-            adam.step({"w": dw / n + 1e-4 * p["w"], "b": np.array([d1.sum() / n]), "e": de / n + 1e-4 * p["e"]})
+        adam = Adam(p, 0.1)
+        order = np.random.default_rng(0).permutation(len(y))
+        batches = np.array_split(order, max(1, -(-len(y) // BATCH_WINDOWS)))
+        plain = np.full((1, WINDOW, found.shape[2]), -1)
+        for step in range(max(STEPS, EPOCHS * len(batches))):
+            own = batches[step % len(batches)]
+            w = weight[own].astype(float)
+            some = np.concatenate([found[own], plain]), np.concatenate([y[own], np.zeros((1, WINDOW), int)]), np.append(w, max(w.sum(), 1))
+            grads = self.gradient(p, *some)
+            adam.step({k: v + 1e-4 * p[k] * (k != "b") for k, v in grads.items()})
         self.weight, self.bias, self.edges = p["w"], float(p["b"][0]), p["e"]
 
     def marginals(self, at: np.ndarray, scores: np.ndarray, text: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -198,22 +212,37 @@ class ToxicSpans:
         return scores, spans
 
 
-def _likelihood_ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
-    """Half of G for a of na documents against b of nb; 0 where a's share is not the larger."""
+def _likelihood_ratio(na: int, nb: int) -> Column:
+    """Half of G for pos of na documents against n - pos of nb; 0 where the first share isn't larger."""
+    a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
     e = (a + b) / (na + nb)
-    part = lambda o, m: np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(m, 1e-9)), 0)
+    part = lambda o, m: F.when(o > 0, o * F.log(o / m)).otherwise(0.0)
     g = part(a, na * e) + part(b, nb * e) + part(na - a, na * (1 - e)) + part(nb - b, nb * (1 - e))
-    return np.where(a * nb > b * na, g, 0)
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held_out: int = 0, train_docs: int = TRAIN_DOCS, max_features: int = MAX_FEATURES) -> ToxicSpans:
-    """Learns from labelled documents outside the held-out fold. Two passes over the documents pick
-    the bounded sample: one counts features on the executors, one brings its labelled tokens."""
+    return F.when(a * nb > b * na, g).otherwise(0.0)
+
+
+def windows(at: np.ndarray, found: np.ndarray, y: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of WINDOW tokens around tokens with features, their labels, and how often each
+    occurs. at: places of these tokens in their texts, in order; found: features; y: labels."""
+    near = WINDOW // 2
+    place = at + text * (int(at.max(initial=0)) + WINDOW)  # windows of two texts never meet
+    rows = np.full((len(at), WINDOW, found.shape[1] + 1), -1, np.int32)
+    rows[:, :, -1] = 0
+    for k in range(WINDOW):
+        j = np.minimum(np.searchsorted(place, place + k - near), len(place) - 1)
+        there = place[j] == place + k - near
+        rows[there, k, :-1], rows[there, k, -1] = found[j[there]], y[j[there]]
+    flat = np.ascontiguousarray(rows).reshape(len(rows), -1)
+    _, first, count = np.unique(flat.view(np.dtype((np.void, flat.dtype.itemsize * flat.shape[1]))).ravel(), return_index=True, return_counts=True)
+    return rows[first, :, :-1].astype(int), rows[first, :, -1].astype(int), count
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5, held_out: int = 0, train_docs: int = TRAIN_DOCS) -> ToxicSpans:
+    """Learns from labelled documents outside the held-out fold: one pass over the sample counts
+    features on the executors, one brings its tokens that have one."""
     ship(docs.sparkSession)
     model = ToxicSpans()
-    own = sample(docs, labels, label, mod, held_out, train_docs)
-    # One document of each text; at most train_docs rows.
-    own = own.groupBy(F.xxhash64("text").alias("same")).agg(F.min(F.struct("doc_id", "text", "y")).alias("r")).select("r.*")
+    own = checkpoint(sample(docs, labels, label, mod, held_out, train_docs))
 
     def count(batches):
         for part in slices(batches):
@@ -232,21 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(pos), pa.array(n)], ["feature", "pos", "n"])
 
     counts = own.mapInArrow(count, "feature long, pos long, n long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    likely = counts.filter((F.col("feature") == 0) | (F.col("pos") >= MIN_DOCS))
-    most = likely.orderBy(F.col("feature") != 0, F.desc(F.col("pos") / F.col("n") * F.log1p("pos")), "feature").limit(8 * max_features).collect()
-    total = next((r for r in most if r["feature"] == 0), None)
+    counts = checkpoint(counts)
+    total = counts.filter("feature = 0").first()
     if total is None or total["pos"] in (0, total["n"]):
         model.constant = 0.5 if total is None else (total["pos"] + 0.5) / (total["n"] + 1)
+        discard(own, counts)
         return model
-    most = [r for r in most if r["feature"]]
-    na, nb = total["pos"], total["n"] - total["pos"]
-    a = np.array([r["pos"] for r in most], float)
-    ratio = _likelihood_ratio(a, np.array([r["n"] for r in most], float) - a, na, nb)
-    best = np.argsort(-ratio, kind="stable")[:max_features]
-    best = best[ratio[best] >= MIN_RATIO]
-    if not len(best):  # few toxic documents: the likeliest features there are
-        best = np.argsort(-ratio, kind="stable")[:50]
-    model.keys = np.sort(np.array([most[i]["feature"] for i in best], np.int64).view(np.uint64))
+    rated = counts.filter("feature <> 0").withColumn("ratio", _likelihood_ratio(total["pos"], total["n"] - total["pos"]))
+    keys = rated.filter((F.col("pos") >= MIN_DOCS) & (F.col("ratio") >= MIN_RATIO)).select("feature").collect()  # features of the bounded sample
+    if not keys:  # few toxic documents: the likeliest features there are
+        keys = rated.orderBy(F.desc("ratio"), "feature").select("feature").limit(50).collect()
+    model.keys = np.sort(np.array([r["feature"] for r in keys], np.int64).view(np.uint64))
     model.weight = np.zeros(len(model.keys))
 
     def bring(batches):
@@ -259,35 +284,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
             rows = []
             for i in range(part.num_rows):
                 own = hit[slice(*np.searchsorted(text[hit], [i, i + 1]))]
-                own = own[np.unique(np.linspace(0, len(own) - 1, TRAIN_EVENTS).round().astype(int))] if len(own) else own
                 rows.append(((own - base[i]).astype(np.int64).tobytes(), found[own].astype(np.int32).tobytes(), int(tokens[i])))
             at, f, n = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(at, pa.binary()), pa.array(f, pa.binary()), pa.array(n, pa.int64())], ["doc_id", "y", "at", "found", "tokens"])
 
-    rows = own.mapInArrow(bring, "doc_id long, y int, at binary, found binary, tokens long").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["at"], r["found"]))
-    at = [np.frombuffer(r["at"], np.int64) for r in rows]
+    rows = own.mapInArrow(bring, "doc_id long, y int, at binary, found binary, tokens long").collect()  # train_docs rows at most
+    discard(own, counts)
+    rows.sort(key=lambda r: r["doc_id"])
     kinds = 1 + len(BEGINNINGS)
-    found = [np.frombuffer(r["found"], np.int32).reshape(-1, kinds) for r in rows]
+    each = [np.frombuffer(r["at"], np.int64) for r in rows]
+    at = np.concatenate([np.zeros(0, np.int64), *each])
+    found = np.concatenate([np.zeros((0, kinds), np.int32), *(np.frombuffer(r["found"], np.int32).reshape(-1, kinds) for r in rows)])
     y = np.array([r["y"] for r in rows])
-    windows, marks = [], []
-    for p, f, t in zip(at, found, y.tolist()):
-        near = p[None, :] - p[:, None]  # events of one document that share a window
-        for k in range(len(p)):
-            w = np.full((WINDOW, kinds), -1)
-            m = np.zeros(WINDOW, int)
-            for j in np.flatnonzero(abs(near[k]) <= WINDOW // 2).tolist():
-                w[near[k, j] + WINDOW // 2], m[near[k, j] + WINDOW // 2] = f[j], t
-            windows.append(w)
-            marks.append(m)
-    if len(windows) > TRAIN_WINDOWS:
-        some = np.linspace(0, len(windows) - 1, TRAIN_WINDOWS).round().astype(int).tolist()
-        windows, marks = [windows[i] for i in some], [marks[i] for i in some]
-    plain = max(500, len(windows))  # windows of clean tokens
-    model.fit_field(np.concatenate([np.array(windows, int).reshape(-1, WINDOW, kinds), np.full((plain, WINDOW, kinds), -1)]), np.concatenate([np.array(marks, int).reshape(-1, WINDOW), np.zeros((plain, WINDOW), int)]))
-    text = np.repeat(np.arange(len(rows)), [len(p) for p in at])
-    every = np.concatenate([np.zeros((0, kinds), np.int32), *found])
-    m = model.marginals(np.concatenate([np.zeros(0, np.int64), *at]), model.emission(every), text, np.array([r["tokens"] for r in rows]))
+    text = np.repeat(np.arange(len(rows)), [len(p) for p in each])
+    if len(at):
+        model.fit_field(*windows(at, found, y[text], text))
+    m = model.marginals(at, model.emission(found), text, np.array([r["tokens"] for r in rows]))
     model.fit_rule(model.aggregate(m, text, len(rows)), y)
     return model
 
@@ -296,7 +308,7 @@ def score(docs: DataFrame, model: ToxicSpans, keep: list[str], keep_spans: bool
     """The columns in keep, each as `doc.<name>`, with score and spans (character offsets)."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_FEATURES numbers twice
+    shared = spark.sparkContext.broadcast(model)  # features of the bounded sample
     names = [f"k{i}" for i in range(len(keep))]
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*map(quoted, keep)).schema)), "score double"]) + ", spans array<struct<start:int,end:int>>" * keep_spans
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
