@@ -6,10 +6,13 @@ quantile is off by at most 1/16 of its value, and merging is adding counts: the
 depend on the order of rows, tasks or retries. Sketches of (lang, source) are merged into those of
 lang and of everything; a group of under MIN_ROWS rows takes the thresholds of the next wider one.
 A measure fails beyond q3 + FENCE * (q3 - q1) + margin (word length also below q1 likewise).
-Thresholds are joined to the rows by lang and source.
+Thresholds are joined to the rows by lang and source: as a broadcast up to MAX_BROADCAST_GROUPS groups,
+beyond that with frequent groups apart. Where texts are kept, a second pass measures them again, so
+that no text is written or shuffled; else the measures are written once and used twice.
 
 n_* and word_chars are defined in measure(). Null texts are empty: they have no words and fail.
-Null langs and sources are groups of their own. Repeated rows count as often as they occur.
+Null langs and sources are groups of their own. Repeated rows count as often as they occur; an empty
+table has no verdicts; columns are carried under names of their own, so none can clash.
 Equality of words and lines is that of their 64-bit hashes.
 """
 
@@ -20,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import quoted, mix, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import checkpoint, frequent_join, mix, quoted, ship, slices, span_hashes, text_arrays, word_spans
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SKETCH_BITS = 4
 MIN_ROWS, FENCE = 200, 3
+MAX_BROADCAST_GROUPS = 1 << 14
 #: Measure (an integer per thousand): its expression, the least distance of the upper threshold
 #: from q3, and that of the lower one from q1 if there is one.
 MEASURES = {
@@ -113,7 +117,7 @@ def bucket_floor(b: Column) -> Column:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """group_lang, group_source and, for each measure, its lo and hi."""
+    """l and s (lang and source of a group), its rows, and limits: lo and hi for each measure."""
     names = list(MEASURES)
     pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), bucket(F.expr(MEASURES[k][0])).alias("b")) for i, k in enumerate(names))))
     base = measured.select(F.col("`doc.lang`").alias("lang"), F.col("`doc.source`").alias("source"), pairs.alias("p")).groupBy("lang", "source", "p.m", "p.b").count()
@@ -133,20 +137,37 @@ def thresholds(measured: DataFrame) -> DataFrame:
     spread = F.lit(FENCE) * (F.col("q3") - F.col("q1"))
     wide = fences.select("level", "l", "s", "rows", "m", (F.col("q3") + spread + up[F.col("m")]).alias("hi"), (F.col("q1") - spread - down[F.col("m")]).alias("lo"))
     wide = wide.groupBy("level", "l", "s").agg(F.max("rows").alias("rows"), *(F.max(F.when(F.col("m") == i, F.col(c))).alias(f"{c}_{k}") for i, k in enumerate(names) for c in ("lo", "hi")))
-    marks = F.struct("rows", *(f"{c}_{k}" for k in names for c in ("lo", "hi"))).alias("t")
-    by = [wide.filter(F.col("level") == i).select(F.col("l").alias(f"l{i}"), F.col("s").alias(f"s{i}"), marks) for i in range(3)]
-    out = by[0].withColumnRenamed("t", "t0").join(by[1].withColumnRenamed("t", "t1"), F.col("l0").eqNullSafe(F.col("l1"))).join(by[2].withColumnRenamed("t", "t2"), F.col("s2").eqNullSafe(F.col("l2")))
-    chosen = F.when(F.col("t0.rows") >= MIN_ROWS, F.col("t0")).when(F.col("t1.rows") >= MIN_ROWS, F.col("t1")).otherwise(F.col("t2"))
-    return out.select(F.col("l0").alias("group_lang"), F.col("s0").alias("group_source"), chosen.alias("limits"))
+    marks = F.struct("rows", *(f"{c}_{k}" for k in names for c in ("lo", "hi")))
+    wide = checkpoint(wide)  # a row for each group
+    every = wide.filter("level = 2").select(marks.alias("t")).first()
+    if every is None:
+        return wide.select("l", "s", F.lit(0).cast("long").alias("rows"), marks.alias("limits"))
+    every = F.struct(*(F.lit(v).cast("long").alias(k) for k, v in every["t"].asDict().items()))
+    by = [wide.filter(F.col("level") == i).select("l", *["s"] * (i == 0), marks.alias(f"t{i}")) for i in range(2)]
+    out = by[0].join(by[1].withColumnRenamed("l", "l1"), F.col("l").eqNullSafe(F.col("l1")))
+    chosen = F.when(F.col("t0.rows") >= MIN_ROWS, F.col("t0")).when(F.col("t1.rows") >= MIN_ROWS, F.col("t1")).otherwise(every)
+    return out.select("l", "s", F.col("t0.rows").alias("rows"), chosen.alias("limits"))
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in keep (each as `doc.<name>`), the counts, base_failed and kept of each row."""
-    marks = thresholds(with_measures(docs, ["lang", "source"]))
-    rows = with_measures(docs, list(dict.fromkeys([*keep, "lang", "source"])))
+    """The columns in keep, lang and source (each as `doc.<name>`), the counts, base_failed and kept of
+    each row."""
+    texts, keep = "text" in keep, list(dict.fromkeys([*keep, "lang", "source"]))
+    rows = with_measures(docs, keep)
+    if not texts:
+        rows = checkpoint(rows)
+    limits = checkpoint(thresholds(with_measures(docs, ["lang", "source"]) if texts else rows))
     rows = rows.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"))
-    rows = rows.join(marks, F.col("`doc.lang`").eqNullSafe(F.col("group_lang")) & F.col("`doc.source`").eqNullSafe(F.col("group_source")), "left")
+    # Keys without nulls: whether there is a value, and the value.
+    key = lambda c: F.struct(F.isnull(c).alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("name"))
+    limits = limits.select(key(F.col("l")).alias("_l"), key(F.col("s")).alias("_s"), F.col("rows").alias("_rows"), "limits")
+    rows = rows.withColumn("_l", key(F.col("`doc.lang`"))).withColumn("_s", key(F.col("`doc.source`")))
+    if limits.count() <= MAX_BROADCAST_GROUPS:
+        rows = rows.join(F.broadcast(limits), ["_l", "_s"], "left")
+    else:
+        rows = frequent_join(rows, limits, ["_l", "_s"], "_rows", limits.agg(F.sum("_rows")).first()[0])
     inside = F.lit(True)
     for k, (value, _, _) in MEASURES.items():
         inside &= F.expr(value).between(F.col(f"limits.lo_{k}"), F.col(f"limits.hi_{k}"))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return rows.select(*(quoted(f"doc.{c}") for c in keep), *_COUNTS, "base_failed", "kept")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,6 @@ def shifted():
 def test_long_spans_differ(spark):
     from pagemill.llm import tokens
     from pagemill.llm.common import span_hashes_2, text_arrays
-    import pyarrow as pa
     import sentencepiece
 
     a, b = shifted()
@@ -87,7 +87,6 @@ def test_long_spans_differ(spark):
 def test_chunks_that_share_a_key():
     from pagemill.llm import chunk_table, tokens
     from pagemill.llm.common import text_arrays
-    import pyarrow as pa
 
     real = chunk_table.span_hashes_2
     chunk_table.span_hashes_2 = lambda *x: [real(*x)[0] % np.uint64(5), real(*x)[1]]
@@ -103,7 +102,6 @@ def test_chunk_table_starts_anew():
     from pagemill.llm import tokens
     from pagemill.llm.chunk_table import ChunkTable
     from pagemill.llm.common import text_arrays
-    import pyarrow as pa
 
     t = ChunkTable(tokens._bpe_cuts, lambda chunks, opening: (np.frombuffer(b"".join(chunks), np.uint8).astype(np.uint32), np.array([len(c) for c in chunks])), capacity=50)
     for k in range(6):
@@ -127,6 +125,22 @@ def test_records(spark, docs):
     assert empty.count() == 0
 
 
+def test_shuffled_reads_go_through_the_index(spark, docs, tmp_path):
+    out = f"file://{tmp_path}/part-99999"  # a folder's name is no file's number
+    records.write(docs, BPE, 0, out, file_bytes=4000)
+    index = spark.read.parquet(f"{out}/index")
+    assert index.select("file").distinct().count() > 3
+    rows = index.collect()
+    random.Random(2).shuffle(rows)
+    asked = spark.createDataFrame([(k, r.file, r.offset) for k, r in enumerate(rows[:80])], "place long, file int, offset long")
+    got = {r.place: r for r in records.read_at(spark, out, asked).collect()}
+    ts = texts()
+    for k, r in enumerate(rows[:80]):
+        assert got[k].doc_id == r.doc_id and list(got[k].ids) == [*bpe(ts[r.doc_id]), 0] and r.n_tokens == len(got[k].ids)
+    each = sorted((r.doc_id, r.start, r.n_tokens) for r in records.read(spark, out).collect())
+    assert [s for _, s, _ in each] == np.cumsum([0, *(n for _, _, n in each)])[:-1].tolist()
+
+
 def test_damage_is_found():
     data = bytearray(records.frame(-5, np.array([1, 70000], np.uint32), 4) + b"\n")
     assert records.unframe(memoryview(bytes(data)), 0)[0] == -5
@@ -239,9 +253,17 @@ def test_urls(spark, max_bytes):
 
 
 def test_digest_collisions(monkeypatch):
-    monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: len(x) % 2)
+    monkeypatch.setattr(urls, "digest", lambda x: len(x) % 2)
     a = urls.DigestArray([("a.b", "/", "allow"), ("c.d", "/", "block"), ("ee.f", "/", "block")])
-    assert [a.names[j] if j >= 0 else None for j in a.find(["c.d/", "a.b/", "x.y/", "ee.f/", "z"]).tolist()] == ["c.d/", "a.b/", None, "ee.f/", None]
+    names = ["c.d/", "a.b/", "x.y/", "ee.f/", "z"]
+    found = a.find(np.array([len(x) % 2 for x in names]), pa.array(names))
+    assert [a.names[j] if j >= 0 else None for j in found.tolist()] == ["c.d/", "a.b/", None, "ee.f/", None]
+
+
+def test_digest_is_that_of_spark(spark):
+    names = ["", "a", "com/", "é" * 40]
+    got = spark.createDataFrame([(x,) for x in names], "x string").selectExpr("x", "xxhash64(x) AS d").collect()
+    assert all(r.d == urls.digest(r.x) for r in got)
 
 
 TALKS = {
