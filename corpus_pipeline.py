@@ -2,7 +2,8 @@
 
 Every stage takes what its predecessor kept. Rows with a null text count as empty texts. Rows with a
 null doc_id pass the near-duplicate stage, and rows that repeat a doc_id and its text are one
-document there. Columns beside those of documents are carried along up to the packing.
+document there; a doc_id on several texts is several documents. Columns beside those of documents are
+carried along up to the packing, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,12 +31,8 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates."""
-    classes = near_dup.classes(docs)
-    kept = docs.join(classes.filter("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return once.select(*docs.columns)
+    """One document of each class of near duplicates, the least by doc_id and then by its text's hash."""
+    return near_dup.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
