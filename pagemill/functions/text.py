@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,17 +35,29 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\x09-\x0d\x1c-\x20]+", " "))
 
 
+def loosen(folded: Column) -> Column:
+    """Of a folded text: runs of other characters than letters and digits become one space."""
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9]+", " "))
+
+
+def with_folded(rows: DataFrame, text: str = "text", folded: str = "folded", loosened: str = "loosened") -> DataFrame:
+    """Adds the folded text and the loosened one. They are columns of their own, so that whatever tests
+    them many times doesn't fold again: every operator on folded text takes these columns."""
+    return rows.withColumn(folded, fold(F.col(text))).withColumn(loosened, loosen(F.col(folded)))
+
+
 def slugify(text: Column) -> Column:
     slug = F.btrim(F.regexp_replace(fold(text), "[^a-z0-9]+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("document"))
 
 
 def loose(text: Column) -> Column:
-    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
+    return loosen(fold(text))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(fold(text), F.lit("([a-z0-9]+)"), 1)
+def tokens(folded: Column) -> Column:
+    """Runs of letters and digits of a folded text."""
+    return F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1)
 
 
 def count_markers(folded: Column, markers: list[str], window: int | None = None) -> Column:
@@ -57,26 +69,29 @@ def count_markers(folded: Column, markers: list[str], window: int | None = None)
     return total
 
 
-def keyword_hits(text: Column, keywords: list[str]) -> Column:
+def loose_keyword(keyword: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in keyword).split())
+
+
+def keyword_hits(folded: Column, loosened: Column, keywords: list[str]) -> Column:
     """The keywords that a text holds, in their order, duplicates kept: as a substring of the folded
-    text or, for those of two words or more, of the loose one. Keywords are folded already."""
-    folded, loosened = fold(text), loose(text)
+    text or, for those of two words or more, of the loosened one. Keywords are folded already."""
     tests = []
     for k in keywords:
         test = F.contains(folded, F.lit(k))
         if len(k.split()) > 1:
-            test = test | F.contains(loosened, F.lit(" ".join("".join(c if c.isalnum() else " " for c in k).split())))
+            test = test | F.contains(loosened, F.lit(loose_keyword(k)))
         tests.append(F.when(test, F.lit(k)))
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+    return F.filter(F.array(*tests).cast("array<string>"), lambda x: x.isNotNull())
 
 
-def excerpt(text: Column, label: Column, around: int = 420) -> Column:
+def excerpt(text: Column, folded: Column, label: Column, around: int = 420) -> Column:
     """The text around the place where its folded form holds the folded label; else its beginning.
     The place is counted in the folded form."""
-    at = F.call_function("locate", fold(label), fold(text))
+    at = F.call_function("locate", label, folded)
     start = F.greatest(at - around, F.lit(1))
-    found = F.substring(text, start, at - start + F.length(fold(label)) + around)
-    return F.when((at > 0) & (fold(label) != ""), found).otherwise(F.substring(text, 1, 2 * around))
+    found = F.substring(text, start, at - start + F.length(label) + around)
+    return F.when((at > 0) & (label != ""), found).otherwise(F.substring(text, 1, 2 * around))
 
 
 def without_prefix(text: Column, word: str) -> Column:
@@ -108,3 +123,61 @@ def first_object(text: Column) -> Column:
 
     end = F.aggregate(F.split(tail, ""), start, step)["end"]
     return F.when(end > 0, F.substring(tail, F.lit(1), end))
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object of an answer, as a string that can be parsed: the text without a code fence, else
+    the widest {...} in it, else the first balanced one; null if none can be parsed."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    widest = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    fine = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(F.ltrim(c), F.lit("{")), c)
+    return F.coalesce(fine(bare), fine(widest), fine(first_object(bare)))
+
+
+def plain_name(text: Column) -> Column:
+    """A name in lower case, common French accents off, punctuation as spaces, white space collapsed."""
+    c = F.translate(F.lower(F.coalesce(text, F.lit(""))), "éèêàùïîç", "eeeauiic")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[()\[\]{}.,;:/\\_-]+", " "), r"\s+", " "))
+
+
+def narrow_lower(text: Column) -> Column:
+    """Lower case with the accents of French table labels off; other characters stay."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "éèêëàâîïôû", "eeeeaaiiou")
+
+
+def entry_id(parts: list[Column]) -> Column:
+    """Slugs of the parts that aren't blank, joined by _."""
+    slugs = F.array(*(F.when(F.trim(F.coalesce(p.cast("string"), F.lit(""))) != "", slugify(p.cast("string"))) for p in parts))
+    return F.array_join(F.filter(slugs, lambda x: x.isNotNull()), "_")
+
+
+def cache_name(issuer: Column, year: Column, report: Column, ending: str = "pdf") -> Column:
+    return F.concat(slugify(issuer), F.lit("_"), year.cast("string"), F.lit("_"), slugify(report), F.lit(f".{ending}"))
+
+
+def first_filled(values: list[Column]) -> Column:
+    """The first value that isn't blank, trimmed; null if there is none."""
+    return F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in values))
+
+
+def optional_int(value: Column) -> Column:
+    """Whole numbers, also written as 3.0 or with spaces around; null for all else."""
+    number = F.trim(value.cast("string")).try_cast("double")
+    return F.when(number == F.floor(number), number).try_cast("int")
+
+
+def optional_float(value: Column) -> Column:
+    number = F.trim(value.cast("string")).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+
+
+def fine_items(values: Column, cast) -> Column:
+    """The items of a list that `cast` can read."""
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), cast), lambda x: x.isNotNull())
+
+
+def labelled_text(fields: dict[str, Column], body: Column) -> Column:
+    """The text of a page for retrieval: `name: value` of each field (lists joined by spaces), then the
+    page's own text."""
+    parts = [F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in fields.items()]
+    return F.concat_ws(" ", *parts, F.concat(F.lit("page text: "), F.coalesce(body, F.lit(""))))

@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import count_markers, fold, keyword_hits
+from pagemill.functions.text import count_markers, fold, keyword_hits, with_folded
 
 Vocabulary = dict[str, list[str]]
 
 
-def ranked_hits(text: Column, vocabulary: Vocabulary) -> Column:
+def ranked_hits(folded: Column, loosened: Column, vocabulary: Vocabulary) -> Column:
     """Names with a hit, most hits first, ties by name in falling order."""
-    each = [F.struct(F.size(keyword_hits(text, words)).alias("n"), F.lit(name).alias("name")) for name, words in vocabulary.items()]
+    each = [F.struct(F.size(keyword_hits(folded, loosened, words)).alias("n"), F.lit(name).alias("name")) for name, words in vocabulary.items()]
     return F.transform(F.sort_array(F.filter(F.array(*each), lambda x: x["n"] > 0), asc=False), lambda x: x["name"])
 
 
+#: Pages that one task puts in order.
+PAGES_A_TASK = 1 << 20
+
+
 def scope_ranges(pages: DataFrame, document: str, page: str, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """Adds scopes: a page's own, else the first scope of the last page before it that has any."""
-    own = pages.withColumn("_own", ranked_hits(F.col(text), vocabulary))
-    before = Window.partitionBy(document).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.last(F.get("_own", F.lit(0)), ignorenulls=True).over(before)
+    """Adds scopes: a page's own, else the first scope of the last page before it that has any. Pages are
+    reduced to their scopes before they are put in order. A document's pages are dealt to blocks by
+    page number, and what a block hands on is filled in first, so no task holds a whole document."""
+    folded = with_folded(pages, text, "_folded", "_loosened")
+    own = folded.withColumn("_own", ranked_hits(F.col("_folded"), F.col("_loosened"), vocabulary)).drop("_folded", "_loosened")
+    own = own.withColumn("_block", F.expr(f"{page} DIV {PAGES_A_TASK}"))
+    top = F.get("_own", F.lit(0))
+    ends = own.groupBy(document, "_block").agg(F.max_by(top, F.when(top.isNotNull(), F.col(page))).alias("_end"))
+    earlier = Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
+    within = Window.partitionBy(document, "_block").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    filled = F.coalesce(F.last(top, ignorenulls=True).over(within), F.col("_before"))
     scopes = F.when(F.size("_own") > 0, F.col("_own")).when(filled.isNotNull(), F.array(filled)).otherwise(F.array().cast("array<string>"))
-    return own.withColumn("scopes", scopes).drop("_own")
+    return own.join(ends, [document, "_block"]).withColumn("scopes", scopes).drop("_own", "_block", "_before")
 
 
 def sector(pages: DataFrame, document: str, text: str, vocabulary: Vocabulary) -> DataFrame:
     """document, sector, n_hits: the sector with most distinct keywords anywhere in the document,
     the first one on ties. Pages are reduced to flags before the shuffle."""
-    flags = [F.max(F.size(keyword_hits(F.col(text), [w])) > 0).cast("int").alias(f"f{i}_{j}") for i, words in enumerate(vocabulary.values()) for j, w in enumerate(words)]
-    got = pages.groupBy(document).agg(*flags)
+    folded = with_folded(pages.select(document, text), text)
+    flags = [F.max(F.size(keyword_hits(F.col("folded"), F.col("loosened"), [w])) > 0).cast("int").alias(f"f{i}_{j}") for i, words in enumerate(vocabulary.values()) for j, w in enumerate(words)]
+    got = folded.groupBy(document).agg(*flags)
     each = [F.struct(sum((F.col(f"f{i}_{j}") for j in range(len(words))), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, words) in enumerate(vocabulary.items())]
     best = F.array_max(F.array(*each))
     return got.select(document, best["name"].alias("sector"), best["n"].alias("n_hits"))
@@ -45,14 +58,21 @@ def corrected_sector(explicit: Column, hits: dict[str, Column], least: int = 3)
     return out
 
 
-def target_candidates(text: Column, titles: Vocabulary, anchors: Vocabulary) -> Column:
+def titles(folded: Column, loosened: Column, patterns: Vocabulary) -> Column:
+    """Targets of which a title pattern (a regular expression) stands in the text, in their order."""
+    tests = [F.when(F.exists(F.array(*(F.lit(p) for p in ps)), lambda p: F.regexp(folded, p) | F.regexp(loosened, p)), F.lit(k)) for k, ps in patterns.items()]
+    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+
+
+def target_candidates(folded: Column, loosened: Column, titles: Vocabulary, anchors: Vocabulary) -> Column:
     """Targets with a title, or with two anchors or more (a keyword listed twice counts twice)."""
-    tests = [F.when((F.size(keyword_hits(text, titles[k])) > 0) | (F.size(keyword_hits(text, anchors[k])) >= 2), F.lit(k)) for k in titles]
+    hits = lambda words: F.size(keyword_hits(folded, loosened, words))
+    tests = [F.when((hits(titles[k]) > 0) | (hits(anchors[k]) >= 2), F.lit(k)) for k in titles]
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def distinct_anchors(text: Column, anchors: Vocabulary) -> Column:
-    return F.sort_array(F.array_distinct(keyword_hits(text, [w for words in anchors.values() for w in words])))
+def distinct_anchors(folded: Column, loosened: Column, anchors: Vocabulary) -> Column:
+    return F.sort_array(F.array_distinct(keyword_hits(folded, loosened, [w for words in anchors.values() for w in words])))
 
 
 def matched_rules(folded: Column, rules: dict[str, tuple[int | None, int, list[str]]]) -> Column:

@@ -2,9 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import entry_id, optional_int
+
+# Reasons that a failure can be given, and words for verdicts.
+REASONS = ("WRONG_PAGE", "WRONG_SCOPE", "WRONG_TABLE", "BAD_CROP", "PARTIAL_TABLE", "MISSING_ROWS", "OCR_ERROR", "OTHER")
+PASS_WORDS = ("pass", "passed", "ok", "valid", "correct")
+FAIL_WORDS = ("fail", "failed", "ko", "wrong", "incorrect")
+
+
+def verdict(value: Column) -> Column:
+    """PASS or FAIL from a user's word; another word is an error of the row."""
+    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(v.isin(*PASS_WORDS), "PASS").when(v.isin(*FAIL_WORDS), "FAIL").otherwise(F.raise_error(F.concat(F.lit("no verdict: "), v)).cast("string"))
+
+
+def reason(value: Column, reasons=REASONS) -> Column:
+    """A failure's reason in upper case, null if blank; an unknown one is an error of the row."""
+    v = F.upper(F.trim(value))
+    return F.when(F.coalesce(v, F.lit("")) == "", F.lit(None).cast("string")).when(v.isin(*reasons), v).otherwise(F.raise_error(F.concat(F.lit("no such reason: "), v)).cast("string"))
+
+
+def entries(jobs: DataFrame, validated_at: Column) -> DataFrame:
+    """Benchmark entries from judged jobs (job_id, company, year, report, scope, target, predicted_page,
+    expected_page, verdict, reason): a passed job expects the page that was predicted, and has no reason."""
+    found = verdict(F.col("verdict"))
+    rows = jobs.withColumn("_v", found).withColumn("_p", optional_int(F.col("predicted_page")))
+    passed = F.col("_v") == "PASS"
+    return rows.select(
+        entry_id([F.col(c) for c in ("company", "year", "report", "scope", "target")]).alias("id"),
+        F.col("job_id").alias("source_job_id"), "company", "year", "report", "scope", "target",
+        F.when(passed, F.col("_p")).otherwise(optional_int(F.col("expected_page"))).alias("expected_page"), F.col("_p").alias("predicted_page"),
+        F.col("_v").alias("validation_result"), F.when(~passed, reason(F.col("reason"))).alias("failure_reason"), validated_at.alias("validated_at"),
+    )
+
+
+def saved(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Entries after an upsert by either key: a fresh entry takes the place (pos) of the first stored one
+    with its source_job_id or else its id; others are appended. A stored entry that two fresh ones take
+    goes to the later of them."""
+    columns = [c for c in stored.columns if c != "pos"]
+    new = fresh.withColumn("_f", F.row_number().over(Window.orderBy("source_job_id", "id")))
+    met = stored.select("pos", F.col("source_job_id").alias("_k")).filter("_k <> ''").join(new.withColumnRenamed("source_job_id", "_k").select("_k", "_f"), "_k").select("pos", "_f")
+    met = met.unionAll(stored.select("pos", F.col("id").alias("_k")).filter("_k <> ''").join(new.withColumnRenamed("id", "_k").select("_k", "_f"), "_k").select("pos", "_f"))
+    place = met.groupBy("_f").agg(F.min("pos").alias("pos"))
+    taken = new.join(place, "_f", "left")
+    end = stored.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_end"))
+    fresh_rows = taken.crossJoin(F.broadcast(end)).select(F.coalesce("pos", F.col("_end") + F.col("_f")).alias("pos"), *columns, F.lit(1).alias("_n"), "_f")
+    both = stored.select("pos", *columns, F.lit(0).alias("_n"), F.lit(0).alias("_f")).unionByName(fresh_rows)
+    last = F.max_by(F.struct(*columns), F.struct("_n", "_f")).alias("r")
+    return both.groupBy("pos").agg(last).select("pos", "r.*")
+
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of both, one for each key: a fresh row replaces a stored one, the latest of several wins.
@@ -25,3 +75,48 @@ def latest(events: DataFrame, key: str, time: str, tie: str, columns: list[str])
     """The last row of each key by time, then tie."""
     pick = F.max_by(F.struct(time, tie, *columns), F.struct(time, tie)).alias("r")
     return events.groupBy(key).agg(pick).select(key, "r.*")
+
+
+def previous_pages(selected: DataFrame, key: list[str], time: str) -> DataFrame:
+    """key, page of the last selection; null pages don't count."""
+    fine = selected.filter(F.col("page").isNotNull())
+    return fine.groupBy(*key).agg(F.max_by("page", F.struct(time, "page")).alias("page"))
+
+
+def case_report(cases: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """Cases with their outcome: passed if the selected page is the expected one and a crop exists; a case
+    without an outcome failed with not_run."""
+    rows = cases.join(outcomes, key, "left")
+    same = F.coalesce(F.col("selected_page") == F.col("expected_page"), F.lit(False))
+    crop = F.coalesce(F.col("crop_exists"), F.lit(False))
+    why = F.when(F.col("selected_page").isNull(), "not_run").when(~same, "wrong_page").when(~crop, "no_crop")
+    return rows.withColumn("passed", same & crop).withColumn("failure", why)
+
+
+def filtered_cases(cases: DataFrame, company: str = "", target: str = "", limit: int | None = None, order: str = "pos") -> DataFrame:
+    """Cases whose company and target hold the given words, whatever their case; the first `limit` in order."""
+    has = lambda c, w: F.contains(F.lower(c), F.lit(w.lower()))
+    rows = cases.filter(has("company", company) & has("target", target))
+    return rows if limit is None else rows.orderBy(order).limit(limit)
+
+
+#: Progress of a pending job by its step.
+PROGRESS = {"submit": 0, "ensure_pdf": 5, "external_submit": 5, "external_running": 10, "crop_and_vision": 30}
+TERMINAL = ("success", "error", "partial")
+
+
+def job_states(events: DataFrame, job: str, time: str, tie: str) -> DataFrame:
+    """job, status, step, progress, finished from events (status, step): the first terminal status stands, for
+    nothing changes a finished job; else the last event, with the largest progress so far. Events are
+    reduced before the shuffle."""
+    known = F.create_map(*(x for k, v in PROGRESS.items() for x in (F.lit(k), F.lit(v))))
+    ended = F.col("status").isin(*TERMINAL)
+    at = F.struct(time, tie)
+    row = F.struct("status", "step")
+    got = events.groupBy(job).agg(
+        F.min_by(F.when(ended, row), F.when(ended, at)).alias("_end"), F.max_by(row, at).alias("_last"),
+        F.max(F.coalesce(F.try_element_at(known, F.col("step")), F.lit(0))).alias("_p"),
+    )
+    done = F.col("_end").isNotNull()
+    state = F.coalesce("_end", "_last")
+    return got.select(job, F.when(done, state["status"]).otherwise("pending").alias("status"), state["step"].alias("step"), F.when(done, 100).otherwise(F.col("_p")).alias("progress"), done.alias("finished"))

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def densest_cluster(lines: DataFrame, page: list[str], top: str, bottom: str, label: str, gap: float) -> DataFrame:
     """Of each page, the run of lines without a vertical gap over `gap` that has most distinct
-    labels, then most lines; the first on ties. n_labels, n_lines, y0, y1."""
+    labels, then most lines; the first on ties. n_labels, n_lines, y0, y1. Two lines or fewer are a run in
+    any case."""
     w = Window.partitionBy(*page).orderBy(top, bottom, label)
-    new = (F.col(top) - F.lag(bottom).over(w) > gap).cast("int")
+    few = F.count("*").over(Window.partitionBy(*page)) <= 2
+    new = ((F.col(top) - F.lag(bottom).over(w) > gap) & ~few).cast("int")
     runs = lines.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_run", F.sum("_new").over(w))
     sizes = runs.groupBy(*page, "_run").agg(F.count_distinct(label).alias("n_labels"), F.count("*").alias("n_lines"), F.min(top).alias("y0"), F.max(bottom).alias("y1"))
     best = F.max_by(F.struct("n_labels", "n_lines", "y0", "y1"), F.struct("n_labels", "n_lines", -F.col("_run"))).alias("b")
@@ -51,6 +53,23 @@ def candidate_rank(retrieval: Column, confidence: Column, scope: Column, signatu
     return F.greatest(0.50 * retrieval + 0.25 * confidence + 0.10 * scope + 0.12 * signature + 0.03 * anchor + penalty, F.lit(0.0))
 
 
+def income_penalty(signature: Column, anchor: Column, whole_page: Column, titled: Column) -> Column:
+    """What a candidate of an income statement loses for the whole page as its box and for an unconfirmed
+    title, and gains for a dense signature."""
+    lost = F.when(whole_page & (signature < 0.10) & (anchor < 0.10), 0.16).otherwise(0.0) + F.when(~titled & (signature < 0.15), 0.10).otherwise(0.0)
+    return F.when(signature >= 0.35, 0.08).otherwise(0.0) - lost
+
+
+def ranked_candidates(candidates: DataFrame, pages: DataFrame, document: list[str], page: str) -> DataFrame:
+    """Candidates (page, confidence, income, whole_page, titled) with their page's scores (score, scope_score,
+    sig, anchor_score; 0 where the page has none), rank_score and rank by it, then page."""
+    terms = ["score", "scope_score", "sig", "anchor_score"]
+    rows = candidates.join(pages.select(*document, page, *terms), [*document, page], "left").fillna(0.0, terms)
+    penalty = F.when(F.col("income"), income_penalty(F.col("sig"), F.col("anchor_score"), F.col("whole_page"), F.col("titled"))).otherwise(0.0)
+    rows = rows.withColumn("rank_score", candidate_rank(F.col("score"), F.col("confidence"), F.col("scope_score"), F.col("sig"), F.col("anchor_score"), penalty))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*document).orderBy(F.desc("rank_score"), page)))
+
+
 def least_hits(n: Column, income: bool) -> Column:
     """How many of n signature lines a region must hold."""
     share, floor = (0.22, 8) if income else (0.25, 7)

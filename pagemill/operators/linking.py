@@ -1,51 +1,84 @@
-"""Matching of issuers by names and aliases, and of links in web pages."""
+"""Matching of issuers by names and aliases, of links in web pages, and of files to requests."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import loose
+from pagemill.functions.text import plain_name
 
-#: Least length of a name that counts where it stands within another.
+# Least length of a name that counts where it stands within another; words that don't
+# count in initials, and in shares of words; markers of half-year and annual reports in links and files.
 INSIDE = 8
+NOT_INITIALS = ("societe", "banque", "bank", "groupe")
+NOT_SHARED = ("de", "du", "des", "la", "le", "les", "et", "sa", "spa", "societe", "bank", "banque")
+HALF_YEAR_IN_URL = ("rfs", "s1", "semestre", "juin", "30-06", "30/06")
+ANNUAL_IN_URL = ("rfa", "annuel", "31-12", "31/12")
+HALF_YEAR_IN_LINK = ("1er semestre", "premier semestre", "semestr", "rfs", "s1", "30/06")
+ANNUAL_IN_LINK = ("annuel", "annuels", "rfa", "31/12")
+HALF_YEAR_IN_REPORT = ("1er semestre", "premier semestre", "semestre", "juin", "30/06", "30 06")
+ANNUAL_IN_REPORT = ("annuel", "rapports annuels", "rfa", "31/12", "31 12")
+
+
+def any_of(text: Column, words) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
 
 
 def aliases(name: Column) -> Column:
-    """The name, its parts in parentheses, and the initials of its words of over two characters."""
-    inner = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"\(([^)]*)\)"), 1)
-    words = F.filter(F.split(loose(name), " "), lambda w: F.length(w) > 2)
+    """The plain name, its parts in parentheses, and the initials of its words of over two characters
+    but NOT_INITIALS, if there are two or more."""
+    plain = plain_name(name)
+    inner = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"\(([^)]+)\)"), 1)
+    words = F.filter(F.split(plain, " "), lambda w: (F.length(w) > 2) & ~w.isin(*NOT_INITIALS))
     initials = F.when(F.size(words) >= 2, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
-    every = F.concat(F.array(loose(name)), F.transform(inner, loose), F.array(initials))
+    every = F.concat(F.array(plain), F.transform(inner, plain_name), F.array(initials))
     return F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))
 
 
-def match_score(a: Column, b: Column) -> Column:
-    """100 equal, 95 a shared alias, 80 or 70 one name within the other, 75 or 60 by shared words."""
-    x, y = loose(a), loose(b)
-    wx, wy = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
-    share = F.size(F.array_intersect(wx, wy)) / F.greatest(F.least(F.size(wx), F.size(wy)), F.lit(1))
+def telling_words(plain: Column) -> Column:
+    """Distinct words of over two characters but NOT_SHARED."""
+    return F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) > 2) & ~w.isin(*NOT_SHARED)))
+
+
+def match_score(name: Column, label: Column) -> Column:
+    """100 equal, 95 a shared alias, 80 the name within the label, 70 the label within the name, 75 or 60
+    where the label has 8 or 6 tenths of the name's telling words, else 0."""
+    x, y = plain_name(name), plain_name(label)
+    own, theirs = telling_words(x), telling_words(y)
+    shared = F.size(F.array_intersect(own, theirs))
+    share = F.when(F.size(own) > 0, shared / F.size(own)).otherwise(0.0)
     inside = lambda p, q: (F.length(p) >= INSIDE) & F.contains(q, p)
-    return F.when((x == "") | (y == ""), 0).when(x == y, 100).when(F.arrays_overlap(aliases(a), aliases(b)), 95).when(inside(x, y), 80).when(inside(y, x), 70).when(share >= 0.8, 75).when(share >= 0.6, 60).otherwise(0)
+    return F.when((x == "") | (y == ""), 0).when(x == y, 100).when(F.arrays_overlap(aliases(name), aliases(label)), 95).when(inside(x, y), 80).when(inside(y, x), 70).when(share >= 0.8, 75).when(share >= 0.6, 60).otherwise(0)
+
+
+def _rarest(rows: DataFrame, key: str, keys: Column, other: DataFrame, k: Column) -> DataFrame:
+    """key, _k: of each row's keys those k that the fewest rows of other (which has _k) have."""
+    each = rows.select(key, k.alias("_take"), F.explode(keys).alias("_k"))
+    often = other.groupBy("_k").agg(F.count("*").alias("_df"))
+    rated = each.join(often, "_k", "left").groupBy(key).agg(F.first("_take").alias("_take"), F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_k"))).alias("_own"))  # keys of one name
+    return rated.select(key, F.explode(F.slice("_own", F.lit(1), F.col("_take"))).alias("_o")).select(key, F.col("_o._k").alias("_k"))
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, least: int = 60) -> DataFrame:
-    """The best right row of each left row, the least key on ties. Pairs meet by every way to score:
-    equal names and shared aliases (where the least right key of a name or an alias is enough), shared
-    words, and the first INSIDE characters of a name among those of the other."""
-    a = left.select(left_key, left_name, loose(F.col(left_name)).alias("_x")).filter("_x <> ''")
-    b = right.select(right_key, right_name, loose(F.col(right_name)).alias("_y")).filter("_y <> ''")
-    tagged = lambda tag, keys: F.transform(keys, lambda k: F.concat(F.lit(tag), k))
-    words = lambda c: tagged("w", F.array_distinct(F.split(c, " ")))
-    long_ = lambda c, keys: F.when(F.length(c) >= INSIDE, keys).otherwise(F.array().cast("array<string>"))
-    head = lambda tag, c: tagged(tag, long_(c, F.array(F.substring(c, 1, INSIDE))))
-    grams = lambda tag, c: tagged(tag, long_(c, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - INSIDE + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(INSIDE))))))
-    x, y = F.col("_x"), F.col("_y")
-    asked = a.select(left_key, left_name, F.explode(F.concat(words(x), head("l", x), grams("r", x))).alias("_k"))
-    met = b.select(right_key, right_name, F.explode(F.concat(words(y), grams("l", y), head("r", y))).alias("_k"))
-    pairs = asked.join(met, "_k").select(left_key, left_name, right_key, right_name).distinct()
-    scored = pairs.select(left_key, right_key, match_score(F.col(left_name), F.col(right_name)).alias("score"))
-    equal = a.join(b.groupBy("_y").agg(F.min(right_key).alias(right_key)), x == y).select(left_key, right_key, F.lit(100).alias("score"))
+    """The best right row of each left row, the least key on ties. Pairs meet by every way to score, each
+    by its rarest key: equal names and shared aliases (where the least right key is enough), so many
+    words that six tenths can't be shared without one of them, and one run of INSIDE characters."""
+    a = left.select(left_key, left_name, plain_name(F.col(left_name)).alias("_x")).filter("_x <> ''")
+    b = right.select(right_key, right_name, plain_name(F.col(right_name)).alias("_y")).filter("_y <> ''")
+    one = F.lit(1)
+    grams = lambda c: F.when(F.length(c) >= INSIDE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - INSIDE + 1, one)), lambda i: F.substring(c, i, F.lit(INSIDE))))).otherwise(F.array().cast("array<string>"))
+    words_a, words_b = telling_words(F.col("_x")), telling_words(F.col("_y"))
+    by_word = b.select(right_key, F.explode(words_b).alias("_k"))
+    enough = F.size(words_a) - F.ceil(F.size(words_a) * 0.6) + 1
+    pairs = _rarest(a, left_key, words_a, by_word, enough.cast("int")).join(by_word, "_k").select(left_key, right_key)
+    grams_a, grams_b = a.select(left_key, F.explode(grams(F.col("_x"))).alias("_k")), b.select(right_key, F.explode(grams(F.col("_y"))).alias("_k"))
+    pairs = pairs.unionAll(_rarest(a, left_key, grams(F.col("_x")), grams_b, one).join(grams_b, "_k").select(left_key, right_key))
+    pairs = pairs.unionAll(_rarest(b, right_key, grams(F.col("_y")), grams_a, one).join(grams_a, "_k").select(left_key, right_key)).distinct()
+    scored = pairs.join(a, left_key).join(b, right_key).select(left_key, right_key, match_score(F.col(left_name), F.col(right_name)).alias("score"))
+    equal = a.join(b.groupBy("_y").agg(F.min(right_key).alias(right_key)), F.col("_x") == F.col("_y")).select(left_key, right_key, F.lit(100).alias("score"))
     known = b.select(right_key, F.explode(aliases(F.col(right_name))).alias("_k")).groupBy("_k").agg(F.min(right_key).alias(right_key))
     shared = a.select(left_key, F.explode(aliases(F.col(left_name))).alias("_k")).join(known, "_k").select(left_key, right_key, F.lit(95).alias("score"))
     best = F.max_by(F.struct("score", right_key), F.struct("score", -F.col(right_key))).alias("b")
@@ -53,10 +86,77 @@ def best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str,
     return found.select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.score").alias("score"))
 
 
+def sector_of(issuers: DataFrame, known: DataFrame, name: str, markers: list[tuple[str, list[str]]], default: str = "other") -> DataFrame:
+    """Adds sector: that of the table (name, sector) by the raw, the plain or the punctuation-free name,
+    in this order; else the first of markers (sector, words) that the plain name holds; else default."""
+    from pagemill.functions.text import loose
+
+    raw = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    rows = issuers
+    for i, key in enumerate((raw, plain_name, loose)):
+        table = known.select(key(F.col("name")).alias(f"_n{i}"), "sector").groupBy(f"_n{i}").agg(F.min("sector").alias(f"_s{i}"))
+        rows = rows.withColumn(f"_n{i}", key(F.col(name))).join(table, f"_n{i}", "left")
+    plain = plain_name(F.col(name))
+    guess = F.lit(None).cast("string")
+    for sector, words in markers:
+        guess = F.coalesce(guess, F.when(any_of(plain, words), F.lit(sector)))
+    return rows.withColumn("sector", F.coalesce("_s0", "_s1", "_s2", guess, F.lit(default))).drop("_n0", "_n1", "_n2", "_s0", "_s1", "_s2")
+
+
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, pos, href of every anchor of a page, in order from 0."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), 1)
-    return pages.select(key, F.posexplode(found).alias("pos", "href"))
+    """key, pos, href, label (up to the first tag) of every anchor of a page, in order from 0."""
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<a\s[^>]*?href="[^"]*"[^>]*>[^<]*)'), 1)
+    each = pages.select(key, F.posexplode(found).alias("pos", "_a"))
+    text = F.trim(F.regexp_replace(F.regexp_extract("_a", r"(?s)>([^<]*)$", 1), r"\s+", " "))
+    return each.select(key, "pos", F.regexp_extract("_a", r'(?i)href="([^"]*)"', 1).alias("href"), text.alias("label"))
+
+
+def options(pages: DataFrame, key: str, html: str, skip: str = "All") -> DataFrame:
+    """key, pos, value, label of the <option>s of a page but the one of value `skip`."""
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<option\s[^>]*?value="[^"]*"[^>]*>[^<]*)'), 1)
+    each = pages.select(key, F.posexplode(found).alias("pos", "_o"))
+    each = each.select(key, "pos", F.regexp_extract("_o", r'(?i)value="([^"]*)"', 1).alias("value"), F.trim(F.regexp_replace("_o", r"(?is)^<option[^>]*>", "")).alias("label"))
+    return each.filter((F.col("value") != skip) & (F.col("value") != ""))
+
+
+def table_row_link(row: Column, path: str) -> Column:
+    """href, year and label of an HTML table row: the third cell has the year (its text, or the start of
+    a datetime), the fourth the first link whose address holds `path`."""
+    cells = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>((?:(?!</td>).)*)"), 1)
+    year_cell, link_cell = F.coalesce(F.get(cells, F.lit(2)), F.lit("")), F.coalesce(F.get(cells, F.lit(3)), F.lit(""))
+    shown = F.trim(F.regexp_extract(year_cell, r"(?is)<time[^>]*>([^<]*)", 1))
+    dated = F.regexp_extract(year_cell, r'(?i)datetime="(\d{4})', 1)
+    year = F.when(shown.rlike(r"^\d+$"), shown).otherwise(F.nullif(dated, F.lit(""))).try_cast("int")
+    anchors = F.regexp_extract_all(link_cell, F.lit(r'(?is)(<a\s[^>]*?href="[^"]*"[^>]*>[^<]*)'), 1)
+    own = F.get(F.filter(anchors, lambda a: F.contains(F.regexp_extract(a, r'(?i)href="([^"]*)"', 1), F.lit(path))), F.lit(0))
+    some = F.size(cells) >= 4
+    return F.struct(F.when(some, F.trim(F.regexp_extract(own, r'(?i)href="([^"]*)"', 1))).alias("href"), F.when(some, year).alias("year"), F.coalesce(F.when(some, F.trim(F.regexp_replace(own, r"(?is)^<a[^>]*>", ""))), F.lit("")).alias("label"))
+
+
+def listed_issuers(found: DataFrame) -> DataFrame:
+    """code, label of links (href, label) whose last path segment is a number: one for each label in lower
+    case with white space collapsed (the least code), in the order of labels."""
+    code = F.regexp_extract(F.regexp_replace("href", r"[?#].*$", ""), r"/([0-9]+)/?$", 1)
+    name = F.lower(F.trim(F.regexp_replace("label", r"\s+", " ")))
+    rows = found.select(code.alias("code"), F.trim("label").alias("label"), name.alias("_n")).filter("code <> '' AND _n <> ''")
+    best = F.min(F.struct(F.length("code").alias("n"), "code", "label")).alias("b")
+    return rows.groupBy("_n").agg(best).select("b.code", "b.label").orderBy(F.lower("label"), "code")
+
+
+def merged_issuers(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """code, label of both lists by code in lower case; the fresh one wins."""
+    both = stored.select("code", "label", F.lit(0).alias("_o")).unionByName(fresh.select("code", "label", F.lit(1).alias("_o")))
+    last = F.max_by(F.struct("code", "label"), F.struct("_o", "code", "label")).alias("r")
+    return both.groupBy(F.lower("code").alias("_k")).agg(last).select("r.*")
+
+
+def first_urls(found: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """group, rank, url: the first `limit` distinct urls of search results (group, source_rank, pos, url):
+    those of the first source that found any."""
+    first = found.groupBy(*group).agg(F.min("source_rank").alias("source_rank"))
+    own = found.join(first, [*group, "source_rank"]).groupBy(*group, "url").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("pos", "url"))
+    return own.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*group, "rank", "url")
 
 
 def unwrapped(url: Column) -> Column:
@@ -67,13 +167,99 @@ def unwrapped(url: Column) -> Column:
     return F.when(query != "", F.url_decode(query)).when(coded != "", F.try_to_binary(padded, F.lit("base64")).cast("string")).otherwise(url)
 
 
-def link_score(href: Column, year: Column, want: list[str], avoid: list[str]) -> Column:
-    """Additive score of a link; -100 if it names something to avoid."""
-    low = F.lower(href)
-    bad = F.lit(False)
-    for w in avoid:
-        bad = bad | F.contains(low, F.lit(w))
-    total = F.when(F.contains(low, year.cast("string")), 30).otherwise(0)
-    for w in want:
-        total = total + F.when(F.contains(low, F.lit(w)), 20).otherwise(0)
-    return F.when(bad, -100).otherwise(total)
+def queries_for(issuer: Column, year: Column, report: Column, scope: Column, site: str) -> Column:
+    """Search strings for a report, the most exact first."""
+    kind = F.when(report == "s1", "rapport semestriel").otherwise("rapport annuel")
+    accounts = F.when(scope == "consolidated", "comptes consolides").otherwise("comptes sociaux")
+    words = lambda *parts: F.concat_ws(" ", *parts)
+    quoted = F.concat(F.lit('"'), issuer, F.lit('"'))
+    pdf, there = F.lit("filetype:pdf"), F.lit(f"site:{site}")
+    y = year.cast("string")
+    return F.array(words(there, quoted, y, kind, pdf), words(there, quoted, y, pdf), words(quoted, kind, y, accounts, pdf), words(quoted, kind, y, pdf), words(issuer, accounts, y, pdf), words(issuer, kind, y), words(issuer, F.lit("etats financiers"), y))
+
+
+def url_score(url: Column, issuer: Column, year: Column, scope: Column, report: Column, domain: str, strict: bool = True) -> Column:
+    """Additive score of a url for a request; -100 if it is no PDF, or in strict mode of the other kind of
+    report. Accept 40 or more in strict mode, else 35."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    half, yearly = any_of(u, HALF_YEAR_IN_URL), any_of(u, ANNUAL_IN_URL)
+    wants_half = report == "s1"
+    conflict = F.when(wants_half, yearly & ~half).otherwise(half & ~yearly)
+    total = F.when(F.contains(u, F.lit(domain)), 40).otherwise(0) + F.when(F.contains(u, year.cast("string")), 20).otherwise(0)
+    total = total + F.least(match_score(issuer, F.translate(u, "-_", "  ")), F.lit(40))
+    total = total + F.when(F.when(wants_half, half).otherwise(yearly), 25).otherwise(0)
+    joint = F.contains(u, F.lit("consolid"))
+    total = total + F.when(joint & (scope == "consolidated"), 8).when(joint & (scope == "statutory"), -8).otherwise(0)
+    if not strict:
+        return F.when(~F.contains(u, F.lit(".pdf")), -100).otherwise(total - F.when(conflict, 10).otherwise(0))
+    return F.when(~F.contains(u, F.lit(".pdf")) | conflict, -100).otherwise(total)
+
+
+def pdf_link_score(href: Column, label: Column, year: Column, scope: Column, report: Column) -> Column:
+    """Score of a page's link for a request; null if it is no PDF of that year and kind of report."""
+    h = F.lower(F.coalesce(href, F.lit("")))
+    t = F.translate(F.lower(F.coalesce(label, F.lit(""))), "éè", "ee")
+    full, short = year.cast("string"), F.lpad((year % 100).cast("string"), 2, "0")
+    alone = lambda c: F.regexp(c, F.concat(F.lit("(^|[^0-9])"), short, F.lit("([^0-9]|$)")))
+    dated = F.contains(h, full) | F.contains(t, full) | alone(h) | alone(t)
+    either = lambda words: any_of(h, words) | any_of(t, words)
+    half, yearly, wants_half = either(HALF_YEAR_IN_LINK), either(ANNUAL_IN_LINK), report == "s1"
+    conflict = F.when(wants_half, yearly & ~half).otherwise(half & ~yearly)
+    joint = F.contains(h, F.lit("consolid")) | F.contains(t, F.lit("consolid"))
+    total = F.when(scope == "consolidated", F.when(joint, 20).otherwise(-12)).otherwise(F.when(joint, -15).otherwise(8))
+    points = lambda want, avoid, up: F.when(want, up).otherwise(0) - F.when(avoid, 20).otherwise(0)
+    total = total + F.when(wants_half, points(half, yearly, 25)).otherwise(points(yearly, half, 20))
+    total = total + F.when(F.contains(t, full) | F.contains(t, short), 3).otherwise(0)
+    return F.when(F.endswith(h, F.lit(".pdf")) & dated & ~conflict, total)
+
+
+def best_link(scored: DataFrame, group: list[str], score: str = "score", least: int = 0) -> DataFrame:
+    """The link of each group with the highest score of at least `least`, the first on ties."""
+    fine = scored.filter(F.col(score) >= least)
+    columns = [c for c in scored.columns if c not in group]
+    return fine.groupBy(*group).agg(F.max_by(F.struct(*columns), F.struct(score, -F.col("pos"))).alias("r")).select(*group, "r.*")
+
+
+def stem_fits(stem: Column, report: Column) -> Column:
+    """Whether a file's name doesn't contradict the kind of report."""
+    s = F.translate(F.lower(F.coalesce(stem, F.lit(""))), "éè", "ee")
+    has = lambda *words: any_of(s, words)
+    other = has("rfa") & ~has("rfs", "semestre", "s1", "1er")
+    half = ~other & has("rfs", "s1", "semestre", "1er", "juin")
+    yearly = ~(has("_s1") | s.rlike("(^|[^a-z])s1([^a-z]|$)")) & ~(has("rfs") & ~has("rfa")) & ~(has("semestre") & ~has("annuel", "rfa"))
+    return F.when(report == "s1", half).otherwise(yearly)
+
+
+def first_pages(pages: DataFrame, document: str, page: str, text: str, n: int = 4) -> DataFrame:
+    """document, head: the text of the first n pages by page number."""
+    return pages.filter(F.col(page) <= n).groupBy(document).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("head"))  # n pages at most
+
+
+def is_requested_report(head: Column, url: Column, issuer: Column, year: Column, report: Column) -> Column:
+    """Whether the first pages or the url name the year and the issuer, and no other kind of report alone."""
+    t, u, y = plain_name(head), plain_name(url), year.cast("string")
+    either = lambda words: any_of(u, words) | any_of(t, words)
+    half, yearly = either(HALF_YEAR_IN_REPORT), either(ANNUAL_IN_REPORT)
+    conflict = F.when(report == "s1", yearly & ~half).otherwise(half & ~yearly)
+    named = F.greatest(match_score(issuer, u), match_score(issuer, t)) >= 40
+    return (F.contains(u, y) | F.contains(t, y)) & named & ~conflict
+
+
+def overrides(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """key, url: for each request (issuer, year, report, scope) the first of the override rows (pos, issuer,
+    aliases, year, report, scope, url) of the same year and report, whose scope is empty or the same and
+    whose name or an alias is one of the issuer's. Rows meet by year, report and name."""
+    fine = rows.filter(F.startswith(F.lower("url"), F.lit("http")))
+    names = F.array_distinct(F.concat(F.array(plain_name(F.col("issuer"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), plain_name)))
+    b = fine.select("pos", "url", F.col("year"), F.col("report"), F.col("scope").alias("_scope"), F.explode(F.filter(names, lambda n: n != "")).alias("_n"))
+    a = requests.select(key, "year", "report", "scope", F.explode(aliases(F.col("issuer"))).alias("_n"))
+    met = a.join(b, ["year", "report", "_n"]).filter((F.coalesce("_scope", F.lit("")) == "") | (F.col("_scope") == F.col("scope")))
+    return met.groupBy(key).agg(F.min(F.struct("pos", "url")).alias("r")).select(key, "r.url")
+
+
+def first_success(found: DataFrame, request: str) -> DataFrame:
+    """request, strategy, url: of candidates (strategy_rank, strategy, score, accept, url) the first by the
+    rank of its strategy, then by score, that reached its strategy's mark."""
+    fine = found.filter(F.col("score") >= F.col("accept"))
+    best = F.min(F.struct("strategy_rank", (-F.col("score")).alias("_s"), "url", "strategy")).alias("r")
+    return fine.groupBy(request).agg(best).select(request, "r.strategy", "r.url")

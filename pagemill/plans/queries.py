@@ -5,13 +5,12 @@ tables' invented prose."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import classify, feedback, geometry, linking, retrieval, tables
+from pagemill.operators import classify, feedback, geometry, retrieval, tables
+from pagemill.plans.registry import ORACLES, QUERIES, fold_sql, hits_sql, loose_sql, query, quote, read  # noqa: F401
 from pagemill.streaming import jobs
 
 SCOPES = {"consolidated": ["the", "and the"], "statutory": ["der", "die "], "mixed": ["le ", "de la"]}
@@ -20,44 +19,13 @@ TITLES = {"assets": ["of the"], "equity": ["und der"], "income": ["de la"]}
 ANCHORS = {"assets": ["ing", "tion", "ing"], "equity": ["ung", "keit"], "income": ["ment", "eaux"]}
 KEYWORDS = ["the", "of the", "and, the", "tion", "der die", "le"]
 QUERY = "the of and thonan tion the"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-# What the SQL repeats: folded text, keyword hits.
-def fold_sql(x: str) -> str:
-    c = f"lower(coalesce({x}, ''))"
-    for a, b in T.LIGATURES.items():
-        c = f"replace({c}, '{a}', '{b}')"
-    return f"trim(regexp_replace(regexp_replace(strip_accents({c}), '[^\\x00-\\x7F]', '', 'g'), '[\\x09-\\x0d\\x1c-\\x20]+', ' ', 'g'))"
-
-
-def loose_sql(x: str) -> str:
-    return f"trim(regexp_replace({fold_sql(x)}, '[^a-z0-9]+', ' ', 'g'))"
+def folded(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """Documents with folded and loosened text, each worked out once."""
+    return T.with_folded(read(spark, d, "documents").select("doc_id", "text", *keep)).drop("text")
 
 
-def loose_word(k: str) -> str:
-    return " ".join("".join(c if c.isalnum() else " " for c in k).split())
-
-
-def hits_sql(words: list[str]) -> str:
-    """A list of hits; needs columns f (folded) and l (loose)."""
-    tests = [f"CASE WHEN contains(f, '{w}'" + (f") OR contains(l, '{loose_word(w)}'" if len(w.split()) > 1 else "") + f") THEN '{w}' END" for w in words]
-    return f"list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL)"
+def folds():
+    return F.col("folded"), F.col("loosened")
 
 
 FOLDED = f"WITH d AS (SELECT doc_id, source, lang, text, {fold_sql('text')} AS f, {loose_sql('text')} AS l FROM documents)"
@@ -70,11 +38,11 @@ def fold_text(spark, d):
 
 @query(f"{FOLDED} SELECT doc_id, CAST(len(regexp_extract_all(f, '[a-z0-9]+')) AS BIGINT) AS n_tokens, md5(array_to_string(regexp_extract_all(f, '[a-z0-9]+'), ' ')) AS token_md5 FROM d")
 def tokenize(spark, d):
-    t = T.tokens(F.col("text"))
-    return read(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("token_md5"))
+    rows = read(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("f")).select("doc_id", T.tokens(F.col("f")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("token_md5"))
 
 
-@query(f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold_sql('left(text, 60)')}, '[^a-z0-9]+', '_', 'g'), '_'), ''), 'document') AS slug FROM documents")
+@query(f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold_sql('text')}, '[^a-z0-9]+', '_', 'g'), '_'), ''), 'document') AS slug FROM documents")
 def slugify(spark, d):
     return read(spark, d, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
@@ -86,14 +54,14 @@ def loose_phrase(spark, d):
 
 @query(f"{FOLDED} SELECT doc_id, array_to_string({hits_sql(KEYWORDS)}, '|') AS hits, CAST(len({hits_sql(KEYWORDS)}) AS BIGINT) AS n_hits FROM d")
 def keyword_hits(spark, d):
-    h = T.keyword_hits(F.col("text"), KEYWORDS)
-    return read(spark, d, "documents").select("doc_id", F.array_join(h, "|").alias("hits"), F.size(h).cast("long").alias("n_hits"))
+    rows = folded(spark, d).select("doc_id", T.keyword_hits(*folds(), KEYWORDS).alias("h"))
+    return rows.select("doc_id", F.array_join("h", "|").alias("hits"), F.size("h").cast("long").alias("n_hits"))
 
 
 @query(f"{FOLDED} SELECT doc_id, " + " + ".join(f"CAST(contains(left(f, 900), '{w}') AS INT)" for w in ("the", "of", "der", "tion", "que")) + " >= 3 AS is_match FROM d")
 def marker_k_of_n_window(spark, d):
-    n = T.count_markers(T.fold(F.col("text")), ["the", "of", "der", "tion", "que"], 900)
-    return read(spark, d, "documents").select("doc_id", (n >= 3).alias("is_match"))
+    rows = folded(spark, d).select("doc_id", F.substring("folded", 1, 900).alias("head"))
+    return rows.select("doc_id", (T.count_markers(F.col("head"), ["the", "of", "der", "tion", "que"]) >= 3).alias("is_match"))
 
 
 _SCOPE_ROWS = ", ".join(f"struct_pack(n := len({hits_sql(w)}), name := '{k}')" for k, w in SCOPES.items())
@@ -123,8 +91,8 @@ def sector_argmax(spark, d):
     "SELECT doc_id, CASE WHEN i >= 2 AND i > b THEN 'insurance' WHEN b >= 2 AND b > i THEN 'bank' ELSE 'other' END AS sector FROM h"
 )
 def sector_correction(spark, d):
-    hits = {k: F.size(T.keyword_hits(F.col("text"), SECTORS[k])) for k in ("bank", "insurance")}
-    return read(spark, d, "documents").select("doc_id", classify.corrected_sector(F.lit("other"), hits, 2).alias("sector"))
+    rows = folded(spark, d).select("doc_id", *(F.size(T.keyword_hits(*folds(), SECTORS[k])).alias(k) for k in ("bank", "insurance")))
+    return rows.select("doc_id", classify.corrected_sector(F.lit("other"), {k: F.col(k) for k in ("bank", "insurance")}, 2).alias("sector"))
 
 
 @query(
@@ -133,12 +101,12 @@ def sector_correction(spark, d):
     + "], lambda x: x IS NOT NULL), ',') AS targets FROM d"
 )
 def target_candidates(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(classify.target_candidates(F.col("text"), TITLES, ANCHORS), ",").alias("targets"))
+    return folded(spark, d).select("doc_id", F.array_join(classify.target_candidates(*folds(), TITLES, ANCHORS), ",").alias("targets"))
 
 
 @query(f"{FOLDED} SELECT doc_id, array_to_string(list_sort(list_distinct({hits_sql([w for x in ANCHORS.values() for w in x])})), ',') AS anchors FROM d")
 def distinct_anchors(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.array_join(classify.distinct_anchors(F.col("text"), ANCHORS), ",").alias("anchors"))
+    return folded(spark, d).select("doc_id", F.array_join(classify.distinct_anchors(*folds(), ANCHORS), ",").alias("anchors"))
 
 
 def _bm25_sql(queries: str) -> str:
@@ -179,7 +147,7 @@ _ITEM_TERMS = f"SELECT item_id AS query_id, term, count(*) AS weight FROM (SELEC
     _bm25_sql(_ITEM_TERMS) + ", r AS (SELECT query_id, source, doc_id, round(bm25, 5) AS score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(bm25, 5) DESC, doc_id) AS rank FROM s) SELECT query_id, source, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3"
 )
 def bm25_multi_query(spark, d):
-    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(T.fold(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
     scores = retrieval.bm25(read(spark, d, "documents"), "doc_id", "source", "text", items)
     return retrieval.top_k(scores.select("query_id", "source", "doc_id", F.round("bm25", 5).alias("score")), ["query_id", "source"], "score", ["doc_id"], 3)
 
@@ -192,27 +160,33 @@ _COS = (
 
 def _cosines(spark, d) -> DataFrame:
     v = read(spark, d, "embeddings")
-    first = v.filter("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return v.crossJoin(F.broadcast(first)).select("vec_id", "label", retrieval.cosine(F.col("embedding"), F.col("q")).alias("c"))
+    first = v.filter("vec_id = 0").agg(F.min("embedding").alias("q"))  # an aggregate: one row
+    return v.join(F.broadcast(first)).select("vec_id", "label", retrieval.cosine(F.col("embedding"), F.col("q")).alias("c"))
 
 
-@query(f"{_COS}, r AS (SELECT label, vec_id, round(c, 6) AS score, row_number() OVER (PARTITION BY label ORDER BY round(c, 6) DESC, vec_id) AS rank FROM c) SELECT label, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
+@query(
+    "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), "
+    "c AS (SELECT q.vec_id AS query_id, v.label, v.vec_id, round(list_dot_product(v.e, q.e) / ((sqrt(list_dot_product(v.e, v.e)) + 1e-9) * (sqrt(list_dot_product(q.e, q.e)) + 1e-9)), 6) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) "
+    "SELECT query_id, label, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS INT) AS rank FROM c QUALIFY rank <= 8"
+)
 def cosine_topk(spark, d):
-    return retrieval.top_k(_cosines(spark, d).select("label", "vec_id", F.round("c", 6).alias("score")), ["label"], "score", ["vec_id"], 8)
+    v = read(spark, d, "embeddings")
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_search(v, asked, "vec_id", "embedding", "label", 8)
 
 
 _BLEND = (
     f"{FOLDED}, "
     + _COS.removeprefix("WITH ")
-    + f", b AS (SELECT doc_id, source, len({hits_sql(KEYWORDS)}) / {len(KEYWORDS)}.0 AS lex, c FROM d JOIN c ON vec_id = doc_id), "
+    + f", b AS (SELECT doc_id, source, len({hits_sql(KEYWORDS)}) / {len(KEYWORDS)}.0 AS lex, c FROM d LEFT JOIN c ON vec_id = doc_id), "
     "n AS (SELECT source, min(c) AS lo, max(c) AS hi FROM b GROUP BY source), "
-    "x AS (SELECT doc_id, source, round(0.6 * lex + 0.4 * CASE WHEN hi - lo < 1e-12 THEN 0.0 ELSE (c - lo) / (hi - lo) END, 6) AS score, lex FROM b JOIN n USING (source)), "
+    "x AS (SELECT doc_id, source, round(0.6 * lex + 0.4 * CASE WHEN c IS NULL OR hi - lo < 1e-12 THEN 0.0 ELSE (c - lo) / (hi - lo) END, 6) AS score, lex FROM b JOIN n USING (source)), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM x)"
 )
 
 
 def _blended(spark, d) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "source", (F.size(T.keyword_hits(F.col("text"), KEYWORDS)) / F.lit(float(len(KEYWORDS)))).alias("lex"))
+    docs = folded(spark, d, "source").select("doc_id", "source", (F.size(T.keyword_hits(*folds(), KEYWORDS)) / F.lit(float(len(KEYWORDS)))).alias("lex"))
     both = docs.join(_cosines(spark, d).select(F.col("vec_id").alias("doc_id"), "c"), "doc_id", "left")
     # Bounds are those of the documents with a vector; one without a vector keeps a score of 0.
     scaled = retrieval.minmax(both, ["source"], "c").fillna(0.0, ["c"])
@@ -243,8 +217,8 @@ _GROUPS = [["tion", "ment"], ["heit", "keit"]]
     + f" AS found FROM h), b AS (SELECT doc_id, n, 0.75 * (0.25 * least(n / 18.0, 1.0) + 0.75 * (n / {len(_ALL)}.0)) + 0.25 * found / 2 AS b FROM g) SELECT doc_id, round(least(greatest(CASE WHEN n <= 3 THEN b * 0.35 WHEN n <= 6 THEN b * 0.7 ELSE b END, 0), 1), 6) AS coverage FROM b"
 )
 def signature_coverage(spark, d):
-    c = retrieval.coverage(T.keyword_hits(F.col("text"), _ALL), len(_ALL), _GROUPS, 18)
-    return read(spark, d, "documents").select("doc_id", F.round(c, 6).alias("coverage"))
+    rows = folded(spark, d).select("doc_id", F.array_distinct(T.keyword_hits(*folds(), _ALL)).alias("h"))
+    return rows.select("doc_id", F.round(retrieval.coverage(F.col("h"), len(_ALL), _GROUPS, 18), 6).alias("coverage"))
 
 
 @query(
@@ -265,8 +239,8 @@ def rule_fold(spark, d):
     "SELECT doc_id, CAST(CASE WHEN a AND b THEN 0.95 WHEN a AND near THEN 0.85 ELSE 0.0 END AS DOUBLE) AS layout FROM n"
 )
 def neighbor_layout(spark, d):
-    f = T.fold(F.col("text"))
-    pages = read(spark, d, "documents").select("doc_id", "source", F.contains(f, F.lit("tion")).alias("a"), F.contains(f, F.lit("ment")).alias("b"))
+    f = F.col("folded")
+    pages = folded(spark, d, "source").select("doc_id", "source", F.contains(f, F.lit("tion")).alias("a"), F.contains(f, F.lit("ment")).alias("b"))
     return retrieval.neighbours(pages, "source", "doc_id", F.col("a"), F.col("b")).select("doc_id", "layout")
 
 
@@ -277,7 +251,7 @@ def exclude_then_fallback(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT user_id, event_type, epoch(ts) AS y0, epoch(ts) + 60 AS y1 FROM events), n AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w > 86400 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY y0, y1, event_type)), "
+    "WITH e AS (SELECT user_id, event_type, epoch(ts) AS y0, epoch(ts) + 60 AS y1 FROM events), n AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w > 86400 AND count(*) OVER (PARTITION BY user_id) > 2 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY y0, y1, event_type)), "
     "r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY y0, y1, event_type ROWS UNBOUNDED PRECEDING) AS run FROM n), "
     "s AS (SELECT user_id, run, count(DISTINCT event_type) AS n_labels, count(*) AS n_lines, min(y0) AS y0, max(y1) AS y1 FROM r GROUP BY user_id, run) "
     "SELECT user_id, n_labels, n_lines, y0, y1 FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n_labels DESC, n_lines DESC, run) = 1"
@@ -326,21 +300,25 @@ def candidate_rank(spark, d):
     return retrieval.top_k(rows, ["l_orderkey"], "score", ["l_linenumber"], 1).drop("rank")
 
 
-@query("SELECT p_partkey, CASE WHEN p_name LIKE '%resultat net%' THEN 'result' WHEN regexp_matches(lower(p_name), '^total|\\btotal\\b') THEN 'total' WHEN p_size % 7 = 0 THEN 'section_header' ELSE 'data' END AS row_type FROM part")
+_LABEL = "CASE p_partkey % 5 WHEN 0 THEN 'Résultat  net de ' || p_name WHEN 1 THEN 'Total ' || p_name WHEN 2 THEN p_name || ' sous-total' ELSE p_name END"
+
+
+@query(f"WITH l AS (SELECT *, {fold_sql(_LABEL)} AS f FROM part) SELECT p_partkey, CASE WHEN contains(f, 'resultat net') THEN 'result' WHEN starts_with(f, 'total') OR regexp_matches(f, '\\btotal\\b') THEN 'total' WHEN p_size % 7 = 0 THEN 'section_header' ELSE 'data' END AS row_type FROM l")
 def row_typing(spark, d):
     values = F.array(F.when(F.col("p_size") % 7 == 0, F.lit(" ")).otherwise(F.col("p_brand")), F.lit(None).cast("string"))
-    return read(spark, d, "part").select("p_partkey", tables.row_type(F.col("p_name"), values).alias("row_type"))
+    return read(spark, d, "part").select("p_partkey", tables.row_type(F.expr(_LABEL), values).alias("row_type"))
 
 
 @query(
     "WITH o AS (SELECT o_orderkey, count(l_orderkey) AS n, coalesce(avg(l_discount) * 10, 0) AS conf, coalesce(bool_or(l_returnflag = 'R'), false) AS off FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey), "
-    "i AS (SELECT o_orderkey, CASE WHEN n = 0 THEN 'missing_rows' WHEN n < 3 THEN 'too_few_rows' ELSE '' END AS issues, concat_ws(',', CASE WHEN round(conf, 6) < 0.45 THEN 'low_confidence' END, CASE WHEN off THEN 'off_balance' END) AS warnings FROM o) "
+    "i AS (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 13 = 0 THEN 'missing_columns' END, CASE WHEN n = 0 THEN 'missing_rows' END, CASE WHEN n < 3 THEN 'too_few_rows' END) AS issues, concat_ws(',', CASE WHEN off THEN 'extracted_rows_mention_off_balance_verify_crop' END, CASE WHEN round(conf, 6) < 0.45 THEN 'low_vision_confidence' END) AS warnings FROM o) "
     "SELECT o_orderkey, CASE WHEN issues <> '' THEN 'rejected' WHEN warnings <> '' THEN 'warning' ELSE 'approved' END AS status, issues, warnings FROM i"
 )
 def table_validate(spark, d):
     lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"), (F.avg("l_discount") * 10).alias("conf"), F.max(F.col("l_returnflag") == "R").alias("off"))
     rows = read(spark, d, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
-    v = tables.validate(F.lit(3), F.coalesce("n", F.lit(0)), F.round(F.coalesce("conf", F.lit(0.0)), 6), F.coalesce("off", F.lit(False)))
+    columns = F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(3)
+    v = tables.validate(columns, F.coalesce("n", F.lit(0)), F.round(F.coalesce("conf", F.lit(0.0)), 6), F.coalesce("off", F.lit(False)))
     return rows.select("o_orderkey", v.alias("v")).select("o_orderkey", "v.*")
 
 
@@ -361,51 +339,8 @@ def evidence_chunks(spark, d):
 
 @query(f"{FOLDED} SELECT doc_id, CASE WHEN contains(f, 'tion') THEN substr(text, CAST(greatest(strpos(f, 'tion') - 40, 1) AS BIGINT), CAST(strpos(f, 'tion') - greatest(strpos(f, 'tion') - 40, 1) + 44 AS BIGINT)) ELSE substr(text, 1, 80) END AS excerpt FROM d")
 def excerpt_around(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.excerpt(F.col("text"), F.lit("tion"), 40).alias("excerpt"))
-
-
-@query(
-    "WITH c AS (SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g') AS a FROM customer), s AS (SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g') AS b FROM supplier), "
-    "w AS (SELECT c_custkey, a, s_suppkey, b FROM (SELECT c_custkey, a, unnest(list_distinct(string_split(trim(a), ' '))) AS w FROM c) JOIN (SELECT s_suppkey, b, unnest(list_distinct(string_split(trim(b), ' '))) AS w FROM s) USING (w) GROUP BY ALL), "
-    "z AS (SELECT c_custkey, s_suppkey, CASE WHEN a = b THEN 100 WHEN length(a) >= 8 AND contains(b, a) THEN 80 WHEN length(b) >= 8 AND contains(a, b) THEN 70 WHEN share >= 0.8 THEN 75 WHEN share >= 0.3 THEN 60 ELSE 0 END AS score FROM "
-    "(SELECT *, len(list_intersect(list_distinct(string_split(trim(a), ' ')), list_distinct(string_split(trim(b), ' ')))) / greatest(least(len(list_distinct(string_split(trim(a), ' '))), len(list_distinct(string_split(trim(b), ' ')))), 1) AS share FROM w)) "
-    "SELECT c_custkey, s_suppkey, CAST(score AS INT) AS score FROM z WHERE score >= 75 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_suppkey) = 1"
-)
-def issuer_match(spark, d):
-    return linking.best_match(read(spark, d, "customer"), read(spark, d, "supplier"), "c_custkey", "c_name", "s_suppkey", "s_name", 60)
-
-
-@query(
-    "SELECT n_nationkey, trim(regexp_replace(lower(n_name || ' (' || r_name || ') group'), '[^a-z0-9]+', ' ', 'g')) || '|' || lower(r_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey"
-)
-def alias_names(spark, d):
-    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    name = F.concat("n_name", F.lit(" ("), "r_name", F.lit(") group"))
-    return rows.select("n_nationkey", F.array_join(F.slice(linking.aliases(name), 1, 2), "|").alias("names"))
-
-
-_LINKS = "WITH k AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS h FROM pages), l AS (SELECT page_id, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM k)"
-
-
-@query(f"{_LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href FROM l")
-def html_links(spark, d):
-    return linking.links(read(spark, d, "pages"), "page_id", "html")
-
-
-@query(
-    f"{_LINKS}, s AS (SELECT page_id, pos, href, CASE WHEN contains(lower(href), 'login') THEN -100 ELSE CASE WHEN contains(lower(href), '2024') THEN 30 ELSE 0 END + CASE WHEN contains(lower(href), 'http') THEN 20 ELSE 0 END + CASE WHEN contains(lower(href), '/en/') THEN 20 ELSE 0 END END AS score FROM l) "
-    "SELECT page_id, href, CAST(score AS INT) AS score FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1"
-)
-def link_score(spark, d):
-    rows = linking.links(read(spark, d, "pages"), "page_id", "html")
-    scored = rows.withColumn("score", linking.link_score(F.col("href"), F.lit(2024), ["http", "/en/"], ["login"])).filter("score >= 0")
-    return retrieval.top_k(scored, ["page_id"], "score", ["pos"], 1).select("page_id", "href", "score")
-
-
-@query("SELECT page_id, url AS target FROM pages")
-def url_unwrap(spark, d):
-    p = read(spark, d, "pages")
-    return p.select("page_id", linking.unwrapped(F.concat(F.lit("https://s.example/?uddg="), F.url_encode("url"))).alias("target"))
+    rows = read(spark, d, "documents").select("doc_id", "text", T.fold(F.col("text")).alias("f"))
+    return rows.select("doc_id", T.excerpt(F.col("text"), F.col("f"), F.lit("tion"), 40).alias("excerpt"))
 
 
 _UPSERT = "WITH s AS (SELECT doc_id, quality, toxic, 0 AS v FROM labels), f AS (SELECT doc_id, 1 AS quality, 0 AS toxic, 1 AS v FROM documents WHERE lang = 'fr')"
@@ -452,11 +387,6 @@ def complete_pairs_anti(spark, d):
     return read(spark, d, "orders").select("o_orderkey").join(missing, "o_orderkey", "left_anti")
 
 
-@query("SELECT c_custkey, lower(c_name) AS name FROM customer")
-def strip_prefix(spark, d):
-    return read(spark, d, "customer").select("c_custkey", T.without_prefix(F.concat(F.lit("  CUSTOMER : - "), "c_name"), "customer").alias("name"))
-
-
 @query(
     "WITH w AS (SELECT p_partkey, string_split(p_name || ' ' || upper(p_name) || ' x X', ' ') AS ws FROM part) "
     "SELECT p_partkey, array_to_string(list_filter(ws, lambda w, i: w <> '' AND list_position(list_transform(ws, lambda x: lower(x)), lower(w)) = i), ' ') AS words FROM w"
@@ -515,3 +445,6 @@ def widen_candidates(spark, d):
     ranked = retrieval.top_k(rows, ["l_orderkey"], "l_extendedprice", ["l_linenumber"], 1 << 30)
     wide = retrieval.widened(ranked, 2, F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_returnflag") == "R")
     return wide.select("l_orderkey", "l_linenumber", "rank")
+
+
+from pagemill.plans import layouts, names, records, statements  # noqa: E402, F401 - these register their queries

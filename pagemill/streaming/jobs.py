@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
 
 
 def counts(events: DataFrame, time: str = "ts", kind: str = "event_type", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -15,3 +17,34 @@ def counts(events: DataFrame, time: str = "ts", kind: str = "event_type", late:
 def latest_states(events: DataFrame, key: str, time: str, tie: str, state: str) -> DataFrame:
     """key, state of the last event; update mode on a stream."""
     return events.groupBy(key).agg(F.max_by(state, F.struct(time, tie)).alias(state))
+
+
+def upsert_stream(events: DataFrame, path: str, key: str, order: str) -> DataStreamWriter:
+    """A writer that keeps the row of each key that is last by `order` in versions under path, one for each
+    batch: a batch that runs again writes its version anew from the one before, so each row counts once. Readers take
+    current()."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = version(batch.sparkSession, path, number)
+        rows = batch if before is None else batch.unionByName(batch.sparkSession.read.parquet(before))
+        last = F.max_by(F.struct(*batch.columns), F.struct(order, *(c for c in batch.columns if c != order))).alias("r")
+        rows.groupBy(key).agg(last).select("r.*").write.mode("overwrite").parquet(f"{path}/v={number:012d}")
+
+    return events.writeStream.foreachBatch(write)
+
+
+def version(spark, path: str, before: int | None = None) -> str | None:
+    """The folder of the last finished version, or of the last before a number."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    done = [p for p in (str(f.getPath()) for f in fs.listStatus(root)) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS"))]
+    numbers = {int(p.rpartition("v=")[2]): p for p in done if "v=" in p}
+    fine = [n for n in numbers if before is None or n < before]
+    return numbers[max(fine)] if fine else None
+
+
+def current(spark, path: str) -> DataFrame | None:
+    found = version(spark, path)
+    return None if found is None else spark.read.parquet(found)
