@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -70,6 +71,14 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what the driver holds but nothing refers to: Spark's cleaner drops broadcasts and shuffle
+    files once their handles are collected, which may else take long."""
+    gc.collect()
+    spark._jvm.System.gc()
+    release()
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of checkpoints that nothing will read again."""
     for df in frames:
@@ -78,6 +87,21 @@ def discard(*frames: DataFrame) -> None:
             remove(df.sparkSession, found.get())
 
 
+#: Rows of a few numbers up to which a side of a join is broadcast.
+MAX_BROADCAST_ROWS = 1 << 20
+
+
+def rows_of(df: DataFrame) -> int:
+    """The rows of a checkpoint, counted by few tasks."""
+    return df.coalesce(max(1, df.rdd.getNumPartitions() // 32)).count()
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A checkpoint of narrow rows, to be joined to: broadcast if it has at most MAX_BROADCAST_ROWS."""
+    n = rows_of(df)
+    return F.broadcast(df.coalesce(max(1, n >> 16))) if n <= MAX_BROADCAST_ROWS else df
+
+
 #: A key counts as frequent if it holds over one row in so many.
 FREQUENT = 1000
 

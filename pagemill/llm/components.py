@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, ship
+from pagemill.llm.common import checkpoint, rows_of, ship, small_side
 
 #: Links that a task contracts to a forest at a time.
 TASK_LINKS = 1 << 20
@@ -29,10 +29,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[own], names[root[own]]
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links (a, b), a > b, with the same components. Each task makes forests of TASK_LINKS links at a
-    time, and there are as few tasks as that allows."""
-    links = checkpoint(links)
+def _forests(links: DataFrame, tasks: int) -> DataFrame:
+    """Links (a, b), a >= b, with the same components: each task makes forests of TASK_LINKS links at a time,
+    in which every node stands beside its component's least node."""
     ship(links.sparkSession)
 
     def run(batches):
@@ -40,25 +39,31 @@ def contracted(links: DataFrame) -> DataFrame:
         for batch in batches:
             held.append([batch.column(c).to_numpy() for c in range(2)])
             n += batch.num_rows
-            if n >= TASK_LINKS:
+            if n >= TASK_LINKS and tasks > 1:
                 yield _batch(held)
                 held, n = [], 0
         if n:
             yield _batch(held)
 
-    return links.select("a", "b").coalesce(max(1, -(-links.count() // TASK_LINKS))).mapInArrow(run, "a long, b long")
+    return links.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
 def _batch(held: list) -> pa.RecordBatch:
     a, b = forest(*(np.concatenate(x) for x in zip(*held)))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    top = np.unique(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, top]), pa.int64()), pa.array(np.concatenate([b, top]), pa.int64())], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, component (its least node) of every node of links (a, b). Links are contracted by tasks
-    before the first round; hubs are aggregated before the shuffle; the number of rounds grows with
-    the logarithm of a component's size."""
-    edges = checkpoint(contracted(links.filter("a <> b")))
+    """node, component (its least node) of every node of links (a, b). Links are contracted by tasks of
+    TASK_LINKS; where one task holds them all, its forests are the answer. Else large and small stars go on
+    from the forests: hubs are aggregated before the shuffle, and the number of rounds grows with the
+    logarithm of a component's size."""
+    links = checkpoint(links.filter("a <> b"))
+    n = rows_of(links)
+    if n <= TASK_LINKS:
+        return checkpoint(_forests(links, 1)).toDF("node", "component")
+    edges = checkpoint(_forests(links, -(-n // TASK_LINKS)).filter("a <> b").distinct())
     while not _stars(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -73,10 +78,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, component) after further links (a, b): only the links' components are solved."""
-    of = labels.select("node", "component")
+    of = small_side(labels.select("node", "component"))
     ends = links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-    joined = checkpoint(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
-    moved = of.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    joined = small_side(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
+    moved = labels.join(joined.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     return moved.unionAll(joined.join(of.select("node"), "node", "left_anti"))
 
 

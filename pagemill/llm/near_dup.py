@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, discard, frequent_join, mix, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import checkpoint, discard, frequent_join, mix, ship, slices, small_side, span_hashes, text_arrays, tidy, word_spans
 from pagemill.llm.components import components, merged
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -48,8 +48,6 @@ PLAUSIBLE = 0.6
 LEADERS = 3
 #: Members and words of a block, as far as single texts allow.
 CELL, CELL_WORDS = 512, 1 << 20
-#: Up to so many texts' keys are broadcast to filter texts before their shuffle.
-MAX_BROADCAST_KEYS = 1 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,20 +157,20 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 
 def _asked_leaders(shared: DataFrame, sigs: DataFrame) -> DataFrame:
-    """node, lead: of each member the LEADERS leaders of its buckets that are likeliest to be alike."""
+    """node, lead, words: of each member the LEADERS leaders of its buckets that are likeliest to be alike."""
 
     def run(batches):
         for part in batches:
             agree = (signatures(part.column("sig")) == signatures(part.column("lead_sig"))).mean(1)
             fine = pa.array(agree >= PLAUSIBLE)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).filter(fine) for c in ("node", "lead")), pa.array(agree).filter(fine)], ["node", "lead", "agree"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c).filter(fine) for c in ("node", "lead", "words")), pa.array(agree).filter(fine)], ["node", "lead", "words", "agree"])
 
-    pairs = shared.filter("node <> lead").select("node", "lead").distinct()
+    pairs = shared.filter("node <> lead").select("node", "lead", "words").distinct()
     own = sigs.select("node", "sig")
     pairs = pairs.join(own, "node").join(own.toDF("lead", "lead_sig"), "lead")
-    likely = pairs.mapInArrow(run, "node long, lead long, agree double")
+    likely = pairs.mapInArrow(run, "node long, lead long, words long, agree double")
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), "lead"))  # at most BANDS rows
-    return likely.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select("node", "lead")
+    return likely.withColumn("rank", best).filter(F.col("rank") <= LEADERS).select("node", "lead", "words")
 
 
 def _dealt(members: DataFrame, total: int) -> DataFrame:
@@ -254,17 +252,18 @@ def _verify(t: pa.Table) -> pa.Table:
 def _links(met: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified links (a, b) of cells with partners; texts are joined to the members that stand in
     one. Each text is found by its doc_id and hash among all rows."""
-    keys = checkpoint(met.select("node").distinct().join(reps.select("node", "doc_id", "t"), "node"))
-    few = keys.count() <= MAX_BROADCAST_KEYS
-    texts = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(keys) if few else keys, ["doc_id", "t"]).select("node", "text")
+    asked = small_side(checkpoint(met.select("node").distinct()))
+    keys = small_side(checkpoint(reps.select("node", "doc_id", "t").join(asked, "node")))
+    texts = docs.withColumn("t", F.xxhash64("text")).join(keys, ["doc_id", "t"]).select("node", "text")
     # MERGE: AQE splits a text that stands in very many cells.
-    return met.hint("merge").join(texts, "node").groupBy("grp", "part", "team").applyInArrow(_verify, "a long, b long").distinct()
+    return met.hint("merge").join(texts, "node").groupBy("grp", "part", "team").applyInArrow(_verify, "a long, b long")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), class_id, kept (whether no document of the class has a lesser
     doc_id, or the same one and a lesser t): a row for each row of docs whose doc_id isn't null."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     every = checkpoint(signed(docs).withColumn("row", F.monotonically_increasing_id()))
     least = every.filter("words > 0").groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "t", "row", "words", "sig")).alias("r"), F.count("*").alias("rows"))
@@ -275,17 +274,20 @@ def labelled(docs: DataFrame) -> DataFrame:
     heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), lead.alias("lead")).filter("n > 1").select("bucket", "n", F.col("lead").bitwiseXOR(F.xxhash64("bucket")).alias("lead"))
     shared = checkpoint(frequent_join(entries, heads, ["bucket"], "n", members, "inner"))
     # First links: a group for each leader, who is asked by the others.
+    tidy(spark)
     asked = checkpoint(_asked_leaders(shared, reps))
-    first = asked.join(reps.select("node", "words"), "node").select(F.col("lead").alias("grp"), "node", F.col("node").alias("component"), F.lit(True).alias("asks"), "words")
+    first = asked.select(F.col("lead").alias("grp"), "node", F.col("node").alias("component"), F.lit(True).alias("asks"), "words")
     sizes = first.groupBy("grp").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("words") / CELL_WORDS)).alias("parts"))
     askers = frequent_join(first, sizes, ["grp"], "n", members, "inner")
     askers = askers.select("grp", F.expr("pmod(xxhash64(node, grp), parts)").alias("part"), F.lit(0).cast("long").alias("team"), "node", "component", F.array("grp").alias("partners"))
     leads = sizes.select("grp", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).cast("long").alias("team"), F.col("grp").alias("node"), F.col("grp").alias("component"), F.expr("cast(array() as array<long>)").alias("partners"))
-    links = checkpoint(_links(checkpoint(askers.unionByName(leads)), reps, docs))
+    links = _links(checkpoint(askers.unionByName(leads)), reps, docs)
+    tidy(spark)
     labels = checkpoint(components(links))
     discard(asked)
+    tidy(spark)
     # All others: buckets with several components, gathered by the largest of each.
-    own = shared.join(labels, "node", "left")
+    own = shared.join(small_side(labels), "node", "left")
     own = own.select("bucket", "node", "words", "n", F.coalesce("component", "node").alias("component"))
     kinds = own.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     top = kinds.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("c").alias("n")).filter("kinds > 1").select("bucket", "n", F.col("top.component").alias("grp"))
@@ -294,11 +296,11 @@ def labelled(docs: DataFrame) -> DataFrame:
     cells = _dealt(mixed, members).join(reps.select("node", "sig"), "node")
     met = checkpoint(cells.groupBy("grp", "part", "team").applyInArrow(_meet, "grp long, part long, team long, node long, component long, partners array<long>"))
     discard(shared, mixed)
-    rest = checkpoint(_links(met, reps, docs))
-    if not rest.isEmpty():
-        labels = checkpoint(merged(labels, rest))
+    tidy(spark)
+    labels = checkpoint(merged(labels, checkpoint(_links(met, reps, docs))))
+    tidy(spark)
     # A class's least document, and with it every row.
-    of = reps.select("node", "k0", "k1", "rows", F.struct("doc_id", "t").alias("doc")).join(labels, "node", "left")
+    of = reps.select("node", "k0", "k1", "rows", F.struct("doc_id", "t").alias("doc")).join(small_side(labels), "node", "left")
     of = checkpoint(of.select("k0", "k1", "rows", "doc", F.coalesce("component", "node").alias("component")))
     least = of.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
     texts = frequent_join(of, least, ["component"], "n", members, "inner").select("k0", "k1", "rows", "least")
@@ -318,9 +320,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     doc_id and its text one stays. Rows with a null doc_id all stay."""
     found = labelled(docs).groupBy("doc_id", "t").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     found = checkpoint(found.filter("NOT kept OR n > 1"))
-    few = found.count() <= MAX_BROADCAST_KEYS
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    rows = rows.join(F.broadcast(found) if few else found, ["doc_id", "t"], "left")
+    rows = rows.join(small_side(found), ["doc_id", "t"], "left")
     once = rows.filter("kept is null")
     if not found.filter("kept").isEmpty():
         once = once.unionByName(rows.filter("kept").dropDuplicates(["doc_id", "t"]))

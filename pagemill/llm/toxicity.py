@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, discard, quoted, ship, slices, span_hashes, text_arrays, word_spans
+from pagemill.llm.common import checkpoint, discard, quoted, ship, slices, span_hashes, text_arrays, tidy, word_spans
 from pagemill.llm.labelled import Adam, sample, sigmoid
 
 TRAIN_DOCS = 8000
@@ -301,6 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
         model.fit_field(*windows(at, found, y[text], text))
     m = model.marginals(at, model.emission(found), text, np.array([r["tokens"] for r in rows]))
     model.fit_rule(model.aggregate(m, text, len(rows)), y)
+    del rows, each, at, found, text, m
+    tidy(docs.sparkSession)
     return model
 
 
