@@ -27,12 +27,15 @@ LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "
 
 
 def fold(text: Column) -> Column:
-    """Lower case, accents off, other characters beyond ASCII dropped, white space collapsed."""
+    """Lower case, accents off, other characters beyond ASCII dropped, white space collapsed. Only texts that
+    hold a character beyond ASCII take the steps for these."""
     c = F.lower(F.coalesce(text, F.lit("")))
+    wide = c
     for a, b in LIGATURES.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    c = F.regexp_replace(F.translate(c, _FROM, _TO), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(c, r"[\x09-\x0d\x1c-\x20]+", " "))
+        wide = F.replace(wide, F.lit(a), F.lit(b))
+    wide = F.regexp_replace(F.translate(wide, _FROM, _TO), r"[^\x00-\x7F]", "")
+    narrow = F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(c)
+    return F.trim(F.regexp_replace(narrow, r"[\x09-\x0d\x1c-\x20]+", " "))
 
 
 def loosen(folded: Column) -> Column:

@@ -21,20 +21,22 @@ PAGES_A_TASK = 1 << 20
 
 
 def scope_ranges(pages: DataFrame, document: str, page: str, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """Adds scopes: a page's own, else the first scope of the last page before it that has any. Pages are
-    reduced to their scopes before they are put in order. A document's pages are dealt to blocks by
-    page number, and what a block hands on is filled in first, so no task holds a whole document."""
-    folded = with_folded(pages, text, "_folded", "_loosened")
-    own = folded.withColumn("_own", ranked_hits(F.col("_folded"), F.col("_loosened"), vocabulary)).drop("_folded", "_loosened")
-    own = own.withColumn("_block", F.expr(f"{page} DIV {PAGES_A_TASK}"))
+    """document, page, scopes: a page's own, else the first scope of the last page before it that has any.
+    Pages are reduced to their scopes before they are put in order, and shuffled once. A document's pages
+    are dealt to blocks by page number, and what a block hands on is filled in first, so no task holds a
+    whole document."""
+    folded = with_folded(pages.select(document, page, text), text, "_folded", "_loosened")
+    own = folded.select(document, page, ranked_hits(F.col("_folded"), F.col("_loosened"), vocabulary).alias("_own"), F.expr(f"{page} DIV {PAGES_A_TASK}").alias("_block"))
+    own = own.repartition(document, "_block")  # what both sides of the join below read
     top = F.get("_own", F.lit(0))
     ends = own.groupBy(document, "_block").agg(F.max_by(top, F.when(top.isNotNull(), F.col(page))).alias("_end"))
     earlier = Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     within = Window.partitionBy(document, "_block").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
-    filled = F.coalesce(F.last(top, ignorenulls=True).over(within), F.col("_before"))
-    scopes = F.when(F.size("_own") > 0, F.col("_own")).when(filled.isNotNull(), F.array(filled)).otherwise(F.array().cast("array<string>"))
-    return own.join(ends, [document, "_block"]).withColumn("scopes", scopes).drop("_own", "_block", "_before")
+    filled = own.withColumn("_filled", F.last(top, ignorenulls=True).over(within)).join(ends, [document, "_block"])
+    last = F.coalesce("_filled", "_before")
+    scopes = F.when(F.size("_own") > 0, F.col("_own")).when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<string>"))
+    return filled.select(document, page, scopes.alias("scopes"))
 
 
 def sector(pages: DataFrame, document: str, text: str, vocabulary: Vocabulary) -> DataFrame:
