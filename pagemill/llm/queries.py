@@ -69,7 +69,21 @@ QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op3_ve
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BEST = "(SELECT {} FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1)"
 _ESCAPED = r"replace(regexp_replace({}, '[\\#]', '\\\0', 'g'), '</', '<\/')"
+_WORD = r"[^\x20\x09-\x0D]"
+_MEASURES = ("1000 * n_symbols // greatest(n_words, 1)", "1000 * n_dup_lines // greatest(n_lines, 1)", "1000 * n_repeat_words // greatest(n_words, 1)", "1000 * word_chars // greatest(n_words, 1)")
+_MARGINS = [(up, 1 << 40 if down is None else down) for _, up, down in rules.MEASURES.values()]
+_BUCKET = f"greatest(length(bin(val)) - 1 - {rules.SKETCH_BITS}, 0)"
 ORACLES: dict[str, str] = {
+    "op6_adaptive_rules": f"WITH t AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS x FROM documents), w AS MATERIALIZED (SELECT *, regexp_extract_all(x, '{_WORD}+') AS ws, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS ls FROM t), "
+    "g AS (SELECT id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS win, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3), r AS (SELECT id, i FROM g QUALIFY count(*) OVER (PARTITION BY id, win) > 1), c AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY id), "
+    "m AS MATERIALIZED (SELECT w.id, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda s: length(s))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (id)), "
+    f"v AS (SELECT id, lang, source, unnest([0, 1, 2, 3]) AS k, unnest([{', '.join(_MEASURES)}]) AS val FROM m), e AS (SELECT *, val >> CAST({_BUCKET} AS INT) << CAST({_BUCKET} AS INT) AS b FROM v), "
+    "f AS (SELECT level, CASE WHEN level < 2 THEN lang END AS l, CASE WHEN level < 1 THEN source END AS s, k, b FROM e, (SELECT unnest([0, 1, 2]) AS level)), o AS (SELECT *, row_number() OVER (PARTITION BY level, l, s, k ORDER BY b) AS rn, count(*) OVER (PARTITION BY level, l, s, k) AS n FROM f), "
+    "q AS (SELECT level, l, s, k, any_value(n) AS n, min(b) FILTER (WHERE rn * 100 >= n * 25) AS q1, min(b) FILTER (WHERE rn * 100 >= n * 75) AS q3 FROM o GROUP BY level, l, s, k), "
+    f"z AS (SELECT level, l, s, k, n, q3 + {rules.FENCE} * (q3 - q1) + [{', '.join(str(u) for u, _ in _MARGINS)}][k + 1] AS hi, q1 - {rules.FENCE} * (q3 - q1) - [{', '.join(str(d) for _, d in _MARGINS)}][k + 1] AS lo FROM q), "
+    f"j AS (SELECT e.id, e.val, z.* FROM e JOIN z ON z.k = e.k AND ((level = 0 AND l IS NOT DISTINCT FROM lang AND s IS NOT DISTINCT FROM source AND n >= {rules.MIN_ROWS}) OR (level = 1 AND l IS NOT DISTINCT FROM lang AND n >= {rules.MIN_ROWS}) OR level = 2) QUALIFY row_number() OVER (PARTITION BY e.id, e.k ORDER BY level) = 1), "
+    f"h AS (SELECT id, bool_and(val BETWEEN lo AND hi) AS inside FROM j GROUP BY id), y AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m JOIN h USING (id)) "
+    "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM y",
     "op2_url_digest": "WITH r(h, p, v) AS (VALUES " + ", ".join(map(str, URL_RULES)) + f"), u AS (SELECT page_id, {_HOST} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages) SELECT page_id, host, path, {_BEST.format('h || p')} AS rule, coalesce({_BEST.format('v')}, 'allow') AS verdict FROM u",
     "op3_vector_approximation": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0), k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT * FROM k WHERE rank <= 10",
     "op8_prefix_targets": r"WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'), "

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagemill.llm import components, near_dup, quality, queries, topk, toxicity
+from pagemill.llm import components, near_dup, quality, queries, rules, topk, toxicity
 from pagemill.llm.common import frequent_join, text_arrays
+from pagemill.llm.labelled import sample
 from tests.compare import connect, differences
 
 DIR = "/root/testdata/sf0.001"
@@ -153,6 +154,129 @@ def test_top_k(spark, block):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_search_with_large_components(spark):
+    r = random.Random(3)
+    rows = [(i, [float(r.randint(-9, 9)) for _ in range(6)]) for i in range(60)]
+    rows[7], rows[20], rows[33] = (7, [70000.0, 1, 2, 3, 4, 5]), (20, [-(2.0**27), 1, 0, 0, 2, 3]), (33, [5000.0] * 6)
+    rows = [(i, [*map(float, v)]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for i, q in rows[::10]:
+        scores = sorted((-sum(int(a * 1024) * int(b * 1024) for a, b in zip(q, v)), j) for j, v in rows if j != i)[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=5, scale=1024).collect()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == want
+
+
+def test_attention_gradient():
+    r = np.random.default_rng(0)
+    m = quality.GatedAttention(3)
+    bags = [r.standard_normal((n, quality.FEATURES)) for n in (1, 3, 5)]
+    x, of, y = np.concatenate(bags), np.repeat([0, 1, 2], [1, 3, 5]), np.array([1.0, 0.0, 1.0])
+    m.p = {k: r.standard_normal(v.shape) / 3 for k, v in m.p.items()}
+
+    def plain(bag):
+        """The score of one bag, passage by passage."""
+        h = [np.tanh(v @ m.p["w"] + m.p["b"]) for v in bag]
+        e = np.exp([np.tanh(u @ m.p["v"]) * (1 / (1 + np.exp(-(u @ m.p["u"])))) @ m.p["a"] for u in h])
+        z = sum(a * u for a, u in zip(e / e.sum(), h))
+        return float(1 / (1 + np.exp(-(z @ m.p["c"] + m.p["d"][0]))))
+
+    assert np.allclose(m.score(x, of, 3)[0], [plain(np.clip(b, -8, 8)) for b in bags])
+    loss = lambda: -np.mean([t * np.log(plain(b)) + (1 - t) * np.log(1 - plain(b)) for b, t in zip(bags, y)])
+    grads = m.gradient(x, of, y)
+    for k in m.p:
+        for _ in range(3):
+            at = tuple(r.integers(0, n) for n in m.p[k].shape)
+            m.p[k][at] += 1e-5
+            up = loss()
+            m.p[k][at] -= 2e-5
+            down = loss()
+            m.p[k][at] += 1e-5
+            assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-5
+
+
+def test_windows_and_their_gradient():
+    at, text = np.array([0, 1, 9, 0, 4]), np.array([0, 0, 0, 1, 1])
+    found, y = np.arange(5)[:, None] % 3, np.array([1, 1, 1, 0, 0])
+    w, marks, n = toxicity.windows(at, found, y, text)
+    each = []
+    for i in range(5):
+        row = [(-1, 0)] * 5
+        for j in range(5):
+            if text[j] == text[i] and abs(at[j] - at[i]) <= 2:
+                row[at[j] - at[i] + 2] = (int(found[j, 0]), int(y[j]))
+        each.append(tuple(row))
+    assert Counter(each) == {tuple(zip(a[:, 0].tolist(), b.tolist())): int(c) for a, b, c in zip(w, marks, n)}
+    m, r = toxicity.ToxicSpans(), np.random.default_rng(1)
+    p = {"w": r.standard_normal(3), "b": r.standard_normal(1), "e": r.standard_normal((2, 2))}
+
+    def loss():
+        total = 0.0
+        for f, t, c in zip(w, marks, n):
+            em = np.array([[0.0, p["b"][0] + (p["w"][k[0]] if k[0] >= 0 else 0)] for k in f])
+            value = lambda s: sum(em[i, a] for i, a in enumerate(s)) + sum(p["e"][a, b] for a, b in zip(s, s[1:]))
+            every = [[int(b) for b in f"{i:05b}"] for i in range(32)]
+            total += c * (np.log(sum(np.exp(value(s)) for s in every)) - value(t.tolist()))
+        return total / n.sum()
+
+    grads = m.gradient(p, w, marks, n.astype(float))
+    for k in p:
+        for at_ in np.ndindex(p[k].shape):
+            p[k][at_] += 1e-5
+            up = loss()
+            p[k][at_] -= 2e-5
+            down = loss()
+            p[k][at_] += 1e-5
+            assert abs((up - down) / 2e-5 - grads[k][at_]) < 1e-5
+
+
+def test_sample_counts_rows(spark):
+    docs = spark.createDataFrame([(1, f"t{i:03d}") for i in range(500)] + [(2, "same"), (3, "same"), (4, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 5)] + [(None, 1)], "doc_id long, quality int")
+    got = sample(docs, labels, "quality", 1, 7, 10).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "t000"), (2, "same"), (4, "")]
+
+
+def plain_thresholds(rows):
+    """kept of op 6, from measures by row: (lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
+    def values(r):
+        w, lines = max(r[2], 1), max(r[5], 1)
+        return 1000 * r[4] // w, 1000 * r[6] // lines, 1000 * r[7] // w, 1000 * r[3] // w
+
+    def floor(v):
+        low = max(v.bit_length() - 1 - 4, 0) if v else 0
+        return v >> low << low
+
+    def quartile(vs, percent):
+        vs = sorted(map(floor, vs))
+        return next(v for i, v in enumerate(vs, 1) if i * 100 >= len(vs) * percent)
+
+    groups = {}
+    for r in rows:
+        for key in ((0, r[0], r[1]), (1, r[0], None), (2, None, None)):
+            groups.setdefault(key, []).append(values(r))
+    margins = ((150, None), (300, None), (250, None), (2000, 1500))
+    out = []
+    for r in rows:
+        own = next(g for g in (groups[0, r[0], r[1]], groups[1, r[0], None], groups[2, None, None]) if len(g) >= 200 or g is groups[2, None, None])
+        fine = not (r[2] < 50 or 100 * r[7] > 50 * r[2])
+        for i, (up, down) in enumerate(margins):
+            q1, q3 = quartile([g[i] for g in own], 25), quartile([g[i] for g in own], 75)
+            v = values(r)[i]
+            fine &= v <= q3 + 3 * (q3 - q1) + up and (down is None or v >= q1 - 3 * (q3 - q1) - down)
+        out.append(fine)
+    return out
+
+
+def test_rules_against_plain_thresholds(spark):
+    docs = spark.read.parquet(f"{DIR.replace('0.001', '0.01')}/documents.parquet")
+    got = rules.judge(docs, ["doc_id"]).collect()
+    rows = [(r["doc.lang"], r["doc.source"], r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) for r in got]
+    assert [r.kept for r in got] == plain_thresholds(rows)
+    assert 0 < sum(r.kept for r in got) < sum(not r.base_failed for r in got) <= len(got)
+
+
 def test_marginals_are_exact():
     r = np.random.default_rng(0)
     m = toxicity.ToxicSpans()
