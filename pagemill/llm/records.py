@@ -6,30 +6,40 @@ signed), the bytes of an id (1; 0x80 is set if the document id is null), the ids
 is the crc32 turned right by 15 bits plus MASK, so that a checksum of data that hold checksums
 stays sound.
 
-Rows are dealt by range of doc_id into files of about FILE_BYTES of input, so files in the order of
-their numbers hold documents in ascending order; rows that repeat a doc_id stand side by side in the
-order of a hash of their texts, and a doc_id with very many rows is split between files. Texts are
-shuffled, then tokenized. Spark's own writer and its committer write the files to any store, and
-a task that runs again leaves no second copy. The index has one row for each record: file number,
-offset, length, doc_id, n_tokens. A null text is an empty one: the end id alone.
+Texts are dealt by range of doc_id to files of about FILE_BYTES of text and tokenized there (two-byte ids
+take about as much room as the text, so shuffling them would save nothing and tokenizing first would keep
+them twice). Files in the order of their numbers hold documents in ascending order; rows that
+repeat a doc_id stand side by side in the order of a hash of their texts, and a doc_id with very many
+rows is split between files. Spark's own writer and its committer write the files to any store, and a
+task that runs again leaves no second copy. The index is written from the files, every record of which
+is checked on the way: file number, offset, length, doc_id, n_tokens. read() reads all files in order;
+read_at() reads the records of index rows, in any order, through their offsets alone.
+
+A null text is an empty one: the end id alone. Null doc_ids come first, repeated rows are records of
+their own, an empty table gives one file without records, columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 import struct
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import tokens
-from pagemill.llm.common import shared_dir, ship, size_bytes
+from pagemill.llm.common import shared_dir, ship
 
-FILE_BYTES = 4 << 20
+#: Bytes of text in a file, about.
+FILE_BYTES = 16 << 20
+#: Index rows up to which read_at() broadcasts them.
+MAX_BROADCAST_ROWS = 1 << 18
 MASK = 0xA282EAD8
 
 
@@ -60,70 +70,104 @@ def write(docs: DataFrame, path: str, end_id: int, out: str, file_bytes: int = F
     """Writes files of records to out/data and the offset index to out/index."""
     spark = docs.sparkSession
     ship(spark)
-    files = max(1, -(-size_bytes(docs.select("doc_id", "text")) // file_bytes))
 
     def run(batches):
         table = tokens.bpe(path)
         for part, ids, at in tokens.token_slices(batches, table):
             width = 2 if int(ids.max(initial=end_id)) < 1 << 16 else 4
-            rows = [frame(d, np.append(ids[a:b], np.uint32(end_id)), width) for d, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist())]
+            end = np.array([end_id], np.uint32)
+            rows = [frame(d, np.concatenate([ids[a:b], end]), width) for d, a, b in zip(part.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.mode("overwrite").text(f"{out}/data")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    files = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
+    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    written = dealt.select("doc_id", "text").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    written.write.mode("overwrite").text(f"{out}/data")
 
     def scan(batches):
-        for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data, at, found = memoryview(data.as_buffer()), 0, []
-                while at < len(data):
-                    n, _ = struct.unpack_from("<QI", data, at)
-                    doc_id, kind = struct.unpack_from("<qB", data, at + 12)
-                    found.append((number(name), at, n, None if kind & 0x80 else doc_id, (n - 9) // (kind & 0x7F)))
-                    at += 12 + n + 5
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["file", "offset", "length", "doc_id", "n_tokens"])
+        for file, data in _contents(batches):
+            at, found = 0, []
+            while at < len(data):
+                doc_id, ids, after = unframe(data, at)
+                found.append((file, at, after - at, doc_id, len(ids)))
+                at = after
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], INDEX)
 
     _files(spark, out).mapInArrow(scan, "file int, offset long, length long, doc_id long, n_tokens long").write.mode("overwrite").parquet(f"{out}/index")
 
 
+INDEX = ["file", "offset", "length", "doc_id", "n_tokens"]
+
+
 def number(name: str) -> int:
-    return int(re.search(r"part-(\d+)", name)[1])
+    return int(re.match(r"part-(\d+)", posixpath.basename(name))[1])
 
 
 def _files(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{out}/data").select("path", "content")
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, memoryview]]:
+    for batch in batches:
+        for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+            yield number(name), memoryview(data.as_buffer())
+
+
+def starts(spark: SparkSession, out: str) -> DataFrame:
+    """file, start: the ids of all files before it. Sums run in blocks of files, then over blocks."""
+    sums = spark.read.parquet(f"{out}/index").groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.expr("file DIV 1024"))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n")).withColumn("at", F.col("block")).withColumn("first", before(F.lit(0))).select("block", "first")
+    own = sums.withColumn("at", F.col("file")).withColumn("inner", before("block"))
+    return own.join(blocks, "block").select("file", (F.col("first") + F.col("inner")).alias("start"))
+
+
 def read(spark: SparkSession, out: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each record, checked against its checksums; with
     keep_ids also ids."""
     ship(spark)
-    sums = sorted(spark.read.parquet(f"{out}/index").groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each file
-    before = dict(zip((r["file"] for r in sums), np.cumsum([0, *(r["n"] for r in sums)]).tolist()))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "file int, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+
+    def run(batches):
+        for file, data in _contents(batches):
+            at, start, found, texts = 0, 0, [], []
+            while at < len(data):
+                doc_id, ids, at = unframe(data, at)
+                found.append((doc_id, start, len(ids), tokens.crc32(ids)))
+                start += len(ids)
+                if keep_ids:
+                    texts.append(ids.astype(np.int32))
+            if found:
+                columns = [pa.array([file] * len(found), pa.int32()), *(pa.array(c, pa.int64()) for c in zip(*found))] + [pa.array(texts, pa.list_(pa.int32()))] * keep_ids
+                yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "within", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+
+    rows = _files(spark, out).mapInArrow(run, schema).join(starts(spark, out), "file")
+    return rows.select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
+
+
+def read_at(spark: SparkSession, out: str, asked: DataFrame) -> DataFrame:
+    """place, doc_id, ids of the records that rows of asked (place, file, offset) point to: a shuffled
+    read, whose order is that of place. Each file is opened once and read at its offsets only."""
+    ship(spark)
+    lists = asked.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", F.col("place").cast("long").alias("place")))).alias("asked"))  # records of one file
+    few = asked.count() <= MAX_BROADCAST_ROWS
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data, at, found, texts = memoryview(data.as_buffer()), 0, [], []
-                start = before.get(number(name), 0)
-                while at < len(data):
-                    doc_id, ids, at = unframe(data, at)
-                    found.append((doc_id, start, len(ids), tokens.crc32(ids)))
-                    start += len(ids)
-                    if keep_ids:
-                        texts.append(ids.astype(np.int32))
-                if found:
-                    out = [pa.array(c, pa.int64()) for c in zip(*found)] + [pa.array(texts, pa.list_(pa.int32()))] * keep_ids
-                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
-
-    return _files(spark, out).mapInArrow(run, schema)
+            for data, own in zip(batch.column("content"), batch.column("asked").to_pylist()):
+                data = memoryview(data.as_buffer())
+                got = [(x["place"], *unframe(data, x["offset"])[:2]) for x in own]
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2].astype(np.int32) for g in got], pa.list_(pa.int32()))], ["place", "doc_id", "ids"])
+
+    files = _files(spark, out).withColumn("file", F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("int"))
+    return files.join(F.broadcast(lists) if few else lists, "file").select("content", "asked").mapInArrow(run, "place long, doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Writes the records to a new folder of the shared store and reads them back."""
+    """Writes the records to a new folder of the shared store and reads them back. The folder stays, for
+    the result is read from it when it is used."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
     write(docs, path, end_id, out)
