@@ -457,3 +457,9 @@ def crop_pixels(table: Column, width: Column, height: Column, pixels_wide: Colum
     a, b, c, d = (v.cast("int") for v in (x0 * sx, y0 * sy, x1 * sx, y1 * sy))
     fine = (c > a) & (d > b)
     return F.struct(F.when(fine, a).otherwise(0).alias("left"), F.when(fine, b).otherwise(0).alias("top"), F.when(fine, c).otherwise(pixels_wide.cast("int")).alias("right"), F.when(fine, d).otherwise(pixels_high.cast("int")).alias("bottom"))
+
+
+def holds_other_table(lines: Column, table: Column, forbidden) -> Column:
+    """Whether the text within a box holds a phrase of another table, so that the target has to be taken out
+    of a combined crop."""
+    return any_of(fold(text_within(lines, table)), forbidden)

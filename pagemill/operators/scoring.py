@@ -338,7 +338,7 @@ def scored(rows: DataFrame) -> DataFrame:
 def breakdown(rows: DataFrame) -> Column:
     """The terms of a score under their report names; what speaks against the page is negative."""
     names = {"bm25": "bm25", "vector": "vector", "anchor": "anchor_score", "scope": "scope_score", "title": "title_score", "signature": "sig"}
-    return F.struct(*(F.round(c, 6).alias(k) for k, c in names.items()), F.round(-F.col("opposite"), 6).alias("negative_penalty"), F.round("score", 6).alias("final_score"))
+    return F.struct(*(F.round(c, 6).alias(k) for k, c in names.items()), F.round(F.lit(0.0) - F.col("opposite"), 6).alias("negative_penalty"), F.round("score", 6).alias("final_score"))
 
 
 def evidence(rows: DataFrame) -> Column:

@@ -96,6 +96,18 @@ def rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
 RULES = rules()
 
 
+def context_rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
+    """Why a kept table is not to be used again, from its page's text; after rules()."""
+    p = phrases
+    return {
+        "alternate_statement": All((Marks(p["cash_flow"], 1, 1400), Not(Named("any_main")))),
+        "wrong_balance": All((Any((Named("segment"), Named("policy"), Named("breakdown"), Named("note_detail"))), Not(Named("any_main")))),
+        "bad_header": All((Marks(p["main_title"], 1, 700), Not(Any((Named("asset_total"), Named("liability_total")))))),
+        "other_scope_than_consolidated": All((Named("statutory_page"), Not(Named("consolidated_page")))),
+        "other_scope_than_statutory": All((Named("consolidated_page"), Not(Named("statutory_page")))),
+    }
+
+
 def with_kinds(pages: DataFrame, folded: str = "folded", phrases: dict[str, tuple[str, ...]] = PHRASES) -> DataFrame:
     """Adds a boolean column for each rule to pages with a folded text."""
     return with_rules(pages, RULES if phrases is PHRASES else rules(phrases), folded)

@@ -158,3 +158,21 @@ def normalized_row(columns: Column, values: Column, labels: list[str]) -> Column
     filled = F.filter(F.transform(F.filter(columns, is_label), value), lambda v: F.trim(v) != "")
     kept = F.filter(columns, lambda c: ~is_label(c))
     return F.struct(F.coalesce(F.get(filled, F.lit(0)), F.lit("")).alias("label"), kept.alias("columns"), F.transform(kept, value).alias("values"))
+
+
+def audit(selected: Column, retrieved: Column, scope_score: Column, confidence: Column, crop: Column) -> Column:
+    """Why a selection doesn't count as found, the first reason that fits; null if it does."""
+    return (
+        F.when(selected.isNull(), "no_candidate").when(~F.coalesce(F.array_contains(retrieved, selected), F.lit(False)), "page_not_retrieved")
+        .when(F.coalesce(scope_score, F.lit(0.0)) <= 0, "other_scope").when(F.coalesce(confidence, F.lit(0.0)) < 0.45, "low_confidence").when(~F.coalesce(crop, F.lit(False)), "no_crop")
+    )
+
+
+def evidence_summary(chunks: DataFrame, key: list[str]) -> DataFrame:
+    """key, n_chunks, n_labels of the evidence of each result, and a row with null keys for all of them."""
+    return chunks.rollup(*key).agg(F.count("*").alias("n_chunks"), F.count_distinct("label").alias("n_labels"), F.grouping_id().alias("_g")).filter(F.col("_g").isin(0, (1 << len(key)) - 1)).drop("_g")
+
+
+def crop_metadata(candidate: Column, crop_path: Column) -> Column:
+    """What is kept beside a crop, as JSON."""
+    return F.to_json(F.struct(crop_path.alias("crop_path"), candidate.alias("table_candidate")))

@@ -323,3 +323,13 @@ def crop_pixels(spark, d):
     table = F.struct(x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_tax") * 3000).alias("x1"), (y0 + F.col("l_tax") * 900).alias("y1"))
     rows = read(spark, d, "lineitem").withColumn("table", table)
     return rows.select("l_orderkey", "l_linenumber", layout.crop_pixels(F.col("table"), W, H, F.lit(1200), F.lit(1680)).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
+
+
+_FORBIDDEN = ("total du passif", "compte de produits", "hors bilan")
+
+
+@query(f"{_LINES}, c AS (SELECT doc_id, string_agg(f, ' ' ORDER BY y0, x0) AS t FROM n WHERE c BETWEEN 0 AND 330 AND (y0 + y1) / 2 BETWEEN 100 AND 300 GROUP BY doc_id) SELECT doc_id, coalesce({_has('t', _FORBIDDEN)}, false) AS combined FROM documents LEFT JOIN c USING (doc_id)")
+def combined_crop(spark, d):
+    lines = F.col("lines")
+    table = F.struct(F.lit(0.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(330.0).alias("x1"), F.lit(300.0).alias("y1"))
+    return pages(spark, d).select("doc_id", layout.holds_other_table(lines, table, _FORBIDDEN).alias("combined"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import feedback, retrieval, tables
+from pagemill.operators import classify, feedback, retrieval, tables
 from pagemill.plans.registry import fold_sql, query, quote, read
 
 
@@ -229,3 +229,31 @@ def vision_prompt(spark, d):
 @query(f"SELECT n_nationkey, replace(translate(lower(n_name || ' Éà'), 'éèêëàâîïôû', 'eeeeaaiiou'), {quote('x')}, 'x') AS name FROM nation")
 def narrow_lower(spark, d):
     return read(spark, d, "nation").select("n_nationkey", T.narrow_lower(F.concat("n_name", F.lit(" Éà"))).alias("name"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'no_candidate' WHEN l_linenumber NOT IN (1, 2, 3, 5) THEN 'page_not_retrieved' WHEN l_suppkey % 4 = 0 THEN 'other_scope' WHEN l_discount * 10 < 0.45 THEN 'low_confidence' WHEN l_returnflag = 'R' THEN 'no_crop' END AS reason FROM lineitem"
+)
+def audit_reasons(spark, d):
+    page = F.when(F.col("l_quantity") >= 5, F.col("l_linenumber"))
+    retrieved = F.array(*(F.lit(p) for p in (1, 2, 3, 5)))
+    reason = tables.audit(page, retrieved, (F.col("l_suppkey") % 4) / 4.0, F.col("l_discount") * 10, F.col("l_returnflag") != "R")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason"))
+
+
+@query(f"{_ROWS} SELECT o_orderkey, count(*) AS n_chunks, count(DISTINCT trim(label)) AS n_labels FROM r WHERE o_orderkey % 9 > 0 GROUP BY ROLLUP (o_orderkey)")
+def evidence_counts(spark, d):
+    return tables.evidence_summary(tables.evidence_rows(results(spark, d), ["o_orderkey"], "columns", "rows"), ["o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, '{\"crop_path\":\"crop_' || l_partkey || '.png\",\"table_candidate\":{\"page\":' || l_linenumber || ',\"flag\":\"' || l_returnflag || '\"}}' AS metadata FROM lineitem")
+def crop_metadata(spark, d):
+    candidate = F.struct(F.col("l_linenumber").alias("page"), F.col("l_returnflag").alias("flag"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tables.crop_metadata(candidate, F.concat(F.lit("crop_"), F.col("l_partkey").cast("string"), F.lit(".png"))).alias("metadata"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 's1' ELSE 'annuel' END AS report, CASE WHEN o_orderkey % 4 = 0 THEN 'web' ELSE 'regulator' END AS mode FROM orders")
+def report_types(spark, d):
+    written = F.when(F.col("o_orderkey") % 6 == 0, " Semestriel").when(F.col("o_orderkey") % 3 == 0, "S1").when(F.col("o_orderkey") % 2 == 0, "rapport_annuel").otherwise("autre")
+    mode = F.when(F.col("o_orderkey") % 4 == 0, "Google ").otherwise(F.lit(None).cast("string"))
+    return read(spark, d, "orders").select("o_orderkey", classify.canonical(written, {"s1": ["semestriel", "rapport_s1"], "annuel": ["rapport_annuel"]}, "annuel").alias("report"), classify.canonical(mode, {"web": ["google", "internet"]}, "regulator").alias("mode"))

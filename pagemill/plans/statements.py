@@ -79,6 +79,15 @@ def page_kinds(spark, d):
     return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(n), F.lit(n)) for n in statements.RULES)).alias("kinds"))
 
 
+_CONTEXT = statements.context_rules()
+
+
+@query(f"{_KINDS}, {flags_sql(_CONTEXT, 'k', 'x')} SELECT doc_id, {_told(_CONTEXT)} AS vetoes FROM x")
+def context_vetoes(spark, d):
+    rows = marks.with_rules(statements.with_kinds(pages(spark, d)), _CONTEXT)
+    return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(n), F.lit(n)) for n in _CONTEXT)).alias("vetoes"))
+
+
 _TITLES = {"asset": [r"^(.{0,40} )?bilan (- )?actif", r"\bactif\b.{0,20}\bpassif\b"], "liability": [r"bilan (- )?passif"], "income": [r"compte de (produits|resultat)"]}
 
 
@@ -291,3 +300,30 @@ def wrong_table_penalty(spark, d):
 def embedding_text(spark, d):
     body = T.labelled_text({"company": F.col("source"), "sector": F.col("sector")}, F.col("text"))
     return pages(spark, d).select("doc_id", F.md5(body).alias("text_md5"))
+
+
+_MADE = "SELECT l_orderkey, l_partkey * 10 + l_linenumber AS page, l_quantity / 50 AS bm25, l_discount * 10 AS vector, l_tax * 10 AS anchor_score, l_linenumber % 4 / CAST(4 AS DOUBLE) AS scope_score, l_suppkey % 3 / CAST(3 AS DOUBLE) AS title_score, l_partkey % 7 / CAST(7 AS DOUBLE) AS sig, l_suppkey % 5 / CAST(5 AS DOUBLE) AS opposite, l_extendedprice % 100 / 1000 + l_linenumber % 2 / CAST(2 AS DOUBLE) AS score FROM lineitem"
+
+
+@query(
+    f"WITH m AS ({_MADE}) SELECT l_orderkey, page, round(bm25, 6) AS bm25, round(vector, 6) AS vector, round(anchor_score, 6) AS anchor, round(scope_score, 6) AS scope, round(title_score, 6) AS title, round(sig, 6) AS signature, round(0 - opposite, 6) AS negative_penalty, round(score, 6) AS final_score FROM m"
+)
+def score_breakdown(spark, d):
+    rows = read(spark, d, "lineitem").selectExpr(*_items(_MADE))
+    return rows.select("l_orderkey", "page", scoring.breakdown(rows).alias("b")).select("l_orderkey", "page", "b.*")
+
+
+_KEY = "0.48 * sig + 0.32 * anchor_score + 0.15 * title_score + 0.05 * scope_score"
+
+
+@query(
+    f"WITH m AS ({_MADE}), r AS (SELECT *, round(score, 9) AS s, round({_KEY}, 9) AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(score, 9) DESC, page, bm25, vector) AS rank FROM m QUALIFY rank <= 8), "
+    "h AS (SELECT *, coalesce(max(s) FILTER (WHERE rank = 1) OVER w - max(s) FILTER (WHERE rank = 2) OVER w < 0.045, false) AND rank <= 6 AS near FROM r WINDOW w AS (PARTITION BY l_orderkey)) "
+    "SELECT l_orderkey, page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN rank <= 6 THEN 0 ELSE 1 END, CASE WHEN near THEN k END DESC NULLS LAST, CASE WHEN near THEN sig END DESC NULLS LAST, CASE WHEN near THEN anchor_score END DESC NULLS LAST, CASE WHEN near THEN title_score END DESC NULLS LAST, CASE WHEN near THEN page END NULLS FIRST, rank) AS INT) AS rank FROM h"
+)
+def structural_tiebreak(spark, d):
+    rows = read(spark, d, "lineitem").selectExpr(*_items(_MADE)).withColumn("s", F.round("score", 9))
+    best = retrieval.top_k(rows, ["l_orderkey"], "s", ["page", "bm25", "vector"], 8)
+    c = F.col
+    key = F.round(retrieval.structural_key(c("sig"), c("anchor_score"), c("title_score"), c("scope_score")), 9)
+    return retrieval.tiebreak(best, ["l_orderkey"], "s", [key, c("sig"), c("anchor_score"), c("title_score")], "page").select("l_orderkey", "page", "rank")
