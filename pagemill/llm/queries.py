@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import chat, merkle, near_dup, packing, pieces, quality, records, rules, topk, toxicity, urls, vector_dup
+from pagemill.llm import chat, collocations, merkle, near_dup, packing, pieces, quality, records, rules, topk, toxicity, urls, vector_dup
 from pagemill.llm.common import fold, table
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -78,7 +78,11 @@ def op12_superblock_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), **tampered())
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op3_vector_approximation, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records, op10_bag_min_hash, op11_sorted_projections, op12_superblock_manifest)}
+def op13_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_url_digest, op3_vector_approximation, op4_best_two_fit, op5_chunk_pieces, op6_adaptive_rules, op7_toxic_spans, op8_prefix_targets, op9_binary_records, op10_bag_min_hash, op11_sorted_projections, op12_superblock_manifest, op13_pivot_collocations)}
 _HOST = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BEST = "(SELECT {} FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1)"
 _ESCAPED = r"replace(regexp_replace({}, '[\\#]', '\\\0', 'g'), '</', '<\/')"
