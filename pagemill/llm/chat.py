@@ -55,7 +55,8 @@ def expand(turns: DataFrame) -> DataFrame:
 def parse(formatted: Column) -> Column:
     """An array of (role, text) from turns as formatted."""
     pieces = F.filter(F.split(formatted, END, -1), lambda p: p != "")
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): "
+    # Possessive, and without an alternation: Java matches it by a loop, however long the role is.
+    head = r"(?s)^### ([^\\:]*+(?:\\.[^\\:]*+)*+): "
     return F.transform(pieces, lambda p: F.struct(unescape(F.regexp_extract(p, head, 1)).alias("role"), unescape(F.regexp_replace(p, head, "")).alias("text")))
 
 

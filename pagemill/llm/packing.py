@@ -1,9 +1,10 @@
 """Best-two-fit packing of tokenized documents into sequences of fixed length.
 
 Documents are tokenized where they lie; only a small row for each piece (id, start, length,
-checksum) is shuffled. Pieces are dealt by a hash into shards of about SHARD_PIECES, whose number
+checksum) is shuffled. Pieces are dealt into shards of about SHARD_PIECES, whose number
 grows with the input, and each shard is packed by itself: at most one sequence a shard is badly
-filled. Within a shard pieces are counted by length, so packing takes memory and time by lengths.
+filled. A row's place in the checkpoint decides, so rows that repeat each other are spread as well. Within
+a shard pieces are counted by length, so packing takes memory and time by lengths.
 
 A bin is filled greedily, the largest fitting piece first. If a gap is left, its smallest piece is
 put back for two pieces that fit the widened gap more tightly, where there are such.
@@ -145,7 +146,7 @@ def pack(pieces: DataFrame, length: int, shard_pieces: int = SHARD_PIECES) -> Da
                 at += x
         return t.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+    return pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, length: int = 1024, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -48,7 +48,7 @@ def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", mod=5, held_out=0)
     out = toxicity.score(docs, model, ["doc_id"])
     doc_id = F.col("`doc.doc_id`")
-    return out.select(doc_id.alias("doc_id"), (fold(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return out.select(doc_id.alias("doc_id"), (fold(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")
 
 
 def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

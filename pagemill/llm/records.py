@@ -9,8 +9,9 @@ stays sound.
 Texts are dealt by range of doc_id to files of about FILE_BYTES of text and tokenized there (two-byte ids
 take about as much room as the text, so shuffling them would save nothing and tokenizing first would keep
 them twice). Files in the order of their numbers hold documents in ascending order; rows that
-repeat a doc_id stand side by side in the order of a hash of their texts, and a doc_id with very many
-rows is split between files. Spark's own writer and its committer write the files to any store, and a
+repeat a doc_id stand side by side in the order of a hash of their texts and then of their places in the
+input, so a doc_id with very many rows, even equal ones, is split between files. (The input has to give its
+rows in the same order when a task reads it again, as tables and checkpoints do.) Spark's own writer and its committer write the files to any store, and a
 task that runs again leaves no second copy. The index is written from the files, every record of which
 is checked on the way: file number, offset, length, doc_id, n_tokens. read() reads all files in order;
 read_at() reads the records of index rows, in any order, through their offsets alone.
@@ -81,7 +82,8 @@ def write(docs: DataFrame, path: str, end_id: int, out: str, file_bytes: int = F
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     files = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // file_bytes))
-    dealt = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    order = ["doc_id", "tie", "place"]
+    dealt = rows.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
     written = dealt.select("doc_id", "text").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     written.write.mode("overwrite").text(f"{out}/data")
 

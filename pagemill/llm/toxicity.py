@@ -4,7 +4,8 @@ Tokens are runs of letters. Features of a token are its word and its beginnings
 in lower case. From at most TRAIN_DOCS labelled documents outside the held-out fold (a bound of the
 fit only; each doc_id and each text counts once) all features are kept that stand in MIN_DOCS toxic
 documents or more, and there far more often than in others: by the log-likelihood ratio of their
-document counts, MIN_RATIO or more. Tokens with such a feature are labelled toxic in toxic documents,
+document counts, MIN_RATIO or more. Where no feature reaches both, the least number of toxic documents
+is lowered one by one to 1; where none reaches MIN_RATIO, there is nothing to tag. Tokens with such a feature are labelled toxic in toxic documents,
 all other tokens as clean, and the field with the states clean and toxic is fitted to the windows of
 WINDOW tokens around each token with a feature, equal ones counted together, and to clean windows.
 
@@ -15,7 +16,7 @@ document are aggregated to two numbers whose logistic regression is the score; o
 with a marginal of SPAN_AT or more are reported, neighbours joined.
 
 A null or empty text has no tokens and is scored as a text without toxic tokens. If the labels have
-one value or none, every score is their smoothed mean and no span is reported. Repeated rows get equal
+one value or none, or no feature tells them apart, every score is their smoothed mean and no span is reported. Repeated rows get equal
 scores; an empty table has none; columns are carried under names of their own, so none can clash.
 """
 
@@ -268,9 +269,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 5,
         discard(own, counts)
         return model
     rated = counts.filter("feature <> 0").withColumn("ratio", _likelihood_ratio(total["pos"], total["n"] - total["pos"]))
-    keys = rated.filter((F.col("pos") >= MIN_DOCS) & (F.col("ratio") >= MIN_RATIO)).select("feature").collect()  # features of the bounded sample
-    if not keys:  # few toxic documents: the likeliest features there are
-        keys = rated.orderBy(F.desc("ratio"), "feature").select("feature").limit(50).collect()
+    rated = rated.filter(F.col("ratio") >= MIN_RATIO)
+    most = rated.agg(F.max("pos")).first()[0]
+    if most is None:
+        model.constant = (total["pos"] + 0.5) / (total["n"] + 1)
+        discard(own, counts)
+        return model
+    keys = rated.filter(F.col("pos") >= min(MIN_DOCS, most)).select("feature").collect()  # features of the bounded sample
     model.keys = np.sort(np.array([r["feature"] for r in keys], np.int64).view(np.uint64))
     model.weight = np.zeros(len(model.keys))
 

@@ -5,8 +5,9 @@ strings. Executors map the keys into memory and probe them by vectorised binary
 suffix and path prefix of a url that could be a rule; a hit counts only if the stored string is equal,
 so collisions do no harm. The longest fitting rule decides.
 
-The array travels as a broadcast if it has at most MAX_BYTES. A larger one is cut by digest into parts of
-about that size, and each part is probed in one place, with the distinct candidates of its range.
+The array travels as a broadcast if it has at most MAX_BYTES. A larger one is cut by digest into parts of at
+most about that size, and into so many that the distinct candidates of a part, which are probed in one
+place, are about PART_NAMES.
 
 A rule fits its host and all subdomains, if the url's path starts with the rule's. A null url, or
 one without ://, has an empty host and path. No rule: null, and the default verdict. Rules that
@@ -26,14 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, frequent_join, ship
+from pagemill.llm.common import checkpoint, frequent_join, rows_of, ship
 
 MAX_BYTES = 64 << 20
+#: Distinct candidates that are probed in one place.
+PART_NAMES = 1 << 18
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = str.maketrans(_UPPER, _LOWER)
 Rule = tuple[str, str, str]
 
 
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
@@ -46,7 +51,7 @@ class DigestArray:
     def __init__(self, rules: list[Rule]):
         best: dict[str, str] = {}
         for host, path, verdict in rules:
-            name = host.lower() + path
+            name = host.translate(_FOLDED) + path
             best[name] = "block" if "block" in (verdict, best.get(name)) else verdict
         rows = sorted((digest(k), k, v) for k, v in best.items())
         self.keys = np.array([r[0] for r in rows], "<i8").tobytes()
@@ -97,7 +102,7 @@ def candidates(labels: list[int], paths: list[int]) -> Column:
     return F.flatten(F.transform(hosts, lambda h: F.transform(tails, lambda p: F.concat(h, p))))
 
 
-def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes: int = MAX_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes: int = MAX_BYTES, part_names: int = PART_NAMES) -> DataFrame:
     """page_id, host, path, rule, verdict of each row of page_id and url."""
     spark = pages.sparkSession
     ship(spark)
@@ -105,7 +110,7 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes
     array = DigestArray(rules)
     names = candidates(array.labels, array.paths) if rules else F.expr("cast(array() as array<string>)")
     if array.bytes > max_bytes:
-        return _parted(rows, names, array, default, max_bytes)
+        return _parted(rows, names, array, default, max_bytes, part_names)
     shared = spark.sparkContext.broadcast(array)
 
     def run(batches):
@@ -127,15 +132,15 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", max_bytes
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
 
-def _parted(rows: DataFrame, names: Column, array: DigestArray, default: str, max_bytes: int) -> DataFrame:
-    """The same with an array in parts: ranges of digests, of about max_bytes each."""
+def _parted(rows: DataFrame, names: Column, array: DigestArray, default: str, max_bytes: int, part_names: int) -> DataFrame:
+    """The same with an array in parts by digest, of at most about max_bytes of rules and part_names candidates."""
     spark = rows.sparkSession
-    parts = -(-array.bytes // max(max_bytes, 1 + array.bytes // (len(array.names) or 1)))
-    part = lambda d: F.expr(f"pmod(shiftrightunsigned({d}, 32), {parts})")
+    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(names).alias("rule"))
+    counted = checkpoint(asked.groupBy("rule").agg(F.count("*").alias("n")).withColumn("digest", F.xxhash64("rule")))
+    parts = max(-(-array.bytes // max(max_bytes, 1 + array.bytes // (len(array.names) or 1))), -(-rows_of(counted) // part_names))
+    part = lambda d: F.expr(f"pmod(shiftrightunsigned({d}, 16), {parts})")
     rules = spark.createDataFrame(list(zip(array.names, array.verdicts)), "rule string, rule_verdict string")
     rules = rules.withColumn("digest", F.xxhash64("rule")).withColumn("part", part("digest"))
-    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(names).alias("rule"))
-    counted = asked.groupBy("rule").agg(F.count("*").alias("n")).withColumn("digest", F.xxhash64("rule"))
 
     def probe(t: pa.Table, own: pa.Table) -> pa.Table:
         order = pa.compute.sort_indices(own, [("digest", "ascending")])
@@ -148,6 +153,6 @@ def _parted(rows: DataFrame, names: Column, array: DigestArray, default: str, ma
         return found.append_column("rule_verdict", pa.array([verdicts[j] for j in place[hit].tolist()], pa.string()))
 
     hits = counted.withColumn("part", part("digest")).groupBy("part").cogroup(rules.groupBy("part")).applyInArrow(probe, "rule string, n long, rule_verdict string")
-    met = frequent_join(asked, checkpoint(hits), ["rule"], "n", max(asked.count(), 1), "inner")
+    met = frequent_join(asked, checkpoint(hits), ["rule"], "n", max(counted.agg(F.sum("n")).first()[0] or 1, 1), "inner")
     best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
     return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
