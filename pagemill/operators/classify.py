@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import count_markers, fold, keyword_hits, with_folded
+from pagemill.operators.keys import group_key
+from pagemill.operators.ordered import NO_BLOCK
 
 Vocabulary = dict[str, list[str]]
 
@@ -24,16 +26,16 @@ def scope_ranges(pages: DataFrame, document: str, page: str, text: str, vocabula
     """document, page, scopes: a page's own, else the first scope of the last page before it that has any.
     Pages are reduced to their scopes before they are put in order, and shuffled once. A document's pages
     are dealt to blocks by page number, and what a block hands on is filled in first, so no task holds a
-    whole document."""
+    whole document. A null document is one; a null page number comes first."""
     folded = with_folded(pages.select(document, page, text), text, "_folded", "_loosened")
-    own = folded.select(document, page, ranked_hits(F.col("_folded"), F.col("_loosened"), vocabulary).alias("_own"), F.expr(f"{page} DIV {PAGES_A_TASK}").alias("_block"))
-    own = own.repartition(document, "_block")  # what both sides of the join below read
+    own = folded.select(document, page, ranked_hits(F.col("_folded"), F.col("_loosened"), vocabulary).alias("_own"), F.coalesce(F.expr(f"{page} DIV {PAGES_A_TASK}"), F.lit(NO_BLOCK)).alias("_block"), group_key([document]).alias("_g"))
+    own = own.repartition("_g", "_block")  # what both sides of the join below read
     top = F.get("_own", F.lit(0))
-    ends = own.groupBy(document, "_block").agg(F.max_by(top, F.when(top.isNotNull(), F.col(page))).alias("_end"))
-    earlier = Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = own.groupBy("_g", "_block").agg(F.max_by(top, F.when(top.isNotNull(), F.coalesce(F.col(page), F.lit(NO_BLOCK)))).alias("_end"))
+    earlier = Window.partitionBy("_g").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
-    within = Window.partitionBy(document, "_block").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
-    filled = own.withColumn("_filled", F.last(top, ignorenulls=True).over(within)).join(ends, [document, "_block"])
+    within = Window.partitionBy("_g", "_block").orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    filled = own.withColumn("_filled", F.last(top, ignorenulls=True).over(within)).join(ends, ["_g", "_block"])
     last = F.coalesce("_filled", "_before")
     scopes = F.when(F.size("_own") > 0, F.col("_own")).when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<string>"))
     return filled.select(document, page, scopes.alias("scopes"))

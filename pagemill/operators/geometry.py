@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.keys import group_key, join_groups
+
 
 def densest_cluster(lines: DataFrame, page: list[str], top: str, bottom: str, label: str, gap: float) -> DataFrame:
     """Of each page, the run of lines without a vertical gap over `gap` that has most distinct
@@ -26,7 +28,7 @@ def nearest_pair(left: DataFrame, right: DataFrame, page: list[str], y: str, key
     a = left.select(*page, F.col(y).alias("y_left"), F.col(key).alias("left_key"), band.alias("_band"))
     b = right.select(*page, F.col(y).alias("y_right"), F.col(key).alias("right_key"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
     near = F.abs(F.col("y_left") - F.col("y_right"))
-    pairs = a.join(b, [*page, "_band"]).withColumn("dy", near).filter(near <= limit)
+    pairs = join_groups(a, b, [*page, "_band"]).withColumn("dy", near).filter(near <= limit)
     best = F.min(F.struct("dy", "left_key", "right_key")).alias("p")
     return pairs.groupBy(*page).agg(best).select(*page, "p.*")
 
@@ -34,8 +36,9 @@ def nearest_pair(left: DataFrame, right: DataFrame, page: list[str], y: str, key
 def bounds_below(lines: DataFrame, page: list[str], top: str, bottom: str, start: Column, boundary: Column, anchor: Column) -> DataFrame:
     """first_boundary: the least top of a boundary line under start; end_anchor: the largest bottom
     of an anchor line above that boundary; y_end: which of both ends the table."""
-    first = lines.groupBy(*page).agg(F.min(F.when(boundary & (F.col(top) > start + 8), F.col(top))).alias("first_boundary"))
-    rows = lines.join(first, page)
+    own = lines.withColumn("_g", group_key(page))
+    first = own.groupBy("_g").agg(F.min(F.when(boundary & (F.col(top) > start + 8), F.col(top))).alias("first_boundary"))
+    rows = own.join(first, "_g")
     below = F.coalesce(F.col(bottom) < F.col("first_boundary"), F.lit(True))
     out = rows.groupBy(*page, "first_boundary").agg(F.max(F.when(anchor & below, F.col(bottom))).alias("end_anchor"))
     y_end = F.coalesce(F.col("end_anchor") + 4, F.col("first_boundary") - 2)
@@ -64,7 +67,7 @@ def ranked_candidates(candidates: DataFrame, pages: DataFrame, document: list[st
     """Candidates (page, confidence, income, whole_page, titled) with their page's scores (score, scope_score,
     sig, anchor_score; 0 where the page has none), rank_score and rank by it, then page."""
     terms = ["score", "scope_score", "sig", "anchor_score"]
-    rows = candidates.join(pages.select(*document, page, *terms), [*document, page], "left").fillna(0.0, terms)
+    rows = join_groups(candidates, pages.select(*document, page, *terms), [*document, page], "left").fillna(0.0, terms)
     penalty = F.when(F.col("income"), income_penalty(F.col("sig"), F.col("anchor_score"), F.col("whole_page"), F.col("titled"))).otherwise(0.0)
     rows = rows.withColumn("rank_score", candidate_rank(F.col("score"), F.col("confidence"), F.col("scope_score"), F.col("sig"), F.col("anchor_score"), penalty))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*document).orderBy(F.desc("rank_score"), page)))

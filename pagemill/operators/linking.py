@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import plain_name
+from pagemill.operators.keys import join_groups
 
 # Least length of a name that counts where it stands within another; words that don't
 # count in initials, and in shares of words; markers of half-year and annual reports in links and files.
@@ -154,7 +155,7 @@ def first_urls(found: DataFrame, group: list[str], limit: int) -> DataFrame:
     """group, rank, url: the first `limit` distinct urls of search results (group, source_rank, pos, url):
     those of the first source that found any."""
     first = found.groupBy(*group).agg(F.min("source_rank").alias("source_rank"))
-    own = found.join(first, [*group, "source_rank"]).groupBy(*group, "url").agg(F.min("pos").alias("pos"))
+    own = join_groups(found, first, [*group, "source_rank"]).groupBy(*group, "url").agg(F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("pos", "url"))
     return own.withColumn("rank", rank).filter(F.col("rank") <= limit).select(*group, "rank", "url")
 

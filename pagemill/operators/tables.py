@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import fold
+from pagemill.operators.keys import join_groups
 
 
 def row_type(label: Column, values: Column) -> Column:
@@ -87,15 +88,15 @@ def small_region(target: Column, sector: Column, box: Column, evidence: Column)
 def usable_results(results: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """The kept results of what is asked for: found, with rows, not rejected, and with a box to be trusted."""
     fine = F.col("target_found") & (F.col("n_rows") > 0) & (F.col("status") != "rejected") & ~small_region(F.col("target"), F.col("sector"), F.col("bbox"), F.col("evidence"))
-    return results.filter(fine).join(asked.select(*keys).distinct(), keys, "left_semi")
+    return join_groups(results.filter(fine), asked.select(*keys), keys, "left_semi")
 
 
 def complete(results: DataFrame, document: str, targets: list[str], scopes: list[str]) -> DataFrame:
     """Documents that have a result for every target and scope: none of the pairs is missing."""
     pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.lit(s).alias("scope")) for t in targets for s in scopes)))
     wanted = results.select(document).distinct().select(document, pairs.alias("_p")).select(document, "_p.*")
-    missing = wanted.join(results.select(document, "target", "scope").distinct(), [document, "target", "scope"], "left_anti")
-    return results.select(document).distinct().join(missing.select(document).distinct(), document, "left_anti")
+    missing = join_groups(wanted, results.select(document, "target", "scope"), [document, "target", "scope"], "left_anti")
+    return join_groups(results.select(document).distinct(), missing, [document], "left_anti")
 
 
 def continuation(selected: DataFrame, pages: DataFrame, candidates: DataFrame, document: str, ends: list[str], marks: list[str]) -> DataFrame:
@@ -109,9 +110,9 @@ def continuation(selected: DataFrame, pages: DataFrame, candidates: DataFrame, d
     again = F.lit(False)
     for w in marks:
         again = again | has(F.substring("folded", 1, 2500), w)
-    open_ = selected.select(document, "page").join(pages, [document, "page"]).filter(~whole).select(document, "page", (F.col("page") + 1).alias("next_page"))
-    following = pages.filter(again).select(document, F.col("page").alias("next_page")).join(candidates.select(document, F.col("page").alias("next_page")).distinct(), [document, "next_page"], "left_semi")
-    return open_.join(following, [document, "next_page"]).select(document, "page", "next_page")
+    open_ = join_groups(selected.select(document, "page"), pages, [document, "page"]).filter(~whole).select(document, "page", (F.col("page") + 1).alias("next_page"))
+    following = join_groups(pages.filter(again).select(document, F.col("page").alias("next_page")), candidates.select(document, F.col("page").alias("next_page")), [document, "next_page"], "left_semi")
+    return join_groups(open_, following, [document, "next_page"]).select(document, "page", "next_page")
 
 
 def friendly_error(error: Column, label: Column, page: Column, has_crop: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import classify, feedback, geometry, retrieval, tables
+from pagemill.operators.keys import join_groups
 from pagemill.plans.registry import ORACLES, QUERIES, fold_sql, hits_sql, loose_sql, query, quote, read  # noqa: F401
 from pagemill.streaming import jobs
 
@@ -135,7 +136,7 @@ def _one_query(spark: SparkSession) -> DataFrame:
 def bm25_topk(spark, d):
     docs = read(spark, d, "documents")
     scores = retrieval.bm25(docs, "doc_id", "source", "text", _one_query(spark))
-    every = docs.select("source", "doc_id").join(scores.drop("query_id"), ["source", "doc_id"], "left").fillna(0.0, ["bm25"])
+    every = join_groups(docs.select("source", "doc_id"), scores.drop("query_id"), ["source", "doc_id"], "left").fillna(0.0, ["bm25"])
     scaled = retrieval.minmax(every, ["source"], "bm25").select("source", "doc_id", F.round("bm25", 6).alias("score"))
     return retrieval.top_k(scaled, ["source"], "score", ["doc_id"], 8)
 
