@@ -34,7 +34,9 @@ MIN_COUNT, TOP, INSIDE_PERCENT, SCALE = 10, 2000, 50, 1_000_000
 #: Counters of the words' order.
 SLOT_BITS = 22
 #: Distinct words or fragments that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 19
+#: Rows of a batch that a task hands on.
+GIVEN = 1 << 16
 #: A pivot is dealt to one partition more for each 1/SHARE of all words.
 SHARE = 1000
 #: Rows of the word table up to which it is broadcast.
@@ -111,10 +113,10 @@ def _words(docs: DataFrame, salt: int, most: int) -> DataFrame:
             at, n = summed([w.lang.astype(np.int64), w.id.view(np.int64)], np.ones(len(w.id), np.int64))
             held.append(pa.table([w.langs.take(pa.array(w.lang[at])), pa.array(w.id[at].view(np.int64)), pa.array(w.slot[at]), strings(w.buf, w.starts[at], w.lens[at]).cast(pa.string()), pa.array(n)], ["lang", "id", "slot", "word", "n"]))
             if sum(t.num_rows for t in held) >= most:
-                yield from _merged(held).to_batches()
+                yield from _merged(held).to_batches(GIVEN)
                 held = []
         if held:
-            yield from _merged(held).to_batches()
+            yield from _merged(held).to_batches(GIVEN)
 
     rows = docs.mapInArrow(run, schema)
     return rows.groupBy("lang", "id").agg(F.first("slot").alias("slot"), F.min("word").alias("word"), F.max("word").alias("last"), F.sum("n").alias("n"))
@@ -191,16 +193,20 @@ def fragments(docs: DataFrame, order: np.ndarray, total: int, salt: int, most: i
         take = lambda there, k: np.where(there[at], ids[(at + k) % n], 0)
         return [ids[at], take(l2, -2), take(l1, -1), take(r1, 1), take(r2, 2), salts[level[at]], w.lang[at].astype(np.int64)]
 
-    def given(held: list[list[np.ndarray]], langs: list[str]) -> pa.RecordBatch:
+    def given(held: list[list[np.ndarray]], langs: list[str]):
         *columns, many, lang = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         at, n = summed([*columns, lang], np.ones(len(lang), np.int64))
         at_pivot = np.lexsort((columns[0][at], lang[at]))
         at, n = at[at_pivot], n[at_pivot]
-        h = np.zeros(len(at), np.uint64)
-        for c in columns:
-            h = mix(h ^ c[at].view(np.uint64)) + np.uint64(1)
-        own = (h >> np.uint64(1)).astype(np.int64) % many[at]
-        return pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(lang[at])), *(pa.array(c[at]) for c in columns), pa.array(n), pa.array(many[at]), pa.array(own)], ["lang", *FRAGMENT, "n", "salts", "salt"])
+        for first in range(0, len(at), GIVEN):
+            some = at[first : first + GIVEN]
+            own = [c[some] for c in columns]
+            h = np.zeros(len(some), np.uint64)
+            for c in own:
+                h = mix(h ^ c.view(np.uint64)) + np.uint64(1)
+            deal = (h >> np.uint64(1)).astype(np.int64) % many[some]
+            yield pa.RecordBatch.from_arrays([pa.array(langs).take(pa.array(lang[some])), *map(pa.array, own), pa.array(n[first : first + GIVEN]), pa.array(many[some]), pa.array(deal)], ["lang", *FRAGMENT, "n", "salts", "salt"])
 
     def run(batches):
         held, langs, size = [], {}, 0
@@ -214,10 +220,10 @@ def fragments(docs: DataFrame, order: np.ndarray, total: int, salt: int, most: i
             held.append(columns)
             size += len(columns[0])
             if size >= most:
-                yield given(held, list(langs))
-                held, size = [], 0
+                yield from given(held, list(langs))
+                size = 0
         if size:
-            yield given(held, list(langs))
+            yield from given(held, list(langs))
 
     return docs.mapInArrow(run, schema)
 
