@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import plain_name
 from pagemill.operators.keys import join_groups
+from pagemill.sources.html import elements
+from pagemill.sources.shared import kept
 
 # Least length of a name that counts where it stands within another; words that don't
 # count in initials, and in shares of words; markers of half-year and annual reports in links and files.
@@ -28,62 +30,100 @@ def any_of(text: Column, words) -> Column:
     return out
 
 
-def aliases(name: Column) -> Column:
+def _words(plain: Column, without, first_letters: bool = False) -> Column:
+    """Words of over two characters of a plain name but `without`; or their first letters."""
+    return F.regexp_extract_all(plain, F.lit(rf"(?<![^ ])(?!(?:{'|'.join(without)})(?![^ ]))(([^ ])[^ ]{{2,}})"), F.lit(2 if first_letters else 1))
+
+
+def aliases(name: Column, plain: Column | None = None) -> Column:
     """The plain name, its parts in parentheses, and the initials of its words of over two characters
     but NOT_INITIALS, if there are two or more."""
-    plain = plain_name(name)
-    inner = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"\(([^)]+)\)"), 1)
-    words = F.filter(F.split(plain, " "), lambda w: (F.length(w) > 2) & ~w.isin(*NOT_INITIALS))
-    initials = F.when(F.size(words) >= 2, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
-    every = F.concat(F.array(plain), F.transform(inner, plain_name), F.array(initials))
-    return F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != "")))
+    plain = plain_name(name) if plain is None else plain
+    inner = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), plain_name)
+    letters = _words(plain, NOT_INITIALS, True)
+    initials = F.when(F.size(letters) >= 2, F.array_join(letters, ""))
+    every = F.array_remove(F.array_compact(F.array(plain, initials)), "")
+    # Few names have parentheses; the others take no step for them.
+    return F.array_distinct(F.when(F.contains(name, F.lit("(")), F.array_remove(F.concat(every, inner), "")).otherwise(every))
 
 
 def telling_words(plain: Column) -> Column:
     """Distinct words of over two characters but NOT_SHARED."""
-    return F.array_distinct(F.filter(F.split(plain, " "), lambda w: (F.length(w) > 2) & ~w.isin(*NOT_SHARED)))
+    return F.array_distinct(_words(plain, NOT_SHARED))
+
+
+def named(rows: DataFrame, name: Column, prefix: str) -> DataFrame:
+    """Adds what scores need of a name: <prefix>_plain, <prefix>_aliases, <prefix>_words. They are columns, so
+    each is worked out once a row however many tests read it."""
+    plain = f"{prefix}_plain"
+    rows = rows.withColumn(plain, plain_name(name))
+    return rows.withColumns({f"{prefix}_aliases": aliases(name, F.col(plain)), f"{prefix}_words": telling_words(F.col(plain))})
 
 
-def match_score(name: Column, label: Column) -> Column:
-    """100 equal, 95 a shared alias, 80 the name within the label, 70 the label within the name, 75 or 60
-    where the label has 8 or 6 tenths of the name's telling words, else 0."""
-    x, y = plain_name(name), plain_name(label)
-    own, theirs = telling_words(x), telling_words(y)
-    shared = F.size(F.array_intersect(own, theirs))
-    share = F.when(F.size(own) > 0, shared / F.size(own)).otherwise(0.0)
+def name_score(x: str, y: str) -> Column:
+    """Of a name and a label, from their named() columns: 100 equal, 95 a shared alias, 80 the name within the
+    label, 70 the label within the name, 75 or 60 where the label has 8 or 6 tenths of the name's telling
+    words, else 0."""
+    p, q, own = F.col(f"{x}_plain"), F.col(f"{y}_plain"), F.col(f"{x}_words")
+    share = F.size(F.array_intersect(own, F.col(f"{y}_words"))) / F.greatest(F.size(own), F.lit(1))
     inside = lambda p, q: (F.length(p) >= INSIDE) & F.contains(q, p)
-    return F.when((x == "") | (y == ""), 0).when(x == y, 100).when(F.arrays_overlap(aliases(name), aliases(label)), 95).when(inside(x, y), 80).when(inside(y, x), 70).when(share >= 0.8, 75).when(share >= 0.6, 60).otherwise(0)
+    overlap = F.arrays_overlap(F.col(f"{x}_aliases"), F.col(f"{y}_aliases"))
+    return F.when((p == "") | (q == ""), 0).when(p == q, 100).when(overlap, 95).when(inside(p, q), 80).when(inside(q, p), 70).when(share >= 0.8, 75).when(share >= 0.6, 60).otherwise(0)
+
+
+def with_match(rows: DataFrame, name: Column, label: Column, score: str) -> DataFrame:
+    """Adds name_score() of two columns."""
+    both = named(named(rows, name, "_x"), label, "_y").withColumn(score, name_score("_x", "_y"))
+    return both.drop(*(f"{p}_{c}" for p in ("_x", "_y") for c in ("plain", "aliases", "words")))
+
+
+def _grams(plain: Column) -> Column:
+    """Distinct runs of INSIDE characters."""
+    return F.when(F.length(plain) >= INSIDE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - INSIDE + 1, F.lit(1))), lambda i: F.substring(plain, i, F.lit(INSIDE))))).otherwise(F.array().cast("array<string>"))
 
 
-def _rarest(rows: DataFrame, key: str, keys: Column, other: DataFrame, k: Column) -> DataFrame:
-    """key, _k: of each row's keys those k that the fewest rows of other (which has _k) have."""
-    each = rows.select(key, k.alias("_take"), F.explode(keys).alias("_k"))
-    often = other.groupBy("_k").agg(F.count("*").alias("_df"))
-    rated = each.join(often, "_k", "left").groupBy(key).agg(F.first("_take").alias("_take"), F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("_df"), "_k"))).alias("_own"))  # keys of one name
-    return rated.select(key, F.explode(F.slice("_own", F.lit(1), F.col("_take"))).alias("_o")).select(key, F.col("_o._k").alias("_k"))
+def _keyed(rows: DataFrame, key: str) -> DataFrame:
+    """key, kind, k: what a name can be met by: its words, runs of INSIDE characters, aliases, itself."""
+    of = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("k")))
+    every = F.concat(of("word", F.col("_words")), of("gram", F.col("_grams")), of("alias", F.col("_aliases")), of("name", F.array("_plain")))
+    return rows.select(key, F.inline(every))
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, least: int = 60) -> DataFrame:
-    """The best right row of each left row, the least key on ties. Pairs meet by every way to score, each
-    by its rarest key: equal names and shared aliases (where the least right key is enough), so many
-    words that six tenths can't be shared without one of them, and one run of INSIDE characters."""
-    a = left.select(left_key, left_name, plain_name(F.col(left_name)).alias("_x")).filter("_x <> ''")
-    b = right.select(right_key, right_name, plain_name(F.col(right_name)).alias("_y")).filter("_y <> ''")
-    one = F.lit(1)
-    grams = lambda c: F.when(F.length(c) >= INSIDE, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - INSIDE + 1, one)), lambda i: F.substring(c, i, F.lit(INSIDE))))).otherwise(F.array().cast("array<string>"))
-    words_a, words_b = telling_words(F.col("_x")), telling_words(F.col("_y"))
-    by_word = b.select(right_key, F.explode(words_b).alias("_k"))
-    enough = F.size(words_a) - F.ceil(F.size(words_a) * 0.6) + 1
-    pairs = _rarest(a, left_key, words_a, by_word, enough.cast("int")).join(by_word, "_k").select(left_key, right_key)
-    grams_a, grams_b = a.select(left_key, F.explode(grams(F.col("_x"))).alias("_k")), b.select(right_key, F.explode(grams(F.col("_y"))).alias("_k"))
-    pairs = pairs.unionAll(_rarest(a, left_key, grams(F.col("_x")), grams_b, one).join(grams_b, "_k").select(left_key, right_key))
-    pairs = pairs.unionAll(_rarest(b, right_key, grams(F.col("_y")), grams_a, one).join(grams_a, "_k").select(left_key, right_key)).distinct()
-    scored = pairs.join(a, left_key).join(b, right_key).select(left_key, right_key, match_score(F.col(left_name), F.col(right_name)).alias("score"))
-    equal = a.join(b.groupBy("_y").agg(F.min(right_key).alias(right_key)), F.col("_x") == F.col("_y")).select(left_key, right_key, F.lit(100).alias("score"))
-    known = b.select(right_key, F.explode(aliases(F.col(right_name))).alias("_k")).groupBy("_k").agg(F.min(right_key).alias(right_key))
-    shared = a.select(left_key, F.explode(aliases(F.col(left_name))).alias("_k")).join(known, "_k").select(left_key, right_key, F.lit(95).alias("score"))
+    """The best right row of each left row, the least key on ties. Both sides are named once and kept. Pairs
+    meet by every way to score, each by its rarest key: equal names and shared aliases (where the least right
+    key is enough), so many words that six tenths can't be shared without one of them, and one run of INSIDE
+    characters."""
+
+    def side(rows: DataFrame, key: str, name: str) -> DataFrame:
+        own = named(rows.select(key, F.col(name).alias("_name")), F.col("_name"), "").filter("_plain <> ''")
+        return kept(own.withColumn("_grams", _grams(F.col("_plain"))).drop("_name"), "names")
+
+    a, b = side(left, left_key, left_name), side(right, right_key, right_name)
+    keys_a, keys_b = _keyed(a, left_key), _keyed(b, right_key)
+    # Keys that both sides have, and how often.
+    both = keys_a.select("kind", "k", F.lit(1).alias("a"), F.lit(None).cast("long").alias("r")).unionAll(keys_b.select("kind", "k", F.lit(0).alias("a"), F.col(right_key).cast("long").alias("r")))
+    known = kept(both.groupBy("kind", "k").agg(F.sum("a").alias("na"), F.count("r").alias("nb"), F.min("r").alias("least")).filter("na > 0 AND nb > 0"), "keys")
+
+    def rarest(rows: DataFrame, keys: DataFrame, key: str, often: str, kind: str, column: str, take: Column) -> DataFrame:
+        """key, k: of each row so many of its rarest keys; the other side's lack of a key counts as the rarest."""
+        found = keys.filter(F.col("kind") == kind).join(known.filter(F.col("kind") == kind).select("k", often), "k")
+        own = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(often, "k"))).alias("own"))  # keys of one name
+        return own.join(rows.select(key, take.alias("take"), F.size(column).alias("n")), key).select(key, F.explode(F.slice("own", F.lit(1), F.greatest(F.col("take") - (F.col("n") - F.size("own")), F.lit(0)))).alias("o")).select(key, "o.k")
+
+    enough = (F.size("_words") - F.ceil(F.size("_words") * 0.6) + 1).cast("int")
+    of = lambda keys, kind: keys.filter(F.col("kind") == kind).drop("kind")
+    met = rarest(a, keys_a, left_key, "nb", "word", "_words", enough).join(of(keys_b, "word"), "k")
+    met = met.unionByName(rarest(a, keys_a, left_key, "nb", "gram", "_grams", F.lit(1)).join(of(keys_b, "gram"), "k"))
+    met = met.unionByName(rarest(b, keys_b, right_key, "na", "gram", "_grams", F.lit(1)).join(of(keys_a, "gram"), "k"))
+    pairs = met.select(left_key, right_key).distinct()
+    columns = ("plain", "aliases", "words")
+    x, y = (rows.select(key, *(F.col(f"_{c}").alias(f"{p}_{c}") for c in columns)) for rows, key, p in ((a, left_key, "_x"), (b, right_key, "_y")))
+    scored = pairs.join(x, left_key).join(y, right_key).select(left_key, right_key, name_score("_x", "_y").alias("score"))
+    direct = keys_a.filter("kind IN ('name', 'alias')").join(known, ["kind", "k"])
+    direct = direct.select(left_key, F.col("least").alias(right_key), F.when(F.col("kind") == "name", 100).otherwise(95).alias("score"))
     best = F.max_by(F.struct("score", right_key), F.struct("score", -F.col(right_key))).alias("b")
-    found = scored.unionAll(equal).unionAll(shared).filter(F.col("score") >= least).groupBy(left_key).agg(best)
+    found = scored.unionAll(direct).filter(F.col("score") >= least).groupBy(left_key).agg(best)
     return found.select(left_key, F.col(f"b.{right_key}").alias(right_key), F.col("b.score").alias("score"))
 
 
@@ -104,44 +144,55 @@ def sector_of(issuers: DataFrame, known: DataFrame, name: str, markers: list[tup
     return rows.withColumn("sector", F.coalesce("_s0", "_s1", "_s2", guess, F.lit(default))).drop("_n0", "_n1", "_n2", "_s0", "_s1", "_s2")
 
 
-def links(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, pos, href, label (up to the first tag) of every anchor of a page, in order from 0."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<a\s[^>]*?href="[^"]*"[^>]*>[^<]*)'), 1)
-    each = pages.select(key, F.posexplode(found).alias("pos", "_a"))
-    text = F.trim(F.regexp_replace(F.regexp_extract("_a", r"(?s)>([^<]*)$", 1), r"\s+", " "))
-    return each.select(key, "pos", F.regexp_extract("_a", r'(?i)href="([^"]*)"', 1).alias("href"), text.alias("label"))
-
-
-def options(pages: DataFrame, key: str, html: str, skip: str = "All") -> DataFrame:
-    """key, pos, value, label of the <option>s of a page but the one of value `skip`."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)(<option\s[^>]*?value="[^"]*"[^>]*>[^<]*)'), 1)
-    each = pages.select(key, F.posexplode(found).alias("pos", "_o"))
-    each = each.select(key, "pos", F.regexp_extract("_o", r'(?i)value="([^"]*)"', 1).alias("value"), F.trim(F.regexp_replace("_o", r"(?is)^<option[^>]*>", "")).alias("label"))
-    return each.filter((F.col("value") != skip) & (F.col("value") != ""))
-
-
-def table_row_link(row: Column, path: str) -> Column:
-    """href, year and label of an HTML table row: the third cell has the year (its text, or the start of
-    a datetime), the fourth the first link whose address holds `path`."""
-    cells = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>((?:(?!</td>).)*)"), 1)
-    year_cell, link_cell = F.coalesce(F.get(cells, F.lit(2)), F.lit("")), F.coalesce(F.get(cells, F.lit(3)), F.lit(""))
-    shown = F.trim(F.regexp_extract(year_cell, r"(?is)<time[^>]*>([^<]*)", 1))
-    dated = F.regexp_extract(year_cell, r'(?i)datetime="(\d{4})', 1)
-    year = F.when(shown.rlike(r"^\d+$"), shown).otherwise(F.nullif(dated, F.lit(""))).try_cast("int")
-    anchors = F.regexp_extract_all(link_cell, F.lit(r'(?is)(<a\s[^>]*?href="[^"]*"[^>]*>[^<]*)'), 1)
-    own = F.get(F.filter(anchors, lambda a: F.contains(F.regexp_extract(a, r'(?i)href="([^"]*)"', 1), F.lit(path))), F.lit(0))
-    some = F.size(cells) >= 4
-    return F.struct(F.when(some, F.trim(F.regexp_extract(own, r'(?i)href="([^"]*)"', 1))).alias("href"), F.when(some, year).alias("year"), F.coalesce(F.when(some, F.trim(F.regexp_replace(own, r"(?is)^<a[^>]*>", ""))), F.lit("")).alias("label"))
-
-
-def listed_issuers(found: DataFrame) -> DataFrame:
-    """code, label of links (href, label) whose last path segment is a number: one for each label in lower
-    case with white space collapsed (the least code), in the order of labels."""
-    code = F.regexp_extract(F.regexp_replace("href", r"[?#].*$", ""), r"/([0-9]+)/?$", 1)
-    name = F.lower(F.trim(F.regexp_replace("label", r"\s+", " ")))
-    rows = found.select(code.alias("code"), F.trim("label").alias("label"), name.alias("_n")).filter("code <> '' AND _n <> ''")
-    best = F.min(F.struct(F.length("code").alias("n"), "code", "label")).alias("b")
-    return rows.groupBy("_n").agg(best).select("b.code", "b.label").orderBy(F.lower("label"), "code")
+def links(pages: DataFrame, key: str, html: str, base: str | None = None) -> DataFrame:
+    """key, pos, href, label, url of every anchor with an href, in order from 0: the label is the text of all that
+    is inside, url the href joined to the page's address in column `base`."""
+    found = elements(pages, key, html, ["a"], base).withColumn("href", F.col("attributes")["href"]).filter("href IS NOT NULL")
+    return found.select(key, "pos", "href", F.col("text").alias("label"), "url")
+
+
+def options(pages: DataFrame, key: str, html: str, skip: str = "All", select: str | None = None) -> DataFrame:
+    """key, pos, value, label of a page's options that have both, but the one of value `skip`; of the
+    selections of that name only, if one is given."""
+    found = elements(pages, key, html, ["option"])
+    if select is not None:
+        found = found.filter(F.col("select_name") == select)
+    rows = found.select(key, "pos", F.trim(F.col("attributes")["value"]).alias("value"), F.col("text").alias("label"))
+    return rows.filter((F.col("value") != skip) & (F.col("value") != "") & (F.col("label") != ""))
+
+
+def table_row_links(pages: DataFrame, key: str, html: str, path: str) -> DataFrame:
+    """key, row, href, year, label of each table row of a page: the third cell has the year (its time's text, or
+    the start of its datetime), the fourth the first link whose address holds `path`. A row of under four cells
+    has none of them, one without such a link an empty label."""
+    found = elements(pages, key, html, ["tr", "td", "time", "a"]).filter("row >= 0")
+    href = F.trim(F.col("attributes")["href"])
+    fits = (F.col("tag") == "a") & (F.col("cell") == 3) & F.contains(href, F.lit(path))
+    dated = F.substring(F.trim(F.col("attributes")["datetime"]), 1, 4)
+    shown = F.when(F.col("text").rlike("^[0-9]+$"), F.col("text")).when(dated.rlike("^[0-9]{4}$"), dated).try_cast("int")
+    own = found.groupBy(key, "row").agg(
+        F.count_if(F.col("tag") == "td").alias("_cells"),
+        F.min(F.when(fits, F.struct("pos", href.alias("href"), F.col("text").alias("label")))).alias("_a"),
+        F.min_by(shown, F.when((F.col("tag") == "time") & (F.col("cell") == 2), F.col("pos"))).alias("_y"),
+    )
+    whole = F.col("_cells") >= 4
+    return own.select(key, "row", F.when(whole, F.col("_a.href")).alias("href"), F.when(whole, F.col("_y")).alias("year"), F.coalesce(F.when(whole, F.col("_a.label")), F.lit("")).alias("label"))
+
+
+def listed_issuers(found: DataFrame, path: str) -> DataFrame:
+    """code, label of the links (page, pos, href, label) of a list in pages from 0: those under `path` whose last
+    segment is a number and whose label has two characters or more. The code is the label in lower case with
+    white space collapsed; of equal ones the first link counts. The list ends before the first later page that
+    adds none."""
+    tail = F.regexp_extract(F.rtrim(F.col("href"), F.lit("/")), r"/([^/]*)$", 1)
+    label = F.trim("label")
+    fine = F.contains("href", F.lit(path)) & tail.rlike("^[0-9]+$") & (F.length(label) >= 2)
+    code = F.lower(F.regexp_replace(label, r"\s+", " "))
+    first = found.filter(fine).groupBy(code.alias("code")).agg(F.min(F.struct("page", "pos", label.alias("label"))).alias("r"))
+    rows = first.select("code", "r.label", "r.page")
+    adds = found.select("page").distinct().join(rows.select("page").distinct(), "page", "left_anti").filter("page > 0")
+    end = adds.agg(F.min("page").alias("_end"))  # one row
+    return rows.join(F.broadcast(end)).filter("_end IS NULL OR page < _end").select("code", "label").orderBy(F.lower("label"), "code")
 
 
 def merged_issuers(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -179,21 +230,21 @@ def queries_for(issuer: Column, year: Column, report: Column, scope: Column, sit
     return F.array(words(there, quoted, y, kind, pdf), words(there, quoted, y, pdf), words(quoted, kind, y, accounts, pdf), words(quoted, kind, y, pdf), words(issuer, accounts, y, pdf), words(issuer, kind, y), words(issuer, F.lit("etats financiers"), y))
 
 
-def url_score(url: Column, issuer: Column, year: Column, scope: Column, report: Column, domain: str, strict: bool = True) -> Column:
-    """Additive score of a url for a request; -100 if it is no PDF, or in strict mode of the other kind of
-    report. Accept 40 or more in strict mode, else 35."""
-    u = F.lower(F.coalesce(url, F.lit("")))
-    half, yearly = any_of(u, HALF_YEAR_IN_URL), any_of(u, ANNUAL_IN_URL)
-    wants_half = report == "s1"
-    conflict = F.when(wants_half, yearly & ~half).otherwise(half & ~yearly)
+def url_scores(rows: DataFrame, url: Column, issuer: Column, year: Column, scope: Column, report: Column, domain: str) -> DataFrame:
+    """Adds strict_score and lenient_score of a url for a request: additive, -100 if it is no PDF, or in strict
+    mode of the other kind of report. Accept 40 or more in strict mode, else 35."""
+    rows = rows.withColumn("_u", F.lower(F.coalesce(url, F.lit(""))))
+    u = F.col("_u")
+    rows = with_match(rows, issuer, F.translate(u, "-_", "  "), "_match").withColumns({"_half": any_of(u, HALF_YEAR_IN_URL), "_yearly": any_of(u, ANNUAL_IN_URL)})
+    half, yearly, wants_half, joint = F.col("_half"), F.col("_yearly"), report == "s1", F.contains(u, F.lit("consolid"))
     total = F.when(F.contains(u, F.lit(domain)), 40).otherwise(0) + F.when(F.contains(u, year.cast("string")), 20).otherwise(0)
-    total = total + F.least(match_score(issuer, F.translate(u, "-_", "  ")), F.lit(40))
-    total = total + F.when(F.when(wants_half, half).otherwise(yearly), 25).otherwise(0)
-    joint = F.contains(u, F.lit("consolid"))
+    total = total + F.least("_match", F.lit(40)) + F.when(F.when(wants_half, half).otherwise(yearly), 25).otherwise(0)
     total = total + F.when(joint & (scope == "consolidated"), 8).when(joint & (scope == "statutory"), -8).otherwise(0)
-    if not strict:
-        return F.when(~F.contains(u, F.lit(".pdf")), -100).otherwise(total - F.when(conflict, 10).otherwise(0))
-    return F.when(~F.contains(u, F.lit(".pdf")) | conflict, -100).otherwise(total)
+    rows = rows.withColumns({"_total": total, "_other": F.when(wants_half, yearly & ~half).otherwise(half & ~yearly)})
+    pdf = F.contains(u, F.lit(".pdf"))
+    strict = F.when(~pdf | F.col("_other"), -100).otherwise(F.col("_total"))
+    lenient = F.when(~pdf, -100).otherwise(F.col("_total") - F.when(F.col("_other"), 10).otherwise(0))
+    return rows.withColumns({"strict_score": strict, "lenient_score": lenient}).drop("_u", "_match", "_half", "_yearly", "_total", "_other")
 
 
 def pdf_link_score(href: Column, label: Column, year: Column, scope: Column, report: Column) -> Column:
@@ -236,14 +287,16 @@ def first_pages(pages: DataFrame, document: str, page: str, text: str, n: int =
     return pages.filter(F.col(page) <= n).groupBy(document).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias("head"))  # n pages at most
 
 
-def is_requested_report(head: Column, url: Column, issuer: Column, year: Column, report: Column) -> Column:
-    """Whether the first pages or the url name the year and the issuer, and no other kind of report alone."""
-    t, u, y = plain_name(head), plain_name(url), year.cast("string")
+def requested_reports(rows: DataFrame, head: Column, url: Column, issuer: Column, year: Column, report: Column) -> DataFrame:
+    """Adds fits: whether the first pages or the url name the year and the issuer, and no other kind of
+    report alone."""
+    rows = with_match(with_match(rows.withColumns({"_t": plain_name(head), "_p": plain_name(url)}), issuer, F.col("_p"), "_in_url"), issuer, F.col("_t"), "_in_head")
+    t, u, y = F.col("_t"), F.col("_p"), year.cast("string")
     either = lambda words: any_of(u, words) | any_of(t, words)
     half, yearly = either(HALF_YEAR_IN_REPORT), either(ANNUAL_IN_REPORT)
     conflict = F.when(report == "s1", yearly & ~half).otherwise(half & ~yearly)
-    named = F.greatest(match_score(issuer, u), match_score(issuer, t)) >= 40
-    return (F.contains(u, y) | F.contains(t, y)) & named & ~conflict
+    fits = (F.contains(u, y) | F.contains(t, y)) & (F.greatest("_in_url", "_in_head") >= 40) & ~conflict
+    return rows.withColumn("fits", fits).drop("_t", "_p", "_in_url", "_in_head")
 
 
 def overrides(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -88,9 +88,19 @@ def alias_names(spark, d):
 _LINKS = "WITH k AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)(<a\\s[^>]*?href=\"[^\"]*\"[^>]*>[^<]*)', 1) AS h FROM pages), l AS (SELECT page_id, unnest(h) AS a, generate_subscripts(h, 1) - 1 AS pos FROM k), n AS (SELECT page_id, pos, regexp_extract(a, '(?i)href=\"([^\"]*)\"', 1) AS href, trim(regexp_replace(regexp_extract(a, '(?s)>([^<]*)$', 1), '\\s+', ' ', 'g')) AS label FROM l)"
 
 
-@query(f"{_LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href, label FROM n")
+@query(f"{_LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href, label, regexp_extract(url, '^[^:]+://[^/?#]*') || href AS url FROM n JOIN pages USING (page_id)")
 def html_links(spark, d):
-    return linking.links(read(spark, d, "pages"), "page_id", "html")
+    return linking.links(read(spark, d, "pages"), "page_id", "html", "url")
+
+
+# The same links as browsers write them: bare and single-quoted addresses, nested tags, no end tags.
+_ODD = "replace(replace(html, '<li><a href=\"', concat('<LI><!-- <a href=x>no</a> --><A CLASS=c title=\"a > b\" HREF = ', chr(39))), '\">', concat(chr(39), '><b>&amp;</b> <i>'))"
+
+
+@query(f"{_LINKS} SELECT page_id, CAST(pos AS INT) AS pos, href, '& ' || label AS label, NULL::VARCHAR AS url FROM n")
+def html_odd_links(spark, d):
+    pages = read(spark, d, "pages").select("page_id", F.expr(_ODD).alias("html"))
+    return linking.links(pages, "page_id", "html")
 
 
 # Files of a request: k is a number; the request asks for issuer(k % 50) of 2024.
@@ -124,8 +134,8 @@ def _url_score_sql(strict: bool) -> str:
 )
 def link_score(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", F.expr(file_sql(_URL, "o_orderkey")).alias("url"), F.expr(issuer("(o_orderkey % 50)")).alias("name"), F.expr(file_sql(_REPORT, "o_orderkey")).alias("report"), F.expr(file_sql(_SCOPE, "o_orderkey")).alias("scope"))
-    score = lambda strict: linking.url_score(F.col("url"), F.col("name"), F.lit(2024), F.col("scope"), F.col("report"), "regulator.example", strict)
-    return o.select("o_orderkey", score(True).alias("strict_score"), score(False).alias("lenient_score"))
+    scored = linking.url_scores(o, F.col("url"), F.col("name"), F.lit(2024), F.col("scope"), F.col("report"), "regulator.example")
+    return scored.select("o_orderkey", "strict_score", "lenient_score")
 
 
 _K = "(l_orderkey * 3 + l_linenumber)"
@@ -177,10 +187,10 @@ def sector_lookup(spark, d):
 _ROW = "concat('<tr><td>1</td><td>x</td><td><time datetime=\"', CAST(2015 + o_orderkey % 10 AS STRING), '-06-30\">', CASE WHEN o_orderkey % 3 = 0 THEN CAST(2015 + o_orderkey % 10 AS STRING) ELSE 'juin' END, '</time></td>', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('<td><a href=\"/autre/1\">Autre</a> <a class=\"f\" href=\" /etats-financiers/', CAST(o_orderkey AS STRING), '\"> Annuel ', o_orderpriority, '</a></td>') END, '</tr>')"
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN '/etats-financiers/' || o_orderkey END AS href, CASE WHEN o_orderkey % 7 > 0 THEN CAST(2015 + o_orderkey % 10 AS INT) END AS year, CASE WHEN o_orderkey % 7 > 0 THEN 'Annuel ' || o_orderpriority ELSE '' END AS label FROM orders")
+@query("SELECT o_orderkey, CAST(0 AS INT) AS row, CASE WHEN o_orderkey % 7 > 0 THEN '/etats-financiers/' || o_orderkey END AS href, CASE WHEN o_orderkey % 7 > 0 THEN CAST(2015 + o_orderkey % 10 AS INT) END AS year, CASE WHEN o_orderkey % 7 > 0 THEN 'Annuel ' || o_orderpriority ELSE '' END AS label FROM orders")
 def table_row_link(spark, d):
-    rows = read(spark, d, "orders").select("o_orderkey", F.expr(_ROW).alias("row"))
-    return rows.select("o_orderkey", linking.table_row_link(F.col("row"), "/etats-financiers/").alias("l")).select("o_orderkey", "l.*")
+    rows = read(spark, d, "orders").select("o_orderkey", F.expr(_ROW).alias("html"))
+    return linking.table_row_links(rows, "o_orderkey", "html", "/etats-financiers/")
 
 
 @query("SELECT s_suppkey, CAST(s_suppkey AS VARCHAR) AS value, s_name AS label FROM supplier WHERE s_suppkey % 5 > 0")
@@ -194,12 +204,15 @@ _NAME = "concat(upper(substr(c_mktsegment, 1, 3)), '  ', CAST(c_custkey % 60 AS
 
 
 @query(
-    f"WITH l AS (SELECT CAST(c_custkey * 3 AS VARCHAR) AS code, trim({_NAME.replace('STRING', 'VARCHAR')}) AS label FROM customer WHERE c_custkey % 4 > 0) "
-    "SELECT code, label FROM l QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(label, '\\s+', ' ', 'g')) ORDER BY length(code), code, label) = 1"
+    f"WITH l AS (SELECT c_custkey, trim({_NAME.replace('STRING', 'VARCHAR')}) AS label, CAST(floor(c_custkey / 50) AS BIGINT) AS page FROM customer WHERE c_custkey % 4 > 0 AND c_custkey % 2 = 0 AND c_custkey % 5 > 0), "
+    "f AS (SELECT lower(regexp_replace(label, '\\s+', ' ', 'g')) AS code, label, page FROM l QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(label, '\\s+', ' ', 'g')) ORDER BY page, c_custkey) = 1), "
+    "e AS (SELECT min(page) AS e FROM (SELECT DISTINCT CAST(floor(c_custkey / 50) AS BIGINT) AS page FROM customer) WHERE page > 0 AND page NOT IN (SELECT page FROM f)) SELECT code, label FROM f, e WHERE e IS NULL OR page < e"
 )
 def listed_issuers(spark, d):
-    href = F.concat(F.lit("/emetteurs/"), F.when(F.col("c_custkey") % 4 > 0, (F.col("c_custkey") * 3).cast("string")).otherwise("liste"), F.when(F.col("c_custkey") % 2 > 0, "/?p=1").otherwise(""))
-    return linking.listed_issuers(read(spark, d, "customer").select(href.alias("href"), F.expr(_NAME).alias("label")))
+    k = F.col("c_custkey")
+    href = F.concat(F.when(k % 5 > 0, "/liste/").otherwise("/autre/"), F.when(k % 4 > 0, (k * 3).cast("string")).otherwise("menu"), F.when(k % 2 > 0, "/?p=1").otherwise("/"))
+    rows = read(spark, d, "customer").select(F.floor(k / 50).alias("page"), k.alias("pos"), href.alias("href"), F.expr(_NAME).alias("label"))
+    return linking.listed_issuers(rows, "/liste/")
 
 
 @query(
@@ -257,7 +270,7 @@ def requested_report(spark, d):
     pages = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_PAGE).alias("t"))
     heads = linking.first_pages(pages, "l_orderkey", "l_linenumber", "t")
     report = F.when(F.col("l_orderkey") % 2 == 0, "s1").otherwise("annuel")
-    return heads.select("l_orderkey", linking.is_requested_report(F.col("head"), F.lit(""), F.expr(issuer("l_orderkey % 30")), F.lit(2024), report).alias("fits"))
+    return linking.requested_reports(heads, F.col("head"), F.lit(""), F.expr(issuer("l_orderkey % 30")), F.lit(2024), report).select("l_orderkey", "fits")
 
 
 @query(
