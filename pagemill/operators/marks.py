@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from pagemill.functions.text import literal
 
 
 @dataclass(frozen=True)
@@ -52,35 +53,25 @@ def windows(rule: Rule) -> set[int]:
     return set() if isinstance(rule, Named) else set().union(*map(windows, rule.parts))
 
 
-def holds(rule: Rule, text) -> Column:
-    """text: gives the column of the first so many characters."""
+def holds_sql(rule: Rule, text) -> str:
+    """SQL of a rule; text: gives the column of the first so many characters."""
     if isinstance(rule, Marks):
-        found = [F.contains(text(rule.window), F.lit(p)) for p in rule.phrases]
-        if rule.least <= 1:
-            return _joined(found, lambda a, b: a | b)
-        return _joined([f.cast("int") for f in found], lambda a, b: a + b) >= rule.least
+        found = [f"contains({text(rule.window)}, {literal(p)})" for p in rule.phrases]
+        return f"({' OR '.join(found)})" if rule.least <= 1 else f"({' + '.join(f'CAST({f} AS INT)' for f in found)} >= {rule.least})"
     if isinstance(rule, Named):
-        return F.col(rule.name)
+        return f"`{rule.name}`"
     if isinstance(rule, Not):
-        return ~holds(rule.part, text)
-    parts = [holds(p, text) for p in rule.parts]
-    return _joined(parts, (lambda a, b: a & b) if isinstance(rule, All) else (lambda a, b: a | b))
-
-
-def _joined(parts: list[Column], join) -> Column:
-    out = parts[0]
-    for p in parts[1:]:
-        out = join(out, p)
-    return out
+        return f"(NOT {holds_sql(rule.part, text)})"
+    return f"({(' AND ' if isinstance(rule, All) else ' OR ').join(holds_sql(p, text) for p in rule.parts)})"
 
 
 def with_rules(pages: DataFrame, rules: dict[str, Rule], folded: str = "folded") -> DataFrame:
     """Adds a boolean column for each rule."""
     cuts = sorted(set().union(*map(windows, rules.values())))
-    rows = pages.withColumns({f"_head{w}": F.substring(folded, 1, w) for w in cuts})
-    text = lambda w: F.col(folded if w is None else f"_head{w}")
+    rows = pages.selectExpr("*", *(f"substring({folded}, 1, {w}) AS _head{w}" for w in cuts))
+    text = lambda w: folded if w is None else f"_head{w}"
     for level in _levels(rules):
-        rows = rows.withColumns({name: holds(rules[name], text) for name in level})
+        rows = rows.selectExpr("*", *(f"{holds_sql(rules[name], text)} AS `{name}`" for name in level))
     return rows.drop(*(f"_head{w}" for w in cuts))
 
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import keyword_hits
+from pagemill.functions.text import hit_sql
 from pagemill.operators import statements
 from pagemill.operators.marks import All, Any, Marks, Named, Rule, with_rules
 from pagemill.operators.ordered import with_neighbours
-from pagemill.operators.retrieval import coverage
+from pagemill.operators.retrieval import coverage_sql, keep_or_all, structural_key, tiebreak, top_k
 
 TARGETS = ("asset", "liability", "income")
 SCOPES = ("consolidated", "statutory")
@@ -99,20 +99,27 @@ def page_features(pages: DataFrame, document: str, page: str, vocabulary: Vocabu
     all that the scores need, for every target and scope."""
     rows = statements.with_kinds(pages)
     rows = with_rules(rows, extra_rules(vocabulary))
-    hits = lambda words: F.array_distinct(keyword_hits(F.col("folded"), F.col("loosened"), list(words)))
-    rows = rows.withColumns({f"_hits_{t}_{s}": hits(w) for (t, s), w in vocabulary.signatures.items()} | {f"_hits_{t}": hits(w) for t, w in vocabulary.anchors.items()})
-    out: dict[str, Column] = {}
+    # Each phrase is looked for once; lists of phrases are masks of what was found.
+    words = list(dict.fromkeys(w for table in (vocabulary.signatures, vocabulary.anchors) for own in table.values() for w in own))
+    parts = [words[i : i + 60] for i in range(0, len(words), 60)]
+    rows = rows.selectExpr("*", *(f"{' + '.join(f'IF({hit_sql(w)}, {1 << i}L, 0L)' for i, w in enumerate(part))} AS _found{k}" for k, part in enumerate(parts)))
+    masks = lambda own: [sum(1 << i for i, w in enumerate(part) if w in own) for part in parts]
+    count = lambda own: "(" + " + ".join(f"bit_count(_found{k} & {m}L)" for k, m in enumerate(masks(own)) if m) + ")"
+    some = lambda own: " OR ".join(f"(_found{k} & {m}L) <> 0" for k, m in enumerate(masks(own)) if m) or "false"
+
+    def covered(own: tuple[str, ...], target: str) -> str:
+        groups = vocabulary.required[target]
+        found = " + ".join(f"CAST(({some({w for w in own if any(x in w for x in g)})}) AS INT)" for g in groups)
+        return coverage_sql(count(set(own)), f"({found})", len(set(own)), len(groups), SATURATION[target])
+
+    out: dict[str, str] = {}
     for t in TARGETS:
-        groups = [list(g) for g in vocabulary.required[t]]
-        out[f"{t}_anchor"] = coverage(F.col(f"_hits_{t}"), len(set(vocabulary.anchors[t])), groups, SATURATION[t])
+        out[f"{t}_anchor"] = covered(vocabulary.anchors[t], t)
         for s in SCOPES:
-            n = len(set(vocabulary.signatures[t, s]))
-            own = F.col(f"_hits_{t}_{s}")
-            out[f"{t}_{s}_n"] = F.size(own)
-            out[f"{t}_{s}_sig"] = coverage(own, n, groups, SATURATION[t])
-            out[f"{t}_{s}_cov"] = F.size(own) / F.lit(float(n))
+            own = vocabulary.signatures[t, s]
+            out |= {f"{t}_{s}_n": count(set(own)), f"{t}_{s}_sig": covered(own, t), f"{t}_{s}_cov": f"{count(set(own))} / {float(len(set(own)))}D"}
     flags = [*statements.RULES, *extra_rules(vocabulary)]
-    rows = rows.select(document, page, "sector", "scopes", "titles", *flags, *(c.alias(k) for k, c in out.items()))
+    rows = rows.select(document, page, "sector", "scopes", "titles", *flags, *(F.expr(c).alias(k) for k, c in out.items()))
     return with_neighbours(rows, document, page, ["asset_main", "liability_main", "asset_complete", "liability_complete", "any_main"])
 
 
@@ -121,7 +128,7 @@ def requested(features: DataFrame, requests: list[tuple[int, str, str, str]]) ->
     the few requests are an array that is exploded, nothing is shuffled."""
     asked = F.array(*(F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(t).alias("target"), F.lit(s).alias("scope"), F.lit(x).alias("wanted_sector")) for q, t, s, x in requests))
     rows = features.withColumn("_r", F.explode(asked)).select("*", "_r.*").drop("_r")
-    return rows.withColumns({name: F.expr(sql) for name, sql in TERMS.items()})
+    return rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in TERMS.items()))
 
 
 def _target(pattern: str) -> str:
@@ -307,14 +314,48 @@ def step_sql(name: str, step: Step) -> str:
     return "CAST(CASE " + " ".join(f"WHEN {when} THEN {effect(name, kind, amount)}" for when, kind, amount in step) + f" ELSE {name} END AS DOUBLE)"
 
 
+def bounded_sql(value: str, step: Step) -> str:
+    """The same as step_sql() for a step whose conditions and amounts don't speak of the value: a factor, a
+    summand, a top and a floor, each by the first condition that holds, so that the value stands in it once and
+    a chain of steps is one expression."""
+    found: dict[str, list[tuple[str, str | None]]] = {"by": [], "plus": [], "top": [], "floor": []}
+    for when, kind, amount in step:
+        by, top = amount.split(", ") if kind == "mulcap" else (amount, amount)
+        own = {
+            "mul": {"by": by}, "mulcap": {"by": by, "top": top}, "boost": {"plus": amount, "top": "1.0"}, "add": {"plus": amount}, "floor": {"floor": amount}, "cap": {"top": amount},
+            "set": {"by": "0.0", "plus": amount}, "clamp": {"top": "1.0", "floor": "0.0"},
+        }[kind]
+        for part, branches in found.items():
+            branches.append((when, own.get(part)))
+
+    def case(part: str, neutral: str) -> str | None:
+        branches = found[part]
+        while branches and branches[-1][1] is None:  # what is neutral to the end needn't be told
+            branches = branches[:-1]
+        return "CASE " + " ".join(f"WHEN {when} THEN {amount or neutral}" for when, amount in branches) + f" ELSE {neutral} END" if branches else None
+
+    if by := case("by", "1.0D"):
+        value = f"{value} * ({by})"
+    if plus := case("plus", "0.0D"):
+        value = f"{value} + ({plus})"
+    if top := case("top", "NULL"):
+        value = f"least({value}, CAST({top} AS DOUBLE))"  # a null is no top
+    if floor := case("floor", "NULL"):
+        value = f"greatest({value}, CAST({floor} AS DOUBLE))"
+    return f"CAST({value} AS DOUBLE)"
+
+
 def chain(rows: DataFrame, name: str, start: str, steps: tuple[Step, ...]) -> DataFrame:
-    """Adds column `name`: the value of start after all steps, in order. All are one select in which each
-    step reads the one before by its name, so the plan is analysed once; Catalyst gives each a projection
-    of its own, for it is read several times."""
-    names = [f"_{name}_{i}" for i in range(len(steps) + 1)]
-    each = [f"CAST({start} AS DOUBLE) AS {names[0]}", *(f"{step_sql(before, step)} AS {after}" for before, after, step in zip(names, names[1:], steps))]
-    # A step's amounts may speak of the value itself by the chain's name.
-    return rows.selectExpr("*", *(re.sub(rf"\b{name}\b", names[max(i - 1, 0)], e) if i else e for i, e in enumerate(each))).withColumnRenamed(names[-1], name).drop(*names[:-1])
+    """Adds column `name`: the value of start after all steps, in order. Steps are put into one another as far as
+    none of their conditions and amounts speaks of the value itself; one that does reads it as a column."""
+    value = f"CAST({start} AS DOUBLE)"
+    for step in steps:
+        if any(re.search(rf"\b{name}\b", f"{when} {amount}") for when, _, amount in step):
+            rows = rows.withColumn(name, F.expr(value)).withColumn(name, F.expr(step_sql(name, step)))
+            value = name
+        else:
+            value = bounded_sql(value, step)
+    return rows.withColumn(name, F.expr(value))
 
 
 #: Chains in their order: name, start, steps.
@@ -341,17 +382,56 @@ def breakdown(rows: DataFrame) -> Column:
     return F.struct(*(F.round(c, 6).alias(k) for k, c in names.items()), F.round(F.lit(0.0) - F.col("opposite"), 6).alias("negative_penalty"), F.round("score", 6).alias("final_score"))
 
 
-def evidence(rows: DataFrame) -> Column:
-    """Why a page has its score, as short texts in a fixed order."""
-    told = lambda name, c: F.concat(F.lit(f"{name}:"), F.format_number(F.col(c), 3))
-    flag = lambda when, text: F.when(F.expr(when), F.lit(text))
-    parts = [flag("excluded", "penalty:excluded_page"), told("signature_score", "anchor_score"), told("scope_signature_score", "sig"), F.concat(F.lit("scope_signature_hits:"), F.col("n_labels")), told("scope_signature_coverage", "coverage"), told("opposite_scope_signature_score", "opposite"), told("layout_score", "layout"), F.when(F.col("sector_score") > 0, F.concat(F.lit("sector:"), "sector"))]
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+#: What the branches of steps say of a page, in the steps' order; None says nothing.
+SCOPE_WHY = (
+    ("scope_formal:consolidated", "scope_formal:statutory", "scope:^", "scope_signal:^"), ("scope_penalty:~", "scope_signal_penalty:~"), ("scope_strong_penalty:statutory",),
+    ("scope_strong_penalty:formal_statutory",), ("scope_strong_penalty:consolidated",), ("scope_strong_penalty:formal_consolidated",), (None,),
+)
+TITLE_WHY = (("title_foreign", "title_strong:@", "title_strong:@", "title_note_repeat:@", "title:@", "title_weak:@", "title_strong:@", "title_hit"),)
+WRONG_WHY = (("wrong:cash_flow_page", "wrong:balance_page", "wrong:cash_flow_page", "wrong:income_title", "wrong:other_side_only"),)
+#: Numbers that are told of each page; of income pages the place among statements has another name.
+TOLD = {"signature_score": "anchor_score", "scope_signature_score": "sig", "scope_signature_hits": "n_labels", "scope_signature_coverage": "coverage", "opposite_scope_signature_score": "opposite", "layout_score": "layout"}
+
+
+def why_sql(steps: tuple[Step, ...], why: tuple[tuple[str | None, ...], ...], text: str) -> list[str]:
+    """Of each step the words of the first branch that holds: @, ^ and ~ stand for target, scope and other scope.
+    text: SQL of a string with these replaced."""
+    return ["CASE " + " ".join(f"WHEN {when} THEN {'NULL' if words is None else text.replace('?', words)}" for (when, _, _), words in zip(step, own)) + " END" for step, own in zip(steps, why, strict=True)]
+
+
+def reasons(text: str) -> list[str]:
+    """SQL of what is told of a page besides numbers, each null where it doesn't hold."""
+    return ["CASE WHEN excluded THEN 'penalty:excluded_page' END", *why_sql(SCOPE_STEPS, SCOPE_WHY, text), *why_sql(TITLE_STEPS, TITLE_WHY, text), *why_sql(WRONG_STEPS, WRONG_WHY, text)]
+
+
+REASON_TEXT = "replace(replace(replace('?', '@', target), '^', scope), '~', CASE scope WHEN 'consolidated' THEN 'statutory' ELSE 'consolidated' END)"
+
+
+def evidence(rows: DataFrame, name: str = "evidence") -> DataFrame:
+    """Adds why a page has its score, as short texts in a fixed order: scope, title and penalties as the steps
+    that were taken say them, then numbers, then the sector where it is the wanted one."""
+    told = [f"concat('{k}:', {'CAST(n_labels AS STRING)' if c == 'n_labels' else f"format_string('%.3f', round({c}, 3))"})" for k, c in TOLD.items()]
+    parts = [*reasons(REASON_TEXT), *told, "CASE WHEN sector_score > 0 THEN concat('sector:', sector) END"]
+    return rows.withColumn(name, F.expr(f"array_compact(array({', '.join(parts)}))"))
+
+
+def retrieved(rows: DataFrame, group: list[str], page: str, k: int = 8, gap: float = 0.045) -> DataFrame:
+    """The k best pages of each group of scored() rows with rank and evidence: close first pages are put in the
+    order of their structure, the first one tells its margin; pages that are formally of the other scope only
+    are dropped, unless a group would lose all."""
+    best = top_k(evidence(rows).withColumn("_s", F.round("score", 9)), group, "_s", [page], k)
+    key = F.round(structural_key(F.col("sig"), F.col("anchor_score"), F.col("title_score"), F.col("scope_score")), 9)
+    w = Window.partitionBy(*group)
+    best = best.withColumn("_before", F.col("rank")).withColumn("_n", F.count("*").over(w)).withColumn("_gap", F.max(F.when(F.col("rank") == 1, F.col("_s"))).over(w) - F.max(F.when(F.col("rank") == 2, F.col("_s"))).over(w))
+    best = tiebreak(best, group, "_s", [key, F.col("sig"), F.col("anchor_score"), F.col("title_score")], page, gap)
+    first = F.col("rank") == 1
+    moved = F.when(first & (F.col("_before") > 1), "retrieval_tiebreak:scope_signature_and_anchors")
+    margin = F.when(first & (F.col("_n") == 1), "retrieval_margin:single_candidate").when(first, F.concat(F.lit("retrieval_margin:"), F.format_string("%.4f", F.round("_gap", 4))))
+    told = best.withColumn("evidence", F.concat("evidence", F.array_compact(F.array(moved, margin))))
+    return same_scope_or_all(told, group).drop("_s", "_before", "_n", "_gap")
 
 
 def same_scope_or_all(rows: DataFrame, group: list[str]) -> DataFrame:
     """Drops pages that are formally of the other scope only, unless a group would lose all."""
-    from pagemill.operators.retrieval import keep_or_all
-
     other = F.expr("CASE scope WHEN 'consolidated' THEN statutory_page AND NOT consolidated_page ELSE consolidated_page AND NOT statutory_page END")
     return keep_or_all(rows, group, ~other)

@@ -6,12 +6,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import classify, marks, retrieval, scoring, statements
+from pagemill.operators.keys import join_groups
+from pagemill.plans.index import LETTER_ENCODER, letters_sql
 from pagemill.plans.registry import fold_sql, hits_sql, list_sql, loosen_sql, query, quote, read
+from pagemill.sources.shared import kept
+from pagemill.sources.vectors import encoded
 
 HEADS = (
     "Bilan Actif en milliers de dirhams", "Bilan - Passif, exercice clos", "Compte de produits et charges en MAD", "Compte de résultat consolidé, situation financière", "Note annexe: détail des créances, état des variations",
@@ -234,24 +238,31 @@ def _counted(terms: list[str]) -> list[tuple[str, int]]:
 _QUERY_TERMS = [(q, t, n) for q, target, scope, _ in REQUESTS for t, n in _counted(re.findall("[a-z0-9]+", target_query(target, scope)))]
 
 
-def _embedding_text(rows: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, text: str) -> Column:
     """Pages as retrieval reads them: named fields, then the text."""
     fields = {"company": F.col("source"), "sector": F.col("sector"), "scope": F.array_join("scopes", " "), "titles": F.array_join("titles", " ")}
-    return rows.select("doc_id", "source", T.labelled_text(fields, F.col("text")).alias("text"))
+    return T.labelled_text(fields, F.col(text))
 
 
 def full_scores(spark, d) -> DataFrame:
-    """Every page for every request with all terms and its score."""
-    rows = inputs(spark, d)
+    """Every page for every request with all terms and its score. Texts are folded once, for features and for
+    terms; features are kept, without text, before requests meet them. Pages and requests get their vectors from
+    one encoder; a page without one scores 0 there."""
+    rows = kept(inputs(spark, d), "pages")
+    features = kept(scoring.page_features(rows, "source", "doc_id"), "features")
     asked = spark.createDataFrame(_QUERY_TERMS, "query_id long, term string, weight int")
-    lexical = retrieval.bm25(_embedding_text(rows), "doc_id", "source", "text", asked)
-    scored = requested(spark, d).join(lexical, ["query_id", "source", "doc_id"], "left").fillna(0.0, ["bm25"])
-    v = read(spark, d, "embeddings")
-    first = v.filter("vec_id = 0").agg(F.min("embedding").alias("q"))
-    cosines = v.join(F.broadcast(first)).select(F.col("vec_id").alias("doc_id"), retrieval.cosine(F.col("embedding"), F.col("q")).alias("vector"))
-    scored = scored.join(cosines, "doc_id", "left")
-    for term in ("bm25", "vector"):
-        scored = retrieval.minmax(scored, ["query_id", "source"], term)
+    # Fields are short: folded by themselves they add the same terms as if they were folded with the text.
+    fields = [F.concat(F.lit(f"{k}: "), F.coalesce(c, F.lit(""))) for k, c in {"company": F.col("source"), "sector": F.col("sector"), "scope": F.array_join("scopes", " "), "titles": F.array_join("titles", " ")}.items()]
+    own = rows.select("doc_id", "source", F.concat_ws(" ", T.fold(F.concat_ws(" ", *fields)), F.lit("page text"), "folded").alias("body"))
+    lexical = retrieval.bm25(own, "doc_id", "source", "body", asked, is_folded=True)
+    pages = kept(encoded(rows.select("source", "doc_id", _labelled(rows, "text").alias("text")), "text", LETTER_ENCODER), "vectors")
+    texts = spark.createDataFrame([(q, target_query(t, s)) for q, t, s, _ in REQUESTS], "query_id long, text string")
+    wanted = encoded(texts, "text", LETTER_ENCODER).select("query_id", F.col("vector").alias("query"))  # as many as requests
+    cosines = pages.filter("vector IS NOT NULL").join(F.broadcast(wanted)).select("query_id", "source", "doc_id", retrieval.cosine(F.col("vector"), F.col("query")).alias("vector"))
+    keys = ["query_id", "source", "doc_id"]
+    terms = join_groups(cosines, lexical, keys, "full")
+    scored = join_groups(scoring.requested(features, REQUESTS), terms, keys, "left").fillna(0.0, ["bm25"])
+    scored = retrieval.minmax(scored, ["query_id", "source"], "bm25", "vector")
     return scoring.scored(scored.fillna(0.0, ["vector"]).withColumn("excluded", F.col("doc_id") % 17 == 0))
 
 
@@ -263,9 +274,10 @@ def _full_sql() -> str:
         "be AS (SELECT doc_id, source, greatest(len(ts), 1) AS dl, unnest(ts) AS term FROM bt), btf AS (SELECT doc_id, source, term, any_value(dl) AS dl, count(*) AS tf FROM be WHERE term IN (SELECT term FROM bq) GROUP BY ALL), bdf AS (SELECT source, term, count(*) AS df FROM btf GROUP BY ALL), "
         "bs AS (SELECT query_id, doc_id, source, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (total / n) + 1e-9))) AS b FROM btf JOIN bdf USING (source, term) JOIN bst USING (source) JOIN bq USING (term) GROUP BY ALL)"
     )
-    cosine = "cv AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), cq AS (SELECT e AS qe FROM cv WHERE vec_id = 0), cc AS (SELECT vec_id, list_dot_product(e, qe) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(qe, qe)) + 1e-9)) AS c FROM cv, cq)"
+    wanted = ", ".join(f"({q}, list_transform({letters_sql(quote(target_query(t, s)))}, lambda x: CAST(x AS DOUBLE)))" for q, t, s, _ in REQUESTS)
+    cosine = f"cv AS (SELECT source, doc_id, list_transform({letters_sql('b')}, lambda x: CAST(x AS DOUBLE)) AS e FROM (SELECT source, doc_id, {body} AS b FROM h0)), cq(query_id, qe) AS (VALUES {wanted}), cc AS (SELECT query_id, source, doc_id, list_dot_product(e, qe) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(qe, qe)) + 1e-9)) AS c FROM cv, cq WHERE list_sum(e) > 0)"
     scale = lambda c: f"CASE WHEN max({c}) OVER g - min({c}) OVER g < 1e-12 THEN 0.0 ELSE ({c} - min({c}) OVER g) / (max({c}) OVER g - min({c}) OVER g) END"
-    joined = f"j AS (SELECT r0.*, coalesce(b, 0.0) AS b, c FROM r0 LEFT JOIN bs USING (query_id, source, doc_id) LEFT JOIN cc ON vec_id = r0.doc_id), j2 AS MATERIALIZED (SELECT * EXCLUDE (b, c), CAST({scale('b')} AS DOUBLE) AS bm25, CAST(coalesce({scale('c')}, 0.0) AS DOUBLE) AS vector, doc_id % 17 = 0 AS excluded FROM j WINDOW g AS (PARTITION BY query_id, source))"
+    joined = f"j AS (SELECT r0.*, coalesce(b, 0.0) AS b, c FROM r0 LEFT JOIN bs USING (query_id, source, doc_id) LEFT JOIN cc USING (query_id, source, doc_id)), j2 AS MATERIALIZED (SELECT * EXCLUDE (b, c), CAST({scale('b')} AS DOUBLE) AS bm25, CAST(coalesce({scale('c')}, 0.0) AS DOUBLE) AS vector, doc_id % 17 = 0 AS excluded FROM j WINDOW g AS (PARTITION BY query_id, source))"
     chains, last = chains_sql("j2")
     return f"{_features_sql()}, {bm25}, {cosine}, {joined}, {chains}, full_score AS MATERIALIZED (SELECT * FROM {last})"
 
@@ -278,6 +290,24 @@ def full_blend(spark, d):
     return retrieval.top_k(rows, ["query_id", "source"], "score", ["doc_id"], 8)
 
 
+_OTHER_ONLY = "CASE scope WHEN 'consolidated' THEN statutory_page AND NOT consolidated_page ELSE consolidated_page AND NOT statutory_page END"
+_TOLD = ", ".join(f"'{k}:' || " + ("CAST(n_labels AS VARCHAR)" if c == "n_labels" else f"printf('%.3f', round({c}, 3))") for k, c in scoring.TOLD.items())
+_WHY = ", ".join(scoring.reasons(scoring.REASON_TEXT))
+
+
+@query(
+    f"{_full_sql()}, y0 AS (SELECT *, round(score, 9) AS sc, round(0.48 * sig + 0.32 * anchor_score + 0.15 * title_score + 0.05 * scope_score, 9) AS ky, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS r0 FROM full_score QUALIFY r0 <= 8), "
+    "y1 AS (SELECT *, count(*) OVER w AS nn, max(sc) FILTER (WHERE r0 = 1) OVER w - max(sc) FILTER (WHERE r0 = 2) OVER w AS gap FROM y0 WINDOW w AS (PARTITION BY query_id, source)), y2 AS (SELECT *, coalesce(gap < 0.045, false) AND r0 <= 6 AS near FROM y1), "
+    "y3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY CASE WHEN r0 <= 6 THEN 0 ELSE 1 END, CASE WHEN near THEN ky END DESC NULLS LAST, CASE WHEN near THEN sig END DESC NULLS LAST, CASE WHEN near THEN anchor_score END DESC NULLS LAST, CASE WHEN near THEN title_score END DESC NULLS LAST, CASE WHEN near THEN doc_id END NULLS FIRST, r0) AS rk FROM y2), "
+    f"y4 AS (SELECT *, NOT {_OTHER_ONLY} AS keep FROM y3), y5 AS (SELECT *, bool_or(keep) OVER (PARTITION BY query_id, source) AS any_kept FROM y4) "
+    f"SELECT query_id, source, doc_id, CAST(rk AS INT) AS rank, round(score, 5) AS score, concat_ws('|', {_WHY}, {_TOLD}, CASE WHEN sector_score > 0 THEN 'sector:' || sector END, CASE WHEN rk = 1 AND r0 > 1 THEN 'retrieval_tiebreak:scope_signature_and_anchors' END, "
+    "CASE WHEN rk = 1 AND nn = 1 THEN 'retrieval_margin:single_candidate' WHEN rk = 1 THEN 'retrieval_margin:' || printf('%.4f', round(gap, 4)) END) AS evidence FROM y5 WHERE keep OR NOT any_kept"
+)
+def retrieved_pages(spark, d):
+    best = scoring.retrieved(full_scores(spark, d), ["query_id", "source"], "doc_id")
+    return best.select("query_id", "source", "doc_id", "rank", F.round("score", 5).alias("score"), F.concat_ws("|", "evidence").alias("evidence"))
+
+
 @query(
     f"{_features_sql()}, k2 AS (SELECT query_id, source, doc_id, NOT CASE scope WHEN 'consolidated' THEN statutory_page AND NOT consolidated_page ELSE consolidated_page AND NOT statutory_page END AS keep FROM r0) "
     "SELECT query_id, doc_id FROM (SELECT *, bool_or(keep) OVER (PARTITION BY query_id, source) AS any_kept FROM k2) WHERE keep OR NOT any_kept"
