@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import entry_id, optional_int
+from pagemill.operators.classes import classes
+from pagemill.sources.shared import kept
 
 # Reasons that a failure can be given, and words for verdicts.
 REASONS = ("WRONG_PAGE", "WRONG_SCOPE", "WRONG_TABLE", "BAD_CROP", "PARTIAL_TABLE", "MISSING_ROWS", "OCR_ERROR", "OTHER")
@@ -40,20 +45,78 @@ def entries(jobs: DataFrame, validated_at: Column) -> DataFrame:
 
 
 def saved(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Entries after an upsert by either key: a fresh entry takes the place (pos) of the first stored one
-    with its source_job_id or else its id; others are appended. A stored entry that two fresh ones take
-    goes to the later of them."""
+    """Entries (pos and others) after fresh ones (seq and the same others) came in the order of seq: each takes the
+    place of the first entry, stored or fresh, that has its source_job_id or its id at that time, and else stands
+    at the end, in the order of arrival. Blank and null keys meet nothing.
+
+    Entries that no key connects don't concern each other, so only classes of entries that share keys are gone
+    through in order, a class by one task that holds the class's places (not the entries that came and went);
+    entries without a class are appended, or stay, where they lie."""
     columns = [c for c in stored.columns if c != "pos"]
-    new = fresh.withColumn("_f", F.row_number().over(Window.orderBy("source_job_id", "id")))
-    met = stored.select("pos", F.col("source_job_id").alias("_k")).filter("_k <> ''").join(new.withColumnRenamed("source_job_id", "_k").select("_k", "_f"), "_k").select("pos", "_f")
-    met = met.unionAll(stored.select("pos", F.col("id").alias("_k")).filter("_k <> ''").join(new.withColumnRenamed("id", "_k").select("_k", "_f"), "_k").select("pos", "_f"))
-    place = met.groupBy("_f").agg(F.min("pos").alias("pos"))
-    taken = new.join(place, "_f", "left")
-    end = stored.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_end"))
-    fresh_rows = taken.crossJoin(F.broadcast(end)).select(F.coalesce("pos", F.col("_end") + F.col("_f")).alias("pos"), *columns, F.lit(1).alias("_n"), "_f")
-    both = stored.select("pos", *columns, F.lit(0).alias("_n"), F.lit(0).alias("_f")).unionByName(fresh_rows)
-    last = F.max_by(F.struct(*columns), F.struct("_n", "_f")).alias("r")
-    return both.groupBy("pos").agg(last).select("pos", "r.*")
+    end = stored.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("_end"))  # one row
+    old = stored.select(F.col("pos").cast("long").alias("_at"), F.lit(0).alias("_n"), *columns)
+    new = fresh.select(F.col("seq").cast("long").alias("_at"), F.lit(1).alias("_n"), *columns)
+    rows = kept(old.unionByName(new).withColumn("_row", F.monotonically_increasing_id()), "entries")
+    filled = lambda c: F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    key = lambda kind, c: F.when(filled(c), F.concat(F.lit(kind), F.col(c).cast("string")))
+    keyed = rows.select("_row", "_n", F.array_compact(F.array(key("job ", "source_job_id"), key("case ", "id"))).alias("_keys"))
+    # An entry's keys are one class; classes that hold no fresh entry don't change.
+    links = keyed.filter(F.size("_keys") > 1).select(F.col("_keys")[0].alias("a"), F.col("_keys")[1].alias("b"))
+    first = keyed.filter(F.size("_keys") > 0).select("_row", "_n", F.col("_keys")[0].alias("node"))
+    of = first.join(classes(links), "node", "left").select("_row", "_n", F.coalesce("class", "node").alias("_class"))
+    touched = of.groupBy("_class").agg(F.max("_n").alias("_any")).filter("_any = 1").select("_class")
+    of = kept(of.drop("_n").join(touched, "_class"), "touched")
+    met = rows.join(of, "_row").repartition("_class").sortWithinPartitions("_class", "_n", "_at")
+    moves = met.select("_class", "_n", "_at", "_row", F.coalesce(F.col("source_job_id").cast("string"), F.lit("")).alias("job"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("case")).mapInArrow(_in_order, "_row long, place long, appended boolean")
+    placed = rows.join(moves, "_row").drop("_row", "_n", "_at")
+    alone = rows.join(of.select("_row"), "_row", "left_anti").select(*columns, F.col("_at").alias("place"), (F.col("_n") == 1).alias("appended"))
+    whole = placed.unionByName(alone).join(F.broadcast(end))
+    return whole.select(F.when(F.col("appended"), F.col("_end") + 1 + F.col("place")).otherwise(F.col("place")).alias("pos"), *columns)
+
+
+def _in_order(batches):
+    """_row, place, appended of the entry that stands at each place of a class in the end. Rows come by class, the
+    stored ones first, each by its place or arrival."""
+    current, slots = None, []
+
+    def standing():
+        rows = [(row, at, new) for row, at, new, _, _ in slots]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["_row", "place", "appended"])
+
+    by_key: dict[tuple[str, str], list[int]] = {}
+
+    def first_of(kind: str, value: str) -> int | None:
+        """The first place that has the key now: places that lost it are taken off their heap on the way."""
+        heap = by_key.get((kind, value)) if value else None
+        while heap:
+            if slots[heap[0]][3 if kind == "job" else 4] == value:
+                return heap[0]
+            heapq.heappop(heap)
+        return None
+
+    def put(place: int, entry: tuple) -> None:
+        for kind, value in (("job", entry[3]), ("case", entry[4])):
+            if value:
+                heapq.heappush(by_key.setdefault((kind, value), []), place)
+
+    for batch in batches:
+        for name, fresh, at, row, job, case in zip(*(batch.column(c).to_pylist() for c in ("_class", "_n", "_at", "_row", "job", "case"))):
+            if name != current:
+                if slots:
+                    yield standing()
+                current = name
+                slots.clear()
+                by_key.clear()
+            found = [p for p in (first_of("job", job), first_of("case", case)) if p is not None] if fresh else []
+            if found:
+                place = min(found)
+                slots[place] = (row, *slots[place][1:3], job, case)
+            else:
+                place = len(slots)
+                slots.append((row, at, bool(fresh), job, case))
+            put(place, slots[place])
+    if slots:
+        yield standing()
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:

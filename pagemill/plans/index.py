@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import page_index
-from pagemill.plans.registry import fold_sql, query, read
+from pagemill.operators.keywords import keyword_rows
+from pagemill.plans.registry import fold_sql, loosen_sql, query, read
 from pagemill.sources.vectors import Encoder, encoded
 
 
@@ -92,3 +93,19 @@ def encoded_pages(spark, d):
     rows = read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 41 == 0, "#").otherwise(F.col("text")).alias("text"))
     out = encoded(rows, "text", LETTER_ENCODER)
     return out.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[25].cast("double").alias("z"), "error")
+
+
+@query(
+    f"WITH d AS MATERIALIZED (SELECT doc_id, {fold_sql('text')} AS f FROM documents), e AS MATERIALIZED (SELECT *, {loosen_sql('f')} AS l FROM d), "
+    f"b AS (SELECT item_id, regexp_extract_all({fold_sql('text')}, '[a-z0-9]+') AS ws FROM benchmark), w AS (SELECT 'pair' AS kind, CAST(item_id AS VARCHAR) AS name, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ', ' || ws[i + 1])) AS k FROM b UNION ALL SELECT 'order', o_orderstatus, CAST(o_orderkey AS VARCHAR) FROM orders UNION ALL SELECT 'part', p_brand, lower(p_name) FROM part), "
+    "u AS MATERIALIZED (SELECT DISTINCT k, CASE WHEN contains(k, ' ') THEN trim(regexp_replace(k, '[^a-z0-9]+', ' ', 'g')) END AS wide FROM w), m AS (SELECT doc_id, k FROM u JOIN e ON contains(f, k) OR (wide IS NOT NULL AND contains(l, wide))) "
+    "SELECT doc_id, kind, name, CAST(count(*) AS INT) AS hits FROM m JOIN w USING (k) GROUP BY ALL"
+)
+def keyword_join(spark, d):
+    """Word pairs of the benchmark, order numbers and part names, looked for in all documents."""
+    ws = T.tokens(T.fold(F.col("text")))
+    pairs = read(spark, d, "benchmark").select(F.lit("pair").alias("kind"), F.col("item_id").cast("string").alias("name"), F.explode(F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(", "), b))).alias("keyword"))
+    orders = read(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").cast("string").alias("keyword"))
+    parts = read(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_brand").alias("name"), F.lower("p_name").alias("keyword"))
+    docs = T.with_folded(read(spark, d, "documents").select("doc_id", "text"))
+    return keyword_rows(docs, pairs.unionAll(orders).unionAll(parts), ["doc_id"])

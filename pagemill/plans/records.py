@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import classify, feedback, retrieval, tables
+from pagemill.operators import classify, feedback, history, retrieval, tables
 from pagemill.plans.registry import fold_sql, query, quote, read
 
 
@@ -128,19 +128,43 @@ def benchmark_entries(spark, d):
 
 
 @query(
-    "WITH s AS (SELECT s_suppkey AS pos, 'j' || s_suppkey AS source_job_id, 'e' || s_suppkey % 70 AS id, 'old' AS v FROM supplier), f AS (SELECT n_nationkey AS k, 'j' || n_nationkey * 3 AS source_job_id, 'e' || n_nationkey * 2 AS id, 'new' AS v, row_number() OVER (ORDER BY 'j' || n_nationkey * 3, 'e' || n_nationkey * 2) AS f FROM nation), "
-    "m AS (SELECT f.*, (SELECT min(pos) FROM s WHERE s.source_job_id = f.source_job_id OR s.id = f.id) AS pos FROM f), e AS (SELECT coalesce(max(pos), -1) AS top FROM s), "
-    "u AS (SELECT pos, source_job_id, id, v, 0 AS n, 0 AS f FROM s UNION ALL SELECT coalesce(pos, top + f), source_job_id, id, v, 1, f FROM m, e) SELECT pos, source_job_id, id, v FROM u QUALIFY row_number() OVER (PARTITION BY pos ORDER BY n DESC, f DESC) = 1"
+    "WITH RECURSIVE o AS (SELECT list({'pos': CAST(n_nationkey AS BIGINT), 'j': 'j' || n_nationkey, 'e': 'e' || n_nationkey % 7, 'v': 'old'} ORDER BY n_nationkey) AS l, max(n_nationkey) AS top FROM nation), "
+    "f AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, s_suppkey AS seq, 'j' || s_suppkey % 40 AS j, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'e' || s_nationkey END AS e FROM supplier), "
+    "s AS (SELECT CAST(0 AS BIGINT) AS k, l FROM o UNION ALL SELECT k, CASE WHEN spot IS NULL THEN list_append(l, {'pos': top + 1 + seq, 'j': j, 'e': e, 'v': 'new'}) ELSE list_concat(list_concat(l[:spot - 1], [{'pos': l[spot].pos, 'j': j, 'e': e, 'v': 'new'}]), l[spot + 1:]) END "
+    "FROM (SELECT f.*, s.l, o.top, list_position(list_transform(s.l, lambda x: x.j = f.j OR (f.e <> '' AND x.e = f.e)), true) AS spot FROM s JOIN f ON f.k = s.k + 1, o)), "
+    "u AS (SELECT unnest(l) AS x FROM s WHERE k = (SELECT max(k) FROM s)) SELECT x.pos AS pos, x.j AS source_job_id, x.e AS id, x.v AS v FROM u"
 )
 def saved_entries(spark, d):
-    k = F.col("s_suppkey")
+    """Suppliers as entries that come one after the other, nations as those that are there; many share a key."""
     text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    stored = read(spark, d, "supplier").select(k.alias("pos"), text("j", k).alias("source_job_id"), text("e", k % 70).alias("id"), F.lit("old").alias("v"))
-    n = F.col("n_nationkey")
-    fresh = read(spark, d, "nation").select(text("j", n * 3).alias("source_job_id"), text("e", n * 2).alias("id"), F.lit("new").alias("v"))
+    n, k = F.col("n_nationkey"), F.col("s_suppkey")
+    stored = read(spark, d, "nation").select(n.alias("pos"), text("j", n).alias("source_job_id"), text("e", n % 7).alias("id"), F.lit("old").alias("v"))
+    case = F.when(k % 9 == 0, "").otherwise(text("e", F.col("s_nationkey")))
+    fresh = read(spark, d, "supplier").select(k.alias("seq"), text("j", k % 40).alias("source_job_id"), case.alias("id"), F.lit("new").alias("v"))
     return feedback.saved(stored, fresh)
 
 
+_VERSION = "CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END"
+
+
+@query(
+    f"SELECT o_custkey, o_orderkey, lead(o_orderdate) OVER w AS valid_to, lead(o_orderstatus) OVER w AS reason, lead({_VERSION}) OVER w AS new_model FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) QUALIFY valid_to IS NOT NULL"
+)
+def replaced_results(spark, d):
+    """Orders as versions of a customer's result. Moments are made distinct by the order's number."""
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr("make_dt_interval(0, 0, 0, o_orderkey / 1000000D)")).alias("at"), "o_orderdate", F.col("o_orderstatus").alias("why"), F.expr(_VERSION).alias("model"))
+    rows = history.versions(o, ["o_custkey"], "at", ["o_orderdate", "why", "model"]).filter("valid_to IS NOT NULL")
+    return rows.select("o_custkey", "o_orderkey", F.col("replaced_by_o_orderdate").alias("valid_to"), F.col("replaced_by_why").alias("reason"), F.col("replaced_by_model").alias("new_model"))
+
+
+@query(
+    f"WITH p AS (SELECT *, {_VERSION} AS m FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30') SELECT o_custkey, max(o_orderdate) AS valid_from, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status, arg_max(m, (o_orderdate, o_orderkey)) FILTER (WHERE m IS NOT NULL) AS model FROM p GROUP BY o_custkey"
+)
+def results_as_of(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.col("o_orderstatus").alias("status"), F.expr(_VERSION).alias("model"))
+    return history.as_of(o, ["o_custkey"], "o_orderdate", "o_orderkey", ["status", "model"], F.expr("TIMESTAMP_NTZ '1996-06-30'"))
+
+
 @query(
     "WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'error' ELSE 'pending' END AS status, CASE event_type WHEN 'view' THEN 'ensure_pdf' WHEN 'click' THEN 'crop_and_vision' WHEN 'signup' THEN 'submit' END AS step FROM events), "
     "t AS (SELECT user_id, status, step FROM e WHERE status <> 'pending' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1), l AS (SELECT user_id, step FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1), p AS (SELECT user_id, max(CASE step WHEN 'ensure_pdf' THEN 5 WHEN 'crop_and_vision' THEN 30 ELSE 0 END) AS p FROM e GROUP BY user_id) "

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import classify, marks, retrieval, scoring, statements
 from pagemill.operators.keys import join_groups
+from pagemill.operators.keywords import keyword_rows
 from pagemill.plans.index import LETTER_ENCODER, letters_sql
 from pagemill.plans.registry import fold_sql, hits_sql, list_sql, loosen_sql, query, quote, read
 from pagemill.sources.shared import kept
@@ -109,7 +110,7 @@ _KEYWORDS = [(kind, name, i, w) for kind, table in (("anchor", scoring.DEFAULT.a
 )
 def keyword_table(spark, d):
     table = spark.createDataFrame(_KEYWORDS, "kind string, name string, ord int, keyword string")
-    return retrieval.keyword_rows(pages(spark, d), table, ["doc_id"])
+    return keyword_rows(pages(spark, d), table, ["doc_id"])
 
 
 @query(f"{_PAGES} SELECT doc_id, round(len(list_distinct({hits_sql(scoring.DEFAULT.anchors['asset'])})) / {float(len(set(scoring.DEFAULT.anchors['asset'])))}, 9) AS ratio FROM d")

@@ -258,4 +258,4 @@ def test_stream_upsert_keeps_the_last_row(spark, tmp_path):
         q = jobs.upsert_stream(stream, out, "user_id", "event_id").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination(180)
     want = feedback.upsert(table.limit(0), table, "user_id", "event_id")
-    assert sorted(map(tuple, jobs.current(spark, out).select("user_id", "event_id").collect())) == sorted(map(tuple, want.select("user_id", "event_id").collect()))
+    assert sorted(map(tuple, jobs.Buckets(spark, out, "user_id", "event_id", "event_id long, user_id long, event_type string").current().select("user_id", "event_id").collect())) == sorted(map(tuple, want.select("user_id", "event_id").collect()))
