@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 
 def _fold_table() -> tuple[str, str]:
-    """Lower-case letters of Latin-1 Supplement and Latin Extended-A and the ASCII letters that they
-    decompose to."""
+    """Characters that lower case leaves as they are, and the one ASCII character that each decomposes to."""
     pairs = {}
-    for code in range(0x00A0, 0x0180):
+    for code in range(0x00A0, 0x3000):  # no character beyond has one
         c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if x.isascii())
-        if c == c.lower() and len(base) == 1 and base.isalpha():
+        base = "".join(x for x in unicodedata.normalize("NFD", c.casefold()) if x.isascii())
+        if c == c.lower() and len(base) == 1:
             pairs[c] = base
-    pairs["ŉ"] = "n"
     return "".join(pairs), "".join(pairs.values())
 
 
@@ -88,6 +86,18 @@ def keyword_hits(folded: Column, loosened: Column, keywords: list[str]) -> Colum
     return F.filter(F.array(*tests).cast("array<string>"), lambda x: x.isNotNull())
 
 
+def literal(text: str) -> str:
+    """A string in Spark's SQL. Where an expression has hundreds of parts, SQL is parsed at once, while columns
+    are put together call by call."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hit_sql(keyword: str, folded: str = "folded", loosened: str = "loosened") -> str:
+    """SQL of the test of keyword_hits() for one keyword, on columns by name."""
+    loose = f" OR contains({loosened}, {literal(loose_keyword(keyword))})" if len(keyword.split()) > 1 else ""
+    return f"(contains({folded}, {literal(keyword)}){loose})"
+
+
 def excerpt(text: Column, folded: Column, label: Column, around: int = 420) -> Column:
     """The text around the place where its folded form holds the folded label; else its beginning.
     The place is counted in the folded form."""

@@ -1,6 +1,6 @@
 """Rules on the words of a page, as data.
 
-A rule is a tree of marks (so many of these phrases within the first so many characters), of other
+A rule is a tree of marks (so many of these phrases within the first so many characters), of patterns, of other
 rules' names, and of all, any and none of several. Rules are evaluated in their order into boolean
 columns; a rule may name those before it. Heads of a text are cut once for each window."""
 
@@ -22,6 +22,14 @@ class Marks:
     window: int | None = None
 
 
+@dataclass(frozen=True)
+class Pattern:
+    """The regular expression matches within the first `window` characters (None: anywhere)."""
+
+    regex: str
+    window: int | None = None
+
+
 @dataclass(frozen=True)
 class Named:
     name: str
@@ -42,11 +50,11 @@ class Not:
     part: object
 
 
-Rule = Marks | Named | All | Any | Not
+Rule = Marks | Pattern | Named | All | Any | Not
 
 
 def windows(rule: Rule) -> set[int]:
-    if isinstance(rule, Marks):
+    if isinstance(rule, Marks | Pattern):
         return {rule.window} - {None}
     if isinstance(rule, Not):
         return windows(rule.part)
@@ -58,6 +66,8 @@ def holds_sql(rule: Rule, text) -> str:
     if isinstance(rule, Marks):
         found = [f"contains({text(rule.window)}, {literal(p)})" for p in rule.phrases]
         return f"({' OR '.join(found)})" if rule.least <= 1 else f"({' + '.join(f'CAST({f} AS INT)' for f in found)} >= {rule.least})"
+    if isinstance(rule, Pattern):
+        return f"({text(rule.window)} RLIKE {literal(rule.regex)})"
     if isinstance(rule, Named):
         return f"`{rule.name}`"
     if isinstance(rule, Not):
@@ -78,7 +88,7 @@ def with_rules(pages: DataFrame, rules: dict[str, Rule], folded: str = "folded")
 def names_in(rule: Rule) -> set[str]:
     if isinstance(rule, Named):
         return {rule.name}
-    if isinstance(rule, Marks):
+    if isinstance(rule, Marks | Pattern):
         return set()
     return names_in(rule.part) if isinstance(rule, Not) else set().union(*map(names_in, rule.parts))
 

@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pagemill.operators.marks import All, Any, Marks, Named, Not, Rule, with_rules
+from pagemill.operators.marks import All, Any, Marks, Named, Not, Pattern, Rule, with_rules
 
 SIDES = ("asset", "liability")
 
+# The word for each side, and how titles of statements are written with it.
+SIDE_WORD = {"asset": "actif", "liability": "passif"}
+DATED_TITLE = ("{word} 30/06", "{word} 31/12", "{word} notes")
+DATED_WINDOW = {"asset": 3200, "liability": 7000}
+
 #: Phrases by name, folded.
 PHRASES: dict[str, tuple[str, ...]] = {
     "asset_title": ("bilan actif", "actif du bilan", "bilan - actif"),
@@ -50,6 +55,19 @@ PHRASES: dict[str, tuple[str, ...]] = {
 }
 
 
+def strong_title(side: str, phrases: dict[str, tuple[str, ...]] = PHRASES) -> Rule:
+    """Whether a page is titled as a side's statement: it is that statement, or has one of the ways to write its title
+    in the place where it would stand. Of a page that breaks balances down by currency only the first counts."""
+    word, main = SIDE_WORD[side], Named(f"{side}_main")
+    titles = (
+        Marks(phrases[f"{side}_title"], 1, 900), Marks(phrases[f"{side}_title_late"], 1, 1800),
+        Pattern(rf"\bbilan\s+{word}\b"), Pattern(r"\bbilan\s+social\b", 3500), Pattern(rf"\b{word}\b", 900),
+        Marks((f"{word} ifrs", f"{word} consolide"), 1, 3000), Marks((f"bilan ({word})",)), Marks((f"bilan {word}",), 1, 1200),
+        All((Marks(("en milliers de mad",), 1, 1800), Pattern(rf"(^| ){word}( |$)", 1800), Marks(("total general",)))),
+    )
+    return Any((main, All((Not(Named("currency_page")), Any(titles)))))
+
+
 def rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
     """Rules by name; of sides: <side>_<rule>."""
     p = phrases
@@ -74,14 +92,15 @@ def rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
     }
     for side in SIDES:
         out |= {
-            f"{side}_strong_title": Any((Marks(p[f"{side}_title"], 1, 900), Marks(p[f"{side}_title_late"], 1, 1800))),
+            f"{side}_strong_title": strong_title(side, p),
             f"{side}_header": Marks(p[f"{side}_header"], 1, 7000),
             f"{side}_total": Marks(p[f"{side}_total"]),
             f"{side}_balance": Any((Marks(p[f"{side}_title"], 1, 2500), All((Named(f"{side}_total"), Marks(p[f"{side}_rows"], 2))))),
             f"{side}_main": All(
                 (
                     Not(Named("segment")), Not(Named("policy")), Not(Named("breakdown")),
-                    Marks(p["main_title"], 1, 7000), Marks(p[f"{side}_header"], 1, 7000), Named(f"{side}_total"),
+                    Any((Marks(p["main_title"], 1, 7000), Marks(tuple(x.format(word=SIDE_WORD[side]) for x in DATED_TITLE), 1, DATED_WINDOW[side]))),
+                    Marks(p[f"{side}_header"], 1, 7000), Named(f"{side}_total"),
                     Marks(p["currency"], 1, 3200), Marks(p[f"{side}_rows"], 3),
                 )
             ),
@@ -96,6 +115,51 @@ def rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
 RULES = rules()
 
 
+# What a kept table's page says where the table is not to be used again.
+CONTEXT = {
+    "alternate": ("bilan arreda", "compte de produits et charges arreda", "etats de synthese arreda"),
+    "asset_total": ("total actif", "total de l actif"),
+    "liability_total": ("total passif", "total du passif"),
+    "other_statement": ("tableau des flux de tresorerie", "flux de tresorerie nets", "capacite d autofinancement", "etat des derogations", "etat des changements de methodes", "detail des postes", "details des postes"),
+    "false_header": ("passif financier", "passifs financiers", "provisions du passif", "passifs d impots", "passifs d'impots"),
+    "summary": ("l actif et ses composantes", "le passif et ses composantes", "variation 24 23", "comptes de bilan"),
+    "in_millions": ("en millions",),
+    "formal": ("en milliers de mad", "total general i ii iii"),
+    "social": ("comptes sociaux ocp sa", "comptes sociaux", "etats financiers sociaux", "etats de synthese sociaux", "bilan social"),
+    "consolidated": ("comptes consolides normes ifrs", "comptes consolides", "etats financiers consolides", "situation financiere consolidee"),
+}
+FALSE_HEADER_ABOVE = 260.0
+
+
+def page_context(c: dict[str, tuple[str, ...]] = CONTEXT) -> dict[str, Rule]:
+    """What cached_vetoes() needs to know of a page, by name."""
+    return {
+        "says_alternate": Marks(c["alternate"]), "says_asset_total": Marks(c["asset_total"]), "says_liability_total": Marks(c["liability_total"]), "says_other_statement": Marks(c["other_statement"]),
+        "says_false_header": All((Marks(c["false_header"]), Marks(c["liability_total"]))), "says_summary": All((Marks(c["summary"]), Marks(c["in_millions"]), Not(Marks(c["formal"])))),
+        "says_social": Marks(c["social"]), "says_consolidated": Marks(c["consolidated"]),
+    }
+
+
+#: Vetoes of a kept result by name: its request (target, scope, sector), box, evidence and page. SQL of both engines but for `header`.
+VETOES = {
+    "alternate_statement": "says_alternate",
+    "wrong_balance": "(target = 'asset' AND NOT says_asset_total OR target = 'liability' AND NOT says_liability_total) AND says_other_statement",
+    "bad_line_header": f"target = 'liability' AND sector = 'bank' AND (box_size <> 4 OR header AND top < {FALSE_HEADER_ABOVE} AND says_false_header)",
+    "management_summary": "target IN ('asset', 'liability') AND says_summary",
+    "wrong_scope": "(scope = 'consolidated' AND says_social OR scope = 'statutory' AND says_consolidated AND NOT says_social)",
+}
+
+
+def cached_vetoes(results: DataFrame, folded: str = "folded") -> DataFrame:
+    """Adds vetoes: why a kept result (target, scope, sector, bbox, evidence, and its page's folded text) is not to be
+    used again, in the order of VETOES; none where there is no text."""
+    rows = with_rules(results, page_context(), folded)
+    rows = rows.selectExpr("*", "coalesce(size(bbox), 0) AS box_size", "coalesce(bbox[1], 0D) AS top", "exists(coalesce(evidence, array()), e -> contains(lower(e), 'line_header')) AS header")
+    told = ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, when in VETOES.items())
+    rows = rows.selectExpr("*", f"CASE WHEN {folded} = '' THEN array() ELSE array_compact(array({told})) END AS vetoes")
+    return rows.drop(*page_context(), "box_size", "top", "header")
+
+
 def context_rules(phrases: dict[str, tuple[str, ...]] = PHRASES) -> dict[str, Rule]:
     """Why a kept table is not to be used again, from its page's text; after rules()."""
     p = phrases

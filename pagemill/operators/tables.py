@@ -115,17 +115,32 @@ def continuation(selected: DataFrame, pages: DataFrame, candidates: DataFrame, d
     return join_groups(open_, following, [document, "next_page"]).select(document, "page", "next_page")
 
 
-def friendly_error(error: Column, label: Column, page: Column, has_crop: Column) -> Column:
-    """What to tell a user about a failure; the first that fits."""
+#: What targets are called in messages.
+TARGET_NAMES = {"asset": "Assets", "liability": "Liabilities", "income": "Income statement"}
+
+
+def target_name(target: Column) -> Column:
+    """A target's name for users: from TARGET_NAMES, else its own with spaces for _, Table where there is none."""
+    out = F.replace(F.coalesce(F.nullif(target, F.lit("")), F.lit("Table")), F.lit("_"), F.lit(" "))
+    for name, shown in TARGET_NAMES.items():
+        out = F.when(F.lower(target) == name, shown).otherwise(out)
+    return out
+
+
+def friendly_error(error: Column, target: Column, page: Column, has_crop: Column) -> Column:
+    """What to tell a user about a failure; the first that fits. An error that fits none is told as it is, with the
+    target's name if there is a target. A page of 0 is none."""
+    label = target_name(target)
     low = F.lower(F.coalesce(error, F.lit("")))
     has = lambda *words: low.rlike("|".join(words))
-    where = some(F.when(page.isNotNull(), F.concat(F.lit("page "), page.cast("string"))), F.when(has_crop, F.lit("crop kept")))
+    where = some(F.when(page != 0, F.concat(F.lit("page "), page.cast("string"))), F.when(has_crop, F.lit("crop kept")))
     details = F.when(F.size(where) > 0, F.concat(F.lit(" ("), F.array_join(where, "; "), F.lit(")"))).otherwise("")
     return (
         F.when(has("insufficient_quota", "exceeded your current quota"), F.concat(label, F.lit(": the provider's quota is used up")))
         .when(has("429", "too many requests", "rate limit"), F.concat(label, F.lit(": the provider's rate limit is reached, try again later")))
         .when(has("target_found_false", "target_not_found"), F.concat(label, F.lit(": the table was not found"), details))
-        .when(low != "", F.concat(label, F.lit(": "), error))
+        .when((low != "") & (F.coalesce(target, F.lit("")) != ""), F.concat(label, F.lit(": "), error))
+        .when(low != "", error)
         .otherwise("")
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import page_index
 from pagemill.operators.keywords import keyword_rows
-from pagemill.plans.registry import fold_sql, loosen_sql, query, read
+from pagemill.plans.registry import fold_sql, loosen_sql, query, read, spread
 from pagemill.sources.vectors import Encoder, encoded
 
 
@@ -20,7 +20,7 @@ def items(spark, d):
 def built(spark, d):
     """A new index of all documents, and its documents."""
     index = page_index.fresh(spark)
-    return index, index.documents(index.update(read(spark, d, "documents"), "source", "doc_id", "text", page_index.page_key(["doc_id", "text"])))
+    return index, index.documents(index.update(spread(read(spark, d, "documents").select("doc_id", "source", "text")), "source", "doc_id", "text", page_index.page_key(["doc_id", "text"])))
 
 
 _ITEMS = f"SELECT item_id AS query_id, term, count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all({fold_sql('text')}, '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL"
@@ -107,5 +107,5 @@ def keyword_join(spark, d):
     pairs = read(spark, d, "benchmark").select(F.lit("pair").alias("kind"), F.col("item_id").cast("string").alias("name"), F.explode(F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(", "), b))).alias("keyword"))
     orders = read(spark, d, "orders").select(F.lit("order").alias("kind"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").cast("string").alias("keyword"))
     parts = read(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_brand").alias("name"), F.lower("p_name").alias("keyword"))
-    docs = T.with_folded(read(spark, d, "documents").select("doc_id", "text"))
+    docs = T.with_folded(spread(read(spark, d, "documents").select("doc_id", "text")))
     return keyword_rows(docs, pairs.unionAll(orders).unionAll(parts), ["doc_id"])

@@ -5,11 +5,13 @@ rows of lines, the engine on arrays."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import geometry, layout
-from pagemill.plans.registry import fold_sql, list_sql, loosen_sql, query, quote, read
+from pagemill.plans.registry import fold_sql, list_sql, loosen_sql, query, quote, read, spread
 
 WIDTH, HEIGHT, LINES = 600.0, 840.0, 24
 TEXTS = ("ACTIF", "Passif", "Bilan (actif)", "Bilan Passif au 31 décembre", "Compte de produits et charges", "Valeurs en caisse 1 200", "Créances sur la clientèle 35", "Immobilisations corporelles 7", "Stocks de marchandises", "Total Actif 99 000", "Capital social 500", "Provisions pour risques 3", "Dépôts de la clientèle", "Dettes envers les tiers 8", "Total du passif 99 000", "Autres actifs", "Note annexe 4", "Hors bilan", "Tableau des flux de trésorerie", "Chiffre d'affaires 45", "Charges d'exploitation 12", "Résultat courant 9", "Résultat net 3", "Produits financiers", "Bilan social", "Texte sans objet", "Ventilation par devise", "actif ifrs", "En milliers de dirhams", "Bilan consolidé", "capitaux propres: gains et pertes", "Attestation")
@@ -20,7 +22,7 @@ _Y0 = "CAST(30 + i * CASE WHEN doc_id % 5 = 0 THEN 30 ELSE 22 END + CASE WHEN i
 
 
 def lines(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))).alias("i"))
+    docs = spread(read(spark, d, "documents").select("doc_id")).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(LINES - 1))).alias("i"))
     rows = docs.select("doc_id", "i", F.expr(_X0).alias("x0"), F.expr(_Y0).alias("y0"), F.element_at(F.array(*map(F.lit, TEXTS)), F.expr(_TEXT)).alias("text"))
     return rows.withColumn("x1", F.col("x0") + 120).withColumn("y1", F.col("y0") + 10).withColumn("folded", T.fold(F.col("text")))
 
@@ -277,23 +279,155 @@ def typed_boundary(spark, d):
     return pages(spark, d).withColumn("t", typed).select("doc_id", layout.typed_boundary(F.col("t"), F.lit(100.0), bounds, H, "asset").alias("typed_y"))
 
 
+def _title_sql(f: str, target: str) -> str:
+    if target == "income":
+        return _starts(f, _WORDS.income_starts + _WORDS.income_titles)
+    w = _WORDS.header[target]
+    return f"({_has(f, (f'bilan {w}', f'bilan ({w})', f'{w} ifrs'))} OR {f} = '{w}' OR starts_with({f}, '{w} ('))"
+
+
+def _ends_sql(f: str, target: str) -> str:
+    ends = _has(f, _WORDS.boundaries)
+    if target == "income":
+        return ends
+    own, other = _WORDS.header[target], _WORDS.header[layout.OTHER[target]]
+    side = f"({f} = '{other}' OR starts_with({f}, '{other} '))"
+    if target == "asset":
+        return f"({side} OR {ends})"
+    return f"(NOT (starts_with({f}, 'autres {other}') OR (contains({f}, 'gains et pertes') AND contains({f}, 'capitaux propre'))) AND ({ends} OR ({side} AND NOT contains({f}, '{own}'))))"
+
+
+#: Blocks of pages() with their types: kb.
+_TYPED_BLOCKS = (
+    "kb0 AS (SELECT *, left(f, 600) AS h FROM n WHERE i % 2 = 0), kb1 AS (SELECT *, " + loosen_sql("h") + " AS l FROM kb0), kb2 AS (SELECT *, "
+    + ", ".join(f"{_hits(_WORDS.anchors[t])} AS n_{t}, {_hits(_WORDS.titles[t])} > 0 AS t_{t}" for t in ("asset", "liability", "income"))
+    + " FROM kb1), kb3 AS (SELECT *, coalesce(CASE WHEN t_asset AND t_liability THEN CASE WHEN n_asset > n_liability THEN 'asset' WHEN n_liability > n_asset THEN 'liability' WHEN strpos(h, 'actif') <= strpos(h, 'passif') THEN 'asset' ELSE 'liability' END WHEN t_asset THEN 'asset' WHEN t_liability THEN 'liability' WHEN t_income THEN 'income' END, "
+    "CASE WHEN n_asset >= 2 AND n_asset >= n_liability AND n_asset >= n_income THEN 'asset' WHEN n_liability >= 2 AND n_liability >= n_income THEN 'liability' WHEN n_income >= 2 THEN 'income' END) AS t0 FROM kb2), "
+    f"kb AS MATERIALIZED (SELECT doc_id, i, y0, y1, x0, x1, c, f, CASE WHEN NOT ({_has('h', _WORDS.not_a_block)} OR ({_has('h', _WORDS.not_a_statement)} AND NOT {_has('left(h, 220)', _WORDS.statement_titles)})) THEN t0 END AS type, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0) AS k FROM kb3)"
+)
+
+
+def _localize_sql(target: str) -> str:
+    """Whole localisation on rows of lines and blocks: one table for each step of layout.localized()."""
+    balance, labels = target != "income", LABELS[target]
+    ctes = [_TYPED_BLOCKS, f"own AS (SELECT * FROM kb WHERE type = '{target}')", "pj AS (SELECT doc_id, string_agg(f, ' ' ORDER BY y0, x0) AS page FROM n GROUP BY doc_id)"]
+    if balance:
+        w = _WORDS.header[target]
+        lo, hi = ("0.0::DOUBLE", "split") if target == "asset" else ("split", "600.0::DOUBLE")
+        ctes += [
+            _SIDES, f"bs AS (SELECT doc_id, {lo} AS lo, {hi} AS hi FROM s)", f"hd AS (SELECT * FROM n WHERE {_header('f', w)})",
+            f"so AS (SELECT * FROM n WHERE starts_with(f, 'bilan social') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0) = {1 if target == 'asset' else 2})",
+            "fo AS (SELECT u.* FROM (SELECT * FROM hd UNION ALL SELECT * FROM so WHERE doc_id NOT IN (SELECT doc_id FROM hd)) u LEFT JOIN bs USING (doc_id) WHERE bs.doc_id IS NULL OR u.c BETWEEN bs.lo - 5 AND bs.hi + 5)",
+            "hv AS (SELECT h.doc_id, h.y0, h.x0, h.c, string_agg(o.f, ' ' ORDER BY o.y0, o.x0) FILTER (WHERE o.y0 BETWEEN h.y0 - 90 AND h.y0) AS ab, string_agg(o.f, ' ' ORDER BY o.y0, o.x0) FILTER (WHERE o.y0 > h.y0 AND o.y0 <= h.y0 + 260) AS be FROM fo h JOIN n o USING (doc_id) GROUP BY h.doc_id, h.y0, h.x0, h.c)",
+        ]
+        points = [f"CASE WHEN {_has('ab', _WORDS.before)} THEN 3 ELSE 0 END", f"CASE WHEN {_has('be', _WORDS.ends[target])} THEN 3 ELSE 0 END", *(f"CASE WHEN {_has('be', g)} THEN 1 ELSE 0 END" for g in _WORDS.rows_below)]
+        if target == "liability":
+            points.append(f"CASE WHEN {_has('ab', _WORDS.ends['asset'])} THEN 2.5 ELSE 0 END")
+        value = " + ".join(points) + f" - CASE WHEN y0 < 180 AND NOT coalesce({_has('ab', _WORDS.before[:-1])}, false) THEN 2 ELSE 0 END"
+        ctes.append(f"he AS (SELECT doc_id, y0, x0, c FROM hv QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {value} DESC, y0, x0) = 1)")
+    else:
+        ctes += [
+            f"hv AS (SELECT h.doc_id, h.y0, h.x0, h.c, h.f, string_agg(o.f, ' ' ORDER BY o.y0, o.x0) FILTER (WHERE o.y0 > h.y0 AND o.y0 <= h.y0 + 420) AS be FROM n h JOIN n o USING (doc_id) WHERE {_starts('h.f', _WORDS.income_starts)} GROUP BY h.doc_id, h.y0, h.x0, h.c, h.f)",
+            "he AS (SELECT doc_id, y0, x0, c FROM hv QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN contains(f, 'compte de resultat ifrs') THEN 4 ELSE 0 END + CASE WHEN contains(f, 'compte de produits') THEN 3 ELSE 0 END + CASE WHEN "
+            + f"{_has('be', _WORDS.amounts)} THEN 1.5 ELSE 0 END + least({' + '.join(f'CASE WHEN contains(be, {quote(a)}) THEN 1 ELSE 0 END' for a in _WORDS.income_anchors)}, 6) - CASE WHEN {_has('be', _WORDS.flows)} THEN 0.5 ELSE 0 END DESC, y0, x0) = 1)",
+        ]
+    none = "contains(left(page, 4500), 'ventilation') AND contains(left(page, 4500), 'devise')" if balance else "false"
+    ctes += [
+        "ob AS (SELECT doc_id, min(y0) AS y, min(x0) AS lo, max(x1) AS hi, bool_or(" + _title_sql("f", target) + ") AS titled FROM own GROUP BY doc_id)",
+        f"d0 AS MATERIALIZED (SELECT doc_id, page, CASE WHEN {none} THEN 'none' WHEN he.doc_id IS NOT NULL THEN 'header' WHEN ob.doc_id IS NOT NULL THEN 'blocks' ELSE 'page' END AS way, he.doc_id IS NOT NULL AS hd, he.c AS hc, he.y0 AS hy, coalesce(he.y0, ob.y) AS y, ob.lo AS elo, ob.hi AS ehi, coalesce(titled, false) AS titled, doc_id % 101 / 100.0 AS score, doc_id % 4 / 4.0 AS scope FROM documents JOIN pj USING (doc_id) LEFT JOIN he USING (doc_id) LEFT JOIN ob USING (doc_id))",
+    ]
+    if balance:
+        # The column: beside the other side's header, else left by a neighbour's title, else of the blocks.
+        ctes += [
+            f"sc AS (SELECT d0.doc_id, min(n.x0) FILTER (WHERE n.c > 295) AS rx, max(n.x1) FILTER (WHERE n.c < 305) AS lx FROM d0 JOIN n ON n.doc_id = d0.doc_id AND n.y0 >= hy - 50 AND {_NEIGHBOUR.replace('(f,', '(n.f,')} WHERE hd GROUP BY d0.doc_id)",
+            f"cb0 AS (SELECT d0.doc_id, coalesce(avg(o.c) FILTER (WHERE {_title_sql('o.f', target)} AND contains(o.f, 'bilan')), avg(o.c) FILTER (WHERE {_title_sql('o.f', target)}), avg(o.c)) AS center FROM d0 JOIN own o ON o.doc_id = d0.doc_id AND abs(o.y0 - y) <= 28 GROUP BY d0.doc_id)",
+            f"cb1 AS (SELECT d0.doc_id, bool_or(n.c < 280) AS l, bool_or(n.c > 320) AS r, bool_or(n.c < 280 AND {_starts('n.f', _WORDS.split_titles)}) AS ls, bool_or(n.c > 320 AND {_starts('n.f', _WORDS.split_titles)}) AS rs FROM d0 JOIN n ON n.doc_id = d0.doc_id AND n.y0 >= greatest(y - 40, 0) GROUP BY d0.doc_id)",
+            "d1 AS MATERIALIZED (SELECT d0.*, CASE WHEN bs.doc_id IS NOT NULL THEN bs.lo WHEN hd AND hc < 280 AND rx IS NOT NULL THEN 0.0 WHEN hd AND hc > 320 AND lx IS NOT NULL THEN least(390.0, lx + 8) WHEN NOT hd AND l AND r AND center < 280 AND rs THEN 0.0 WHEN NOT hd AND l AND r AND center > 320 AND ls THEN 300.0 END AS clo, "
+            "CASE WHEN bs.doc_id IS NOT NULL THEN bs.hi WHEN hd AND hc < 280 AND rx IS NOT NULL THEN greatest(210.0, rx - 8) WHEN hd AND hc > 320 AND lx IS NOT NULL THEN 600.0 WHEN NOT hd AND l AND r AND center < 280 AND rs THEN 300.0 WHEN NOT hd AND l AND r AND center > 320 AND ls THEN 600.0 END AS chi FROM d0 LEFT JOIN bs USING (doc_id) LEFT JOIN sc USING (doc_id) LEFT JOIN cb0 USING (doc_id) LEFT JOIN cb1 USING (doc_id))",
+        ]
+        across = "false"
+    else:
+        ctes += [
+            f"ts AS (SELECT d0.doc_id, min(n.x0) AS tx FROM d0 JOIN n ON n.doc_id = d0.doc_id AND abs(n.y0 - y) < 45 AND {_starts('n.f', _WORDS.income_titles)} GROUP BY d0.doc_id)",
+            "d1 AS MATERIALIZED (SELECT d0.*, NULL::DOUBLE AS clo, NULL::DOUBLE AS chi, tx FROM d0 LEFT JOIN ts USING (doc_id))",
+        ]
+        across = "CASE WHEN tx > 270 THEN o.c < 270 WHEN tx IS NOT NULL THEN o.c > 270 ELSE false END"
+    inside = lambda slack: f"(clo IS NULL OR o.c BETWEEN clo - {slack} AND chi + {slack})"
+    other = "(CASE o.type " + " ".join(f"WHEN '{t}' THEN {_title_sql('o.f', t)}" for t in ("asset", "liability", "income")) + f" ELSE false END AND o.type <> '{target}')"
+    first_label = "CASE " + " ".join(f"WHEN contains(o.f, {quote(x)}) OR contains({loosen_sql('o.f')}, {quote(T.loose_keyword(x))}) THEN {quote(x)}" for x in labels) + " END"
+    least = max(math.floor(len(labels) * 0.35), 4)
+    above = 8 if balance else 5
+    ctes += [
+        f"bl AS (SELECT d1.doc_id, min(o.y0) AS line FROM d1 JOIN n o ON o.doc_id = d1.doc_id WHERE o.y0 > y + 8 AND {inside(5)} AND NOT {across} AND {_ends_sql('o.f', target)} GROUP BY d1.doc_id)",
+        f"an AS (SELECT d1.doc_id, max(o.y1) AS anchor FROM d1 LEFT JOIN bl USING (doc_id) JOIN n o ON o.doc_id = d1.doc_id WHERE o.y0 > y + 8 AND {inside(5)} AND coalesce(o.y0 < line, true) AND {_has('o.f', _WORDS.ends[target])} GROUP BY d1.doc_id)",
+        f"ty AS (SELECT d1.doc_id, min(o.y0) AS typed FROM d1 JOIN kb o ON o.doc_id = d1.doc_id WHERE o.y0 > y + 12 AND {inside(5)} AND {other} GROUP BY d1.doc_id)",
+        f"d2 AS (SELECT d1.*, line, anchor, least({'coalesce(typed, 840.0)' if balance else 'CASE WHEN hd THEN 840.0 ELSE coalesce(typed, 840.0) END'}, line) AS first FROM d1 LEFT JOIN bl USING (doc_id) LEFT JOIN an USING (doc_id) LEFT JOIN ty USING (doc_id))",
+        "d3 AS MATERIALIZED (SELECT *, CASE WHEN anchor IS NOT NULL THEN CASE WHEN first <= anchor THEN least(840.0, anchor + 4) WHEN first < 840 THEN least(anchor + 4, first - 2) ELSE anchor + 4 END WHEN first < 840 THEN greatest(first - 2, 0.0) ELSE 820.0 END AS e0 FROM d2)",
+        # The dense run of row labels.
+        f"ma AS (SELECT * FROM (SELECT d3.doc_id, o.y0, o.x0, o.y1, {first_label} AS label FROM d3 JOIN n o ON o.doc_id = d3.doc_id WHERE o.y1 >= y - 45 AND o.y0 <= e0 + 8 AND {inside(8)}) WHERE label IS NOT NULL), mt AS (SELECT doc_id, count(*) AS nn, count(DISTINCT label) AS hits FROM ma GROUP BY doc_id)",
+        "mj AS (SELECT ma.*, CASE WHEN nn > 2 AND y0 - lag(y1) OVER (PARTITION BY doc_id ORDER BY y0, x0) > 95 THEN 1 ELSE 0 END AS new FROM ma JOIN mt USING (doc_id)), mq AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY y0, x0 ROWS UNBOUNDED PRECEDING) AS run FROM mj)",
+        f"re AS (SELECT doc_id, ry0, ry1 FROM (SELECT doc_id, run, min(y0) AS ry0, max(y1) AS ry1, count(DISTINCT label) AS nl, count(*) AS nx FROM mq GROUP BY doc_id, run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nl DESC, nx DESC, run) = 1) JOIN mt USING (doc_id) WHERE hits >= {least} OR hits / {float(len(set(labels)))} >= 0.35)",
+        f"d4 AS MATERIALIZED (SELECT d3.* REPLACE (CASE WHEN ry0 IS NULL THEN y ELSE least(y, ry0) END AS y), CASE WHEN ry0 IS NULL THEN e0 ELSE greatest(e0, least(840.0, ry1 + {12 if balance else 16})) END AS e FROM d3 LEFT JOIN re USING (doc_id))",
+        # The strip around the only title block of the target in its row.
+        "tr AS (SELECT d4.doc_id, b.c, b.x0, row_number() OVER (PARTITION BY d4.doc_id ORDER BY b.x0) AS spot, count(*) OVER (PARTITION BY d4.doc_id) AS nr, lag(b.c) OVER (PARTITION BY d4.doc_id ORDER BY b.x0) AS pc, lead(b.c) OVER (PARTITION BY d4.doc_id ORDER BY b.x0) AS nc FROM d4 JOIN kb b ON b.doc_id = d4.doc_id AND b.type IS NOT NULL AND abs(b.y0 - y) <= 24)",
+        "mi AS (SELECT d4.doc_id, any_value(o.c) AS mc FROM d4 JOIN own o ON o.doc_id = d4.doc_id AND abs(o.y0 - y) <= 24 GROUP BY d4.doc_id HAVING count(*) = 1)",
+        "st AS (SELECT doc_id, CASE WHEN spot = 1 THEN 0.0 ELSE (pc + c) / 2 END AS slo, CASE WHEN spot = nr THEN 600.0 ELSE (c + nc) / 2 END AS shi FROM tr JOIN mi USING (doc_id) WHERE abs(c - mc) < 1 AND nr >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY spot) = 1)",
+    ]
+    if balance:
+        ctes.append("x0 AS (SELECT d4.*, coalesce(clo, CASE WHEN hd THEN 0.0 ELSE coalesce(slo, elo) END) AS lo, coalesce(chi, CASE WHEN hd THEN 600.0 ELSE coalesce(shi, ehi) END) AS hi FROM d4 LEFT JOIN st USING (doc_id))")
+    else:
+        beside, row = _has("o.f", _WORDS.beside_income), f"({_has('o.f', _WORDS.income_rows)} OR regexp_matches(o.text, '[0-9]'))"
+        ctes += [
+            f"it AS (SELECT d4.doc_id, o.x0 AS fx FROM d4 JOIN n o ON o.doc_id = d4.doc_id AND abs(o.y0 - y) < 45 AND {_starts('o.f', _WORDS.income_titles)} QUALIFY row_number() OVER (PARTITION BY d4.doc_id ORDER BY o.y0, o.x0) = 1)",
+            f"ib AS (SELECT d4.doc_id, min(o.x0) FILTER (WHERE o.y0 > y - 12) AS be, min(o.x0) FILTER (WHERE o.y0 > y + 10) AS un FROM d4 JOIN n o ON o.doc_id = d4.doc_id AND o.y0 < e AND o.c > 270 AND {beside} GROUP BY d4.doc_id)",
+            "ic AS (SELECT d4.doc_id, CASE WHEN fx > 270 THEN greatest(fx - 8, 0.0) WHEN (fx < 150 AND be IS NOT NULL) OR un IS NOT NULL THEN 0.0 END AS ilo, CASE WHEN fx > 270 THEN 600.0 WHEN fx < 150 AND be IS NOT NULL THEN be - 8 WHEN un IS NOT NULL THEN un - 8 END AS ihi FROM d4 LEFT JOIN it USING (doc_id) LEFT JOIN ib USING (doc_id))",
+            f"ra AS (SELECT d4.doc_id, min(o.x0) AS lo, max(o.x1) AS hi FROM d4 JOIN n o ON o.doc_id = d4.doc_id WHERE o.y0 BETWEEN y + 10 AND e AND length(trim(o.f)) >= 3 AND {row} AND NOT ({beside} AND o.c > 312) GROUP BY d4.doc_id)",
+            f"rb AS (SELECT d4.doc_id, min(o.x0) AS lo, max(o.x1) AS hi FROM d4 JOIN n o ON o.doc_id = d4.doc_id WHERE o.y0 BETWEEN y + 15 AND e AND length(trim(o.text)) >= 2 AND regexp_matches(o.text, '[0-9]') AND NOT ({beside} AND o.c > 312) GROUP BY d4.doc_id)",
+            "x1 AS (SELECT d4.*, coalesce(ilo, CASE WHEN hd THEN 0.0 ELSE coalesce(slo, elo) END) AS lo1, coalesce(ihi, CASE WHEN hd THEN 600.0 ELSE coalesce(shi, ehi) END) AS hi1, coalesce(ra.lo, rb.lo) AS rlo, coalesce(ra.hi, rb.hi) AS rhi FROM d4 LEFT JOIN ic USING (doc_id) LEFT JOIN st USING (doc_id) LEFT JOIN ra USING (doc_id) LEFT JOIN rb USING (doc_id))",
+            "x2 AS (SELECT *, CASE WHEN rlo IS NULL THEN lo1 ELSE least(lo1, greatest(rlo - 21, 0.0)) END AS lo2, CASE WHEN rhi IS NULL THEN hi1 ELSE greatest(hi1, least(rhi + 21, 600.0)) END AS hi FROM x1), x0 AS (SELECT *, CASE WHEN lo2 > rlo + 80 THEN greatest(20.0, rlo - 21) ELSE lo2 END AS lo FROM x2)",
+        ]
+    step = f"b.y0 BETWEEN y - {above} AND e + 5 AND b.c BETWEEN f.lo - 5 AND f.hi + 5"
+    ctes += [
+        f"f(doc_id, k, lo, hi, y, e) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(lo AS DOUBLE), CAST(hi AS DOUBLE), y, e FROM x0 UNION ALL SELECT f.doc_id, b.k, CASE WHEN {step} THEN least(f.lo, b.x0) ELSE f.lo END, CASE WHEN {step} THEN greatest(f.hi, b.x1) ELSE f.hi END, f.y, f.e FROM f JOIN kb b ON b.doc_id = f.doc_id AND b.k = f.k + 1)",
+        "ab AS (SELECT doc_id, lo, hi FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC) = 1)",
+        "bo AS (SELECT x0.* REPLACE (CASE WHEN clo IS NULL THEN ab.lo ELSE greatest(ab.lo, clo) END AS lo, CASE WHEN chi IS NULL THEN ab.hi ELSE least(ab.hi, chi) END AS hi) FROM x0 JOIN ab USING (doc_id))",
+        "cl AS (SELECT *, least(greatest(lo - 8, 0.0), 600.0) AS ba, least(greatest(greatest(y - 10, 0.0), 0.0), 840.0) AS bb, least(greatest(hi + CASE WHEN clo IS NOT NULL AND hd THEN 2 ELSE 8 END, 0.0), 600.0) AS bc, least(greatest(least(840.0, e), 0.0), 840.0) AS bd FROM bo)",
+        "ta AS (SELECT *, way IN ('header', 'blocks') AS boxed, CASE WHEN way IN ('header', 'blocks') THEN least(ba, bc) WHEN way = 'page' THEN 24.0 END AS tx0, CASE WHEN way IN ('header', 'blocks') THEN least(bb, bd) WHEN way = 'page' THEN 67.2 END AS ty0, CASE WHEN way IN ('header', 'blocks') THEN greatest(ba, bc) WHEN way = 'page' THEN 576.0 END AS tx1, CASE WHEN way IN ('header', 'blocks') THEN greatest(bb, bd) WHEN way = 'page' THEN 789.6 END AS ty1 FROM cl)",
+    ]
+    cap = lambda c: f"CASE WHEN scope <= 0 THEN least({c}, 0.45) ELSE {c} END"
+    lined = cap("least(0.98, 0.78 + 0.20 * score)") if balance else "least(0.99, 0.84 + 0.15 * score)"
+    blocked = cap("least(0.99, 0.70 + 0.29 * score)")
+    ctes.append(f"co AS (SELECT *, CASE way WHEN 'header' THEN {lined} WHEN 'blocks' THEN CASE WHEN titled THEN {blocked} ELSE least({blocked}, {0.68 if balance else 0.35}) END WHEN 'page' THEN greatest(0.25, least(score, 0.65)) END AS c0 FROM ta)")
+    confidence = "c0"
+    if balance:
+        ctes += [
+            "ea AS (SELECT co.doc_id, o.f FROM co JOIN n o ON o.doc_id = co.doc_id AND o.y0 <= y + 45 QUALIFY row_number() OVER (PARTITION BY co.doc_id ORDER BY o.y0, o.x0) <= 8)",
+            f"mn AS (SELECT doc_id, bool_or(f IN ('actif', 'passif') OR {_starts('f', ('bilan au', 'bilan actif', 'bilan passif'))}) AS main FROM ea GROUP BY doc_id)",
+            f"cf AS (SELECT co.*, {_has('page', _WORDS.not_main)} AS note, {_has('page', _WORDS.other_statement)} AS alt, coalesce(main, false) AS main, greatest(ty1 - ty0, 0) AS high FROM co LEFT JOIN mn USING (doc_id))",
+        ]
+        confidence = "CASE WHEN boxed THEN least(c0, CASE WHEN high < 130 THEN 0.70 ELSE 1 END, CASE WHEN note AND NOT main THEN 0.72 ELSE 1 END, CASE WHEN note AND high < 180 THEN 0.62 ELSE 1 END, CASE WHEN alt THEN 0.58 ELSE 1 END) ELSE c0 END"
+    else:
+        ctes.append("cf AS (SELECT * FROM co)")
+    body = f"SELECT doc_id, way, round(CAST(tx0 AS DOUBLE), 4) AS x0, round(CAST(ty0 AS DOUBLE), 4) AS y0, round(CAST(tx1 AS DOUBLE), 4) AS x1, round(CAST(ty1 AS DOUBLE), 4) AS y1, round(CAST({confidence} AS DOUBLE), 6) AS confidence FROM cf"
+    return f"{_LINES.replace('WITH r', 'WITH RECURSIVE r')}, {', '.join(ctes)} {body}"
+
+
 def _localized(spark, d, target: str):
     rows = pages(spark, d).withColumn("score", (F.col("doc_id") % 101) / 100.0).withColumn("scope_score", (F.col("doc_id") % 4) / 4.0)
     return layout.localized(rows, target, LABELS[target]).select("doc_id", "way", F.round("table.x0", 4).alias("x0"), F.round("table.y0", 4).alias("y0"), F.round("table.x1", 4).alias("x1"), F.round("table.y1", 4).alias("y1"), F.round("confidence", 6).alias("confidence"))
 
 
-# Whole localisation: made of the steps above, each of which has SQL; its own test holds it to plain Python.
-@query()
+@query(_localize_sql("asset"))
 def localize_asset(spark, d):
     return _localized(spark, d, "asset")
 
 
-@query()
+@query(_localize_sql("liability"))
 def localize_liability(spark, d):
     return _localized(spark, d, "liability")
 
 
-@query()
+@query(_localize_sql("income"))
 def localize_income(spark, d):
     return _localized(spark, d, "income")
 

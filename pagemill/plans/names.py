@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
 from pagemill.operators import linking
-from pagemill.plans.registry import list_sql, loose_sql, query, quote, read
+from pagemill.plans.registry import list_sql, loose_sql, query, quote, read, spread
 
 WORDS = ("atlas", "banque", "comptoir", "delta", "energie", "forage", "groupe", "horizon", "immobilier", "jasmin", "kasbah", "littoral", "mines", "nord", "oasis", "palmier", "quartz", "rif", "sucre", "tanger", "union", "vallee", "wadi", "xenon", "yacht", "zenith", "argan", "brique", "ciment", "dattes", "eclair", "ferme", "gaz", "huiles", "inter", "jardin", "ka", "logistique", "marbre", "navire", "outils", "phosphate", "quai", "route")
 
@@ -133,7 +133,7 @@ def _url_score_sql(strict: bool) -> str:
     f"SELECT o_orderkey, CAST({_url_score_sql(True)} AS INT) AS strict_score, CAST({_url_score_sql(False)} AS INT) AS lenient_score FROM s"
 )
 def link_score(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", F.expr(file_sql(_URL, "o_orderkey")).alias("url"), F.expr(issuer("(o_orderkey % 50)")).alias("name"), F.expr(file_sql(_REPORT, "o_orderkey")).alias("report"), F.expr(file_sql(_SCOPE, "o_orderkey")).alias("scope"))
+    o = spread(read(spark, d, "orders").select("o_orderkey")).select("o_orderkey", F.expr(file_sql(_URL, "o_orderkey")).alias("url"), F.expr(issuer("(o_orderkey % 50)")).alias("name"), F.expr(file_sql(_REPORT, "o_orderkey")).alias("report"), F.expr(file_sql(_SCOPE, "o_orderkey")).alias("scope"))
     scored = linking.url_scores(o, F.col("url"), F.col("name"), F.lit(2024), F.col("scope"), F.col("report"), "regulator.example")
     return scored.select("o_orderkey", "strict_score", "lenient_score")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as T
 from pagemill.operators import classify, feedback, geometry, retrieval, tables
 from pagemill.operators.keys import join_groups
-from pagemill.plans.registry import ORACLES, QUERIES, fold_sql, hits_sql, loose_sql, query, quote, read  # noqa: F401
+from pagemill.plans.registry import ORACLES, QUERIES, fold_sql, hits_sql, loose_sql, query, quote, read, spread  # noqa: F401
 from pagemill.streaming import jobs
 
 SCOPES = {"consolidated": ["the", "and the"], "statutory": ["der", "die "], "mixed": ["le ", "de la"]}
@@ -22,7 +22,7 @@ KEYWORDS = ["the", "of the", "and, the", "tion", "der die", "le"]
 QUERY = "the of and thonan tion the"
 def folded(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     """Documents with folded and loosened text, each worked out once."""
-    return T.with_folded(read(spark, d, "documents").select("doc_id", "text", *keep)).drop("text")
+    return T.with_folded(spread(read(spark, d, "documents").select("doc_id", "text", *keep))).drop("text")
 
 
 def folds():
@@ -134,9 +134,9 @@ def _one_query(spark: SparkSession) -> DataFrame:
     "r AS (SELECT source, doc_id, round(x, 6) AS score, row_number() OVER (PARTITION BY source ORDER BY round(x, 6) DESC, doc_id) AS rank FROM m) SELECT source, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8"
 )
 def bm25_topk(spark, d):
-    docs = read(spark, d, "documents")
+    docs = spread(read(spark, d, "documents").select("doc_id", "source", "text"))
     scores = retrieval.bm25(docs, "doc_id", "source", "text", _one_query(spark))
-    every = join_groups(docs.select("source", "doc_id"), scores.drop("query_id"), ["source", "doc_id"], "left").fillna(0.0, ["bm25"])
+    every = join_groups(read(spark, d, "documents").select("source", "doc_id"), scores.drop("query_id"), ["source", "doc_id"], "left").fillna(0.0, ["bm25"])
     scaled = retrieval.minmax(every, ["source"], "bm25").select("source", "doc_id", F.round("bm25", 6).alias("score"))
     return retrieval.top_k(scaled, ["source"], "score", ["doc_id"], 8)
 
@@ -149,7 +149,7 @@ _ITEM_TERMS = f"SELECT item_id AS query_id, term, count(*) AS weight FROM (SELEC
 )
 def bm25_multi_query(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(T.fold(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-    scores = retrieval.bm25(read(spark, d, "documents"), "doc_id", "source", "text", items)
+    scores = retrieval.bm25(spread(read(spark, d, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", items)
     return retrieval.top_k(scores.select("query_id", "source", "doc_id", F.round("bm25", 5).alias("score")), ["query_id", "source"], "score", ["doc_id"], 3)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import classify, feedback, history, retrieval, tables
+from pagemill.operators import feedback, history, requests, retrieval, tables
 from pagemill.plans.registry import fold_sql, query, quote, read
 
 
@@ -102,12 +102,16 @@ def continuation(spark, d):
 _ERROR = "CASE o_orderkey % 6 WHEN 0 THEN 'Error 429: slow down' WHEN 1 THEN 'You exceeded your current quota' WHEN 2 THEN 'x; target_found_false' WHEN 3 THEN '' WHEN 4 THEN 'odd' END"
 
 
+_TARGET = "CASE o_orderkey % 5 WHEN 0 THEN 'asset' WHEN 1 THEN 'Liability' WHEN 2 THEN 'other_table' WHEN 3 THEN '' END"
+
+
 @query(
-    f"WITH e AS (SELECT o_orderkey, {_ERROR} AS e, CASE WHEN o_orderkey % 4 = 0 THEN 'page ' || o_custkey END AS p, CASE WHEN o_orderkey % 5 = 0 THEN 'crop kept' END AS c FROM orders) SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Assets: the provider''s rate limit is reached, try again later' WHEN 1 THEN 'Assets: the provider''s quota is used up' WHEN 2 THEN 'Assets: the table was not found' || CASE WHEN p IS NULL AND c IS NULL THEN '' ELSE ' (' || concat_ws('; ', p, c) || ')' END WHEN 4 THEN 'Assets: odd' ELSE '' END AS message FROM e"
+    f"WITH e AS (SELECT o_orderkey, {_ERROR} AS e, {_TARGET} AS g, CASE WHEN o_orderkey % 4 = 0 THEN 'page ' || o_custkey END AS p, CASE WHEN o_orderkey % 7 = 0 THEN 'crop kept' END AS c FROM orders), n AS (SELECT *, CASE lower(g) WHEN 'asset' THEN 'Assets' WHEN 'liability' THEN 'Liabilities' ELSE replace(coalesce(nullif(g, ''), 'Table'), '_', ' ') END AS l FROM e) "
+    "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN l || ': the provider''s rate limit is reached, try again later' WHEN 1 THEN l || ': the provider''s quota is used up' WHEN 2 THEN l || ': the table was not found' || CASE WHEN p IS NULL AND c IS NULL THEN '' ELSE ' (' || concat_ws('; ', p, c) || ')' END WHEN 4 THEN CASE WHEN coalesce(g, '') = '' THEN 'odd' ELSE l || ': odd' END ELSE '' END AS message FROM n"
 )
 def friendly_errors(spark, d):
-    page = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey"))
-    return read(spark, d, "orders").select("o_orderkey", tables.friendly_error(F.expr(_ERROR), F.lit("Assets"), page, F.col("o_orderkey") % 5 == 0).alias("message"))
+    page = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey")).when(F.col("o_orderkey") % 4 == 1, 0)
+    return read(spark, d, "orders").select("o_orderkey", tables.friendly_error(F.expr(_ERROR), F.expr(_TARGET), page, F.col("o_orderkey") % 7 == 0).alias("message"))
 
 
 _PREDICTED = "CASE o_orderkey % 5 WHEN 0 THEN ' 12 ' WHEN 1 THEN '7.0' WHEN 2 THEN 'x' WHEN 3 THEN '3.5' END"
@@ -276,8 +280,35 @@ def crop_metadata(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tables.crop_metadata(candidate, F.concat(F.lit("crop_"), F.col("l_partkey").cast("string"), F.lit(".png"))).alias("metadata"))
 
 
+#: Words by their place, and what they ask for.
+_WRITTEN = {
+    "report": ("annuel", [("Rapport 1er semestre", "s1"), (" S1 ", "s1"), ("Rapport annuel", "annuel"), ("rapport Sémestriel", "s1"), ("", "annuel"), ("rfs", "s1"), ("rfs 2024", "annuel"), (None, "annuel"), ("PREMIER SEMESTRE 2024", "s1")]),
+    "mode": ("regulator", [("Google ", "web"), ("SerpAPI", "web_api"), ("api", "web_api"), ("", "regulator"), (None, "regulator"), ("other", "regulator"), ("duckduckgo", "web")]),
+    "provider": ("groq", [("GPT", "gpt-5.4"), ("google", "gemini"), ("openai", "gpt-5.4"), (None, "groq"), ("x", "groq")]),
+    "extraction": ("groq", [("gpt-5", "openai"), ("gemini", "gemini"), ("", "groq")]),
+    "approach": ("A", [("2", "B"), ("Copy", "C"), ("", "A"), (" main", "A"), (None, "A"), ("c", "C")]),
+    "target": ("", [("Bilan-Passif", "liability"), ("BILAN ACTIF", "asset"), ("Compte de produits et charges", "income"), ("cpc", "income")]),
+    "scope": ("", [("COMPTES CONSOLIDÉS", "consolidated"), ("sociaux", "statutory"), (None, "statutory"), ("Consolides 2024", "consolidated")]),
+}
+
+
+def _picked(name: str, place: int) -> str:
+    """SQL of both engines: the word (0) or its meaning (1) by the order's number."""
+    return f"CASE CAST(floor(o_orderkey / 4) AS BIGINT) % {len(_WRITTEN[name][1])} " + " ".join(f"WHEN {i} THEN {'NULL' if w[place] is None else quote(w[place])}" for i, w in enumerate(_WRITTEN[name][1])) + " END"
+
+
+@query(f"SELECT o_orderkey, {', '.join(f'{_picked(n, 1)} AS {n}' for n in _WRITTEN)}, CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus WHEN 1 THEN 'x' WHEN 2 THEN o_orderpriority END AS raw_report, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 3 = 1 THEN o_custkey END AS INT) AS page FROM orders")
+def request_words(spark, d):
+    """What requests ask for, by the words that they are written with."""
+    ask = {"report": requests.report_type, "mode": requests.search_mode, "provider": requests.provider, "extraction": requests.extraction_provider, "approach": requests.approach, "target": requests.target, "scope": requests.scope}
+    k, null = F.col("o_orderkey"), F.lit(None).cast("string")
+    body = F.create_map(F.lit("rapport"), F.when(k % 4 == 0, F.col("o_orderstatus")), F.lit("year"), F.lit("2024"), F.lit("aReportKind"), F.when(k % 4 == 2, F.col("o_orderpriority")).otherwise(null), F.lit("un_semestre"), F.when(k % 4 < 3, "x"))
+    page = requests.first_int([F.when(k % 3 == 0, " 7 ").otherwise(" "), F.lit("p. 3"), F.when(k % 3 == 1, F.col("o_custkey").cast("string"))])
+    return read(spark, d, "orders").select("o_orderkey", *(f(F.expr(_picked(n, 0))).alias(n) for n, f in ask.items()), requests.raw_report(body).alias("raw_report"), page.alias("page"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 's1' ELSE 'annuel' END AS report, CASE WHEN o_orderkey % 4 = 0 THEN 'web' ELSE 'regulator' END AS mode FROM orders")
 def report_types(spark, d):
     written = F.when(F.col("o_orderkey") % 6 == 0, " Semestriel").when(F.col("o_orderkey") % 3 == 0, "S1").when(F.col("o_orderkey") % 2 == 0, "rapport_annuel").otherwise("autre")
     mode = F.when(F.col("o_orderkey") % 4 == 0, "Google ").otherwise(F.lit(None).cast("string"))
-    return read(spark, d, "orders").select("o_orderkey", classify.canonical(written, {"s1": ["semestriel", "rapport_s1"], "annuel": ["rapport_annuel"]}, "annuel").alias("report"), classify.canonical(mode, {"web": ["google", "internet"]}, "regulator").alias("mode"))
+    return read(spark, d, "orders").select("o_orderkey", requests.report_type(written).alias("report"), requests.search_mode(mode).alias("mode"))

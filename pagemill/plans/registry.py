@@ -26,6 +26,13 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table whose files give fewer splits than there are cores, dealt to all of them before its texts are worked
+    on; one of more splits, as any large table is, stays as it is read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def fold_sql(x: str) -> str:
     c = f"lower(coalesce({x}, ''))"
     for a, b in T.LIGATURES.items():

@@ -14,7 +14,7 @@ from pagemill.operators import classify, marks, retrieval, scoring, statements
 from pagemill.operators.keys import join_groups
 from pagemill.operators.keywords import keyword_rows
 from pagemill.plans.index import LETTER_ENCODER, letters_sql
-from pagemill.plans.registry import fold_sql, hits_sql, list_sql, loosen_sql, query, quote, read
+from pagemill.plans.registry import fold_sql, hits_sql, list_sql, loosen_sql, query, quote, read, spread
 from pagemill.sources.shared import kept
 from pagemill.sources.vectors import encoded
 
@@ -38,7 +38,7 @@ def pages(spark, d) -> DataFrame:
     label = lambda n: F.element_at(F.array(*map(F.lit, n[0])), F.expr(n[1]))
     rows = F.array_join(F.slice(F.element_at(F.array(*lists), F.expr(SIGNATURE)), F.lit(1), label((COUNTS, COUNT))), " 12 500; ")
     text = F.concat_ws("\n", label((HEADS, HEAD)), rows, label((FEET, FOOT)), "text")
-    docs = read(spark, d, "documents").select("doc_id", "source", text.alias("text"), F.expr(f"element_at(array{tuple(SECTORS)}, CAST(floor(doc_id / 11) % 3 + 1 AS INT))").alias("sector"))
+    docs = spread(read(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", text.alias("text"), F.expr(f"element_at(array{tuple(SECTORS)}, CAST(floor(doc_id / 11) % 3 + 1 AS INT))").alias("sector"))
     return T.with_folded(docs)
 
 
@@ -53,6 +53,8 @@ def rule_sql(rule: marks.Rule) -> str:
         head = "f" if rule.window is None else f"left(f, {rule.window})"
         found = [f"contains({head}, {quote(p)})" for p in rule.phrases]
         return "(" + " OR ".join(found) + ")" if rule.least <= 1 else "(" + " + ".join(f"CAST({x} AS INT)" for x in found) + f" >= {rule.least})"
+    if isinstance(rule, marks.Pattern):
+        return f"regexp_matches({'f' if rule.window is None else f'left(f, {rule.window})'}, {quote(rule.regex)})"
     if isinstance(rule, marks.Named):
         return rule.name
     if isinstance(rule, marks.Not):
@@ -93,6 +95,28 @@ def context_vetoes(spark, d):
     return rows.select("doc_id", F.concat_ws(",", *(F.when(F.col(n), F.lit(n)) for n in _CONTEXT)).alias("vetoes"))
 
 
+# Kept results by the number of their page; their pages get a line that vetoes may speak of.
+_SAID = ("Tableau des flux de trésorerie, total actif", "bilan arreda", "Détail des postes", "Passif financier, total passif", "L actif et ses composantes en millions", "L actif et ses composantes en millions, total general i ii iii", "Comptes sociaux", "Comptes consolidés", "Comptes sociaux et comptes consolidés", "Texte")
+_KEPT = {
+    "target": "CASE doc_id % 3 WHEN 0 THEN 'asset' WHEN 1 THEN 'liability' ELSE 'income' END",
+    "scope": "CASE WHEN doc_id % 2 = 0 THEN 'consolidated' ELSE 'statutory' END",
+    "sector": "CASE WHEN floor(doc_id / 2) % 2 = 0 THEN 'bank' ELSE 'other' END",
+    "top": "CAST(doc_id % 5 * 100 AS DOUBLE)",
+}
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _KEPT.items())}, CASE WHEN doc_id % 17 = 0 THEN 3 ELSE 4 END AS box_size, doc_id % 4 < 3 AS header, CASE WHEN doc_id % 23 = 0 THEN '' ELSE {fold_sql(f"{list_sql(_SAID)}[CAST(floor(doc_id / 3) % {len(_SAID)} + 1 AS INT)]")} END AS f FROM documents), {flags_sql(statements.page_context(), 't', 'x')} "
+    "SELECT doc_id, CASE WHEN f = '' THEN '' ELSE concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN '{name}' END" for name, when in statements.VETOES.items()) + ") END AS vetoes FROM x"
+)
+def cached_vetoes(spark, d):
+    said = F.element_at(F.array(*map(F.lit, _SAID)), F.expr(f"CAST(floor(doc_id / 3) % {len(_SAID)} + 1 AS INT)"))
+    rows = read(spark, d, "documents").select("doc_id", *(F.expr(v).alias(k) for k, v in _KEPT.items()), T.fold(F.when(F.col("doc_id") % 23 == 0, "").otherwise(said)).alias("folded"))
+    box = F.when(F.col("doc_id") % 17 == 0, F.array(F.lit(0.0), "top", F.lit(1.0))).otherwise(F.array(F.lit(0.0), "top", F.lit(1.0), F.lit(2.0)))
+    rows = rows.select("*", box.alias("bbox"), F.when(F.col("doc_id") % 4 < 3, F.array(F.lit("x"), F.lit("localized:Line_Header"))).alias("evidence")).drop("top")
+    return statements.cached_vetoes(rows).select("doc_id", F.array_join("vetoes", ",").alias("vetoes"))
+
+
 _TITLES = {"asset": [r"^(.{0,40} )?bilan (- )?actif", r"\bactif\b.{0,20}\bpassif\b"], "liability": [r"bilan (- )?passif"], "income": [r"compte de (produits|resultat)"]}
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as T
-from pagemill.operators import feedback, geometry, layout, ordered, retrieval, tables
+from pagemill.operators import feedback, geometry, layout, ordered, requests, retrieval, tables
 from pagemill.plans import layouts
 from pagemill.sources import pages
 from pagemill.streaming import jobs
@@ -259,3 +259,16 @@ def test_stream_upsert_keeps_the_last_row(spark, tmp_path):
         q.awaitTermination(180)
     want = feedback.upsert(table.limit(0), table, "user_id", "event_id")
     assert sorted(map(tuple, jobs.Buckets(spark, out, "user_id", "event_id", "event_id long, user_id long, event_type string").current().select("user_id", "event_id").collect())) == sorted(map(tuple, want.select("user_id", "event_id").collect()))
+
+
+def test_letters_beyond_latin_1_keep_their_base(spark):
+    words = {"tiếng Việt": "tieng viet", "ſtraße ŉ": "strasse n", "Ǆ ǰ ẖ": "j h", "Ṩ Ḁ ẞ": "s a ss", "ﬁn ﬅ": "fin st", "İstanbul ıx": "istanbul x", "≠ 1": "= 1", "é Å": "e a", "日本 x": "x", None: ""}
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", T.fold(F.col("w")).alias("f")).collect()
+    assert {r.i: r.f for r in rows} == dict(enumerate(words.values()))
+
+
+def test_unknown_words_of_requests_are_errors(spark):
+    df = spark.createDataFrame([("odd",)], "v string")
+    for column in (requests.approach(F.col("v")), requests.target(F.col("v"))):
+        with pytest.raises(Exception, match="odd"):
+            df.select(column).collect()
