@@ -155,14 +155,14 @@ def bm25_multi_query(spark, d):
 
 _COS = (
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), "
-    "q AS (SELECT e AS qe FROM v WHERE vec_id = 0), c AS (SELECT vec_id, label, list_dot_product(e, qe) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(qe, qe)) + 1e-9)) AS c FROM v, q)"
+    "q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 50 = 0), c AS (SELECT query_id, vec_id, label, list_dot_product(e, qe) / ((sqrt(list_dot_product(e, e)) + 1e-9) * (sqrt(list_dot_product(qe, qe)) + 1e-9)) AS c FROM v, q)"
 )
 
 
 def _cosines(spark, d) -> DataFrame:
     v = read(spark, d, "embeddings")
-    first = v.filter("vec_id = 0").agg(F.min("embedding").alias("q"))  # an aggregate: one row
-    return v.join(F.broadcast(first)).select("vec_id", "label", retrieval.cosine(F.col("embedding"), F.col("q")).alias("c"))
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.join(asked).select("query_id", "vec_id", "label", retrieval.cosine(F.col("embedding"), F.col("q")).alias("c"))
 
 
 @query(
@@ -179,33 +179,35 @@ def cosine_topk(spark, d):
 _BLEND = (
     f"{FOLDED}, "
     + _COS.removeprefix("WITH ")
-    + f", b AS (SELECT doc_id, source, len({hits_sql(KEYWORDS)}) / {len(KEYWORDS)}.0 AS lex, c FROM d LEFT JOIN c ON vec_id = doc_id), "
-    "n AS (SELECT source, min(c) AS lo, max(c) AS hi FROM b GROUP BY source), "
-    "x AS (SELECT doc_id, source, round(0.6 * lex + 0.4 * CASE WHEN c IS NULL OR hi - lo < 1e-12 THEN 0.0 ELSE (c - lo) / (hi - lo) END, 6) AS score, lex FROM b JOIN n USING (source)), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM x)"
+    + f", b AS (SELECT q.query_id, doc_id, source, len({hits_sql(KEYWORDS)}) / {len(KEYWORDS)}.0 AS lex, c FROM d JOIN q ON true LEFT JOIN c ON vec_id = doc_id AND c.query_id = q.query_id), "
+    "n AS (SELECT query_id, source, min(c) AS lo, max(c) AS hi FROM b GROUP BY query_id, source), "
+    "x AS (SELECT query_id, doc_id, source, round(0.6 * lex + 0.4 * CASE WHEN c IS NULL OR hi - lo < 1e-12 THEN 0.0 ELSE (c - lo) / (hi - lo) END, 6) AS score, lex FROM b JOIN n USING (query_id, source)), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS rank FROM x)"
 )
 
 
 def _blended(spark, d) -> DataFrame:
+    """Every document for every request, a vector whose id is divisible by 50."""
     docs = folded(spark, d, "source").select("doc_id", "source", (F.size(T.keyword_hits(*folds(), KEYWORDS)) / F.lit(float(len(KEYWORDS)))).alias("lex"))
-    both = docs.join(_cosines(spark, d).select(F.col("vec_id").alias("doc_id"), "c"), "doc_id", "left")
+    requests = read(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    both = docs.join(requests).join(_cosines(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "c"), ["query_id", "doc_id"], "left")
     # Bounds are those of the documents with a vector; one without a vector keeps a score of 0.
-    scaled = retrieval.minmax(both, ["source"], "c").fillna(0.0, ["c"])
-    return scaled.select("doc_id", "source", F.round(0.6 * F.col("lex") + 0.4 * F.col("c"), 6).alias("score"), "lex")
+    scaled = retrieval.minmax(both, ["query_id", "source"], "c").fillna(0.0, ["c"])
+    return scaled.select("query_id", "doc_id", "source", F.round(0.6 * F.col("lex") + 0.4 * F.col("c"), 6).alias("score"), "lex")
 
 
-@query(f"{_BLEND} SELECT source, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
+@query(f"{_BLEND} SELECT query_id, source, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
 def hybrid_blend(spark, d):
-    return retrieval.top_k(_blended(spark, d), ["source"], "score", ["doc_id"], 8).select("source", "doc_id", "score", "rank")
+    return retrieval.top_k(_blended(spark, d), ["query_id", "source"], "score", ["doc_id"], 8).select("query_id", "source", "doc_id", "score", "rank")
 
 
 @query(
-    f"{_BLEND}, h AS (SELECT *, coalesce(max(score) FILTER (WHERE rank = 1) OVER w - max(score) FILTER (WHERE rank = 2) OVER w < 0.045, false) AND rank <= 6 AS near FROM r WHERE rank <= 8 WINDOW w AS (PARTITION BY source)), "
-    "z AS (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN rank <= 6 THEN 0 ELSE 1 END, CASE WHEN near THEN lex END DESC NULLS LAST, CASE WHEN near THEN doc_id END NULLS FIRST, rank) AS rank FROM h) SELECT source, doc_id, score, CAST(rank AS INT) AS rank FROM z"
+    f"{_BLEND}, h AS (SELECT *, coalesce(max(score) FILTER (WHERE rank = 1) OVER w - max(score) FILTER (WHERE rank = 2) OVER w < 0.045, false) AND rank <= 6 AS near FROM r WHERE rank <= 8 WINDOW w AS (PARTITION BY query_id, source)), "
+    "z AS (SELECT query_id, source, doc_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY CASE WHEN rank <= 6 THEN 0 ELSE 1 END, CASE WHEN near THEN lex END DESC NULLS LAST, CASE WHEN near THEN doc_id END NULLS FIRST, rank) AS rank FROM h) SELECT query_id, source, doc_id, score, CAST(rank AS INT) AS rank FROM z"
 )
 def tiebreak_rerank(spark, d):
-    best = retrieval.top_k(_blended(spark, d), ["source"], "score", ["doc_id"], 8)
-    return retrieval.tiebreak(best, ["source"], "score", [F.col("lex")], "doc_id").select("source", "doc_id", "score", "rank")
+    best = retrieval.top_k(_blended(spark, d), ["query_id", "source"], "score", ["doc_id"], 8)
+    return retrieval.tiebreak(best, ["query_id", "source"], "score", [F.col("lex")], "doc_id").select("query_id", "source", "doc_id", "score", "rank")
 
 
 _ALL = [w for x in SECTORS.values() for w in x]

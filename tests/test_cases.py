@@ -3,6 +3,7 @@ sinks, retries and streams."""
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,20 @@ def test_unknown_words_of_requests_are_errors(spark):
     for column in (requests.approach(F.col("v")), requests.target(F.col("v"))):
         with pytest.raises(Exception, match="odd"):
             df.select(column).collect()
+
+
+def test_vector_search_in_blocks(spark):
+    r = np.random.default_rng(2)
+    x = r.integers(-3, 4, (60, 5)).astype(float)  # many equal scores
+    rows = [(i, None if i % 5 == 0 else f"g{i % 3}", x[i].tolist()) for i in range(60)] + [(90, "g1", None), (95, "g1", [None, 1.0]), (92, "g1", [1.0]), (98, "g1", [None, 2.0])]
+    df = spark.createDataFrame(rows, "id long, grp string, v array<double>").repartition(3)
+    asked = df.filter("id % 7 = 0").selectExpr("id AS query_id", "v AS query")
+    want = set()
+    for q, _, v in rows:
+        if q % 7 == 0 and q < 90:
+            for g in ("g0", "g1", "g2", None):
+                own = [(-round(float(np.dot(np.pad(w, (0, 5 - len(w))), v) / ((np.linalg.norm(w) + 1e-9) * (np.linalg.norm(v) + 1e-9))), 6), i) for i, h, w in rows if h == g and i != q and w and None not in w]
+                want |= {(q, g, i, n) for n, (s, i) in enumerate(sorted(own)[:4], 1)}
+    for block in (1000, 2):
+        got = retrieval.vector_search(df, asked, "id", "v", "grp", 4, block).collect()
+        assert {(x.query_id, x.grp, x.id, x["rank"]) for x in got} == want
