@@ -1,34 +1,41 @@
 """Exact top-k inner products by vector-approximation files.
 
-Vectors of integers are scanned in blocks. Each block keeps an approximation of a few bits for each
-component; a matrix product over the cells gives bounds on every score. Exact vectors are read only
-in the order of their bounds, the best first, and only while a bound reaches the k-th exact score.
-Queries travel in blocks of QUERY_BLOCK (so what is broadcast, and what the driver holds, has a fixed
-size); a block takes one scan of the rows, its k best a query and task are written to the shared folder
-and its broadcast is dropped before the next one. All are merged by query.
+Vectors of integers are written to the shared folder twice: exactly, and as an approximation file of
+CELL_BITS for each component (a block of rows has one cell width). A search scans the approximations only: a
+matrix product over a block's cells gives bounds on every score, and of each block and query those rows go on
+whose upper bound reaches the block's k-th best lower bound; over all blocks, those that reach the
+k-th best of all. Then exact vectors are read in the order of their bounds: first the k rows of a query with the
+best ones, whose exact scores give a sure k-th score, and then only rows whose bound reaches it. The
+approximation file is scanned once for each block of QUERY_BLOCK queries (so what is broadcast, and what the driver
+holds, has a fixed size; its result is written and its broadcast dropped before the next one), exact vectors are
+joined to what is left of all queries, twice.
 
 Component x counts as floor(scale * x). Vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as filled up with zeros. A query's own row is that of its id:
 rows that repeat it are no candidates, and the row with the least vector stands for the query.
 Equal scores stand in the order of vec_id; an empty table, or one without queries, has no results;
 columns beside vec_id and embedding are not read.
-Rows and queries with components of LIMIT or more (scaled) are scored exactly without an
-approximation. Only what doesn't fit a long is refused: a scaled component, or a score of the result.
+Rows and queries with components of LIMIT or more (scaled) have no bounds: their exact scores are always read.
+Only what doesn't fit a long is refused: a scaled component, or a score of the result.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import checkpoint, ship
+from pagemill.llm.common import checkpoint, ship, small_side
 
 QUERY_BLOCK, ROW_BLOCK = 1 << 14, 8192
 CELL_BITS = 7
 LIMIT = 1 << 22
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Queries whose bounds are worked out together.
+STEP = 256
 
 
 def integers(vector: Column, scale: float) -> Column:
@@ -60,38 +67,16 @@ def large(x: np.ndarray) -> np.ndarray:
     return (x >= LIMIT).any(1) | (x <= -LIMIT).any(1)
 
 
-def exact_scores(rows: np.ndarray, q: np.ndarray) -> list[int]:
-    """Scores of rows, in Python's integers where a long might not hold them."""
-    most = len(q) * int(np.abs(rows).max(initial=0)) * int(np.abs(q).max(initial=0))
-    if most <= MOST:
-        return (rows @ q).tolist()
-    return (rows.astype(object) @ q.astype(object)).tolist()
-
-
-def search_all(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, best: list) -> None:
-    """Adds rows to the best of each query: by approximation, or exactly where a component is large."""
-    big, asks_big = large(x), large(queries)
-    some = np.flatnonzero(~asks_big)
-    if len(some) and not big.all():
-        own = [best[i] for i in some.tolist()]
-        search(Approximation(x[~big]), ids[~big], queries[some], query_ids[some], k, own)
-        for i, found in zip(some.tolist(), own):
-            best[i] = found
-    for i in range(len(queries)):
-        there = np.flatnonzero((big | asks_big[i]) & (ids != query_ids[i]))
-        if len(there):
-            more = zip((-s for s in exact_scores(x[there], queries[i])), ids[there].tolist())
-            best[i] = sorted([*best[i], *more])[:k]
-
-
 class Approximation:
     """Cells of a block of vectors: component // width, and what they say about scores."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
+    def __init__(self, cells: np.ndarray, shift: int):
+        self.cells, self.width = cells, 1 << shift
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Approximation:
         shift = max(0, int(np.abs(rows).max(initial=0)).bit_length() - CELL_BITS)
-        self.width = 1 << shift
-        self.cells = (rows >> shift).astype(np.int8 if CELL_BITS < 8 else np.int16)
+        return cls((rows >> shift).astype(np.int8), shift)
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each query and row, the middle of the score's bounds, and of each query half their distance."""
@@ -102,74 +87,117 @@ class Approximation:
         return near, half * np.abs(queries).sum(1)
 
 
-def search(block: Approximation, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, best: list) -> None:
-    """Adds a block's rows to the best (-score, id) of each query."""
-    for first in range(0, len(queries), 256):
-        some = slice(first, first + 256)
-        near, half = block.bounds(queries[some])
-        for j, (q, own) in enumerate(zip(queries[some], query_ids[some].tolist())):
-            upper = near[j] + half[j]
-            upper[ids == own] = -np.inf
-            found = best[first + j]
-            sure = -found[-1][0] if len(found) == k else -np.inf
-            if upper.max(initial=-np.inf) < sure:
-                continue
-            if len(ids) > k:  # k rows reach this score at least
-                lower = np.where(np.isfinite(upper), near[j] - half[j], -np.inf)
-                sure = max(sure, float(np.partition(lower, len(lower) - k)[len(lower) - k]))
-            order = np.flatnonzero((upper >= sure) & np.isfinite(upper))
-            order = order[np.argsort(-upper[order], kind="stable")]
-            at = 0
-            while at < len(order) and (len(found) < k or upper[order[at]] >= -found[-1][0]):
-                step = order[at : at + 4 * k]
-                scores = (block.rows[step] * q).sum(1)
-                found = sorted([*found, *zip((-scores).tolist(), ids[step].tolist())])[:k]
-                at += len(step)
-            best[first + j] = found
+def _wide(x: np.ndarray, width: int) -> np.ndarray:
+    return np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def _approximated(rows: DataFrame) -> DataFrame:
+    """The approximation file of rows (row, vec_id, v): a row for each block, with its rows' numbers and ids, its
+    cells, and the rows that have none (bare)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROW_BLOCK):
+                part = batch.slice(at, ROW_BLOCK)
+                x = matrix(part.column("v"))
+                bare = large(x)
+                kept = Approximation.of(x[~bare])
+                row, ids = part.column("row").to_numpy(), part.column("vec_id").to_numpy()
+                order = np.concatenate([np.flatnonzero(~bare), np.flatnonzero(bare)])
+                values = [kept.cells.shape[1], kept.width.bit_length() - 1, int((~bare).sum()), kept.cells.tobytes(), row[order].astype("<i8").tobytes(), ids[order].astype("<i8").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], ["width", "shift", "n", "cells", "row", "ids"])
+
+    return rows.select("row", "vec_id", "v").mapInArrow(run, "width long, shift long, n long, cells binary, row binary, ids binary")
+
+
+def candidates(block: Approximation, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int):
+    """Of a block and each query, the rows that may be among its k best: place of the query, row, id, lower and upper
+    bound. Rows beyond the block's cells have no bounds, nor has any row for a query with large components."""
+    n = len(block.cells)
+    wide = max(queries.shape[1], block.cells.shape[1])
+    bounded = Approximation(_wide(block.cells, wide), block.width.bit_length() - 1)
+    asks_all = large(queries)
+    for first in range(0, len(queries), STEP):
+        some = slice(first, first + STEP)
+        q = _wide(queries[some], wide)
+        lower, upper = np.full((len(q), len(ids)), -np.inf), np.full((len(q), len(ids)), np.inf)
+        fine = np.flatnonzero(~asks_all[some])
+        if n and len(fine):
+            near, half = bounded.bounds(q[fine])
+            lower[np.ix_(fine, np.arange(n))], upper[np.ix_(fine, np.arange(n))] = near - half[:, None], near + half[:, None]
+        own = ids[None, :] == query_ids[some][:, None]
+        lower[own] = upper[own] = -np.inf
+        if len(ids) > k:  # k rows reach this score at least
+            upper[upper < np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k][:, None]] = -np.inf
+        i, j = np.nonzero(upper > -np.inf)
+        yield i + first, rows[j], ids[j], lower[i, j], upper[i, j]
+
+
+def _scan(cells: DataFrame, own: list[tuple[int, list[int]]], k: int) -> tuple[DataFrame, object]:
+    """query_id, row, vec_id, lower, upper of the candidates of a block of queries, and the broadcast."""
+    width = max(1, max(len(v) for _, v in own))
+    shared = cells.sparkSession.sparkContext.broadcast((np.array([i for i, _ in own], np.int64), np.array([v + [0] * (width - len(v)) for _, v in own], np.int64).reshape(len(own), width)))
+
+    def run(batches):
+        query_ids, queries = shared.value
+        _fitting(queries)
+        for batch in batches:
+            for r in batch.to_pylist():
+                block = Approximation(np.frombuffer(r["cells"], np.int8).reshape(r["n"], r["width"]), r["shift"])
+                for found in candidates(block, np.frombuffer(r["row"], "<i8"), np.frombuffer(r["ids"], "<i8"), queries, query_ids, k):
+                    yield pa.RecordBatch.from_arrays([pa.array(query_ids[found[0]]), *map(pa.array, found[1:])], ["query_id", "row", "vec_id", "lower", "upper"])
+
+    return cells.mapInArrow(run, "query_id long, row long, vec_id long, lower double, upper double"), shared
+
+
+def _scored(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, vec_id, score of pairs (query_id, row, vec_id), from the exact vectors of both."""
+
+    def run(batches):
+        for batch in batches:
+            x, q = matrix(batch.column("v")), _fitting(matrix(batch.column("q")))
+            wide = max(x.shape[1], q.shape[1])
+            x, q = _wide(x, wide), _wide(q, wide)
+            if wide * int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) <= MOST:
+                scores = pa.array((x * q).sum(1)).cast(pa.decimal128(38, 0))
+            else:  # in Python's integers, where a long might not hold them
+                scores = pa.array([Decimal(v) for v in (x.astype(object) * q.astype(object)).sum(1).tolist()], pa.decimal128(38, 0))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), scores], ["query_id", "vec_id", "score"])
+
+    met = rows.select("row", "v").join(small_side(pairs.select("query_id", "row", "vec_id")), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    return met.select("query_id", "vec_id", "v", "q").mapInArrow(run, "query_id long, vec_id long, score decimal(38,0)")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score from rows of vec_id and embedding."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding"), scale).alias("v")).filter("v is not null and vec_id is not null")
-    asked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    # The same rows are asked for again, so their blocks are kept in the shared folder.
-    n = asked.count()
-    blocks = max(1, -(-n // query_block))
-    asked = checkpoint(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))) if blocks > 1 else asked.withColumn("block", F.lit(0))
-    schema = "query_id long, vec_id long, score long"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("asks"), integers(F.col("embedding"), scale).alias("v")).filter("v is not null and vec_id is not null")
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    asked = checkpoint(rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = max(1, -(-asked.count() // query_block))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    cells = checkpoint(_approximated(rows))
     parts = []
     for b in range(blocks):
-        own = sorted((r["vec_id"], r["v"]) for r in asked.filter(F.col("block") == b).collect())  # some query_block rows
-        if not own:
-            continue
-        width = max(1, max(len(v) for _, v in own))
-        shared = spark.sparkContext.broadcast((np.array([i for i, _ in own], np.int64), np.array([v + [0] * (width - len(v)) for _, v in own], np.int64).reshape(len(own), width)))
-
-        def run(batches, shared=shared):
-            query_ids, queries = shared.value
-            _fitting(queries)
-            best: list = [[] for _ in query_ids]
-            for batch in batches:
-                for at in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(at, ROW_BLOCK)
-                    x, q = matrix(part.column("v")), queries
-                    wide = max(x.shape[1], q.shape[1])
-                    x, q = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (x, q))
-                    search_all(x, part.column("vec_id").to_numpy(), q, query_ids, k, best)
-            out = [(q, i, -s) for q, rows in zip(query_ids.tolist(), best) for s, i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in out], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-        found = rows.mapInArrow(run, schema)
-        if blocks > 1:
-            found = checkpoint(found)
+        own = sorted((r["vec_id"], r["v"]) for r in dealt.filter(F.col("block") == b).collect())  # some query_block rows
+        if own:
+            found, shared = _scan(cells, own, k)
+            parts.append(checkpoint(found))
             shared.unpersist()
-        parts.append(found)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionAll(p)
+    best = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "vec_id", "row"))  # noqa: E731 - a few rows of each block
+    sure = every.withColumn("n", best("lower")).filter(F.col("n") <= k).groupBy("query_id").agg(F.min("lower").alias("sure"), F.count("*").alias("n"))
+    left = every.join(sure, "query_id").filter((F.col("n") < k) | (F.col("upper") >= F.col("sure"))).drop("sure", "n")
+    left = checkpoint(left.withColumn("place", best("upper")))
+    first = checkpoint(_scored(left.filter(F.col("place") <= k), rows, asked))
+    # The k-th exact score so far: no row whose bound is below it can come before.
+    sure = first.groupBy("query_id").agg(F.min("score").alias("sure"), F.count("*").alias("n"))
+    rest = left.filter(F.col("place") > k).join(sure, "query_id").filter((F.col("n") < k) | (F.col("upper") >= F.col("sure")))
+    scores = first.unionAll(_scored(checkpoint(rest.select("query_id", "row", "vec_id")), rows, asked))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))

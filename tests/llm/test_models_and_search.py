@@ -366,3 +366,23 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
     assert differences(queries.QUERIES[name](spark, DIR), connect(DIR), queries.ORACLES[name]) == ""
+
+
+def test_bounds_leave_most_exact_vectors_unread(spark):
+    """Bounds hold every score, and only rows that may be among the best go on."""
+    r = np.random.default_rng(8)
+    x = np.floor(r.standard_normal((4000, 16)) * 300).astype(np.int64)
+    q = x[:20]
+    block = topk.Approximation.of(x)
+    near, half = block.bounds(q)
+    assert (np.abs(near - q @ x.T) <= half[:, None]).all()
+    found = list(topk.candidates(block, np.arange(4000), np.arange(4000), q, np.arange(20), 10))
+    kept = {i: set() for i in range(20)}
+    for i, rows, _, lower, upper in found:
+        assert (lower <= upper).all()
+        for a, b in zip(i.tolist(), rows.tolist()):
+            kept[a].add(b)
+    for i in range(20):
+        scores = x @ q[i]
+        best = [j for j in np.lexsort((np.arange(4000), -scores)) if j != i][:10]
+        assert set(best) <= kept[i] and len(kept[i]) < 400
