@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import fold, keyword_hits, loose_keyword, loosen
+from pagemill.functions.text import fold, loose_keyword, loosen
 from pagemill.operators.geometry import clamp_box, least_hits
 
 
@@ -127,14 +127,22 @@ def is_boundary(folded: Column, target: str, words: Words = WORDS) -> Column:
     return F.when(row, False).otherwise(ends | (side & ~F.contains(folded, F.lit(own))))
 
 
-def block_type(text: Column, words: Words = WORDS) -> Column:
-    """asset, liability, income or null, from a block's first 600 characters: what no statement has, titles,
-    else the target with most anchors of two or more (the first on ties). A block with the titles of both
-    sides is of the side with more anchors, then of the one whose word comes first."""
-    head = fold(F.substring(text, 1, 600))
-    plain = loosen(head)
-    n = {t: F.size(keyword_hits(head, plain, list(a))) for t, a in words.anchors.items()}
-    titled = {t: F.size(keyword_hits(head, plain, list(a))) > 0 for t, a in words.titles.items()}
+def _found(head: Column, plain: Column, words: Words) -> Column:
+    """How many anchors of each target a block's folded head holds, and which titles."""
+    def hits(own) -> Column:
+        out = F.lit(0)
+        for w in own:
+            test = F.contains(head, F.lit(w))
+            if len(w.split()) > 1:
+                test = test | F.contains(plain, F.lit(loose_keyword(w)))
+            out = out + test.cast("int")
+        return out
+
+    return F.struct(*(hits(a).alias(f"n_{t}") for t, a in words.anchors.items()), *((hits(a) > 0).alias(f"t_{t}") for t, a in words.titles.items()))
+
+
+def _type(head: Column, found: Column, words: Words) -> Column:
+    n, titled = ({t: found[f"{k}_{t}"] for t in ("asset", "liability", "income")} for k in ("n", "t"))
     by_anchors = F.when((n["asset"] >= 2) & (n["asset"] >= n["liability"]) & (n["asset"] >= n["income"]), "asset").when((n["liability"] >= 2) & (n["liability"] >= n["income"]), "liability").when(n["income"] >= 2, "income")
     place = lambda t: F.call_function("locate", F.lit(words.header[t]), head)
     both = F.when(n["asset"] > n["liability"], "asset").when(n["liability"] > n["asset"], "liability").when(place("asset") <= place("liability"), "asset").otherwise("liability")
@@ -143,6 +151,28 @@ def block_type(text: Column, words: Words = WORDS) -> Column:
     return F.when(~none, F.coalesce(named, by_anchors))
 
 
+#: Characters of a block that its type is taken from.
+HEAD = 600
+
+
+def block_type(text: Column, words: Words = WORDS) -> Column:
+    """asset, liability, income or null, from a block's first HEAD characters: what no statement has, titles,
+    else the target with most anchors of two or more (the first on ties). A block with the titles of both
+    sides is of the side with more anchors, then of the one whose word comes first."""
+    head = fold(F.substring(text, 1, HEAD))
+    return _type(head, _found(head, loosen(head), words), words)
+
+
+def typed(blocks: Column, words: Words = WORDS) -> Column:
+    """Blocks with their type. Within an array nothing is worked out once for several uses, so what several tests
+    read is put into the structs first, step by step."""
+    own = lambda b: [b[c].alias(c) for c in ("y0", "x0", "x1", "y1", "text", "folded")]
+    heads = F.transform(blocks, lambda b: F.struct(*own(b), F.when(F.length(b["text"]) <= HEAD, b["folded"]).otherwise(fold(F.substring(b["text"], 1, HEAD))).alias("head")))
+    plains = F.transform(heads, lambda b: F.struct(*own(b), b["head"].alias("head"), loosen(b["head"]).alias("plain")))
+    found = F.transform(plains, lambda b: F.struct(*own(b), b["head"].alias("head"), _found(b["head"], b["plain"], words).alias("found")))
+    return F.transform(found, lambda b: F.struct(*own(b), _type(b["head"], b["found"], words).alias("type")))
+
+
 def headers(lines: Column, target: str, words: Words = WORDS) -> Column:
     return F.filter(lines, lambda x: is_header(x["folded"], words.header[target], words))
 
@@ -276,12 +306,12 @@ def densest(matched: Column, gap: float = 95) -> Column:
 def signature_region(lines: Column, labels: list[str], y_start: Column, max_y: Column, bounds: Column, target: str) -> Column:
     """y0, y1, hits, coverage of the dense run of lines with row labels (each line counts for the first label
     that it holds) from 45 above the start to 8 below max_y; null where too few labels are hit."""
-    def label(folded: Column) -> Column:
-        loose = loosen(folded)
+    def label(folded: Column, loose: Column) -> Column:
         return F.coalesce(*(F.when(F.contains(folded, F.lit(name)) | F.contains(loose, F.lit(loose_keyword(name))), F.lit(name)) for name in labels))
 
     band = F.filter(lines, lambda x: (x["y1"] >= y_start - 45) & (x["y0"] <= max_y + 8) & in_column(x, bounds, 8))
-    matched = F.filter(F.transform(band, lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), label(x["folded"]).alias("label"))), lambda x: x["label"].isNotNull())
+    loosened = F.transform(band, lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), x["folded"].alias("folded"), loosen(x["folded"]).alias("loose")))
+    matched = F.filter(F.transform(loosened, lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), label(x["folded"], x["loose"]).alias("label"))), lambda x: x["label"].isNotNull())
     hits = F.size(F.array_distinct(F.transform(matched, lambda x: x["label"])))
     cover = hits / F.lit(float(len(set(labels))))
     run = densest(matched)
@@ -373,10 +403,10 @@ def best_income_header(lines: Column, words: Words = WORDS) -> Column:
 
 
 def localized(pages: DataFrame, target: str, labels: list[str], words: Words = WORDS) -> DataFrame:
-    """Adds table (x0, y0, x1, y1), confidence and way (header, blocks, page, or none) to pages with lines,
-    blocks, width, height, score and scope_score: by the line of a header, else by the target's blocks, else
+    """Adds table (x0, y0, x1, y1), confidence, way (header, blocks, page, or none) and titled (no title is missing
+    from the blocks it was found by) to pages with lines, blocks, width, height, score and scope_score: by the line of a header, else by the target's blocks, else
     the whole page. Pages that break a balance sheet down by currency have no table."""
-    rows = pages.withColumn("_blocks", F.transform("blocks", lambda b: F.struct(b["y0"].alias("y0"), b["x0"].alias("x0"), b["x1"].alias("x1"), b["y1"].alias("y1"), b["text"].alias("text"), b["folded"].alias("folded"), block_type(b["text"], words).alias("type"))))
+    rows = pages.withColumn("_blocks", typed(F.col("blocks"), words))
     lines, blocks, width, height = F.col("lines"), F.col("_blocks"), F.col("width").cast("double"), F.col("height").cast("double")
     balance = target != "income"
     if balance:
@@ -405,8 +435,8 @@ def localized(pages: DataFrame, target: str, labels: list[str], words: Words = W
     column = F.col("_beside")
     rows = rows.withColumn("_line", boundary_below(lines, y, column, width, target, words))
     rows = rows.withColumn("_anchor", end_anchor(lines, y, column, F.col("_line"), target, words))
-    typed = typed_boundary(blocks, y, column, height, target, words)
-    rows = rows.withColumn("_typed", typed if balance else F.when(by_header, height).otherwise(typed))
+    other = typed_boundary(blocks, y, column, height, target, words)
+    rows = rows.withColumn("_typed", other if balance else F.when(by_header, height).otherwise(other))
     rows = rows.withColumn("_end", bottom(height, F.col("_typed"), F.col("_line"), F.col("_anchor")))
     rows = rows.withColumn("_region", signature_region(lines, labels, y, F.col("_end"), column, target))
     region, padding = F.col("_region"), 12.0 if balance else 16.0
@@ -430,6 +460,7 @@ def localized(pages: DataFrame, target: str, labels: list[str], words: Words = W
     rows = rows.withColumn("table", F.when(F.col("way").isin("header", "blocks"), inner).when(F.col("way") == "page", whole))
     score = F.col("score")
     title = F.exists("_own", lambda b: has_title(b["folded"], target, words))
+    rows = rows.withColumn("titled", (F.col("way") != "blocks") | title)
     lined = F.least(F.lit(0.98), 0.78 + 0.20 * score) if balance else F.least(F.lit(0.99), 0.84 + 0.15 * score)
     blocked = F.least(F.lit(0.99), 0.70 + 0.29 * score)
     capped = lambda c: F.when(F.col("scope_score") <= 0, F.least(c, F.lit(0.45))).otherwise(c)

@@ -307,7 +307,7 @@ _TYPED_BLOCKS = (
 )
 
 
-def _localize_sql(target: str) -> str:
+def localize_sql(target: str) -> str:
     """Whole localisation on rows of lines and blocks: one table for each step of layout.localized()."""
     balance, labels = target != "income", LABELS[target]
     ctes = [_TYPED_BLOCKS, f"own AS (SELECT * FROM kb WHERE type = '{target}')", "pj AS (SELECT doc_id, string_agg(f, ' ' ORDER BY y0, x0) AS page FROM n GROUP BY doc_id)"]
@@ -334,7 +334,7 @@ def _localize_sql(target: str) -> str:
     none = "contains(left(page, 4500), 'ventilation') AND contains(left(page, 4500), 'devise')" if balance else "false"
     ctes += [
         "ob AS (SELECT doc_id, min(y0) AS y, min(x0) AS lo, max(x1) AS hi, bool_or(" + _title_sql("f", target) + ") AS titled FROM own GROUP BY doc_id)",
-        f"d0 AS MATERIALIZED (SELECT doc_id, page, CASE WHEN {none} THEN 'none' WHEN he.doc_id IS NOT NULL THEN 'header' WHEN ob.doc_id IS NOT NULL THEN 'blocks' ELSE 'page' END AS way, he.doc_id IS NOT NULL AS hd, he.c AS hc, he.y0 AS hy, coalesce(he.y0, ob.y) AS y, ob.lo AS elo, ob.hi AS ehi, coalesce(titled, false) AS titled, doc_id % 101 / 100.0 AS score, doc_id % 4 / 4.0 AS scope FROM documents JOIN pj USING (doc_id) LEFT JOIN he USING (doc_id) LEFT JOIN ob USING (doc_id))",
+        f"d0 AS MATERIALIZED (SELECT doc_id, page, CASE WHEN {none} THEN 'none' WHEN he.doc_id IS NOT NULL THEN 'header' WHEN ob.doc_id IS NOT NULL THEN 'blocks' ELSE 'page' END AS way, he.doc_id IS NOT NULL AS hd, he.c AS hc, he.y0 AS hy, coalesce(he.y0, ob.y) AS y, ob.lo AS elo, ob.hi AS ehi, coalesce(titled, false) AS titled FROM documents JOIN pj USING (doc_id) LEFT JOIN he USING (doc_id) LEFT JOIN ob USING (doc_id))",
     ]
     if balance:
         # The column: beside the other side's header, else left by a neighbour's title, else of the blocks.
@@ -394,22 +394,32 @@ def _localize_sql(target: str) -> str:
         "cl AS (SELECT *, least(greatest(lo - 8, 0.0), 600.0) AS ba, least(greatest(greatest(y - 10, 0.0), 0.0), 840.0) AS bb, least(greatest(hi + CASE WHEN clo IS NOT NULL AND hd THEN 2 ELSE 8 END, 0.0), 600.0) AS bc, least(greatest(least(840.0, e), 0.0), 840.0) AS bd FROM bo)",
         "ta AS (SELECT *, way IN ('header', 'blocks') AS boxed, CASE WHEN way IN ('header', 'blocks') THEN least(ba, bc) WHEN way = 'page' THEN 24.0 END AS tx0, CASE WHEN way IN ('header', 'blocks') THEN least(bb, bd) WHEN way = 'page' THEN 67.2 END AS ty0, CASE WHEN way IN ('header', 'blocks') THEN greatest(ba, bc) WHEN way = 'page' THEN 576.0 END AS tx1, CASE WHEN way IN ('header', 'blocks') THEN greatest(bb, bd) WHEN way = 'page' THEN 789.6 END AS ty1 FROM cl)",
     ]
-    cap = lambda c: f"CASE WHEN scope <= 0 THEN least({c}, 0.45) ELSE {c} END"
-    lined = cap("least(0.98, 0.78 + 0.20 * score)") if balance else "least(0.99, 0.84 + 0.15 * score)"
-    blocked = cap("least(0.99, 0.70 + 0.29 * score)")
-    ctes.append(f"co AS (SELECT *, CASE way WHEN 'header' THEN {lined} WHEN 'blocks' THEN CASE WHEN titled THEN {blocked} ELSE least({blocked}, {0.68 if balance else 0.35}) END WHEN 'page' THEN greatest(0.25, least(score, 0.65)) END AS c0 FROM ta)")
-    confidence = "c0"
     if balance:
         ctes += [
-            "ea AS (SELECT co.doc_id, o.f FROM co JOIN n o ON o.doc_id = co.doc_id AND o.y0 <= y + 45 QUALIFY row_number() OVER (PARTITION BY co.doc_id ORDER BY o.y0, o.x0) <= 8)",
+            "ea AS (SELECT ta.doc_id, o.f FROM ta JOIN n o ON o.doc_id = ta.doc_id AND o.y0 <= y + 45 QUALIFY row_number() OVER (PARTITION BY ta.doc_id ORDER BY o.y0, o.x0) <= 8)",
             f"mn AS (SELECT doc_id, bool_or(f IN ('actif', 'passif') OR {_starts('f', ('bilan au', 'bilan actif', 'bilan passif'))}) AS main FROM ea GROUP BY doc_id)",
-            f"cf AS (SELECT co.*, {_has('page', _WORDS.not_main)} AS note, {_has('page', _WORDS.other_statement)} AS alt, coalesce(main, false) AS main, greatest(ty1 - ty0, 0) AS high FROM co LEFT JOIN mn USING (doc_id))",
+            f"cf AS (SELECT ta.*, {_has('page', _WORDS.not_main)} AS note, {_has('page', _WORDS.other_statement)} AS alt, coalesce(main, false) AS main, greatest(ty1 - ty0, 0) AS high FROM ta LEFT JOIN mn USING (doc_id))",
         ]
-        confidence = "CASE WHEN boxed THEN least(c0, CASE WHEN high < 130 THEN 0.70 ELSE 1 END, CASE WHEN note AND NOT main THEN 0.72 ELSE 1 END, CASE WHEN note AND high < 180 THEN 0.62 ELSE 1 END, CASE WHEN alt THEN 0.58 ELSE 1 END) ELSE c0 END"
     else:
-        ctes.append("cf AS (SELECT * FROM co)")
-    body = f"SELECT doc_id, way, round(CAST(tx0 AS DOUBLE), 4) AS x0, round(CAST(ty0 AS DOUBLE), 4) AS y0, round(CAST(tx1 AS DOUBLE), 4) AS x1, round(CAST(ty1 AS DOUBLE), 4) AS y1, round(CAST({confidence} AS DOUBLE), 6) AS confidence FROM cf"
-    return f"{_LINES.replace('WITH r', 'WITH RECURSIVE r')}, {', '.join(ctes)} {body}"
+        ctes.append("cf AS (SELECT *, false AS note, false AS alt, false AS main, 0.0 AS high FROM ta)")
+    boxes = ", ".join(f"CAST({c} AS DOUBLE) AS {c[1:]}" for c in ("tx0", "ty0", "tx1", "ty1"))
+    return f"{_LINES.replace('WITH r', 'WITH RECURSIVE r')}, {', '.join(ctes)} SELECT doc_id, way, titled, boxed, note, alt, main, high, {boxes} FROM cf"
+
+
+def confidence_sql(target: str, score: str, scope: str) -> str:
+    """The confidence of a row of localize_sql(), from its page's score and scope score."""
+    balance = target != "income"
+    cap = lambda c: f"CASE WHEN {scope} <= 0 THEN least({c}, 0.45) ELSE {c} END"
+    lined = cap(f"least(0.98, 0.78 + 0.20 * {score})") if balance else f"least(0.99, 0.84 + 0.15 * {score})"
+    blocked = cap(f"least(0.99, 0.70 + 0.29 * {score})")
+    found = f"CASE way WHEN 'header' THEN {lined} WHEN 'blocks' THEN CASE WHEN titled THEN {blocked} ELSE least({blocked}, {0.68 if balance else 0.35}) END WHEN 'page' THEN greatest(0.25, least({score}, 0.65)) END"
+    if balance:
+        found = f"CASE WHEN boxed THEN least({found}, CASE WHEN high < 130 THEN 0.70 ELSE 1 END, CASE WHEN note AND NOT main THEN 0.72 ELSE 1 END, CASE WHEN note AND high < 180 THEN 0.62 ELSE 1 END, CASE WHEN alt THEN 0.58 ELSE 1 END) ELSE {found} END"
+    return f"CAST({found} AS DOUBLE)"
+
+
+def _located_sql(target: str) -> str:
+    return f"SELECT doc_id, way, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1, round({confidence_sql(target, '(doc_id % 101 / 100.0)', '(doc_id % 4 / 4.0)')}, 6) AS confidence FROM ({localize_sql(target)})"
 
 
 def _localized(spark, d, target: str):
@@ -417,17 +427,17 @@ def _localized(spark, d, target: str):
     return layout.localized(rows, target, LABELS[target]).select("doc_id", "way", F.round("table.x0", 4).alias("x0"), F.round("table.y0", 4).alias("y0"), F.round("table.x1", 4).alias("x1"), F.round("table.y1", 4).alias("y1"), F.round("confidence", 6).alias("confidence"))
 
 
-@query(_localize_sql("asset"))
+@query(_located_sql("asset"))
 def localize_asset(spark, d):
     return _localized(spark, d, "asset")
 
 
-@query(_localize_sql("liability"))
+@query(_located_sql("liability"))
 def localize_liability(spark, d):
     return _localized(spark, d, "liability")
 
 
-@query(_localize_sql("income"))
+@query(_located_sql("income"))
 def localize_income(spark, d):
     return _localized(spark, d, "income")
 

@@ -450,4 +450,4 @@ def widen_candidates(spark, d):
     return wide.select("l_orderkey", "l_linenumber", "rank")
 
 
-from pagemill.plans import index, layouts, names, records, statements  # noqa: E402, F401 - these register their queries
+from pagemill.plans import index, layouts, names, records, selection, statements  # noqa: E402, F401 - these register their queries

@@ -320,14 +320,20 @@ _TOLD = ", ".join(f"'{k}:' || " + ("CAST(n_labels AS VARCHAR)" if c == "n_labels
 _WHY = ", ".join(scoring.reasons(scoring.REASON_TEXT))
 
 
-@query(
+#: SQL of scoring.retrieved() on full_scores(), for the columns that are wanted.
+RETRIEVED_SQL = (
     f"{_full_sql()}, y0 AS (SELECT *, round(score, 9) AS sc, round(0.48 * sig + 0.32 * anchor_score + 0.15 * title_score + 0.05 * scope_score, 9) AS ky, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS r0 FROM full_score QUALIFY r0 <= 8), "
     "y1 AS (SELECT *, count(*) OVER w AS nn, max(sc) FILTER (WHERE r0 = 1) OVER w - max(sc) FILTER (WHERE r0 = 2) OVER w AS gap FROM y0 WINDOW w AS (PARTITION BY query_id, source)), y2 AS (SELECT *, coalesce(gap < 0.045, false) AND r0 <= 6 AS near FROM y1), "
     "y3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY CASE WHEN r0 <= 6 THEN 0 ELSE 1 END, CASE WHEN near THEN ky END DESC NULLS LAST, CASE WHEN near THEN sig END DESC NULLS LAST, CASE WHEN near THEN anchor_score END DESC NULLS LAST, CASE WHEN near THEN title_score END DESC NULLS LAST, CASE WHEN near THEN doc_id END NULLS FIRST, r0) AS rk FROM y2), "
     f"y4 AS (SELECT *, NOT {_OTHER_ONLY} AS keep FROM y3), y5 AS (SELECT *, bool_or(keep) OVER (PARTITION BY query_id, source) AS any_kept FROM y4) "
-    f"SELECT query_id, source, doc_id, CAST(rk AS INT) AS rank, round(score, 5) AS score, concat_ws('|', {_WHY}, {_TOLD}, CASE WHEN sector_score > 0 THEN 'sector:' || sector END, CASE WHEN rk = 1 AND r0 > 1 THEN 'retrieval_tiebreak:scope_signature_and_anchors' END, "
-    "CASE WHEN rk = 1 AND nn = 1 THEN 'retrieval_margin:single_candidate' WHEN rk = 1 THEN 'retrieval_margin:' || printf('%.4f', round(gap, 4)) END) AS evidence FROM y5 WHERE keep OR NOT any_kept"
+).replace("{", "{{").replace("}", "}}") + "SELECT {columns} FROM y5 WHERE keep OR NOT any_kept"
+_EVIDENCE = (
+    f"concat_ws('|', {_WHY}, {_TOLD}, CASE WHEN sector_score > 0 THEN 'sector:' || sector END, CASE WHEN rk = 1 AND r0 > 1 THEN 'retrieval_tiebreak:scope_signature_and_anchors' END, "
+    "CASE WHEN rk = 1 AND nn = 1 THEN 'retrieval_margin:single_candidate' WHEN rk = 1 THEN 'retrieval_margin:' || printf('%.4f', round(gap, 4)) END) AS evidence"
 )
+
+
+@query(RETRIEVED_SQL.format(columns=f"query_id, source, doc_id, CAST(rk AS INT) AS rank, round(score, 5) AS score, {_EVIDENCE}"))
 def retrieved_pages(spark, d):
     best = scoring.retrieved(full_scores(spark, d), ["query_id", "source"], "doc_id")
     return best.select("query_id", "source", "doc_id", "rank", F.round("score", 5).alias("score"), F.concat_ws("|", "evidence").alias("evidence"))

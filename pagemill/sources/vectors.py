@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Encode = Callable[[list[str]], list[list[float]]]
-#: Models that this worker has loaded, by name.
-_LOADED: dict[str, Encode] = {}
+#: Models that this worker has loaded, by name and loader.
+_LOADED: dict[tuple[str, str, str], Encode] = {}
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """A model by name: load() makes it, once a worker, and gives a function from texts to vectors. `batch` texts
-    go to it at a time."""
+    """A model by name: load() makes it, once a worker for each name and loader, and gives a function from texts to
+    vectors. `batch` texts go to it at a time."""
 
     name: str
     load: Callable[[], Encode]
@@ -33,9 +33,10 @@ class Encoder:
         while parts:
             own = parts.pop()
             try:
-                if self.name not in _LOADED:
-                    _LOADED[self.name] = self.load()
-                found = [list(map(float, v)) for v in _LOADED[self.name](own)]
+                key = (self.name, self.load.__module__, self.load.__qualname__)
+                if key not in _LOADED:
+                    _LOADED[key] = self.load()
+                found = [list(map(float, v)) for v in _LOADED[key](own)]
                 if len(found) != len(own):
                     raise ValueError(f"{len(found)} vectors for {len(own)} texts")
                 if not all(math.isfinite(x) for v in found for x in v):
