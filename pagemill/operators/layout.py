@@ -127,7 +127,7 @@ def is_boundary(folded: Column, target: str, words: Words = WORDS) -> Column:
     return F.when(row, False).otherwise(ends | (side & ~F.contains(folded, F.lit(own))))
 
 
-def _found(head: Column, plain: Column, words: Words) -> Column:
+def _found(head: Column, plain: Column, words: Words) -> dict[str, Column]:
     """How many anchors of each target a block's folded head holds, and which titles."""
     def hits(own) -> Column:
         out = F.lit(0)
@@ -138,11 +138,12 @@ def _found(head: Column, plain: Column, words: Words) -> Column:
             out = out + test.cast("int")
         return out
 
-    return F.struct(*(hits(a).alias(f"n_{t}") for t, a in words.anchors.items()), *((hits(a) > 0).alias(f"t_{t}") for t, a in words.titles.items()))
+    return {f"n_{t}": hits(a) for t, a in words.anchors.items()} | {f"t_{t}": hits(a) > 0 for t, a in words.titles.items()}
 
 
-def _type(head: Column, found: Column, words: Words) -> Column:
-    n, titled = ({t: found[f"{k}_{t}"] for t in ("asset", "liability", "income")} for k in ("n", "t"))
+def _type(head: Column, found, words: Words) -> Column:
+    """found: gives what _found() found, by name."""
+    n, titled = ({t: found(f"{k}_{t}") for t in ("asset", "liability", "income")} for k in ("n", "t"))
     by_anchors = F.when((n["asset"] >= 2) & (n["asset"] >= n["liability"]) & (n["asset"] >= n["income"]), "asset").when((n["liability"] >= 2) & (n["liability"] >= n["income"]), "liability").when(n["income"] >= 2, "income")
     place = lambda t: F.call_function("locate", F.lit(words.header[t]), head)
     both = F.when(n["asset"] > n["liability"], "asset").when(n["liability"] > n["asset"], "liability").when(place("asset") <= place("liability"), "asset").otherwise("liability")
@@ -155,22 +156,24 @@ def _type(head: Column, found: Column, words: Words) -> Column:
 HEAD = 600
 
 
-def block_type(text: Column, words: Words = WORDS) -> Column:
-    """asset, liability, income or null, from a block's first HEAD characters: what no statement has, titles,
-    else the target with most anchors of two or more (the first on ties). A block with the titles of both
-    sides is of the side with more anchors, then of the one whose word comes first."""
-    head = fold(F.substring(text, 1, HEAD))
-    return _type(head, _found(head, loosen(head), words), words)
+def with_block_type(blocks: DataFrame, text: str, words: Words = WORDS) -> DataFrame:
+    """Adds type to a row for each block: asset, liability, income or null, from its first HEAD characters: what no
+    statement has, titles, else the target with most anchors of two or more (the first on ties). A block with the
+    titles of both sides is of the side with more anchors, then of the one whose word comes first."""
+    head = F.col("_head")
+    rows = blocks.withColumn("_head", fold(F.substring(text, 1, HEAD))).withColumn("_plain", loosen(head))
+    found = {f"_{k}": c for k, c in _found(head, F.col("_plain"), words).items()}
+    return rows.withColumns(found).withColumn("type", _type(head, lambda k: F.col(f"_{k}"), words)).drop("_head", "_plain", *found)
 
 
 def typed(blocks: Column, words: Words = WORDS) -> Column:
-    """Blocks with their type. Within an array nothing is worked out once for several uses, so what several tests
-    read is put into the structs first, step by step."""
+    """Blocks of an array with their type, as with_block_type() has it. Within an array nothing is worked out once
+    for several uses, so what several tests read is put into the structs first, step by step."""
     own = lambda b: [b[c].alias(c) for c in ("y0", "x0", "x1", "y1", "text", "folded")]
     heads = F.transform(blocks, lambda b: F.struct(*own(b), F.when(F.length(b["text"]) <= HEAD, b["folded"]).otherwise(fold(F.substring(b["text"], 1, HEAD))).alias("head")))
     plains = F.transform(heads, lambda b: F.struct(*own(b), b["head"].alias("head"), loosen(b["head"]).alias("plain")))
-    found = F.transform(plains, lambda b: F.struct(*own(b), b["head"].alias("head"), _found(b["head"], b["plain"], words).alias("found")))
-    return F.transform(found, lambda b: F.struct(*own(b), _type(b["head"], b["found"], words).alias("type")))
+    found = F.transform(plains, lambda b: F.struct(*own(b), b["head"].alias("head"), F.struct(*(c.alias(k) for k, c in _found(b["head"], b["plain"], words).items())).alias("found")))
+    return F.transform(found, lambda b: F.struct(*own(b), _type(b["head"], lambda k: b["found"][k], words).alias("type")))
 
 
 def headers(lines: Column, target: str, words: Words = WORDS) -> Column:

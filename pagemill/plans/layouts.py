@@ -116,7 +116,7 @@ def _hits(words) -> str:
 def block_types(spark, d):
     texts = F.expr(_BLOCK.replace("{t}[", "element_at(t, ").replace("]", ")"))
     rows = read(spark, d, "documents").select("doc_id", F.array(*map(F.lit, TEXTS)).alias("t")).select("doc_id", texts.alias("text"))
-    return rows.select("doc_id", layout.block_type(F.col("text")).alias("type")).filter("type IS NOT NULL")
+    return layout.with_block_type(rows, "text").select("doc_id", "type").filter("type IS NOT NULL")
 
 
 @query(

@@ -163,7 +163,7 @@ def plain_localize(lines, blocks, target, score, scope_score, labels):
 @pytest.mark.parametrize("target", ["asset", "liability"])
 def test_localization_against_plain_python(spark, target):
     rows = layouts.pages(spark, DIR).withColumn("score", (F.col("doc_id") % 101) / 100.0).withColumn("scope_score", (F.col("doc_id") % 4) / 4.0)
-    got = layout.localized(rows, target, layouts.LABELS[target]).select("doc_id", "lines", F.transform("blocks", lambda b: F.struct(b["y0"], b["x0"], b["x1"], b["y1"], b["text"], b["folded"], layout.block_type(b["text"]))).alias("b"), "score", "scope_score", "way", "table", "confidence").collect()
+    got = layout.localized(rows, target, layouts.LABELS[target]).select("doc_id", "lines", layout.typed(F.col("blocks")).alias("b"), "score", "scope_score", "way", "table", "confidence").collect()
     ways = {}
     for r in got:
         lines = [tuple(x) for x in r.lines]
