@@ -272,6 +272,15 @@ def best_link(scored: DataFrame, group: list[str], score: str = "score", least:
     return fine.groupBy(*group).agg(F.max_by(F.struct(*columns), F.struct(score, -F.col("pos"))).alias("r")).select(*group, "r.*")
 
 
+def find_pdf_link(pages: DataFrame, key: str, html: str, base: str, year: Column, scope: Column, report: Column) -> DataFrame:
+    """key, pos, href, label, score, url: of each page the link to a PDF that fits its request best (year, scope and
+    report are columns of pages), joined to the page's address; pages without one that fits are left out."""
+    asked = pages.select(key, year.alias("_year"), scope.alias("_scope"), report.alias("_report"))
+    found = join_groups(links(pages, key, html, base), asked, [key])
+    score = pdf_link_score(F.col("href"), F.col("label"), F.col("_year"), F.col("_scope"), F.col("_report"))
+    return best_link(found.withColumn("score", score).drop("_year", "_scope", "_report"), [key])
+
+
 def stem_fits(stem: Column, report: Column) -> Column:
     """Whether a file's name doesn't contradict the kind of report."""
     s = F.translate(F.lower(F.coalesce(stem, F.lit(""))), "éè", "ee")

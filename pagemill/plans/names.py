@@ -159,6 +159,24 @@ def pdf_link(spark, d):
     return linking.best_link(scored, ["l_orderkey"])
 
 
+# Pages whose links lead to reports, by the number of the page and the link's own word.
+_REPORTS = "replace(replace(html, '<a href=\"/t', '<a href=\"../files/rfs_juin_24_t'), '</a></li>', CASE WHEN page_id % 3 = 0 THEN ' consolidé.</a></li>' ELSE ' 2024</a></li>' END)"
+
+
+@query(
+    f"WITH h AS (SELECT page_id, url, replace({_REPORTS}, '\">', '.pdf\">') AS html FROM pages), {_LINKS.removeprefix('WITH ').replace('FROM pages', 'FROM h')}, m AS (SELECT *, lower(href) AS f, translate(lower(label), 'éè', 'ee') AS t FROM n), "
+    f"q AS (SELECT *, page_id % 2 = 0 AS wants_half, page_id % 5 < 2 AS wants_joint, {has_sql('f', linking.HALF_YEAR_IN_LINK)} OR {has_sql('t', linking.HALF_YEAR_IN_LINK)} AS half, {has_sql('f', linking.ANNUAL_IN_LINK)} OR {has_sql('t', linking.ANNUAL_IN_LINK)} AS yearly, contains(f, 'consolid') OR contains(t, 'consolid') AS joint FROM m WHERE ends_with(f, '.pdf') AND (contains(f, '2024') OR contains(t, '2024') OR regexp_matches(f, '(^|[^0-9])24([^0-9]|$)') OR regexp_matches(t, '(^|[^0-9])24([^0-9]|$)'))), "
+    "s AS (SELECT *, CASE WHEN wants_joint THEN CASE WHEN joint THEN 20 ELSE -12 END ELSE CASE WHEN joint THEN -15 ELSE 8 END END + CASE WHEN wants_half THEN CASE WHEN half THEN 25 ELSE 0 END - CASE WHEN yearly THEN 20 ELSE 0 END ELSE CASE WHEN yearly THEN 20 ELSE 0 END - CASE WHEN half THEN 20 ELSE 0 END END + CASE WHEN contains(t, '2024') OR contains(t, '24') THEN 3 ELSE 0 END AS score FROM q WHERE NOT CASE WHEN wants_half THEN yearly AND NOT half ELSE half AND NOT yearly END), "
+    "b AS (SELECT * FROM s WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) = 1) "
+    "SELECT page_id, CAST(pos AS INT) AS pos, CAST(score AS INT) AS score, regexp_extract(p.url, '^[^:]+://[^/?#]*') || CASE WHEN starts_with(href, '../') THEN CASE WHEN regexp_matches(p.url, '^[^:]+://[^/?#]*/[^/?#]*/[^/?#]*/') THEN regexp_extract(p.url, '^[^:]+://[^/?#]*(/(?:[^/?#]*/)*)[^/?#]*/[^/?#]*', 1) ELSE '/' END || href[4:] ELSE href END AS url FROM b JOIN pages p USING (page_id)"
+)
+def page_pdf_link(spark, d):
+    pages = read(spark, d, "pages").select("page_id", "url", F.expr(f"replace({_REPORTS}, '\">', '.pdf\">')").alias("html"))
+    k = F.col("page_id")
+    found = linking.find_pdf_link(pages, "page_id", "html", "url", F.lit(2024), F.when(k % 5 < 2, "consolidated").otherwise("statutory"), F.when(k % 2 == 0, "s1").otherwise("annuel"))
+    return found.select("page_id", "pos", "score", "url")
+
+
 @query("SELECT page_id, url AS target FROM pages")
 def url_unwrap(spark, d):
     coded = F.translate(F.rtrim(F.base64(F.col("url").cast("binary")), F.lit("=")), "+/", "-_")

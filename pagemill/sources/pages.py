@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.operators import requests
+
 
 def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], Iterable[str]]) -> DataFrame:
     """pdf_id (the file's stem), page_number from 1, page_text."""
@@ -68,6 +71,39 @@ def sector_map(spark: SparkSession, path: str, sectors: tuple[str, ...] = ("bank
     return text.select(F.explode("m").alias("name", "sector")).select(F.trim("name").alias("name"), F.trim("sector").alias("sector")).filter(F.col("sector").isin(*sectors))
 
 
+def listed(spark: SparkSession, path: str, schema: str, inside: str | None = None) -> DataFrame:
+    """pos and the fields of the objects of a JSON file that holds a list, or an object with the list under `inside`,
+    in their order; what is no object is left out but keeps its place. A missing file gives no rows, one that isn't
+    JSON neither."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.createDataFrame([], "value string")
+    items = F.from_json("value", "array<string>")
+    if inside is not None:
+        items = F.when(F.ltrim("value").startswith("{"), F.from_json(F.get_json_object("value", f"$.{inside}"), "array<string>")).otherwise(items)
+    rows = text.select(F.posexplode(items).alias("pos", "item")).filter(F.col("item").startswith("{"))
+    return rows.select("pos", F.from_json("item", schema).alias("r")).select("pos", "r.*")
+
+
+def overrides(spark: SparkSession, path: str) -> DataFrame:
+    """pos, issuer, aliases, year, report, scope, url of a file of addresses that are known by hand, as
+    linking.overrides() takes them."""
+    rows = listed(spark, path, "emetteur string, aliases array<string>, year int, type_rapport string, type_comptes string, url string")
+    return rows.select("pos", F.col("emetteur").alias("issuer"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "year", requests.report_type(F.col("type_rapport")).alias("report"), F.when(F.trim("type_comptes") != "", requests.scope(F.col("type_comptes"))).alias("scope"), F.trim("url").alias("url")).filter("url <> ''")
+
+
+#: A case that a benchmark runs: what is asked for, and the page where it stands.
+CASE = "id string, pdf_path string, company string, year int, report_type string, sector string, scope string, target_table string, expected_page int"
+
+
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """pos and the fields of CASE of a file {"cases": [...]} or of a bare list."""
+    return listed(spark, path, CASE, "cases")
+
+
 def page_images(spark: SparkSession, path: str, pattern: str = r"page_([0-9]+)\.png$") -> DataFrame:
     """page_number, path, length of rendered pages."""
     files = spark.read.format("binaryFile").load(path).select("path", "length")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.text import loose_keyword, with_folded
 from pagemill.operators import history
 from pagemill.operators.keywords import keyword_rows
-from pagemill.sources import paged
+from pagemill.sources import paged, pages
 
 
 @pytest.fixture
@@ -27,10 +27,10 @@ def load(spark, path, **options):
 
 
 def test_pages_lines_and_sizes(spark, folder):
-    pages = {(r.pdf_id, r.page_number): r for r in load(spark, folder).load().collect()}
-    assert len(pages) == 2 + 200 + 1
-    assert pages["one", 1].page_text == "first page\nindented line" and (pages["one", 1].width, pages["one", 1].height) == (595.0, 842.0)
-    assert (pages["one", 2].width, pages["one", 2].height, pages["one", 2].page_count) == (300.0, 400.0, 2) and pages["empty", 1].page_text == ""
+    found = {(r.pdf_id, r.page_number): r for r in load(spark, folder).load().collect()}
+    assert len(found) == 2 + 200 + 1
+    assert found["one", 1].page_text == "first page\nindented line" and (found["one", 1].width, found["one", 1].height) == (595.0, 842.0)
+    assert (found["one", 2].width, found["one", 2].height, found["one", 2].page_count) == (300.0, 400.0, 2) and found["empty", 1].page_text == ""
     lines = load(spark, f"{folder}/one.txt", output="lines").load().orderBy("page_number", "line").collect()
     assert [(r.page_number, r.line, r.x0, r.y0, r.text) for r in lines] == [(1, 0, 0.0, 0.0, "first page"), (1, 1, 12.0, 12.0, "indented line"), (2, 0, 0.0, 12.0, "second"), (2, 1, 0.0, 36.0, "after a gap")]
     counts = {r.pdf_id: r.page_count for r in load(spark, folder, output="documents").load().collect()}
@@ -78,10 +78,10 @@ def test_keyword_tables_of_any_size(spark, part):
     table = [(r.choice(["k1", "k2", None]), r.choice(["x", "y"]), i, " ".join(r.choices(words, k=r.randint(1, 3)))) for i in range(20_000)]
     table += [("k1", "x", 1, ""), ("k1", "y", 2, "ab,  cd"), ("k2", "x", 3, "- -"), ("k2", "y", 4, None), ("k1", "x", 5, "abc"), ("k1", "x", 6, "abc")]
     docs = [(i, "".join(r.choices(letters, k=r.randint(0, 60))) + r.choice(["", " ab,  cd", " ab - cd"])) for i in range(12)] + [(90, None), (91, "")]
-    pages = with_folded(spark.createDataFrame(docs, "id long, text string"))
-    got = keyword_rows(pages, spark.createDataFrame(table, "kind string, name string, ord int, keyword string"), ["id"], part).collect()
+    texts = with_folded(spark.createDataFrame(docs, "id long, text string"))
+    got = keyword_rows(texts, spark.createDataFrame(table, "kind string, name string, ord int, keyword string"), ["id"], part).collect()
     want = {}
-    for row in pages.collect():
+    for row in texts.collect():
         for kind, name, _, k in table:
             if k is not None and (k in row.folded or (len(k.split()) > 1 and loose_keyword(k) in row.loosened)):
                 want[row.id, kind, name] = want.get((row.id, kind, name), 0) + 1
@@ -96,3 +96,16 @@ def test_versions_of_a_key_in_many_blocks(spark, monkeypatch):
     assert {(r.key, r.value, r.new_value) for r in got} == {("k", f"v{i}", f"v{i + 1}") for i in range(8)} | {(None, "n0", "n1")}
     seen = {r.key: (r.value, r.model) for r in history.as_of(df, ["key"], "at", "tie", ["value", "model"], F.lit("2024-01-01 00:00:05").cast("timestamp")).collect()}
     assert seen == {"k": ("v5", "m4"), None: ("n0", None)}
+
+
+def test_files_of_overrides_and_cases(spark, tmp_path):
+    (tmp_path / "o.json").write_text('[{"emetteur": "Alpha", "aliases": ["A. Corp"], "year": 2024, "type_rapport": "Rapport 1er semestre", "type_comptes": "consolidés", "url": " https://x/a.pdf "}, "odd", 7, {"emetteur": "Beta", "year": 2023, "url": "https://x/b.pdf"}, {"emetteur": "None", "url": ""}]')
+    rows = pages.overrides(spark, str(tmp_path / "o.json")).collect()
+    assert [tuple(r) for r in rows] == [(0, "Alpha", ["A. Corp"], 2024, "s1", "consolidated", "https://x/a.pdf"), (3, "Beta", [], 2023, "annuel", None, "https://x/b.pdf")]
+    assert pages.overrides(spark, str(tmp_path / "missing.json")).count() == 0
+    (tmp_path / "broken.json").write_text("{nothing")
+    assert pages.overrides(spark, str(tmp_path / "broken.json")).count() == 0
+    (tmp_path / "c.json").write_text('{"cases": [{"id": "one", "company": "Alpha", "expected_page": 12}, {"id": "two"}]}')
+    (tmp_path / "l.json").write_text('[{"id": "three", "year": 2024}]')
+    assert [(r.pos, r.id, r.expected_page) for r in pages.cases(spark, str(tmp_path / "c.json")).collect()] == [(0, "one", 12), (1, "two", None)]
+    assert [(r.id, r.year) for r in pages.cases(spark, str(tmp_path / "l.json")).collect()] == [("three", 2024)]
