@@ -21,8 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders made for each application, until clear() deletes them.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this application kept in the shared folder, once its results have been used; says how much."""
+    paths = _FOLDERS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    return len(paths)
 
 
 def kept(rows: DataFrame, name: str = "kept") -> DataFrame:

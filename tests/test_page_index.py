@@ -1,11 +1,13 @@
 """The kept index: equal scores, blocks left unread, builds of changed documents only, vectors with errors."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import page_index, retrieval
+from pagemill.sources import shared
 from pagemill.sources.vectors import Encoder, encoded
 
 
@@ -101,3 +103,14 @@ def test_vectors_are_kept(spark):
     now = index.update(docs(spark, 50), "grp", "page", "text", page_index.page_key(["text"]), Encoder("letters", letters))
     found = index.table("vectors").join(index.documents(now), "gid")
     assert found.count() == docs(spark, 50).count() and found.filter("vector IS NULL").isEmpty()
+
+
+def test_what_was_kept_can_be_cleared(spark):
+    mine = shared._FOLDERS.pop(spark.sparkContext.applicationId, [])  # what other tests still read
+    try:
+        rows = shared.kept(spark.range(5), "few")
+        path = shared._FOLDERS[spark.sparkContext.applicationId][0].removeprefix("file://")
+        assert rows.count() == 5 and os.path.isdir(path)
+        assert shared.clear(spark) == 1 and not os.path.exists(path)
+    finally:
+        shared._FOLDERS[spark.sparkContext.applicationId] = mine
