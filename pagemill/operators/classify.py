@@ -64,8 +64,13 @@ def corrected_sector(explicit: Column, hits: dict[str, Column], least: int = 3)
 
 def titles(folded: Column, loosened: Column, patterns: Vocabulary) -> Column:
     """Targets of which a title pattern (a regular expression) stands in the text, in their order."""
-    tests = [F.when(F.exists(F.array(*(F.lit(p) for p in ps)), lambda p: F.regexp(folded, p) | F.regexp(loosened, p)), F.lit(k)) for k, ps in patterns.items()]
-    return F.filter(F.array(*tests), lambda x: x.isNotNull())
+    tests = []
+    for k, ps in patterns.items():
+        found = F.lit(False)
+        for p in ps:  # each a literal, which is compiled once
+            found = found | folded.rlike(p) | loosened.rlike(p)
+        tests.append(F.when(found, F.lit(k)))
+    return F.array_compact(F.array(*tests))
 
 
 def target_candidates(folded: Column, loosened: Column, titles: Vocabulary, anchors: Vocabulary) -> Column:

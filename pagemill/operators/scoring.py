@@ -18,6 +18,7 @@ from pagemill.operators import statements
 from pagemill.operators.marks import All, Any, Marks, Named, Rule, with_rules
 from pagemill.operators.ordered import with_neighbours
 from pagemill.operators.retrieval import coverage_sql, keep_or_all, structural_key, tiebreak, top_k
+from pagemill.sources.shared import kept
 
 TARGETS = ("asset", "liability", "income")
 SCOPES = ("consolidated", "statutory")
@@ -74,6 +75,9 @@ class Vocabulary:
 
 DEFAULT = Vocabulary()
 
+#: Phrases that one expression looks for: of more, its generated method is too large for the JVM to compile.
+TESTED = 8
+
 
 def extra_rules(v: Vocabulary) -> dict[str, Rule]:
     """Rules that the scores need beside those of statements."""
@@ -101,7 +105,7 @@ def page_features(pages: DataFrame, document: str, page: str, vocabulary: Vocabu
     rows = with_rules(rows, extra_rules(vocabulary))
     # Each phrase is looked for once; lists of phrases are masks of what was found.
     words = list(dict.fromkeys(w for table in (vocabulary.signatures, vocabulary.anchors) for own in table.values() for w in own))
-    parts = [words[i : i + 60] for i in range(0, len(words), 60)]
+    parts = [words[i : i + TESTED] for i in range(0, len(words), TESTED)]
     rows = rows.selectExpr("*", *(f"{' + '.join(f'IF({hit_sql(w)}, {1 << i}L, 0L)' for i, w in enumerate(part))} AS _found{k}" for k, part in enumerate(parts)))
     masks = lambda own: [sum(1 << i for i, w in enumerate(part) if w in own) for part in parts]
     count = lambda own: "(" + " + ".join(f"bit_count(_found{k} & {m}L)" for k, m in enumerate(masks(own)) if m) + ")"
@@ -119,7 +123,8 @@ def page_features(pages: DataFrame, document: str, page: str, vocabulary: Vocabu
             own = vocabulary.signatures[t, s]
             out |= {f"{t}_{s}_n": count(set(own)), f"{t}_{s}_sig": covered(own, t), f"{t}_{s}_cov": f"{count(set(own))} / {float(len(set(own)))}D"}
     flags = [*statements.RULES, *extra_rules(vocabulary)]
-    rows = rows.select(document, page, "sector", "scopes", "titles", *flags, *(F.expr(c).alias(k) for k, c in out.items()))
+    # Kept: neighbours read them twice, and the texts are worked on once.
+    rows = kept(rows.select(document, page, "sector", "scopes", "titles", *flags, *(F.expr(c).alias(k) for k, c in out.items())), "features")
     return with_neighbours(rows, document, page, ["asset_main", "liability_main", "asset_complete", "liability_complete", "any_main"])
 
 

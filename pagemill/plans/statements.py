@@ -274,7 +274,7 @@ def full_scores(spark, d) -> DataFrame:
     terms; features are kept, without text, before requests meet them. Pages and requests get their vectors from
     one encoder; a page without one scores 0 there."""
     rows = kept(inputs(spark, d), "pages")
-    features = kept(scoring.page_features(rows, "source", "doc_id"), "features")
+    features = scoring.page_features(rows, "source", "doc_id")
     asked = spark.createDataFrame(_QUERY_TERMS, "query_id long, term string, weight int")
     # Fields are short: folded by themselves they add the same terms as if they were folded with the text.
     fields = [F.concat(F.lit(f"{k}: "), F.coalesce(c, F.lit(""))) for k, c in {"company": F.col("source"), "sector": F.col("sector"), "scope": F.array_join("scopes", " "), "titles": F.array_join("titles", " ")}.items()]
