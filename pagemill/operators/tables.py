@@ -127,13 +127,13 @@ def target_name(target: Column) -> Column:
     return out
 
 
-def friendly_error(error: Column, target: Column, page: Column, has_crop: Column) -> Column:
+def friendly_error(error: Column, target: Column, page: Column, has_crop: Column, first: int = 1) -> Column:
     """What to tell a user about a failure; the first that fits. An error that fits none is told as it is, with the
-    target's name if there is a target. A page of 0 is none."""
+    target's name if there is a target. Pages are counted from `first`; a lower number is none."""
     label = target_name(target)
     low = F.lower(F.coalesce(error, F.lit("")))
     has = lambda *words: low.rlike("|".join(words))
-    where = some(F.when(page != 0, F.concat(F.lit("page "), page.cast("string"))), F.when(has_crop, F.lit("crop kept")))
+    where = some(F.when(page >= first, F.concat(F.lit("page "), page.cast("string"))), F.when(has_crop, F.lit("crop kept")))
     details = F.when(F.size(where) > 0, F.concat(F.lit(" ("), F.array_join(where, "; "), F.lit(")"))).otherwise("")
     return (
         F.when(has("insufficient_quota", "exceeded your current quota"), F.concat(label, F.lit(": the provider's quota is used up")))
