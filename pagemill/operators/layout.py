@@ -285,8 +285,9 @@ def _titled(block: Column, words: Words) -> Column:
 
 
 def bottom(height: Column, typed: Column, line: Column, anchor: Column) -> Column:
-    """Where the table ends, from the first boundary and the last total."""
-    first = F.least(typed, line)  # nulls don't count
+    """Where the table ends, from the first boundary and the last total. typed: what typed_boundary() found, null where
+    blocks weren't looked at."""
+    first = F.coalesce(F.least(typed, line), height)  # nulls don't count
     with_anchor = F.when(first <= anchor, F.least(height, anchor + 4)).when(first < height, F.least(anchor + 4, first - 2)).otherwise(anchor + 4)
     return F.when(anchor.isNotNull(), with_anchor).when(first < height, F.greatest(first - 2, F.lit(0.0))).otherwise(height - 20)
 

@@ -3,7 +3,7 @@ than its tables."""
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import tables
+from pagemill.operators import layout, tables
 from pagemill.plans import queries as plans
 from tests.compare import connect, differences
 
@@ -14,3 +14,10 @@ def test_customer_zero_is_a_page(spark, tmp_path):
     assert differences(plans.QUERIES["friendly_errors"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["friendly_errors"]) == ""
     page = spark.range(2).select(tables.friendly_error(F.lit("target_not_found"), F.lit("asset"), F.col("id"), F.lit(False)).alias("m"))
     assert {r.m for r in page.collect()} == {"Assets: the table was not found", "Assets: the table was not found (page 1)"}
+
+
+def test_table_ends_by_a_line_below_the_page(spark, tmp_path):
+    spark.createDataFrame([(18305,), (21000,), (23695,), (7,)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert differences(plans.QUERIES["table_bottom"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["table_bottom"]) == ""
+    end = lambda typed: layout.bottom(F.lit(840.0), F.lit(typed).cast("double"), F.lit(862.0), F.lit(842.0))
+    assert spark.range(1).select(end(None).alias("a"), end(840.0).alias("b")).first() == (846.0, 840.0)
