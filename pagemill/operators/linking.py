@@ -212,9 +212,11 @@ def first_urls(found: DataFrame, group: list[str], limit: int) -> DataFrame:
 
 
 def unwrapped(url: Column) -> Column:
-    """The target of a redirect: its uddg parameter or base64 in u=a1..., else the url itself."""
-    query = F.regexp_extract(url, r"[?&]uddg=([^&#]*)", 1)
-    coded = F.regexp_extract(url, r"[?&]u=a1([A-Za-z0-9_-]+)", 1)
+    """The target of a redirect: its uddg parameter or base64 in u=a1..., else the url itself. Tabs and line ends
+    within an address don't count, as browsers have it, so base64 may be broken into lines."""
+    whole = F.translate(url, "\t\r\n", "")
+    query = F.regexp_extract(whole, r"[?&]uddg=([^&#]*)", 1)
+    coded = F.regexp_extract(whole, r"[?&]u=a1([A-Za-z0-9_-]+)", 1)
     padded = F.rpad(F.translate(coded, "-_", "+/"), (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
     return F.when(query != "", F.url_decode(query)).when(coded != "", F.try_to_binary(padded, F.lit("base64")).cast("string")).otherwise(url)
 

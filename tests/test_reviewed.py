@@ -3,7 +3,7 @@ than its tables."""
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import layout, tables
+from pagemill.operators import layout, linking, tables
 from pagemill.plans import queries as plans
 from tests.compare import connect, differences
 
@@ -21,3 +21,12 @@ def test_table_ends_by_a_line_below_the_page(spark, tmp_path):
     assert differences(plans.QUERIES["table_bottom"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["table_bottom"]) == ""
     end = lambda typed: layout.bottom(F.lit(840.0), F.lit(typed).cast("double"), F.lit(862.0), F.lit(842.0))
     assert spark.range(1).select(end(None).alias("a"), end(840.0).alias("b")).first() == (846.0, 840.0)
+
+
+def test_long_addresses_are_unwrapped(spark, tmp_path):
+    rows = [(i, "https://a.example/" + "x" * n) for i, n in enumerate((20, 38, 39, 40, 57, 58, 59, 300))]
+    rows = [(3 * i + k, u) for i, u in rows for k in range(3)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert differences(plans.QUERIES["url_unwrap"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["url_unwrap"]) == ""
+    odd = spark.createDataFrame([("https://b.example/ck?u=a1aHR0\r\ncDovL2E&n=2",), ("https://a\n.example/",)], "u string")
+    assert [r.t for r in odd.select(linking.unwrapped(F.col("u")).alias("t")).collect()] == ["http://a", "https://a\n.example/"]
