@@ -90,10 +90,21 @@ def _keyed(rows: DataFrame, key: str) -> DataFrame:
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, least: int = 60) -> DataFrame:
-    """The best right row of each left row, the least key on ties. Both sides are named once and kept. Pairs
-    meet by every way to score, each by its rarest key: equal names and shared aliases (where the least right
-    key is enough), so many words that six tenths can't be shared without one of them, and one run of INSIDE
-    characters."""
+    """The best right row of each left row, the least key on ties. Names are matched once however many rows have
+    them: a right name stands for its least key, and what a left name finds goes to all its rows."""
+    own = left.select(left_key, F.col(left_name).alias("_name")).filter("_name IS NOT NULL")
+    asked = kept(own.select("_name").distinct().withColumn("_id", F.monotonically_increasing_id()), "asked")
+    labels = right.groupBy(F.col(right_name).alias("_name")).agg(F.min(right_key).alias(right_key))
+    found = _best_match(asked, labels, "_id", "_name", right_key, "_name", least)
+    rows = own.join(asked.join(found, "_id").drop("_id"), "_name")
+    best = F.max_by(F.struct("score", right_key), F.struct("score", -F.col(right_key))).alias("b")
+    return rows.groupBy(left_key).agg(best).select(left_key, f"b.{right_key}", "b.score")
+
+
+def _best_match(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, least: int) -> DataFrame:
+    """best_match() of distinct names. Both sides are named once and kept. Pairs meet by every way to score, each by
+    its rarest key: equal names and shared aliases (where the least right key is enough), so many words that six
+    tenths can't be shared without one of them, and one run of INSIDE characters."""
 
     def side(rows: DataFrame, key: str, name: str) -> DataFrame:
         own = named(rows.select(key, F.col(name).alias("_name")), F.col("_name"), "").filter("_plain <> ''")

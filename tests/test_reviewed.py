@@ -1,6 +1,8 @@
 """Cases that reviews of larger tables brought up: rare values that small tables don't hold, and work that grew faster
 than its tables."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from pagemill.operators import layout, linking, tables
@@ -8,6 +10,25 @@ from pagemill.plans import queries as plans
 from tests.compare import connect, differences
 
 
+@contextmanager
+def most_rows(spark):
+    """Gives a list that then holds the greatest number of rows that any step of the queries inside gave."""
+    bus, store = spark._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before, found = store.executionsCount(), []
+    yield found
+    bus.waitUntilEmpty()
+    runs = store.executionsList()
+    most = 0
+    for e in (runs.apply(i) for i in range(before, runs.size())):
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for metrics in (nodes.apply(i).metrics() for i in range(nodes.size())):
+            for m in (metrics.apply(j) for j in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    found.append(most)
+
+
 def test_customer_zero_is_a_page(spark, tmp_path):
     rows = [(2 + 6 * i, i % 3) for i in range(24)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
@@ -30,3 +51,13 @@ def test_long_addresses_are_unwrapped(spark, tmp_path):
     assert differences(plans.QUERIES["url_unwrap"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["url_unwrap"]) == ""
     odd = spark.createDataFrame([("https://b.example/ck?u=a1aHR0\r\ncDovL2E&n=2",), ("https://a\n.example/",)], "u string")
     assert [r.t for r in odd.select(linking.unwrapped(F.col("u")).alias("t")).collect()] == ["http://a", "https://a\n.example/"]
+
+
+def test_equal_names_are_matched_once(spark):
+    names = ["atlas delta mines", "banque du nord", None, "ka", "atlas delta mines"] * 40
+    left = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "a long, x string")
+    right = spark.createDataFrame([(900 - i, "atlas delta mines nord") for i in range(300)] + [(5000 - i, "nord banque") for i in range(300)], "b long, y string")
+    with most_rows(spark) as most:
+        got = {(r.a, r.b, r.score) for r in linking.best_match(left, right, "a", "x", "b", "y").collect()}
+    assert got == {(i, 601, 80) for i in range(200) if i % 5 in (0, 4)} | {(i, 601, 75) for i in range(200) if i % 5 == 1}
+    assert most[0] < 2000  # 24,000 pairs of rows share words
