@@ -324,13 +324,19 @@ def requested_reports(rows: DataFrame, head: Column, url: Column, issuer: Column
 def overrides(requests: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """key, url: for each request (issuer, year, report, scope) the first of the override rows (pos, issuer,
     aliases, year, report, scope, url) of the same year and report, whose scope is empty or the same and
-    whose name or an alias is one of the issuer's. Rows meet by year, report and name."""
+    whose name or an alias is one of the issuer's. Rows meet by year, report and name, once for all equal requests
+    and with the first row of each scope, so neither many requests nor many rows of a name multiply."""
     fine = rows.filter(F.startswith(F.lower("url"), F.lit("http")))
     names = F.array_distinct(F.concat(F.array(plain_name(F.col("issuer"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), plain_name)))
-    b = fine.select("pos", "url", F.col("year"), F.col("report"), F.col("scope").alias("_scope"), F.explode(F.filter(names, lambda n: n != "")).alias("_n"))
-    a = requests.select(key, "year", "report", "scope", F.explode(aliases(F.col("issuer"))).alias("_n"))
-    met = a.join(b, ["year", "report", "_n"]).filter((F.coalesce("_scope", F.lit("")) == "") | (F.col("_scope") == F.col("scope")))
-    return met.groupBy(key).agg(F.min(F.struct("pos", "url")).alias("r")).select(key, "r.url")
+    first = F.min(F.struct("pos", "url")).alias("r")
+    b = fine.select("pos", "url", "year", "report", F.coalesce("scope", F.lit("")).alias("_scope"), F.explode(F.filter(names, lambda n: n != "")).alias("_n")).groupBy("year", "report", "_n", "_scope").agg(first)
+    asked = ["issuer", "year", "report", "scope"]
+    each = requests.select(asked).distinct()
+    a = each.select(*asked, F.explode(aliases(F.col("issuer"))).alias("_n"))
+    met = a.join(b, ["year", "report", "_n"]).filter((F.col("_scope") == "") | (F.col("_scope") == F.col("scope")))
+    found = met.groupBy(asked).agg(F.min("r").alias("r"))
+    every = join_groups(requests.select(key, *asked), found, asked)
+    return every.groupBy(key).agg(F.min("r").alias("r")).select(key, "r.url")
 
 
 def first_success(found: DataFrame, request: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_equal_names_are_matched_once(spark):
         got = {(r.a, r.b, r.score) for r in linking.best_match(left, right, "a", "x", "b", "y").collect()}
     assert got == {(i, 601, 80) for i in range(200) if i % 5 in (0, 4)} | {(i, 601, 75) for i in range(200) if i % 5 == 1}
     assert most[0] < 2000  # 24,000 pairs of rows share words
+
+
+def test_equal_requests_meet_overrides_once(spark):
+    rows = spark.createDataFrame([(i, f"http://o/{i}", "Atlas Mines", None, 2024, "s1", [None, "", "consolidated", "statutory"][i % 4] if i >= 40 else "statutory") for i in range(400)], "pos long, url string, issuer string, aliases array<string>, year long, report string, scope string")
+    asked = spark.createDataFrame([(i, "ATLAS mines" if i % 5 else None, 2024, "s1", ["consolidated", "statutory", None][i % 3]) for i in range(400)], "k long, issuer string, year long, report string, scope string")
+    with most_rows(spark) as most:
+        got = {r.k: r.url for r in linking.overrides(asked, rows, "k").collect()}
+    assert got == {i: ["http://o/40", "http://o/0", "http://o/40"][i % 3] for i in range(400) if i % 5}
+    assert most[0] <= 800  # 128,000 pairs of rows have the same name
