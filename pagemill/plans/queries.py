@@ -159,12 +159,6 @@ _COS = (
 )
 
 
-def _cosines(spark, d) -> DataFrame:
-    v = read(spark, d, "embeddings")
-    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return v.join(asked).select("query_id", "vec_id", "label", retrieval.cosine(F.col("embedding"), F.col("q")).alias("c"))
-
-
 @query(
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), "
     "c AS (SELECT q.vec_id AS query_id, v.label, v.vec_id, round(list_dot_product(v.e, q.e) / ((sqrt(list_dot_product(v.e, v.e)) + 1e-9) * (sqrt(list_dot_product(q.e, q.e)) + 1e-9)), 6) AS score FROM v JOIN v q ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) "
@@ -187,13 +181,10 @@ _BLEND = (
 
 
 def _blended(spark, d) -> DataFrame:
-    """Every document for every request, a vector whose id is divisible by 50."""
+    """What may be among the 8 best documents of a source for a request, a vector whose id is divisible by 50."""
     docs = folded(spark, d, "source").select("doc_id", "source", (F.size(T.keyword_hits(*folds(), KEYWORDS)) / F.lit(float(len(KEYWORDS)))).alias("lex"))
-    requests = read(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
-    both = docs.join(requests).join(_cosines(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "c"), ["query_id", "doc_id"], "left")
-    # Bounds are those of the documents with a vector; one without a vector keeps a score of 0.
-    scaled = retrieval.minmax(both, ["query_id", "source"], "c").fillna(0.0, ["c"])
-    return scaled.select("query_id", "doc_id", "source", F.round(0.6 * F.col("lex") + 0.4 * F.col("c"), 6).alias("score"), "lex")
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return retrieval.blended(docs, vectors, vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")), 8)
 
 
 @query(f"{_BLEND} SELECT query_id, source, doc_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")

@@ -70,3 +70,16 @@ def test_equal_requests_meet_overrides_once(spark):
         got = {r.k: r.url for r in linking.overrides(asked, rows, "k").collect()}
     assert got == {i: ["http://o/40", "http://o/0", "http://o/40"][i % 3] for i in range(400) if i % 5}
     assert most[0] <= 800  # 128,000 pairs of rows have the same name
+
+
+def test_blends_rank_without_all_pairs(spark, tmp_path):
+    texts = ["the and, the tion", "of the nation le", "x", None, "der die le the"]
+    docs = [(i, f"s{i % 2 if i < 600 else 2}", "en", texts[i * 7 % 5]) for i in range(700)]
+    vectors = [(i, 0, None if i in (100, 7) else [1.0, 2.0, 0.5] if i % 3 == 0 else [float(i % 17), float(i * i % 23) - 9, float(i % 5)]) for i in range(610)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = connect(str(tmp_path))
+    for name in ("hybrid_blend",):
+        with most_rows(spark) as most:
+            assert differences(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name]) == ""
+        assert most[0] < 2000  # 9,100 pairs of a document and a query
