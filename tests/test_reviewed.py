@@ -79,7 +79,7 @@ def test_blends_rank_without_all_pairs(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(vectors, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = connect(str(tmp_path))
-    for name in ("hybrid_blend",):
+    for name in ("hybrid_blend", "tiebreak_rerank"):
         with most_rows(spark) as most:
             assert differences(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name]) == ""
         assert most[0] < 2000  # 9,100 pairs of a document and a query
