@@ -44,6 +44,86 @@ class Automaton:
         return out
 
 
+#: Lengths of the runs of characters that texts are asked for, and bits of each of two tables of those that they hold:
+#: runs of digits alone, which prose would crowd out, and all others.
+RUNS, BITS = (4, 5, 6, 7, 8, 12), 25
+
+
+def _runs(data: np.ndarray, lengths: tuple[int, ...]):
+    """For each length the places in the tables of all runs of that many bytes, in order of their starts."""
+    digits = np.concatenate([np.zeros(1, np.int64), np.cumsum((data >= 48) & (data <= 57))])
+    h = np.zeros(len(data), np.uint64)
+    for n in range(1, max(lengths) + 1):
+        if len(data) < n:
+            return
+        h = h[: len(data) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + data[n - 1 :] + np.uint64(1)
+        if n in lengths:
+            mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            other = digits[n:] - digits[:-n] < n
+            yield n, (mixed >> np.uint64(64 - BITS)).astype(np.int64) + (other.astype(np.int64) << BITS)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings, one after the other, and their bounds."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at - at[0]
+
+
+def possible(pages: DataFrame, keywords: DataFrame) -> DataFrame:
+    """The keywords (keyword) all of whose runs stand in some text; the others are in no text. Tasks mark the runs of
+    their texts in tables of 2**BITS bits (4 MB); runs that share a bit let a keyword pass, never leave one out."""
+    spark = pages.sparkSession
+
+    def mark(batches):
+        seen = np.zeros(2 << BITS, bool)
+        for batch in batches:
+            for c in ("folded", "loosened"):
+                data, _ = _bytes(batch.column(c).cast(pa.string()))
+                for i in range(0, len(data), 1 << 20):
+                    for _, h in _runs(data[i : i + (1 << 20) + max(RUNS)].astype(np.uint64), RUNS):
+                        seen[h] = True
+        words = np.packbits(seen).reshape(-1, 1 << 16)
+        place = np.flatnonzero(words.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array([words[i].tobytes() for i in place], pa.binary())], ["place", "bits"])
+
+    def either(key, parts):
+        out = np.zeros(1 << 16, np.uint8)
+        for b in parts.column("bits"):
+            out |= np.frombuffer(b.as_buffer(), np.uint8)
+        return pa.table({"place": [key[0].as_py()], "bits": [out.tobytes()]}, pa.schema([("place", pa.int64()), ("bits", pa.binary())]))
+
+    seen = np.zeros((2 << BITS) // 8, np.uint8).reshape(-1, 1 << 16)
+    for r in pages.select("folded", "loosened").mapInArrow(mark, "place long, bits binary").groupBy("place").applyInArrow(either, "place long, bits binary").collect():
+        seen[r["place"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(seen.ravel())
+
+    def fits(column: pa.Array) -> np.ndarray:
+        """Whether all runs of a string's greatest length in RUNS are marked."""
+        data, at = _bytes(column)
+        size = np.diff(at)
+        fine = np.ones(len(size), bool)
+        of = np.digitize(size, RUNS)  # 0: shorter than all
+        owner = np.repeat(np.arange(len(size)), size)
+        for n, h in _runs(data.astype(np.uint64), RUNS):
+            mine = owner[: len(h)]
+            whole = (of[mine] > 0) & (np.array((0, *RUNS))[of[mine]] == n) & (np.arange(len(h)) + n <= at[1:][mine])
+            marked = shared.value[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1
+            fine[mine[whole & (marked == 0)]] = False
+        return fine
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("keyword").cast(pa.string())
+            keep = fits(words)
+            wide = [i for i in np.flatnonzero(~keep).tolist() if len(words[i].as_py().split()) > 1]
+            if wide:
+                keep[wide] = fits(pa.array([loose_keyword(words[i].as_py()) for i in wide], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("keyword").filter(pa.array(keep))], ["keyword"])
+
+    return keywords.select("keyword").mapInArrow(run, "keyword string")
+
+
 #: The automaton that this worker last made, by its part.
 _MADE: dict[str, Automaton] = {}
 
@@ -51,14 +131,19 @@ _MADE: dict[str, Automaton] = {}
 def keyword_rows(pages: DataFrame, keywords: DataFrame, key: list[str], part: int = PART) -> DataFrame:
     """key, kind, name, hits: for each page (folded, loosened) and each (kind, name) of a keyword table (kind, name,
     keyword) how many of its rows the page holds; pairs without a hit are left out. Equal keywords are looked for
-    once. The table is cut into parts of at most `part` distinct keywords; each part is an automaton that the workers
+    once. Of a table of over `part` distinct keywords, those are left out first that no text can hold (possible()), by
+    one more scan of the texts. The table is cut into parts of at most `part` distinct keywords; each part is an automaton that the workers
     build from a broadcast of that size, and takes one scan of the texts, whose result is written before the next
     part's broadcast, so neither tasks nor the driver hold more than one part. Null keywords are left out, null texts
     are empty ones."""
     spark = pages.sparkSession
     table = keywords.filter("keyword IS NOT NULL").groupBy("kind", "name", "keyword").agg(F.count("*").alias("n"))
+    distinct = table.select("keyword").distinct()
+    if table.count() > part:
+        distinct = kept(possible(pages.select(F.coalesce("folded", F.lit("")).alias("folded"), F.coalesce("loosened", F.lit("")).alias("loosened")), distinct), "possible")
+        table = table.join(distinct, "keyword", "left_semi")
     lists = table.groupBy("keyword").agg(F.collect_list(F.struct("kind", "name", "n")).alias("of"))  # the lists that hold a keyword
-    count = lists.count()
+    count = distinct.count()
     parts = max(1, -(-count // part))
     lists = kept(lists.withColumn("part", F.pmod(F.xxhash64("keyword"), F.lit(parts))), "keywords")
     rows = pages.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(key)), F.coalesce("folded", F.lit("")).alias("folded"), F.coalesce("loosened", F.lit("")).alias("loosened"))

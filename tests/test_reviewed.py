@@ -5,7 +5,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import layout, linking, tables
+from pagemill.functions import text as T
+from pagemill.operators import keywords, layout, linking, tables
 from pagemill.plans import queries as plans
 from tests.compare import connect, differences
 
@@ -83,3 +84,17 @@ def test_blends_rank_without_all_pairs(spark, tmp_path):
         with most_rows(spark) as most:
             assert differences(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name]) == ""
         assert most[0] < 2000  # 9,100 pairs of a document and a query
+
+
+def test_keywords_that_no_text_holds_take_no_scan(spark, monkeypatch):
+    texts = ["order 1234567 and 98 of hot bolt", "a large ring, old plate", "", None, "12345678901234567890 x"]
+    pages = T.with_folded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "folded", "loosened")
+    words = [str(n) for n in (*range(100), *range(1234560, 1234570), 234567, 34567, 12345678, 123456789012, 2345678901234, 7654321)] + ["hot  bolt", "ring, old", "ring old", "old-plate x", "large, ring", "", "é", "bolt hot"]
+    words += [f"no such {i}" for i in range(300)] + [str(n) for n in range(50_000_000, 50_000_300)]
+    table = spark.createDataFrame([("k", w, w) for w in words], "kind string, name string, keyword string")
+    whole = {tuple(r) for r in keywords.keyword_rows(pages, table, ["doc_id"]).collect()}
+    made = []
+    monkeypatch.setattr(keywords, "kept", lambda rows, name, keep=keywords.kept: (made.append(name), keep(rows, name))[1])
+    assert {tuple(r) for r in keywords.keyword_rows(pages, table, ["doc_id"], part=200).collect()} == whole
+    assert (0, "k", "1234567", 1) in whole and (4, "k", "2345678901234", 1) in whole and (1, "k", "ring old", 1) in whole
+    assert made.count("hits") <= 1  # 4 parts of all keywords, 1 of those that texts may hold
