@@ -149,8 +149,7 @@ _ITEM_TERMS = f"SELECT item_id AS query_id, term, count(*) AS weight FROM (SELEC
 )
 def bm25_multi_query(spark, d):
     items = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(T.fold(F.col("text")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-    scores = retrieval.bm25(spread(read(spark, d, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", items)
-    return retrieval.top_k(scores.select("query_id", "source", "doc_id", F.round("bm25", 5).alias("score")), ["query_id", "source"], "score", ["doc_id"], 3)
+    return retrieval.bm25_best(spread(read(spark, d, "documents").select("doc_id", "source", "text")), "doc_id", "source", "text", items, 3)
 
 
 _COS = (

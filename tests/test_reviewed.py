@@ -98,3 +98,13 @@ def test_keywords_that_no_text_holds_take_no_scan(spark, monkeypatch):
     assert {tuple(r) for r in keywords.keyword_rows(pages, table, ["doc_id"], part=200).collect()} == whole
     assert (0, "k", "1234567", 1) in whole and (4, "k", "2345678901234", 1) in whole and (1, "k", "ring old", 1) in whole
     assert made.count("hits") <= 1  # 4 parts of all keywords, 1 of those that texts may hold
+
+
+def test_many_queries_take_no_row_for_each_document(spark, tmp_path):
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, f"s{i % 2}", "en", " ".join(words[(i * j) % 12] for j in range(1 + i % 6)) if i % 9 else [None, "", "zz"][i % 3]) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, " ".join(words[(i + j) % 12] for j in range(4)) + " none") for i in range(40)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    with most_rows(spark) as most:
+        assert differences(plans.QUERIES["bm25_multi_query"](spark, str(tmp_path)), connect(str(tmp_path)), plans.ORACLES["bm25_multi_query"]) == ""
+    assert most[0] < 1500  # over 7,000 pairs of a document's term and a query
