@@ -56,7 +56,7 @@ def index_builds(spark, d):
     for rows in (pages.filter("kind = 0"), pages, last):
         now = index.update(rows, "source", "doc_id", "text", F.col("version"))
     found = index.documents(now).join(index.table("documents").select("gid", "build"), "gid")
-    terms = index.table("postings").select("gid", "term").distinct().groupBy("gid").agg(F.count("*").alias("terms"))
+    terms = index.table("postings").filter("term <> ''").select("gid", "term").distinct().groupBy("gid").agg(F.count("*").alias("terms"))
     return found.join(terms, "gid", "left").select(F.col("grp").alias("source"), "build", "n", "total", F.coalesce("terms", F.lit(0).cast("long")).alias("terms"))
 
 
