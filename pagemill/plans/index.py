@@ -8,6 +8,7 @@ from pagemill.functions import text as T
 from pagemill.operators import page_index
 from pagemill.operators.keywords import keyword_rows
 from pagemill.plans.registry import fold_sql, loosen_sql, query, read, spread
+from pagemill.sources.shared import kept
 from pagemill.sources.vectors import Encoder, encoded
 
 
@@ -48,7 +49,7 @@ def index_builds(spark, d):
     """Three updates: some documents, then all, then all with some of them changed. Each document stands as the
     build that last changed it made it."""
     docs = read(spark, d, "documents")
-    kinds = docs.groupBy("source").agg((F.min("doc_id") % 3).alias("kind"))
+    kinds = kept(docs.groupBy("source").agg((F.min("doc_id") % 3).alias("kind")), "kinds")
     pages = docs.join(kinds, "source").withColumn("version", F.xxhash64("doc_id", "text"))
     changed = F.col("kind") == 1
     last = pages.withColumn("text", F.when(changed, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))).withColumn("version", F.when(changed, F.xxhash64("version")).otherwise(F.col("version")))
